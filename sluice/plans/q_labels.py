@@ -38,8 +38,7 @@ def label_stats_by_lang(spark, sf_dir):
                         "sum_weight", "clean_chars")
 
 
-SOFT2 = f"""(SELECT id, comment_text, CASE WHEN toxic = 1 THEN 1.0 ELSE {S.soft_label('id')} END AS toxic,
-                lang, source FROM {S.SET2} s)"""
+SOFT2 = S.soft_set2()
 
 
 @register("label_binarise", sql=f"""

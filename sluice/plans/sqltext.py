@@ -31,6 +31,12 @@ METRIC_ROWS = """(SELECT event_id, event_id // 100 AS step,
                 value / 500.0 AS score, value AS loss, 1 AS n FROM events)"""
 
 
+def soft_set2() -> str:
+    u = sql_uniform("id", "soft")
+    return (f"(SELECT id, comment_text, CASE WHEN toxic = 1 THEN round(0.5 + {u} / 2, 2) "
+            f"WHEN {u} < 0.2 THEN round({u}, 2) ELSE 0.0 END AS toxic, lang, source FROM {SET2} s)")
+
+
 def soft_label(id_sql: str = "id", seed: int = 42) -> str:
     return f"round({sql_uniform(id_sql, 'soft', seed)}, 2)"
 

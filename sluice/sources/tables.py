@@ -58,10 +58,16 @@ def soft_label(id_col="id", seed: int = 42):
 
 
 def soft_set2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """set2 with soft labels: positives keep 1.0, the rest get the hash label."""
+    """set2 with soft labels, shaped like annotator fractions.
+
+    Positives get ``0.5 + u/2`` (so only some reach the 0.95 threshold);
+    negatives stay 0 except where ``u < 0.2``, which get the fraction ``u``.
+    ``u`` is the keyed soft draw; results are rounded to 2 digits.
+    """
     s2 = set2(spark, sf_dir)
-    return s2.withColumn("toxic", F.when(F.col("toxic") == 1.0, F.lit(1.0))
-                         .otherwise(soft_label("id")))
+    u = u32(F.col("id"), "soft", 42) / F.lit(4294967296.0)
+    return s2.withColumn("toxic", F.when(F.col("toxic") == 1.0, F.round(F.lit(0.5) + u / 2, 2))
+                         .when(u < 0.2, F.round(u, 2)).otherwise(F.lit(0.0)))
 
 
 def translated_views(spark: SparkSession, sf_dir: str):
