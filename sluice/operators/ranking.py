@@ -60,21 +60,32 @@ def dense_index(df: DataFrame, h_col: str, tie_col: str, group_cols: Sequence[st
             .drop("_bin", "_before"))
 
 
-def smallest_n(df: DataFrame, n: int, h_col: str, tie_col: str,
+def smallest_n(df: DataFrame, n: int | None, h_col: str, tie_col: str,
                group_cols: Sequence[str] = (), strict: bool = False,
-               bits: int = DEFAULT_BITS, error: str = "sample larger than population") -> DataFrame:
+               bits: int = DEFAULT_BITS, error: str = "sample larger than population",
+               n_col: str | None = None) -> DataFrame:
     """Exactly the first ``n`` rows in ``(h, tie)`` order per group.
 
     ``strict=True`` fails the query (``raise_error``, evaluated inside the
     plan, no driver round trip) when a group holds fewer than ``n`` rows, as
     ``DataFrame.sample(n=...)`` does; otherwise the whole group is returned,
     as ``head(n)`` does. Groups with no rows at all are simply absent.
+    ``n_col`` names a column holding a data-dependent limit (constant per
+    group) instead of the literal ``n``.
     """
     g = list(group_cols)
-    hist = hash_histogram(df, h_col, g, bits)
+    if n_col is None and n < 1:
+        return df.limit(0)
+    n_expr = F.col(n_col) if n_col else F.lit(n)
+    hist = (df.select(*g, _bin(h_col, bits).alias("_bin"), n_expr.alias("_n"))
+            .groupBy(*g, "_bin").agg(F.count(F.lit(1)).alias("_cnt"), F.max("_n").alias("_n")))
+    wb = Window.partitionBy(*g).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    hist = hist.withColumn("_before", F.coalesce(F.sum("_cnt").over(wb), F.lit(0)).cast("bigint"))
     totals = hist.groupBy(*g).agg(F.sum("_cnt").alias("_total"))
-    cut = (hist.filter((F.col("_before") < n) & (F.col("_before") + F.col("_cnt") >= n))
-           .select(*g, F.col("_bin").alias("_cut_bin"), (F.lit(n) - F.col("_before")).alias("_need")))
+    cut = (hist.filter((F.col("_before") < F.col("_n")) & (F.col("_before") + F.col("_cnt") >= F.col("_n")))
+           .select(*g, F.col("_bin").alias("_cut_bin"), (F.col("_n") - F.col("_before")).alias("_need")))
+    if strict and n_col:
+        raise ValueError("strict size checks need a literal n")
     # one row per group: the bin that holds the n-th row, and how many of it
     if g:
         per_group = totals.join(cut, on=g, how="left")

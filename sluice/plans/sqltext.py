@@ -102,3 +102,48 @@ def clean_text(expr: str) -> str:
     t = squeeze_ws(t)
     t = dedup_sentences(t)
     return py_strip(t)
+
+
+# --- tokens and sequences ------------------------------------------------------
+
+TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[\p{P}\p{S}]"
+
+
+def tokens(expr: str) -> str:
+    return f"regexp_extract_all(lower({expr}), '{TOKEN_PATTERN}')"
+
+
+def vocab_cte(size: int, source: str = "documents", text: str = "text") -> str:
+    """``vocab(token, token_id, cnt)``: top ``size`` tokens, ids from 4."""
+    h = sql_u32("token", "vocab")
+    return f"""vocab AS (
+  SELECT token, CAST(row_number() OVER (ORDER BY cnt DESC, h, token) + 3 AS INTEGER) AS token_id, cnt
+  FROM (SELECT token, count(*) AS cnt, {h} AS h
+        FROM (SELECT unnest({tokens(text)}) AS token FROM {source} s) t GROUP BY token) c
+  QUALIFY row_number() OVER (ORDER BY cnt DESC, h, token) <= {size})"""
+
+
+def encoded_cte(source: str, key: str, text: str, name: str = "enc") -> str:
+    """``{name}({key}, tokens)``: vocabulary ids in text order, unknown -> 1 (needs ``vocab``)."""
+    return f"""{name}_t AS (
+  SELECT {key}, unnest(tk) AS token, unnest(generate_series(1, len(tk))) AS pos
+  FROM (SELECT {key}, {tokens(text)} AS tk FROM {source} s) a),
+{name} AS (
+  SELECT s.{key}, coalesce(list(CAST(coalesce(v.token_id, 1) AS INTEGER) ORDER BY t.pos)
+                           FILTER (WHERE t.pos IS NOT NULL), []) AS tokens
+  FROM {source} s LEFT JOIN ({name}_t t LEFT JOIN vocab v ON t.token = v.token) ON s.{key} = t.{key}
+  GROUP BY s.{key})"""
+
+
+def head_tail(expr: str, L: int) -> str:
+    h, t = L // 2, L - L // 2
+    return (f"(CASE WHEN len({expr}) > {L} THEN list_concat({expr}[1:{h}], "
+            f"{expr}[len({expr}) - {t} + 1:len({expr})]) ELSE {expr} END)")
+
+
+def with_markers(expr: str) -> str:
+    return f"list_concat([2], {expr}, [3])"
+
+
+def pad_to(expr: str, L: int) -> str:
+    return f"(CASE WHEN len({expr}) < {L} THEN list_resize({expr}, {L}, 0) ELSE {expr} END)"
