@@ -86,12 +86,12 @@ def split_sentences(expr: str) -> str:
 
 
 def _stripped_sentences(expr: str) -> str:
-    return f"list_transform({split_sentences(expr)}, lambda s: {py_strip('s')})"
+    return f"list_transform({split_sentences(expr)}, lambda lam_s: {py_strip('lam_s')})"
 
 
 def dedup_sentences(expr: str) -> str:
     lst = _stripped_sentences(expr)
-    return (f"array_to_string(list_filter({lst}, lambda x, i: list_position({lst}, x) = i), ' ')")
+    return (f"array_to_string(list_filter({lst}, lambda lam_x, lam_i: list_position({lst}, lam_x) = lam_i), ' ')")
 
 
 def clean_text(expr: str) -> str:
