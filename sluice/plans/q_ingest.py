@@ -1 +1,195 @@
-"""Registered queries."""
+"""Queries for sources and sinks (S1-S9), projections / null handling
+and filters (F1-F3)."""
+
+from __future__ import annotations
+
+import time
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as TY
+
+from sluice.functions.labels import TOXIC_THRESHOLD
+from sluice.operators.labels import loss_weight
+from sluice.operators.metrics import roc_auc, weighted_bce
+from sluice.plans import sqltext as S
+from sluice.plans.q_scoring import VIEW_SQL
+from sluice.plans.registry import register
+from sluice.session import scratch_path
+from sluice.sources import csv_io as C
+from sluice.sources import registry as REG
+from sluice.sources import tables as T
+
+DOC_SCHEMA = TY.StructType([
+    TY.StructField("doc_id", TY.LongType()), TY.StructField("text", TY.StringType()),
+    TY.StructField("lang", TY.StringType()), TY.StructField("source", TY.StringType()),
+    TY.StructField("n_chars", TY.LongType())])
+
+
+def _docs_csv(spark, sf_dir) -> str:
+    """Land ``documents`` as CSV (one part per task) in the scratch folder."""
+    path = scratch_path(spark, "documents-csv")
+    return C.write_csv(T.table(spark, sf_dir, "documents"), path)
+
+
+@register("csv_scan", sql="SELECT doc_id, text, lang, source, n_chars FROM documents")
+def csv_scan(spark, sf_dir):
+    return C.read_csv(spark, _docs_csv(spark, sf_dir), DOC_SCHEMA)
+
+
+@register("csv_scan_pruned", sql="SELECT doc_id, text FROM documents")
+def csv_scan_pruned(spark, sf_dir):
+    return C.read_csv(spark, _docs_csv(spark, sf_dir), DOC_SCHEMA, columns=["doc_id", "text"])
+
+
+@register("csv_scan_keyed", sql="SELECT doc_id, text, lang FROM documents")
+def csv_scan_keyed(spark, sf_dir):
+    df = C.read_csv(spark, _docs_csv(spark, sf_dir), DOC_SCHEMA, columns=["doc_id", "text", "lang"])
+    return C.assert_unique(df, "doc_id")
+
+
+def _registry_sql() -> str:
+    v = S.VALID
+    parts = [
+        f"SELECT 'train_set1' AS name, count(*) AS n_rows FROM {S.SET1} a",
+        f"SELECT 'train_set2', count(*) FROM {S.SET2} b",
+        f"SELECT 'validation', count(*) FROM {v} c",
+        f"SELECT 'valid_en1', count(*) FROM {v} d",
+        f"SELECT 'valid_en2', count(*) FROM {v} e",
+        f"SELECT 'valid_en3', count(*) FROM {v} f",
+        "SELECT 'test', count(*) FROM documents",
+        "SELECT 'test_en1', count(*) FROM documents",
+        "SELECT 'test_en2', count(*) FROM documents",
+        "SELECT 'pool', count(*) FROM conversations",
+    ]
+    return "\nUNION ALL ".join(parts)
+
+
+@register("dataset_registry", sql=_registry_sql())
+def dataset_registry(spark, sf_dir):
+    parts = [REG.load(spark, sf_dir, n).agg(F.count(F.lit(1)).alias("n_rows"))
+             .select(F.lit(n).alias("name"), "n_rows") for n in REG.REGISTRY]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("select_sources", sql=f"""
+SELECT source, count(*) AS n_rows, CAST(count(*) FILTER (WHERE toxic >= 0.95) AS BIGINT) AS n_pos FROM (
+  SELECT toxic, 'train_set1' AS source FROM {S.SET1} a
+  UNION ALL SELECT toxic, 'validation' FROM {S.VALID} b
+  UNION ALL SELECT toxic, 'train_set2' FROM {S.soft_set2()} c) u
+GROUP BY source
+""")
+def select_sources(spark, sf_dir):
+    u = REG.select_sources(spark, sf_dir, merged=False, use_set2=True, extra=("validation",))
+    return u.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"),
+                                   F.count_if(F.col("toxic") >= TOXIC_THRESHOLD).alias("n_pos"))
+
+
+def _submission(spark, sf_dir):
+    from sluice.plans.q_scoring import submission_join
+    return submission_join(spark, sf_dir).select("id", "toxic")
+
+
+@register("submission_sink", sql=f"""
+WITH {VIEW_SQL}, s AS (SELECT id, avg(logit) AS toxic FROM views GROUP BY id)
+SELECT d.doc_id AS id, round(s.toxic, 9) AS toxic FROM documents d LEFT JOIN s ON d.doc_id = s.id
+""")
+def submission_sink(spark, sf_dir):
+    path = C.write_csv(_submission(spark, sf_dir), scratch_path(spark, "submission"))
+    schema = TY.StructType([TY.StructField("id", TY.LongType()), TY.StructField("toxic", TY.DoubleType())])
+    return C.read_csv(spark, path, schema)
+
+
+@register("part_submissions")
+def part_submissions(spark, sf_dir):
+    path = C.write_csv(_submission(spark, sf_dir).repartition(4, "id"), scratch_path(spark, "node-submissions"))
+    schema = TY.StructType([TY.StructField("id", TY.LongType()), TY.StructField("toxic", TY.DoubleType())])
+    rows = C.part_files(C.read_csv(spark, path, schema))
+    return rows.groupBy("part_file").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("per_model_sink", sql=f"WITH {VIEW_SQL} SELECT view AS model, id, round(logit, 9) AS toxic FROM views")
+def per_model_sink(spark, sf_dir):
+    from sluice.plans.q_scoring import multi_view_score
+    long_ = multi_view_score(spark, sf_dir).withColumnRenamed("view", "model").withColumnRenamed("logit", "toxic")
+    path = C.write_partitioned(long_, scratch_path(spark, "per-model"), "model")
+    return spark.read.parquet(path).select("model", "id", "toxic")
+
+
+@register("metric_log")
+def metric_log(spark, sf_dir):
+    m = T.metric_rows(spark, sf_dir).withColumn("epoch", (F.col("step") / 25).cast("bigint") + 1)
+    m = m.withColumn("x", (F.col("loss") - 250.0) / 50.0).withColumn("w", F.lit(1.0))
+    path = scratch_path(spark, "metric-log")
+    started = time.time()
+    for split in ("train", "valid"):
+        part = m.filter((F.col("step") % 2 == 0) if split == "train" else (F.col("step") % 2 == 1))
+        loss = weighted_bce(part, "x", "y", "w", ["epoch"])
+        auc = roc_auc(part, "y", "score", ["epoch"])
+        row = loss.join(auc.select("epoch", "auc"), "epoch").select(
+            "epoch", F.lit(split).alias("split"), "loss", F.col("auc").alias("score"),
+            F.lit(round(time.time() - started, 3)).alias("seconds"))
+        C.append_log(row, path)
+    return spark.read.parquet(path)
+
+
+# --- projections and null handling -------------------------------------------------
+
+@register("rename_to_common", sql=f"""
+SELECT id, comment_text, toxic, 'valid_en1' AS view FROM {S.VALID} a
+UNION ALL SELECT id, lower(comment_text), toxic, 'valid_en2' FROM {S.VALID} b
+""")
+def rename_to_common(spark, sf_dir):
+    a = REG.load(spark, sf_dir, "valid_en1").withColumn("view", F.lit("valid_en1"))
+    b = REG.load(spark, sf_dir, "valid_en2").withColumn("view", F.lit("valid_en2"))
+    return a.unionByName(b).select("id", "comment_text", "toxic", "view")
+
+
+@register("project_cols", sql=f"SELECT comment_text, toxic, lang FROM {S.COMMENTS} c")
+def project_cols(spark, sf_dir):
+    return T.comments(spark, sf_dir).select("comment_text", "toxic", "lang")
+
+
+NULLS = f"(SELECT id, CASE WHEN id % 10 = 0 THEN NULL ELSE comment_text END AS comment_text, toxic FROM {S.COMMENTS} c)"
+
+
+@register("fill_text_none", sql=f"SELECT id, coalesce(comment_text, 'none') AS comment_text, toxic FROM {NULLS} n")
+def fill_text_none(spark, sf_dir):
+    n = T.null_fixture(spark, sf_dir).select("id", "comment_text", "toxic")
+    return n.fillna({"comment_text": "none"})
+
+
+@register("fill_zero", sql=f"""
+SELECT id, coalesce(CASE WHEN id % 7 = 0 THEN NULL ELSE toxic END, 0.0) AS toxic,
+       coalesce(CASE WHEN id % 7 = 0 THEN NULL WHEN toxic = 0 THEN 0.9 ELSE toxic END, 0.0) AS weight
+FROM {S.COMMENTS} c
+""")
+def fill_zero(spark, sf_dir):
+    c = T.comments(spark, sf_dir).withColumn(
+        "toxic", F.when(F.col("id") % 7 == 0, F.lit(None).cast("double")).otherwise(F.col("toxic")))
+    w = loss_weight(c, mode="constant")
+    return w.select("id", "toxic", "weight").fillna({"toxic": 0.0, "weight": 0.0})
+
+
+# --- filters -------------------------------------------------------------------------
+
+@register("filter_toxic_ge", sql=f"SELECT id, toxic FROM {S.soft_set2()} s WHERE toxic >= 0.95")
+def filter_toxic_ge(spark, sf_dir):
+    return T.soft_set2(spark, sf_dir).filter(F.col("toxic") >= TOXIC_THRESHOLD).select("id", "toxic")
+
+
+@register("filter_toxic_eq", sql=f"""
+SELECT id, toxic, 'pos' AS side FROM {S.COMMENTS} a WHERE toxic = 1
+UNION ALL SELECT id, toxic, 'neg' FROM {S.COMMENTS} b WHERE toxic = 0
+""")
+def filter_toxic_eq(spark, sf_dir):
+    c = T.comments(spark, sf_dir)
+    return (c.filter(F.col("toxic") == 1).select("id", "toxic", F.lit("pos").alias("side"))
+            .unionByName(c.filter(F.col("toxic") == 0).select("id", "toxic", F.lit("neg").alias("side"))))
+
+
+@register("filter_not_null", sql=f"SELECT id, comment_text FROM {NULLS} n WHERE comment_text IS NOT NULL")
+def filter_not_null(spark, sf_dir):
+    return T.null_fixture(spark, sf_dir).filter(F.col("comment_text").isNotNull()).select("id", "comment_text")
