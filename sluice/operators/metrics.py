@@ -58,18 +58,27 @@ def roc_auc(df: DataFrame, y_col: str = "y", score_col: str = "score",
     g = list(group_cols)
     per_score = (df.groupBy(*g, F.col(score_col).alias("_s"))
                  .agg(F.count_if(F.col(y_col) == 1).alias("_pos"),
-                      F.count_if(F.col(y_col) == 0).alias("_neg"))
-                 .withColumn("_bin", score_bin("_s", bins, logits)))
-    per_bin = per_score.groupBy(*g, "_bin").agg(F.sum("_neg").alias("_bneg"))
+                      F.count_if(F.col(y_col) == 0).alias("_neg")))
+    return roc_auc_counts(per_score, "_s", "_pos", "_neg", g, bins, logits)
+
+
+def roc_auc_counts(per_score: DataFrame, score_col: str, pos_col: str, neg_col: str,
+                   group_cols: Sequence[str] = (), bins: int = DEFAULT_BINS,
+                   logits: bool = False) -> DataFrame:
+    """A5 from per-score class counts ``(score, pos, neg)`` (one row per score)."""
+    g = list(group_cols)
+    ps = per_score.select(*g, F.col(score_col).alias("_s"), F.col(pos_col).alias("_pos"),
+                          F.col(neg_col).alias("_neg")).withColumn("_bin", score_bin("_s", bins, logits))
+    per_bin = ps.groupBy(*g, "_bin").agg(F.sum("_neg").alias("_bneg"))
     wb = Window.partitionBy(*g).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     per_bin = per_bin.withColumn("_neg_lower_bins", F.coalesce(F.sum("_bneg").over(wb), F.lit(0)))
     ws = Window.partitionBy(*g, "_bin").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    scored = (per_score.join(per_bin.select(*g, "_bin", "_neg_lower_bins"), on=[*g, "_bin"])
+    scored = (ps.join(F.broadcast(per_bin.select(*g, "_bin", "_neg_lower_bins")), on=[*g, "_bin"])
               .withColumn("_below", F.col("_neg_lower_bins")
                           + F.coalesce(F.sum("_neg").over(ws), F.lit(0))))
     agg = scored.groupBy(*g).agg(
         F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2.0)).alias("_num"),
-        F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
+        F.sum("_pos").cast("bigint").alias("n_pos"), F.sum("_neg").cast("bigint").alias("n_neg"))
     return agg.select(*g, "n_pos", "n_neg",
                       F.try_divide(F.col("_num"), F.col("n_pos") * F.col("n_neg")).alias("auc"))
 

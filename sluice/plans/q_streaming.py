@@ -1 +1,37 @@
-"""Registered queries."""
+"""Queries for Structured Streaming: ST1, ST2 (the stream result equals the batch SQL)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sluice.plans import sqltext as S
+from sluice.plans.q_scoring import _text_logit_sql
+from sluice.plans.registry import register
+from sluice.sources import tables as T
+from sluice.streaming import streams as ST
+
+
+@register("stream_clean_score", sql=f"""
+SELECT doc_id AS id, {S.clean_text('text')} AS clean, round({_text_logit_sql(S.clean_text('text'))}, 9) AS logit
+FROM documents
+""")
+def stream_clean_score(spark, sf_dir):
+    schema = T.table(spark, sf_dir, "documents").schema
+    out = ST.stream_clean_score(spark, sf_dir, schema, glob="documents.parquet")
+    return out.select("id", "clean", F.round("logit", 9).alias("logit"))
+
+
+@register("stream_meters", sql="""
+WITH r AS (SELECT CAST(event_type = 'error' AS INTEGER) AS y, value / 500.0 AS score FROM events
+           UNION ALL SELECT 0, 0.5 UNION ALL SELECT 1, 0.5),
+rk AS (SELECT y, (rank() OVER (ORDER BY score) + rank() OVER (ORDER BY score)
+                  + count(*) OVER (PARTITION BY score) - 1) / 2.0 AS ar FROM r)
+SELECT (SELECT round(avg(value), 9) FROM events) AS avg_loss, (SELECT count(*) FROM events) AS n_rows,
+       round((sum(ar) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0)
+             / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0)), 9) AS auc
+FROM rk
+""")
+def stream_meters(spark, sf_dir):
+    schema = T.table(spark, sf_dir, "events").schema
+    out = ST.stream_meters(spark, sf_dir, schema, glob="events.parquet")
+    return out.select(F.round("avg_loss", 9).alias("avg_loss"), "n_rows", F.round("auc", 9).alias("auc"))
