@@ -15,6 +15,7 @@ from sluice.functions.labels import round_half_even
 from sluice.functions.sequences import token_count
 from sluice.operators.ranking import dense_index
 from sluice.operators.sets import dedup_text
+from sluice.session import materialize
 
 # Gate probabilities, draw counts, routing thresholds.
 TRANSFORM_P = 0.95
@@ -61,7 +62,9 @@ def build_pool(src: DataFrame, key: str = "id", text_col: str = "comment_text",
     d = dedup_text(c, "text", key)
     d = d.select(key, "text", round_half_even(label_col).alias("cls"),
                  u32(F.col(key), "pool", seed).alias("_h"))
-    return dense_index(d, "_h", key, ["cls"], out_col="idx").select("cls", "idx", "text", key)
+    pool = dense_index(d, "_h", key, ["cls"], out_col="idx").select("cls", "idx", "text", key)
+    # built once and looked up by every draw (class sizes and the pool join)
+    return materialize(pool)
 
 
 def draw_slots(df: DataFrame, key: str, label_col: str, pool: DataFrame, seed: int = 42) -> DataFrame:
@@ -132,8 +135,14 @@ def augment_route(df: DataFrame, key: str, text_col: str, label_col: str, pool:
     long_ = F.col("_len") > ROUTE_LONG_FRACTION * max_len
     short = F.col("_len") < ROUTE_SHORT_TOKENS
     t = t.withColumn("route", F.when(long_, "shuffle").when(short, "synthetic").otherwise("keep"))
-    a = t.filter(F.col("route") == "shuffle").withColumn("text_out", shuffle_sentences(F.col("_x"), F.col(key), seed))
-    b = t.filter(F.col("route") == "keep").withColumn("text_out", F.col("_x"))
-    c = synthetic_mix(t.filter(F.col("route") == "synthetic"), key, "_x", label_col, pool,
-                      "text_out", seed)
-    return a.unionByName(b).unionByName(c).drop("_x", "_len")
+    # the transformed text feeds two branches; write it once instead of
+    # running the regex chain twice
+    t = materialize(t)
+    # long and mid-length rows are one projection; only the short rows take
+    # the pool join, so the transformed text feeds exactly two branches
+    direct = t.filter(F.col("route") != "synthetic").withColumn(
+        "text_out", F.when(F.col("route") == "shuffle", shuffle_sentences(F.col("_x"), F.col(key), seed))
+        .otherwise(F.col("_x")))
+    mixed = synthetic_mix(t.filter(F.col("route") == "synthetic"), key, "_x", label_col, pool,
+                          "text_out", seed)
+    return direct.unionByName(mixed).drop("_x", "_len")

@@ -221,28 +221,30 @@ def running_auc(rows: DataFrame, y: str = "y", score: str = "score", step: str =
         r = r.unionByName(seed_rows)
     r = r.withColumn("_b", score_bin("_s", bins, logits))
 
-    # dense cumulative counts per (group, step, bin, class)
-    cnt = r.groupBy(*g, "_t", "_b", "_y").agg(F.count(F.lit(1)).alias("_c"))
-    grid = (rows.sparkSession.range(bins).select(F.col("id").cast("int").alias("_b"))
-            .crossJoin(rows.sparkSession.createDataFrame([(0,), (1,)], "_y int")))
+    # dense (step, bin) grid with both classes' counts: cumulative over steps
+    # per bin, then summed over lower / higher bins per step
+    cnt = r.groupBy(*g, "_t", "_b").agg(F.count_if(F.col("_y") == 0).alias("_c0"),
+                                        F.count_if(F.col("_y") == 1).alias("_c1"))
+    grid = rows.sparkSession.range(bins).select(F.col("id").cast("int").alias("_b"))
     steps_ = r.select(*g, "_t").distinct()
-    dense = steps_.crossJoin(F.broadcast(grid)).join(cnt, on=[*g, "_t", "_b", "_y"], how="left") \
-        .withColumn("_c", F.coalesce(F.col("_c"), F.lit(0)))
-    w_cum = Window.partitionBy(*g, "_b", "_y").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
-    dense = dense.withColumn("_le", F.sum("_c").over(w_cum)).withColumn("_lt", F.col("_le") - F.col("_c"))
-    w_lo = Window.partitionBy(*g, "_t", "_y").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    w_hi = Window.partitionBy(*g, "_t", "_y").orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
-    dense = (dense.withColumn("_lower_le", F.coalesce(F.sum("_le").over(w_lo), F.lit(0)))
-             .withColumn("_higher_lt", F.coalesce(F.sum("_lt").over(w_hi), F.lit(0))))
-    neg_lower = dense.filter(F.col("_y") == 0).select(*g, "_t", "_b", F.col("_lower_le").alias("_nl"))
-    pos_higher = dense.filter(F.col("_y") == 1).select(*g, "_t", "_b", F.col("_higher_lt").alias("_ph"))
+    dense = (steps_.crossJoin(F.broadcast(grid)).join(cnt, on=[*g, "_t", "_b"], how="left")
+             .fillna({"_c0": 0, "_c1": 0}))
+    w_cum = Window.partitionBy(*g, "_b").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
+    dense = (dense.withColumn("_neg_le", F.sum("_c0").over(w_cum))
+             .withColumn("_pos_lt", F.sum("_c1").over(w_cum) - F.col("_c1")))
+    w_lo = Window.partitionBy(*g, "_t").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    w_hi = Window.partitionBy(*g, "_t").orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
+    dense = dense.select(*g, "_t", "_b",
+                         F.coalesce(F.sum("_neg_le").over(w_lo), F.lit(0)).alias("_nl"),
+                         F.coalesce(F.sum("_pos_lt").over(w_hi), F.lit(0)).alias("_ph"))
 
     # cross-bin pairs: a positive at t beats every negative (step <= t) in lower bins;
     # a negative at t loses to every positive (step < t) in higher bins
+    per_cell = cnt.join(dense, on=[*g, "_t", "_b"])
+    cross = per_cell.groupBy(*g, "_t").agg(
+        F.sum(F.col("_c1") * F.col("_nl") + F.col("_c0") * F.col("_ph")).cast("double").alias("_d"))
     pos = r.filter(F.col("_y") == 1)
     neg = r.filter(F.col("_y") == 0)
-    cross_p = pos.join(neg_lower, on=[*g, "_t", "_b"]).groupBy(*g, "_t").agg(F.sum("_nl").alias("_d"))
-    cross_n = neg.join(pos_higher, on=[*g, "_t", "_b"]).groupBy(*g, "_t").agg(F.sum("_ph").alias("_d"))
 
     # same-bin pairs, counted at the later step
     p2 = pos.select(*g, "_b", F.col("_t").alias("_tp"), F.col("_s").alias("_sp"))
@@ -253,7 +255,7 @@ def running_auc(rows: DataFrame, y: str = "y", score: str = "score", step: str =
                       .when(F.col("_sp") == F.col("_sn"), 0.5).otherwise(0.0).alias("_v"))
               .groupBy(*g, "_t").agg(F.sum("_v").alias("_d")))
 
-    contrib = (cross_p.unionByName(cross_n).unionByName(within)
+    contrib = (cross.unionByName(within)
                .groupBy(*g, "_t").agg(F.sum("_d").alias("_d")))
     totals = r.groupBy(*g, "_t").agg(F.count_if(F.col("_y") == 1).alias("_np"),
                                       F.count_if(F.col("_y") == 0).alias("_nn"))

@@ -14,18 +14,19 @@ from sluice.operators.labels import loss_weight
 from sluice.operators.metrics import roc_auc, weighted_bce
 
 
-def batch_score(df: DataFrame, key: str, vec_col: str, weights: Sequence[float], bias: float,
+def batch_score(df: DataFrame, key, vec_col: str, weights: Sequence[float], bias: float,
                 out_col: str = "logit") -> DataFrame:
     """Q3: score rows in Arrow batches with a model set up once per task.
 
     ``mapInPandas`` hands each task an iterator of Arrow record batches (size
     ``spark.sql.execution.arrow.maxRecordsPerBatch``); the scorer is built
     once per iterator and applied to a whole batch as one matrix product.
-    Output rows keep the key, so nothing depends on row order.
+    The key column(s) pass through, so output is keyed, never positional.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     w = np.asarray(list(weights), dtype=np.float64)
     b = float(bias)
-    key_type = df.schema[key].dataType.simpleString()
+    key_schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
 
     def score_partition(batches):
         coef = w  # model state: built once per task, reused for every batch
@@ -33,9 +34,11 @@ def batch_score(df: DataFrame, key: str, vec_col: str, weights: Sequence[float],
             if len(pdf) == 0:
                 continue
             x = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col].to_numpy()])
-            yield pd.DataFrame({key: pdf[key].to_numpy(), out_col: x @ coef + b})
+            out = pdf[keys].copy()
+            out[out_col] = x @ coef + b
+            yield out
 
-    return df.select(key, vec_col).mapInPandas(score_partition, f"{key} {key_type}, {out_col} double")
+    return df.select(*keys, vec_col).mapInPandas(score_partition, f"{key_schema}, {out_col} double")
 
 
 def score_arrays(df: DataFrame, key: str, vec_col: str, weights: Sequence[float], bias: float) -> DataFrame:
@@ -56,11 +59,22 @@ def multi_view_score(views: Mapping[str, DataFrame], key: str, vec_col: str,
     for name, v in views.items():
         part = v.select(key, vec_col, F.lit(name).alias("view"))
         u = part if u is None else u.unionByName(part)
-    # the key of a view row is (key, view); score with a composite string key
-    u = u.withColumn("_kv", F.concat_ws("|", F.col(key).cast("string"), F.col("view")))
-    scored = batch_score(u.select("_kv", vec_col), "_kv", vec_col, weights, bias)
-    back = u.select("_kv", key, "view")
-    return scored.join(back, "_kv").select(key, "view", "logit")
+    return batch_score(u, [key, "view"], vec_col, weights, bias).select(key, "view", "logit")
+
+
+def views_from_columns(df: DataFrame, key: str, view_cols: Mapping[str, object],
+                       out_col: str = "features") -> DataFrame:
+    """Long ``(key, view, features)`` from one scan that computes every view's
+    vector side by side (one read of the source instead of one per view)."""
+    packed = F.array(*[F.struct(F.lit(name).alias("view"), col.alias(out_col))
+                       for name, col in view_cols.items()])
+    return df.select(key, F.explode(packed).alias("_v")).select(key, "_v.view", f"_v.{out_col}")
+
+
+def score_views(long_views: DataFrame, key: str, vec_col: str, weights: Sequence[float],
+                bias: float) -> DataFrame:
+    """Q4 on an already long ``(key, view, vec)`` table: one scoring pass."""
+    return batch_score(long_views, [key, "view"], vec_col, weights, bias).select(key, "view", "logit")
 
 
 def ensemble_join(long_scores: DataFrame, key: str, views: Sequence[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sluice.functions import sequences as Q
 from sluice.functions.hashing import u32
 from sluice.operators.ranking import dense_index, smallest_n
+from sluice.session import materialize
 
 
 def token_counts(df: DataFrame, text_col: str) -> DataFrame:
@@ -26,7 +27,8 @@ def build_vocab(df: DataFrame, text_col: str, size: int) -> DataFrame:
     by hash bins (``smallest_n``). The final numbering is a window over at
     most ``size`` rows.
     """
-    counts = token_counts(df, text_col)
+    # the frequency table feeds four branches below: materialize it once
+    counts = materialize(token_counts(df, text_col))
     dist = counts.groupBy("cnt").agg(F.count(F.lit(1)).alias("_k"))
     w = Window.orderBy(F.col("cnt").desc()).rowsBetween(Window.unboundedPreceding, -1)
     dist = dist.withColumn("_before", F.coalesce(F.sum("_k").over(w), F.lit(0)))
@@ -39,8 +41,10 @@ def build_vocab(df: DataFrame, text_col: str, size: int) -> DataFrame:
                         n_col="_vneed")
     chosen = above.unionByName(at_cut)
     wid = Window.orderBy(F.col("cnt").desc(), F.col("_h"), F.col("token"))
-    return chosen.select("token", (F.row_number().over(wid) + Q.FIRST_TOKEN_ID - 1).cast("int").alias("token_id"),
-                         "cnt")
+    vocab = chosen.select("token", (F.row_number().over(wid) + Q.FIRST_TOKEN_ID - 1).cast("int").alias("token_id"),
+                          "cnt")
+    # at most `size` rows, read by every encoding job: write it once
+    return materialize(vocab)
 
 
 def encode_tokens(df: DataFrame, key: str, text_col: str, vocab: DataFrame) -> DataFrame:
@@ -96,7 +100,8 @@ def length_buckets(df: DataFrame, ids: str, ord_col: str, key: str, batch_size:
     completing rows (n / bs rows, again via ``dense_index``). Leftovers are
     fewer than ``buckets * bs`` rows, so their numbering window is small.
     """
-    b = df.withColumn("bucket", F.floor(Q.pad_count(ids) / width).cast("int"))
+    # the encoded input is read by five branches: materialize it once
+    b = materialize(df.withColumn("bucket", F.floor(Q.pad_count(ids) / width).cast("int")))
     p = dense_index(b, ord_col, key, ["bucket"], out_col="_p")
     sizes = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("_nb"))
     p = p.join(F.broadcast(sizes), "bucket").withColumn(

@@ -74,8 +74,10 @@ def flatten_scores(spark, sf_dir):
 
 
 def _long_scores(spark, sf_dir):
-    views = {v: _test_features(spark, sf_dir, v) for v in VIEWS}
-    return R.multi_view_score(views, "id", "features", TW, TB)
+    t = T.test_table(spark, sf_dir)
+    views = {"orig": SC.text_features(F.col("content")), "lower": SC.text_features(F.lower("content")),
+             "clean": SC.text_features(clean_text("content"))}
+    return R.score_views(R.views_from_columns(t, "id", views), "id", "features", TW, TB)
 
 
 VIEW_SQL = f"""views AS (

@@ -62,3 +62,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path below the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "sluice-out", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and continue from it.
+
+    Used where a plan would otherwise recompute an expensive intermediate in
+    several branches (token counts, the sample pool, the encoded set). A
+    reliable checkpoint also cuts the lineage, so a lost executor costs a
+    re-read, not a recomputation from the source.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -21,8 +21,30 @@ SET1_SOURCES = [f"src{i}" for i in range(0, 10)]
 SET2_SOURCES = [f"src{i}" for i in range(10, 20)]
 
 
+# tables whose rows carry long text: row-level work on them is CPU-bound
+TEXT_TABLES = frozenset({"documents", "conversations", "pages", "benchmark"})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give a scan at least one partition per core.
+
+    A Parquet file that holds a single row group is read by a single task,
+    and every row-level step before the first shuffle (regex cleaning,
+    tokenizing, featurizing) would then run on one core. When the scan has
+    fewer partitions than the session's default parallelism, rows are
+    redistributed round-robin (deterministic under task retries: Spark sorts
+    before a round-robin repartition). A large input already has more splits
+    than cores, and then nothing is added.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
