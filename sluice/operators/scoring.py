@@ -64,8 +64,10 @@ def multi_view_score(views: Mapping[str, DataFrame], key: str, vec_col: str,
 
 def views_from_columns(df: DataFrame, key: str, view_cols: Mapping[str, object],
                        out_col: str = "features") -> DataFrame:
-    """Long ``(key, view, features)`` from one scan that computes every view's
-    vector side by side (one read of the source instead of one per view)."""
+    """Long ``(key, view, out_col)`` from one scan that computes every view
+    side by side (one read of the source instead of one per view). Compute
+    per-row features *after* this step, on the single long column, so that
+    an expensive view expression is evaluated once per row."""
     packed = F.array(*[F.struct(F.lit(name).alias("view"), col.alias(out_col))
                        for name, col in view_cols.items()])
     return df.select(key, F.explode(packed).alias("_v")).select(key, "_v.view", f"_v.{out_col}")

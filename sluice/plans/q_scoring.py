@@ -75,9 +75,10 @@ def flatten_scores(spark, sf_dir):
 
 def _long_scores(spark, sf_dir):
     t = T.test_table(spark, sf_dir)
-    views = {"orig": SC.text_features(F.col("content")), "lower": SC.text_features(F.lower("content")),
-             "clean": SC.text_features(clean_text("content"))}
-    return R.score_views(R.views_from_columns(t, "id", views), "id", "features", TW, TB)
+    views = {"orig": F.col("content"), "lower": F.lower("content"), "clean": clean_text("content")}
+    long_ = R.views_from_columns(t, "id", views, "text")
+    feats = long_.select("id", "view", SC.text_features("text").alias("features"))
+    return R.score_views(feats, "id", "features", TW, TB)
 
 
 VIEW_SQL = f"""views AS (
