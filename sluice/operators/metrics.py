@@ -3,7 +3,9 @@
 ROC AUC is computed exactly, without a global sort or a global window:
 
 * Scores are put in ``bins`` value bins (``floor(clamp(s, 0, 1) * bins)``,
-  after a sigmoid for logits -- AUC only needs a monotone bin).
+  after a sigmoid for logits -- AUC only needs a monotone bin). 65,536 bins
+  keep the per-bin table small (it is broadcast) while a cluster of scores
+  in a narrow range still spreads over many window tasks.
 * For every distinct score the number of negatives strictly below it is
   "negatives in lower bins" (a prefix sum over a table of at most ``bins``
   rows per group) plus "negatives in the same bin with a lower score" (a
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 FOCAL_ALPHA = 0.5
 FOCAL_GAMMA = 1.5
 SMOOTHING = 0.1
-DEFAULT_BINS = 1024
+DEFAULT_BINS = 1024      # running AUC: grid is steps x bins
+AUC_BINS = 1 << 16       # one-shot AUC: per-bin table <= 65,536 rows
 
 
 def _c(col) -> Column:
@@ -52,7 +55,7 @@ def minmax_scale(df: DataFrame, col: str, out_col: str | None = None) -> DataFra
 
 
 def roc_auc(df: DataFrame, y_col: str = "y", score_col: str = "score",
-            group_cols: Sequence[str] = (), bins: int = DEFAULT_BINS,
+            group_cols: Sequence[str] = (), bins: int = AUC_BINS,
             logits: bool = False) -> DataFrame:
     """A5: exact ROC AUC per group (null when a class is missing)."""
     g = list(group_cols)
@@ -63,7 +66,7 @@ def roc_auc(df: DataFrame, y_col: str = "y", score_col: str = "score",
 
 
 def roc_auc_counts(per_score: DataFrame, score_col: str, pos_col: str, neg_col: str,
-                   group_cols: Sequence[str] = (), bins: int = DEFAULT_BINS,
+                   group_cols: Sequence[str] = (), bins: int = AUC_BINS,
                    logits: bool = False) -> DataFrame:
     """A5 from per-score class counts ``(score, pos, neg)`` (one row per score)."""
     g = list(group_cols)
