@@ -156,7 +156,7 @@ def combine_train_valid_q(spark, sf_dir):
     en2 = va.select("id", F.lower("comment_text").alias("comment_text"), "toxic")
     en3 = va.select("id", "comment_text", "toxic")
     out = combine_train_valid(tr, va, {"en1": en1, "en2": en2, "en3": en3})
-    return out.select("id", "part", "toxic", F.length("comment_text").alias("n_chars"), "ord")
+    return out.select("id", "part", "toxic", F.length("comment_text").cast("bigint").alias("n_chars"), "ord")
 
 
 @register("dedup_text", sql="""
