@@ -76,27 +76,24 @@ def smallest_n(df: DataFrame, n: int | None, h_col: str, tie_col: str,
     g = list(group_cols)
     if n_col is None and n < 1:
         return df.limit(0)
+    if strict and n_col:
+        raise ValueError("strict size checks need a literal n")
     n_expr = F.col(n_col) if n_col else F.lit(n)
     hist = (df.select(*g, _bin(h_col, bits).alias("_bin"), n_expr.alias("_n"))
             .groupBy(*g, "_bin").agg(F.count(F.lit(1)).alias("_cnt"), F.max("_n").alias("_n")))
     wb = Window.partitionBy(*g).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.withColumn("_before", F.coalesce(F.sum("_cnt").over(wb), F.lit(0)).cast("bigint"))
-    totals = hist.groupBy(*g).agg(F.sum("_cnt").alias("_total"))
-    cut = (hist.filter((F.col("_before") < F.col("_n")) & (F.col("_before") + F.col("_cnt") >= F.col("_n")))
-           .select(*g, F.col("_bin").alias("_cut_bin"), (F.col("_n") - F.col("_before")).alias("_need")))
-    if strict and n_col:
-        raise ValueError("strict size checks need a literal n")
-    # one row per group: the bin that holds the n-th row, and how many of it
-    if g:
-        per_group = totals.join(cut, on=g, how="left")
-    else:
-        # global case: an aggregate always yields exactly one row, even on
-        # empty input, so the size check also fires for an empty population
-        total_one = df.agg(F.count(F.lit(1)).alias("_total"))
-        per_group = total_one.join(cut, F.lit(True), how="left")
+    is_cut = (F.col("_before") < F.col("_n")) & (F.col("_before") + F.col("_cnt") >= F.col("_n"))
+    # one row per group (one row overall without groups, even on empty input):
+    # its size, the bin that holds the n-th row, and how many rows of that bin
+    per_group = hist.groupBy(*g).agg(
+        F.sum("_cnt").alias("_total"),
+        F.max(F.when(is_cut, F.col("_bin"))).alias("_cut_bin"),
+        F.max(F.when(is_cut, F.col("_n") - F.col("_before"))).alias("_need"))
     if strict:
         per_group = per_group.withColumn(
-            "_cut_bin", F.when(F.col("_total") < n, F.raise_error(F.lit(error)).cast("bigint"))
+            "_cut_bin", F.when(F.coalesce(F.col("_total"), F.lit(0)) < n,
+                               F.raise_error(F.lit(error)).cast("bigint"))
             .otherwise(F.col("_cut_bin")))
     tagged = df.withColumn("_bin", _bin(h_col, bits))
     joined = (tagged.join(F.broadcast(per_group), on=g, how="inner") if g
