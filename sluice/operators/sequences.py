@@ -104,8 +104,10 @@ def length_buckets(df: DataFrame, ids: str, ord_col: str, key: str, batch_size:
     b = materialize(df.withColumn("bucket", F.floor(Q.pad_count(ids) / width).cast("int")))
     p = dense_index(b, ord_col, key, ["bucket"], out_col="_p")
     sizes = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("_nb"))
-    p = p.join(F.broadcast(sizes), "bucket").withColumn(
-        "_full", F.floor(F.col("_nb") / batch_size) * batch_size)
+    # positions feed the full-batch, completing-row and leftover branches:
+    # write them once rather than repeating the per-(bucket, bin) sort
+    p = materialize(p.join(F.broadcast(sizes), "bucket").withColumn(
+        "_full", F.floor(F.col("_nb") / batch_size) * batch_size))
     full = p.filter(F.col("_p") < F.col("_full")).withColumn("_k", F.floor(F.col("_p") / batch_size))
     completing = full.filter(F.col("_p") % batch_size == batch_size - 1).select("bucket", "_k", ord_col, key)
     seq = dense_index(completing, ord_col, key, out_col="batch_id").select("bucket", "_k", "batch_id")
