@@ -131,20 +131,26 @@ def prepare_training(df: DataFrame, weight_mode: str = "constant") -> DataFrame:
     return d.withColumn("label", binarise("toxic").cast("double"))
 
 
-def fit_epochs(train_by_epoch: DataFrame, epochs: int):
+def fit_epochs(train_by_epoch: DataFrame, epochs: int, parallelism: int | None = None):
     """Q5: one fitted model per epoch draw (each fit is a distributed job).
 
     The draw for all epochs is one plan; it is checkpointed once (to the
     shared ``spark.checkpoint.dir``) so the IDF pass and every solver
     iteration read the materialised rows instead of re-running sampling.
+    The epoch fits are independent, so they are submitted from driver
+    threads at the same time (as ``CrossValidator(parallelism=...)`` does)
+    and their small solver jobs share the cluster instead of queueing.
     """
-    models = {}
+    from concurrent.futures import ThreadPoolExecutor
+
     pipe = text_pipeline()
     prepared = prepare_training(train_by_epoch).checkpoint(eager=True)
-    for e in range(1, epochs + 1):
-        part = prepared.filter(F.col("epoch") == e)
-        models[e] = pipe.fit(part)
-    return models
+
+    def fit_one(e):
+        return e, pipe.fit(prepared.filter(F.col("epoch") == e))
+
+    with ThreadPoolExecutor(max_workers=parallelism or epochs) as pool:
+        return dict(pool.map(fit_one, range(1, epochs + 1)))
 
 
 def score_with(model, df: DataFrame, key: str = "id") -> DataFrame:

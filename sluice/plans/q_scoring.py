@@ -175,15 +175,23 @@ def evaluate_epochs(spark, sf_dir):
 
 @register("tune_then_score")
 def tune_then_score(spark, sf_dir):
-    tr = _train_by_epoch(spark, sf_dir).filter(F.col("epoch") == 1).drop("epoch", "part")
+    """Q7: two more fits with the validation rows added (round 2 trains longer,
+    as continued training would), scoring the test table after each."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    tr = _train_by_epoch(spark, sf_dir).filter(F.col("epoch") == 1)
     valid = T.valid(spark, sf_dir)
     test = T.test_table(spark, sf_dir).withColumnRenamed("content", "comment_text")
+    cols = ["id", "comment_text", "toxic"]
+    data = R.prepare_training(tr.select(*cols).unionByName(valid.select(*cols))).checkpoint(eager=True)
+
+    def fit_round(rnd):
+        return rnd, R.text_pipeline(max_iter=10 * rnd).fit(data)
+
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        models = dict(pool.map(fit_round, (1, 2)))
     out = None
-    base = tr.select("id", "comment_text", "toxic")
-    for rnd in (1, 2):
-        data = base.unionByName(valid.select("id", "comment_text", "toxic"))
-        model = R.text_pipeline(max_iter=10 * rnd).fit(R.prepare_training(data))
+    for rnd, model in models.items():
         s = R.score_with(model, test).select(F.lit(rnd).alias("round"), "id", F.col("prob").alias("toxic"))
         out = s if out is None else out.unionByName(s)
-        base = data
     return out
