@@ -40,6 +40,9 @@ def dedup_text(df: DataFrame, text_col: str = "comment_text", order_col: str = "
     is what ``row_number() OVER (PARTITION BY text ...)`` would do).
     """
     others = [c for c in df.columns if c not in (text_col, order_col)]
+    if not others:
+        # a fixed-width buffer: hash aggregation, no sort of long text keys
+        return df.groupBy(text_col).agg(F.min(order_col).alias(order_col)).select(*df.columns)
     first = F.min(F.struct(F.col(order_col), *[F.col(c) for c in others])).alias("_first")
     agg = df.groupBy(text_col).agg(first)
     return agg.select(F.col(f"_first.{order_col}").alias(order_col), text_col,

@@ -42,17 +42,23 @@ def stream_clean_score(spark: SparkSession, directory: str, schema: T.StructType
 
 
 def stream_meters(spark: SparkSession, directory: str, schema: T.StructType,
-                  glob: str | None = None, files_per_trigger: int = 1, seeds: bool = True) -> DataFrame:
+                  glob: str | None = None, files_per_trigger: int = 1, seeds: bool = True,
+                  score_digits: int | None = None) -> DataFrame:
     """ST2: running loss mean and AUC state, updated per micro-batch.
 
     State = class counts per distinct score plus the loss sum / count. Each
     micro-batch's complete state replaces the previous snapshot in the
     sink (``foreachBatch``); the final snapshot gives the meters. The seed
     points (0, .5) and (1, .5) are added when the AUC is read out.
+    The state has one row per distinct score; for an unbounded stream pass
+    ``score_digits`` to round scores first, which bounds the state at
+    ``10^digits + 1`` rows per meter (the AUC is then that of the rounded scores).
     """
     src = file_stream(spark, directory, schema, glob, files_per_trigger)
     rows = src.select((F.col("event_type") == "error").cast("int").alias("y"),
                       (F.col("value") / 500.0).alias("score"), F.col("value").alias("loss"))
+    if score_digits is not None:
+        rows = rows.withColumn("score", F.round("score", score_digits))
     state = rows.groupBy("score").agg(F.count_if(F.col("y") == 1).alias("pos"),
                                       F.count_if(F.col("y") == 0).alias("neg"),
                                       F.sum("loss").alias("loss_sum"), F.count(F.lit(1)).alias("n"))
