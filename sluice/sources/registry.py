@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.functions.text import clean_text
 from sluice.sources import tables as T
 
 Loader = Callable[[SparkSession, str], DataFrame]
@@ -56,11 +57,23 @@ REGISTRY: dict[str, Entry] = {e.name: e for e in [
 ]}
 
 
-def load(spark: SparkSession, sf_dir: str, name: str, common: bool = True) -> DataFrame:
-    """Load a registered table, renamed to the common column names."""
+def load(spark: SparkSession, sf_dir: str, name: str, common: bool = True,
+         cleaned: bool = False) -> DataFrame:
+    """Load a registered table, renamed to the common column names.
+
+    ``cleaned=True`` gives the pre-cleaned variant of the table: the same
+    rows with ``comment_text`` passed through ``clean_text`` (X10), as one
+    projection on top of the scan rather than a second copy of the data.
+    """
     e = REGISTRY[name]
     df = e.loader(spark, sf_dir)
-    return df.withColumnsRenamed(e.renames) if common and e.renames else df
+    if common and e.renames:
+        df = df.withColumnsRenamed(e.renames)
+    if cleaned:
+        if "comment_text" not in df.columns:
+            raise ValueError("the cleaned variant needs the common column names")
+        df = df.withColumn("comment_text", clean_text(F.col("comment_text")))
+    return df
 
 
 def select_sources(spark: SparkSession, sf_dir: str, merged: bool = False,

@@ -78,3 +78,14 @@ def test_stream_meters_equal_batch_meters(spark):
     mean = ev.agg(F.avg("value")).first()[0]
     assert streamed.n_rows == ev.count()
     assert abs(streamed.auc - auc) < 1e-12 and abs(streamed.avg_loss - mean) < 1e-9
+
+
+def test_registry_cleaned_variant(spark):
+    from sluice.functions.text import clean_text
+    from sluice.sources import registry as REG
+
+    raw = REG.load(spark, SF01, "test_en2")
+    clean = REG.load(spark, SF01, "test_en2", cleaned=True)
+    assert raw.columns == clean.columns and "comment_text" in raw.columns
+    expect = raw.select("id", clean_text("comment_text").alias("comment_text"))
+    assert clean.select("id", "comment_text").exceptAll(expect).count() == 0
