@@ -251,13 +251,18 @@ def running_auc(rows: DataFrame, y: str = "y", score: str = "score", step: str =
     pos = r.filter(F.col("_y") == 1)
     neg = r.filter(F.col("_y") == 0)
 
-    # same-bin pairs, counted at the later step
-    p2 = pos.select(*g, "_b", F.col("_t").alias("_tp"), F.col("_s").alias("_sp"))
-    n2 = neg.select(*g, "_b", F.col("_t").alias("_tn"), F.col("_s").alias("_sn"))
+    # same-bin pairs, counted at the later step. Rows are first collapsed to
+    # (step, score) cells with counts, so a score shared by a third of all
+    # rows costs at most steps x steps cell pairs in its bin, not rows x rows
+    p2 = (pos.groupBy(*g, "_b", F.col("_t").alias("_tp"), F.col("_s").alias("_sp"))
+          .agg(F.count(F.lit(1)).alias("_cp")))
+    n2 = (neg.groupBy(*g, "_b", F.col("_t").alias("_tn"), F.col("_s").alias("_sn"))
+          .agg(F.count(F.lit(1)).alias("_cn")))
+    cmp = (F.when(F.col("_sp") > F.col("_sn"), 1.0)
+           .when(F.col("_sp") == F.col("_sn"), 0.5).otherwise(0.0))
     within = (p2.join(n2, on=[*g, "_b"])
               .select(*g, F.greatest("_tp", "_tn").alias("_t"),
-                      F.when(F.col("_sp") > F.col("_sn"), 1.0)
-                      .when(F.col("_sp") == F.col("_sn"), 0.5).otherwise(0.0).alias("_v"))
+                      (F.col("_cp") * F.col("_cn") * cmp).alias("_v"))
               .groupBy(*g, "_t").agg(F.sum("_v").alias("_d")))
 
     contrib = (cross.unionByName(within)

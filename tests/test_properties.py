@@ -75,3 +75,22 @@ def test_streaming_equals_batch(spark):
     batch = docs.select(F.col("doc_id").alias("id"), X.clean_text("text").alias("clean"))
     assert streamed.count() == batch.count()
     assert streamed.select("id", "clean").exceptAll(batch).count() == 0
+
+
+def test_running_auc_hot_score_matches_pairwise(spark):
+    # a third of the rows share one score: same result as the pairwise definition
+    rows = []
+    for i in range(300):
+        step = i // 30
+        y = 1 if i % 4 == 0 else 0
+        s = 0.5 if i % 3 == 0 else ((i * 37) % 101) / 101.0
+        rows.append((step, y, s))
+    df = spark.createDataFrame(rows, "step long, y int, score double")
+    got = {r.step: r.auc for r in A.running_auc(df, bins=8).collect()}
+    seeded = [(-1, 0, 0.5), (-1, 1, 0.5)] + rows
+    for t in sorted(got):
+        cur = [(y, s) for (st, y, s) in seeded if st <= t]
+        P = [s for y, s in cur if y == 1]
+        N = [s for y, s in cur if y == 0]
+        num = sum(1.0 if p > n else 0.5 if p == n else 0.0 for p in P for n in N)
+        assert abs(got[t] - num / (len(P) * len(N))) < 1e-12
