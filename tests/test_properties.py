@@ -94,3 +94,12 @@ def test_running_auc_hot_score_matches_pairwise(spark):
         N = [s for y, s in cur if y == 0]
         num = sum(1.0 if p > n else 0.5 if p == n else 0.0 for p in P for n in N)
         assert abs(got[t] - num / (len(P) * len(N))) < 1e-12
+
+
+def test_checkpoint_dir_comes_from_the_session(spark):
+    from sluice.session import ensure_checkpoint_dir, scratch_path
+
+    configured = spark.conf.get("spark.checkpoint.dir")
+    got = ensure_checkpoint_dir(spark)
+    assert configured.rstrip("/").split("/")[-1] in got
+    assert scratch_path(spark, "x").startswith(got)
