@@ -105,8 +105,9 @@ def dedup_sentences(col, lang=None) -> Column:
 
 def clean_text(col, lang=None) -> Column:
     """digits/quotes -> hashtags -> mentions -> urls -> squeeze ->
-    sentence dedup -> strip, in this order, as one expression."""
-    t = strip_digits_quotes(col)
+    sentence dedup -> strip, in this order, as one expression. The input is
+    first rendered as text, so a missing value is cleaned as ``'nan'``."""
+    t = strip_digits_quotes(as_text(col))
     t = strip_hashtags(t, squeeze=False)
     t = strip_mentions(t, squeeze=False)
     t = strip_urls(t, squeeze=False)

@@ -95,7 +95,7 @@ def dedup_sentences(expr: str) -> str:
 
 
 def clean_text(expr: str) -> str:
-    t = strip_digits_quotes(expr)
+    t = strip_digits_quotes(f"coalesce(CAST({expr} AS VARCHAR), 'nan')")
     t = strip_hashtags(t, squeeze=False)
     t = strip_mentions(t, squeeze=False)
     t = strip_urls(t, squeeze=False)

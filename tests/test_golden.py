@@ -38,6 +38,10 @@ def test_clean_text(spark, src, out):
     assert apply(spark, X.clean_text, [src]) == [out]
 
 
+def test_clean_text_renders_missing_as_nan(spark):
+    assert apply(spark, X.clean_text, [None]) == ["nan"]
+
+
 def test_strip_numbers_keeps_quotes(spark):
     assert apply(spark, X.strip_numbers, ['Hi "Bob" 42 times!']) == ['Hi "Bob" times!']
 
