@@ -33,7 +33,8 @@ def sample_exact_n(spark, sf_dir):
 
 @register("shuffle_rows", sql=f"SELECT id, {S.sql_u32('id', 'shuffle')} AS ord FROM {S.COMMENTS} c")
 def shuffle_rows(spark, sf_dir):
-    return M.shuffle_rows(T.comments(spark, sf_dir), num_partitions=8).select("id", "ord")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return M.shuffle_rows(T.comments(spark, sf_dir), num_partitions=parts).select("id", "ord")
 
 
 @register("shuffle_head", sql=f"""
