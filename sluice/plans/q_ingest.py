@@ -104,7 +104,8 @@ def submission_sink(spark, sf_dir):
 
 @register("part_submissions")
 def part_submissions(spark, sf_dir):
-    path = C.write_csv(_submission(spark, sf_dir).repartition(4, "id"), scratch_path(spark, "node-submissions"))
+    # every writing task leaves its own uniquely named part file
+    path = C.write_csv(_submission(spark, sf_dir), scratch_path(spark, "node-submissions"))
     schema = TY.StructType([TY.StructField("id", TY.LongType()), TY.StructField("toxic", TY.DoubleType())])
     rows = C.part_files(C.read_csv(spark, path, schema))
     return rows.groupBy("part_file").agg(F.count(F.lit(1)).alias("n_rows"))
