@@ -21,11 +21,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.session import materialize
+
 # Focal loss alpha / gamma, label smoothing.
 FOCAL_ALPHA = 0.5
 FOCAL_GAMMA = 1.5
 SMOOTHING = 0.1
-DEFAULT_BINS = 256       # running AUC: grid is steps x bins
+DEFAULT_BINS = 1024      # running AUC: score bins per level
 AUC_BINS = 1 << 16       # one-shot AUC: per-bin table <= 65,536 rows
 
 
@@ -200,6 +202,43 @@ def best_so_far(df: DataFrame, epoch: str = "epoch", auc: str = "auc",
                       F.when(ok, -F.col("_b")["ne"]).otherwise(F.lit(1)).cast("int").alias("best_epoch"))
 
 
+def _credit_across(left: DataFrame, right: DataFrame, keys: Sequence[str], bins: int) -> DataFrame:
+    """Pair contributions between two sets of cells sharing ``keys``.
+
+    ``left`` / ``right`` hold cells ``(keys..., _b, _s, _y, _c)`` (``right``
+    also ``_t``). Every right positive is credited with the left negatives
+    scored below it (ties half); every right negative with the left
+    positives scored above it. The left counts below / above an arbitrary
+    score are a prefix sum over score bins (one row per key and bin) plus a
+    window inside one bin over a per-score table that holds the scores of
+    both sides -- no pair of rows is ever formed.
+    """
+    k = list(keys)
+    scores = (left.select(*k, "_b", "_s",
+                          F.when(F.col("_y") == 0, F.col("_c")).otherwise(0).alias("_ln"),
+                          F.when(F.col("_y") == 1, F.col("_c")).otherwise(0).alias("_lp"))
+              .unionByName(right.select(*k, "_b", "_s", F.lit(0).cast("bigint").alias("_ln"),
+                                        F.lit(0).cast("bigint").alias("_lp"))))
+    per_score = scores.groupBy(*k, "_b", "_s").agg(F.sum("_ln").alias("_ln"), F.sum("_lp").alias("_lp"))
+    ws = Window.partitionBy(*k, "_b").orderBy("_s")
+    per_score = (per_score
+                 .withColumn("_ln_below", F.coalesce(
+                     F.sum("_ln").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+                 .withColumn("_lp_above", F.coalesce(
+                     F.sum("_lp").over(ws.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))))
+    per_bin = per_score.groupBy(*k, "_b").agg(F.sum("_ln").alias("_bn"), F.sum("_lp").alias("_bp"))
+    wb = Window.partitionBy(*k).orderBy("_b")
+    per_bin = per_bin.select(
+        *k, "_b",
+        F.coalesce(F.sum("_bn").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ln_lower"),
+        F.coalesce(F.sum("_bp").over(wb.rowsBetween(1, Window.unboundedFollowing)), F.lit(0)).alias("_lp_higher"))
+    credited = right.join(per_score, [*k, "_b", "_s"]).join(per_bin, [*k, "_b"])
+    value = F.when(F.col("_y") == 1,
+                   F.col("_c") * (F.col("_ln_lower") + F.col("_ln_below") + F.col("_ln") / 2.0)) \
+        .otherwise(F.col("_c") * (F.col("_lp_higher") + F.col("_lp_above") + F.col("_lp") / 2.0))
+    return credited.select(*[c for c in k if not c.startswith("_")], "_t", value.alias("_d"))
+
+
 def running_auc(rows: DataFrame, y: str = "y", score: str = "score", step: str = "step",
                 group_cols: Sequence[str] = (), bins: int = DEFAULT_BINS,
                 seeds: bool = True, logits: bool = False) -> DataFrame:
@@ -207,72 +246,49 @@ def running_auc(rows: DataFrame, y: str = "y", score: str = "score", step: str =
 
     With ``seeds`` the meter starts from the two points ``(y=0, .5)`` and
     ``(y=1, .5)``. Each positive/negative pair contributes once, at the later
-    of its two steps: the numerator at step t is the running sum of those
-    per-step contributions. A pair in *different* bins is decided by the
-    bins alone and counted from a dense ``(step, bin)`` table of cumulative
-    class counts (``steps * bins`` rows); only pairs that share a bin are
-    joined row against row (about ``P * N / bins`` pairs). The result is
-    exact for any ``bins``; the parameter only trades grid size against
-    same-bin pairs, balanced near ``sqrt(P * N / (2 * steps))``.
+    of its two steps, and the numerator at step t is the running sum of those
+    contributions. Pairs are counted by divide and conquer over the bits of
+    the step number: at level k (k >= 1) the steps are cut into blocks of
+    ``2^k``, and the second half of each block is credited with the opposite
+    class in the first half (``_credit_across``); the same-step pairs form
+    level 0. Every pair falls in exactly one level (the highest bit in which
+    its steps differ), so the cost is ``O(rows * log(steps))`` shuffled rows.
+    No pair of rows and no steps-by-bins grid is ever built, and rows are
+    first collapsed to ``(step, score, class)`` cells, so a score shared by
+    a third of all rows is one cell per step.
     """
     g = list(group_cols)
-    r = rows.select(*g, F.col(step).cast("bigint").alias("_t"), F.col(y).cast("int").alias("_y"),
+    # steps shifted by one so the seed points sit at step 0, before every real step
+    r = rows.select(*g, (F.col(step).cast("bigint") + 1).alias("_t"), F.col(y).cast("int").alias("_y"),
                     F.col(score).cast("double").alias("_s"))
     if seeds:
-        keys = r.select(*g).distinct() if g else None
-        seed_rows = rows.sparkSession.createDataFrame([(-1, 0, 0.5), (-1, 1, 0.5)], "_t bigint, _y int, _s double")
+        seed_rows = rows.sparkSession.createDataFrame([(0, 0, 0.5), (0, 1, 0.5)], "_t bigint, _y int, _s double")
         if g:
-            seed_rows = keys.crossJoin(seed_rows)
+            seed_rows = r.select(*g).distinct().crossJoin(seed_rows)
         r = r.unionByName(seed_rows)
     r = r.withColumn("_b", score_bin("_s", bins, logits))
-
-    # dense (step, bin) grid with both classes' counts: cumulative over steps
-    # per bin, then summed over lower / higher bins per step
-    cnt = r.groupBy(*g, "_t", "_b").agg(F.count_if(F.col("_y") == 0).alias("_c0"),
-                                        F.count_if(F.col("_y") == 1).alias("_c1"))
-    grid = rows.sparkSession.range(bins).select(F.col("id").cast("int").alias("_b"))
-    steps_ = r.select(*g, "_t").distinct()
-    dense = (steps_.crossJoin(F.broadcast(grid)).join(cnt, on=[*g, "_t", "_b"], how="left")
-             .fillna({"_c0": 0, "_c1": 0}))
-    w_cum = Window.partitionBy(*g, "_b").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
-    dense = (dense.withColumn("_neg_le", F.sum("_c0").over(w_cum))
-             .withColumn("_pos_lt", F.sum("_c1").over(w_cum) - F.col("_c1")))
-    w_lo = Window.partitionBy(*g, "_t").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    w_hi = Window.partitionBy(*g, "_t").orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
-    dense = dense.select(*g, "_t", "_b",
-                         F.coalesce(F.sum("_neg_le").over(w_lo), F.lit(0)).alias("_nl"),
-                         F.coalesce(F.sum("_pos_lt").over(w_hi), F.lit(0)).alias("_ph"))
-
-    # cross-bin pairs: a positive at t beats every negative (step <= t) in lower bins;
-    # a negative at t loses to every positive (step < t) in higher bins
-    per_cell = cnt.join(dense, on=[*g, "_t", "_b"])
-    cross = per_cell.groupBy(*g, "_t").agg(
-        F.sum(F.col("_c1") * F.col("_nl") + F.col("_c0") * F.col("_ph")).cast("double").alias("_d"))
-    pos = r.filter(F.col("_y") == 1)
-    neg = r.filter(F.col("_y") == 0)
-
-    # same-bin pairs, counted at the later step. Rows are first collapsed to
-    # (step, score) cells with counts, so a score shared by a third of all
-    # rows costs at most steps x steps cell pairs in its bin, not rows x rows
-    p2 = (pos.groupBy(*g, "_b", F.col("_t").alias("_tp"), F.col("_s").alias("_sp"))
-          .agg(F.count(F.lit(1)).alias("_cp")))
-    n2 = (neg.groupBy(*g, "_b", F.col("_t").alias("_tn"), F.col("_s").alias("_sn"))
-          .agg(F.count(F.lit(1)).alias("_cn")))
-    cmp = (F.when(F.col("_sp") > F.col("_sn"), 1.0)
-           .when(F.col("_sp") == F.col("_sn"), 0.5).otherwise(0.0))
-    within = (p2.join(n2, on=[*g, "_b"])
-              .select(*g, F.greatest("_tp", "_tn").alias("_t"),
-                      (F.col("_cp") * F.col("_cn") * cmp).alias("_v"))
-              .groupBy(*g, "_t").agg(F.sum("_v").alias("_d")))
-
-    contrib = (cross.unionByName(within)
-               .groupBy(*g, "_t").agg(F.sum("_d").alias("_d")))
-    totals = r.groupBy(*g, "_t").agg(F.count_if(F.col("_y") == 1).alias("_np"),
-                                      F.count_if(F.col("_y") == 0).alias("_nn"))
+    # every level reads the cells: write them once
+    cells = materialize(r.groupBy(*g, "_t", "_b", "_s", "_y").agg(F.count(F.lit(1)).alias("_c")))
+    top = cells.agg(F.max("_t")).first()[0] or 0   # one scalar: the number of levels
+
+    # every cell once per level, tagged with its block and side; one credit
+    # pass keyed by (level, block) then covers all levels together.
+    # level 0: pairs inside one step (negatives credit the positives);
+    # level k: second half of each 2^k-step block against the first half
+    levels = int(top).bit_length()
+    lv = cells.withColumn("_lvl", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    lv = lv.withColumn("_blk", F.expr("shiftright(_t, _lvl)"))
+    first_half = F.when(F.col("_lvl") == 0, F.col("_y") == 0).otherwise(
+        F.expr("shiftright(_t, _lvl - 1) & 1") == 0)
+    lv = lv.withColumn("_left", first_half)
+    contrib = _credit_across(lv.filter(F.col("_left")), lv.filter(~F.col("_left")),
+                             [*g, "_lvl", "_blk"], bins)
+    contrib = contrib.groupBy(*g, "_t").agg(F.sum("_d").alias("_d"))
+
+    totals = cells.groupBy(*g, "_t").agg(F.sum(F.when(F.col("_y") == 1, F.col("_c")).otherwise(0)).alias("_np"),
+                                         F.sum(F.when(F.col("_y") == 0, F.col("_c")).otherwise(0)).alias("_nn"))
     per_step = totals.join(contrib, on=[*g, "_t"], how="left").fillna({"_d": 0.0})
     w = Window.partitionBy(*g).orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
-    out = per_step.select(*g, "_t",
+    out = per_step.select(*g, (F.col("_t") - 1).alias(step),
                           F.try_divide(F.sum("_d").over(w), F.sum("_np").over(w) * F.sum("_nn").over(w)).alias("auc"))
-    if seeds:
-        out = out.filter(F.col("_t") >= 0)
-    return out.withColumnRenamed("_t", step)
+    return out.filter(F.col(step) >= 0) if seeds else out
