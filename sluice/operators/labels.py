@@ -37,8 +37,8 @@ def loss_weight(train: DataFrame, valid: DataFrame | None = None, w: float = LOS
     * ``mode='constant'``: weight = label, label 0 replaced by ``w``.
     * ``mode='ratio'``: as constant with ``w = train_pos_ratio / valid_pos_ratio``.
 
-    The ratio is a one-row aggregate per side, cross-joined by broadcast
-    (constant size), so the weighting stays a single lazy plan.
+    The ratios are scalar subqueries (one value per side), so the weighting
+    stays a single lazy plan with no join.
     """
     y = F.col(label_col)
     if mode == "off":
@@ -49,11 +49,8 @@ def loss_weight(train: DataFrame, valid: DataFrame | None = None, w: float = LOS
         raise ValueError(f"unknown weight mode {mode!r}")
     if valid is None:
         raise ValueError("ratio mode needs the validation table")
-    ratios = (train.agg(_ratio(train, label_col).alias("_rt"))
-              .crossJoin(valid.agg(_ratio(valid, label_col).alias("_rv")))
-              .select(F.try_divide(F.col("_rt"), F.col("_rv")).alias("_lw")))
-    out = train.crossJoin(F.broadcast(ratios))
-    return out.withColumn(out_col, F.when(y == 0, F.col("_lw")).otherwise(y.cast("double"))).drop("_lw")
+    lw = F.try_divide(train.agg(_ratio(train, label_col)).scalar(), valid.agg(_ratio(valid, label_col)).scalar())
+    return train.withColumn(out_col, F.when(y == 0, lw).otherwise(y.cast("double")))
 
 
 def row_count(df: DataFrame) -> DataFrame:

@@ -47,13 +47,12 @@ def score_bin(score, bins: int = DEFAULT_BINS, logits: bool = False) -> Column:
 def minmax_scale(df: DataFrame, col: str, out_col: str | None = None) -> DataFrame:
     """A3: ``(x - min) / (max - min)`` over the whole column; null when max = min.
 
-    The min/max is a one-row aggregate cross-joined by broadcast (constant size).
+    min and max are scalar subqueries (Spark merges them into one aggregate job).
     """
     out_col = out_col or col
-    stats = df.agg(F.min(col).alias("_mn"), F.max(col).alias("_mx"))
-    j = df.crossJoin(F.broadcast(stats))
-    scaled = F.try_divide(F.col(col) - F.col("_mn"), F.col("_mx") - F.col("_mn"))
-    return j.withColumn(out_col, scaled).drop("_mn", "_mx")
+    mn = df.agg(F.min(col)).scalar()
+    mx = df.agg(F.max(col)).scalar()
+    return df.withColumn(out_col, F.try_divide(F.col(col) - mn, mx - mn))
 
 
 def roc_auc(df: DataFrame, y_col: str = "y", score_col: str = "score",
@@ -262,9 +261,12 @@ def running_auc(rows: DataFrame, y: str = "y", score: str = "score", step: str =
     r = rows.select(*g, (F.col(step).cast("bigint") + 1).alias("_t"), F.col(y).cast("int").alias("_y"),
                     F.col(score).cast("double").alias("_s"))
     if seeds:
-        seed_rows = rows.sparkSession.createDataFrame([(0, 0, 0.5), (0, 1, 0.5)], "_t bigint, _y int, _s double")
+        pts = F.array(*[F.struct(F.lit(0).cast("bigint").alias("_t"), F.lit(c).alias("_y"),
+                                 F.lit(0.5).alias("_s")) for c in (0, 1)])
         if g:
-            seed_rows = r.select(*g).distinct().crossJoin(seed_rows)
+            seed_rows = r.select(*g).distinct().select(*g, F.explode(pts).alias("_p")).select(*g, "_p.*")
+        else:
+            seed_rows = rows.sparkSession.range(1).select(F.explode(pts).alias("_p")).select("_p.*")
         r = r.unionByName(seed_rows)
     r = r.withColumn("_b", score_bin("_s", bins, logits))
     # every level reads the cells: write them once

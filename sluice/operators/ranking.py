@@ -96,8 +96,12 @@ def smallest_n(df: DataFrame, n: int | None, h_col: str, tie_col: str,
                                F.raise_error(F.lit(error)).cast("bigint"))
             .otherwise(F.col("_cut_bin")))
     tagged = df.withColumn("_bin", _bin(h_col, bits))
-    joined = (tagged.join(F.broadcast(per_group), on=g, how="inner") if g
-              else tagged.crossJoin(F.broadcast(per_group)))
+    if g:
+        joined = tagged.join(F.broadcast(per_group), on=g, how="inner")
+    else:
+        # one row: attach its values as scalar subqueries (merged into one job)
+        joined = (tagged.withColumn("_cut_bin", per_group.select("_cut_bin").scalar())
+                  .withColumn("_need", per_group.select("_need").scalar()))
     below = joined.filter(F.col("_cut_bin").isNull() | (F.col("_bin") < F.col("_cut_bin")))
     edge = joined.filter(F.col("_bin") == F.col("_cut_bin"))
     w = Window.partitionBy(*g, "_bin").orderBy(F.col(h_col), F.col(tie_col))

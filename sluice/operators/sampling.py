@@ -77,11 +77,10 @@ def shard_rows(df: DataFrame, shards: int, key: str = "id", salt: str = "order",
     """M9: ``i -> i % W`` in shuffle order, padded by wrap-around to equal size.
 
     Adds ``idx`` (position in the padded sequence) and ``shard``. The row
-    count is a one-row aggregate joined back (constant size).
+    count is a scalar subquery (one value, no join).
     """
     ordered = dense_index(with_order(df, key, salt, seed, "_h"), "_h", key, out_col="idx").drop("_h")
-    n = ordered.agg(F.count(F.lit(1)).alias("_n"))
-    ordered = ordered.crossJoin(F.broadcast(n))
+    ordered = ordered.withColumn("_n", ordered.agg(F.count(F.lit(1))).scalar())
     per_shard = F.ceil(F.col("_n") / F.lit(shards))
     pad = per_shard * shards - F.col("_n")
     first = ordered
@@ -97,7 +96,6 @@ def fixed_batches(df: DataFrame, batch_size: int, order_col: str = "ord", key: s
     out = idx.withColumn("batch_id", F.floor(F.col("_pos") / batch_size).cast("bigint")) \
              .withColumn("pos_in_batch", F.pmod(F.col("_pos"), F.lit(batch_size)).cast("int"))
     if drop_last:
-        n = df.agg(F.count(F.lit(1)).alias("_n"))
-        out = (out.crossJoin(F.broadcast(n))
-               .filter(F.col("batch_id") < F.floor(F.col("_n") / batch_size)).drop("_n"))
+        n = df.agg(F.count(F.lit(1))).scalar()
+        out = out.filter(F.col("batch_id") < F.floor(n / batch_size))
     return out.drop("_pos")

@@ -34,8 +34,10 @@ def build_vocab(df: DataFrame, text_col: str, size: int) -> DataFrame:
     dist = dist.withColumn("_before", F.coalesce(F.sum("_k").over(w), F.lit(0)))
     cut = dist.filter((F.col("_before") < size) & (F.col("_before") + F.col("_k") >= size)) \
         .select(F.col("cnt").alias("_vcut"), (F.lit(size) - F.col("_before")).alias("_vneed"))
-    tagged = counts.join(F.broadcast(cut), F.lit(True), "left") \
-        .withColumn("_h", u32(F.col("token"), "vocab"))
+    # zero or one row: scalar subqueries (null when every token fits)
+    tagged = (counts.withColumn("_vcut", cut.select("_vcut").scalar())
+              .withColumn("_vneed", cut.select("_vneed").scalar())
+              .withColumn("_h", u32(F.col("token"), "vocab")))
     above = tagged.filter(F.col("_vcut").isNull() | (F.col("cnt") > F.col("_vcut")))
     at_cut = smallest_n(tagged.filter(F.col("cnt") == F.col("_vcut")), None, "_h", "token",
                         n_col="_vneed")
@@ -113,14 +115,13 @@ def length_buckets(df: DataFrame, ids: str, ord_col: str, key: str, batch_size:
     seq = dense_index(completing, ord_col, key, out_col="batch_id").select("bucket", "_k", "batch_id")
     full_out = full.join(seq, ["bucket", "_k"]).select(
         *df.columns, "bucket", "batch_id", (F.col("_p") % batch_size).cast("int").alias("pos_in_batch"))
-    n_full = completing.agg(F.count(F.lit(1)).alias("_nf"))
+    n_full = completing.agg(F.count(F.lit(1))).scalar()
     left = p.filter(F.col("_p") >= F.col("_full"))
     wl = Window.orderBy("bucket", "_p")
-    left = left.withColumn("_j", F.row_number().over(wl) - 1).crossJoin(F.broadcast(n_full))
+    left = left.withColumn("_j", F.row_number().over(wl) - 1).withColumn("_nf", n_full)
     if drop_last:
-        n_left = p.filter(F.col("_p") >= F.col("_full")).agg(F.count(F.lit(1)).alias("_nl"))
-        left = left.crossJoin(F.broadcast(n_left)).filter(
-            F.col("_j") < F.floor(F.col("_nl") / batch_size) * batch_size).drop("_nl")
+        n_left = p.filter(F.col("_p") >= F.col("_full")).agg(F.count(F.lit(1))).scalar()
+        left = left.filter(F.col("_j") < F.floor(n_left / batch_size) * batch_size)
     left_out = left.select(*df.columns, "bucket",
                            (F.col("_nf") + F.floor(F.col("_j") / batch_size)).cast("bigint").alias("batch_id"),
                            (F.col("_j") % batch_size).cast("int").alias("pos_in_batch"))

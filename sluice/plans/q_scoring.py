@@ -151,7 +151,7 @@ def _train_by_epoch(spark, sf_dir):
     pos = s2.filter(F.col("toxic") >= 0.95)
     neg = M.epoch_negatives(s2.filter(F.col("toxic") == 0), N_NEG, EPOCHS)
     fixed = union_sources({"set1": s1, "set2_pos": pos}, "part")
-    per_epoch = fixed.crossJoin(spark.range(1, EPOCHS + 1).select(F.col("id").cast("int").alias("epoch")))
+    per_epoch = fixed.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))))
     return per_epoch.unionByName(neg.withColumn("part", F.lit("set2_neg")).withColumn("epoch", F.col("epoch").cast("int")))
 
 
@@ -170,7 +170,9 @@ def evaluate_epochs(spark, sf_dir):
     tr = _train_by_epoch(spark, sf_dir)
     valid = T.valid(spark, sf_dir)
     ev = R.evaluate_epochs(R.fit_epochs(tr, EPOCHS), valid)
-    return ev.crossJoin(best_epoch(ev.select("epoch", "auc")))
+    best = best_epoch(ev.select("epoch", "auc"))
+    return ev.withColumn("best_epoch", best.select("best_epoch").scalar()).withColumn(
+        "best_auc", best.select("best_auc").scalar())
 
 
 @register("tune_then_score")

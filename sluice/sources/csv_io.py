@@ -42,14 +42,13 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType,
 def assert_unique(df: DataFrame, key: str) -> DataFrame:
     """S3: fail the query if ``key`` repeats (``index_col`` semantics).
 
-    The duplicate count is a one-row aggregate joined by broadcast; the
-    failure is raised inside the plan, no driver collect.
+    The duplicate count is a scalar subquery; the failure is raised inside
+    the plan, no driver collect.
     """
     dups = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
             .agg(F.count(F.lit(1)).alias("_dups")))
-    checked = df.crossJoin(F.broadcast(dups))
-    guard = F.when(F.col("_dups") > 0, F.raise_error(F.lit(f"duplicate values in key column {key}")))
-    return checked.filter(F.coalesce(guard.cast("boolean"), F.lit(True))).drop("_dups")
+    guard = F.when(dups.scalar() > 0, F.raise_error(F.lit(f"duplicate values in key column {key}")))
+    return df.filter(F.coalesce(guard.cast("boolean"), F.lit(True)))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:

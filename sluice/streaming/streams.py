@@ -75,6 +75,6 @@ def stream_meters(spark: SparkSession, directory: str, schema: T.StructType,
     if seeds:
         seed = spark.createDataFrame([(0.5, 1, 1)], "score double, pos bigint, neg bigint")
         counts = counts.unionByName(seed).groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    auc = roc_auc_counts(counts, "score", "pos", "neg").select("auc")
+    auc = roc_auc_counts(counts, "score", "pos", "neg").select("auc").scalar()
     loss = final.agg((F.sum("loss_sum") / F.sum("n")).alias("avg_loss"), F.sum("n").cast("bigint").alias("n_rows"))
-    return loss.crossJoin(auc)
+    return loss.withColumn("auc", auc)
