@@ -49,3 +49,13 @@ def test_auc_has_no_window_over_all_rows(spark):
 def test_flagship_filter_reaches_the_scan(spark):
     p = plan_of(spark, "compose_trainset")
     assert re.search(r"PushedFilters: \[[^\]]*In\(source", p)
+
+
+import pytest  # noqa: E402
+
+
+@pytest.mark.parametrize("key", ["compose_trainset", "shard_rows", "keep_last_partial", "minmax_scale",
+                                 "loss_weight_ratio", "csv_scan_keyed", "running_auc", "build_vocab"])
+def test_no_cross_joins(spark, key):
+    p = plan_of(spark, key)
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
