@@ -3,6 +3,8 @@ the physical plans so a change that breaks them fails a test."""
 
 import re
 
+import pytest
+
 import __spark_entry__ as E
 from conftest import SF01
 
@@ -51,8 +53,6 @@ def test_flagship_filter_reaches_the_scan(spark):
     assert re.search(r"PushedFilters: \[[^\]]*In\(source", p)
 
 
-import pytest  # noqa: E402
-
 
 @pytest.mark.parametrize("key", ["compose_trainset", "shard_rows", "keep_last_partial", "minmax_scale",
                                  "loss_weight_ratio", "csv_scan_keyed", "running_auc", "build_vocab"])
