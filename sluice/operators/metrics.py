@@ -175,17 +175,41 @@ def best_epoch(df: DataFrame, epoch: str = "epoch", auc: str = "auc",
                       F.greatest(F.coalesce(F.col("best_auc"), F.lit(0.0)), F.lit(0.0)).alias("best_auc"))
 
 
+def running_sums(df: DataFrame, cols: Sequence[str], order_col: str, group_cols: Sequence[str] = (),
+                 block_bits: int = 10) -> DataFrame:
+    """Inclusive running sums ``cum_<col>`` over a non-negative integer order.
+
+    ``df`` has one row per ``(group, order)``. A running window partitioned
+    only by group would sort a whole group's sequence in one task; instead
+    the order is cut into blocks of ``2^block_bits`` values. Block totals
+    (``1 / 2^block_bits`` of the rows) get their offsets from a small
+    prefix-sum window, and the running part is a window inside each block.
+    """
+    g = list(group_cols)
+    d = df.withColumn("_rblk", F.shiftright(F.col(order_col).cast("bigint"), block_bits))
+    blocks = d.groupBy(*g, "_rblk").agg(*[F.sum(c).alias(f"_bt_{c}") for c in cols])
+    wb = Window.partitionBy(*g).orderBy("_rblk").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*g, "_rblk", *[F.coalesce(F.sum(f"_bt_{c}").over(wb), F.lit(0)).alias(f"_off_{c}")
+                                          for c in cols])
+    wi = Window.partitionBy(*g, "_rblk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    out = d.join(blocks, [*g, "_rblk"])
+    for c in cols:
+        out = out.withColumn(f"cum_{c}", F.col(f"_off_{c}") + F.sum(c).over(wi))
+    return out.drop("_rblk", *[f"_off_{c}" for c in cols])
+
+
 def running_loss(steps: DataFrame, val: str, n: str, step: str = "step",
                  group_cols: Sequence[str] = ()) -> DataFrame:
     """AverageMeter value after each step.
 
-    Rows are first reduced to one per ``(group, step)`` (partial aggregation),
-    so the running window only sees the step sequence, not the examples.
+    Rows are first reduced to one per ``(group, step)`` (partial aggregation);
+    the running sums over the step sequence are then block-distributed
+    (``running_sums``), so no task holds a whole run's steps.
     """
     g = list(group_cols)
     per = steps.groupBy(*g, step).agg(F.sum(F.col(val) * F.col(n)).alias("_sv"), F.sum(n).alias("_n"))
-    w = Window.partitionBy(*g).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
-    return per.select(*g, step, (F.sum("_sv").over(w) / F.sum("_n").over(w)).alias("avg_loss"))
+    cum = running_sums(per, ["_sv", "_n"], step, g)
+    return cum.select(*g, step, (F.col("cum__sv") / F.col("cum__n")).alias("avg_loss"))
 
 
 def best_so_far(df: DataFrame, epoch: str = "epoch", auc: str = "auc",
@@ -290,7 +314,7 @@ def running_auc(rows: DataFrame, y: str = "y", score: str = "score", step: str =
     totals = cells.groupBy(*g, "_t").agg(F.sum(F.when(F.col("_y") == 1, F.col("_c")).otherwise(0)).alias("_np"),
                                          F.sum(F.when(F.col("_y") == 0, F.col("_c")).otherwise(0)).alias("_nn"))
     per_step = totals.join(contrib, on=[*g, "_t"], how="left").fillna({"_d": 0.0})
-    w = Window.partitionBy(*g).orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
-    out = per_step.select(*g, (F.col("_t") - 1).alias(step),
-                          F.try_divide(F.sum("_d").over(w), F.sum("_np").over(w) * F.sum("_nn").over(w)).alias("auc"))
+    cum = running_sums(per_step, ["_d", "_np", "_nn"], "_t", g)
+    out = cum.select(*g, (F.col("_t") - 1).alias(step),
+                     F.try_divide(F.col("cum__d"), F.col("cum__np") * F.col("cum__nn")).alias("auc"))
     return out.filter(F.col(step) >= 0) if seeds else out

@@ -103,3 +103,16 @@ def test_checkpoint_dir_comes_from_the_session(spark):
     got = ensure_checkpoint_dir(spark)
     assert configured.rstrip("/").split("/")[-1] in got
     assert scratch_path(spark, "x").startswith(got)
+
+
+def test_running_sums_cross_blocks(spark):
+    from sluice.operators.metrics import running_sums
+
+    df = spark.createDataFrame([(g, t, float(t % 7)) for g in ("a", "b") for t in range(0, 3000, 3)],
+                               "g string, t long, v double")
+    got = {(r.g, r.t): r.cum_v for r in running_sums(df, ["v"], "t", ["g"], block_bits=4).collect()}
+    for g in ("a", "b"):
+        acc = 0.0
+        for t in range(0, 3000, 3):
+            acc += t % 7
+            assert got[(g, t)] == acc
