@@ -33,3 +33,12 @@ def text_or_empty(col: str) -> Column:
 def crc_mod(id_col: Column, mod: int) -> Column:
     """crc32 of the id written as text, modulo ``mod``; a null id counts as empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % mod
+
+
+#: Byte table: A-Z to lower case, every other ASCII byte that is no letter or digit to a space.
+WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+
+
+def byte_words(text: bytes | None) -> list[bytes]:
+    """The words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of a UTF-8 text with A-Z lower-cased."""
+    return (text or b"").translate(WORD_BYTES).split()

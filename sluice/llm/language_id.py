@@ -216,7 +216,7 @@ class Labeller:
         return self.model.langs[best], float(share[best] / share.sum() * sure), spans
 
 
-def label_batches(batches: Iterator[pa.RecordBatch], model, switch: float, with_spans: bool) -> Iterator[pa.RecordBatch]:
+def label_batches(batches: Iterator[pa.RecordBatch], model, switch: float, with_spans: bool, with_text: bool) -> Iterator[pa.RecordBatch]:
     lab = None if model.value is None else Labeller(model.value, switch)
     most = SLICE_CHARS * 8 if lab is None else max(SLICE_CHARS, min(SLICE_CHARS * 8, VITERBI_CELLS * 5 // len(lab.model.langs)))
     for batch in batches:
@@ -237,12 +237,12 @@ def label_batches(batches: Iterator[pa.RecordBatch], model, switch: float, with_
         if with_spans:
             kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("lang", pa.string())]))
             cols["spans"] = pa.array([[{"first": a, "last": b, "lang": x} for a, b, x in s] for _, _, s in out], kind)
-        yield pa.RecordBatch.from_pydict(cols | {n: batch.column(n) for n in batch.schema.names[1:]})
+        yield pa.RecordBatch.from_pydict(cols | {n: batch.column(n) for n in batch.schema.names[not with_text:]})
 
 
 def language_id(docs: DataFrame, model: Model | None, text_col: str = "text", switch: float = 12.0,
-                spans: bool = False, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``(lang_pred, score[, spans], rest)``, a row per row of ``docs``; ``rest`` has its columns named in ``keep``.
+                spans: bool = False, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
+    """``(lang_pred, score[, spans][, text], rest)``, a row per row of ``docs``; ``rest`` has its columns named in ``keep``.
 
     ``score`` is the share of the text's letters in spans of ``lang_pred``, times the
     probability of that language given those spans' words. ``spans`` are half-open
@@ -256,9 +256,9 @@ def language_id(docs: DataFrame, model: Model | None, text_col: str = "text", sw
     """
     model_b = docs.sparkSession.sparkContext.broadcast(model)
     base = docs.select(text_or_empty(text_col).alias("text"), F.struct(*[F.col(c) for c in keep]).alias("rest"))
-    span = ", spans array<struct<first:bigint,last:bigint,lang:string>>" if spans else ""
-    return base.mapInArrow(lambda it: label_batches(it, model_b, switch, spans),
-                           f"lang_pred string, score double{span}, rest {base.schema['rest'].dataType.simpleString()}")
+    more = ", spans array<struct<first:bigint,last:bigint,lang:string>>" * spans + ", text string" * with_text
+    return base.mapInArrow(lambda it: label_batches(it, model_b, switch, spans, with_text),
+                           f"lang_pred string, score double{more}, rest {base.schema['rest'].dataType.simpleString()}")
 
 
 def fit_documents(docs: DataFrame) -> Model | None:

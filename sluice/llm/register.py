@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sluice.llm import bpe, exact_dedup, language_id, line_dedup, quality_cnn, url_filter
+from sluice.llm import bpe, decontaminate, exact_dedup, katz_lm, language_id, license_scan, line_dedup, order_minhash, quality_cnn, url_filter
 
-MODULES = (bpe, exact_dedup, language_id, line_dedup, quality_cnn, url_filter)
+MODULES = (bpe, decontaminate, exact_dedup, katz_lm, language_id, license_scan, line_dedup, order_minhash, quality_cnn, url_filter)
 
 QUERIES = {m.KEY: m.query for m in MODULES}
 ORACLES = {m.KEY: m.ORACLE for m in MODULES if m.ORACLE}
