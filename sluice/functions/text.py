@@ -9,6 +9,8 @@ whitespace class is spelled out as ``[\\s\\x1c-\\x1f]``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,19 @@ LANG_NAMES = {
 }
 DEFAULT_LANG_NAME = "english"
 
+# Abbreviations whose full stop does not end a sentence, by language name.
+ABBREVIATIONS = {
+    "english": ("mr", "mrs", "ms", "dr", "prof", "jr", "vs", "etc", "e.g", "i.e", "inc", "ltd", "approx"),
+    "italian": ("sig", "dott", "prof", "ing", "avv", "ecc", "pag"),
+    "french": ("m", "mme", "mlle", "dr", "cf", "p.ex", "env", "av"),
+    "spanish": ("sr", "sra", "srta", "dr", "dra", "ud", "uds", "p.ej"),
+    "turkish": ("dr", "prof", "vb", "vs", "sn", "örn"),
+    "russian": ("г", "ул", "т.е", "т.д", "т.п", "др", "см"),
+    "portuguese": ("sr", "sra", "dr", "dra", "prof", "ex", "pág"),
+}
+# Stands behind an abbreviation's full stop while sentences are split.
+ABBR_MARK = "\u0002"
+
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -89,12 +104,24 @@ def strip_urls(col, squeeze: bool = True) -> Column:
 def split_sentences(col, lang=None) -> Column:
     """Rule-based sentence split -> ``ARRAY<STRING>``.
 
-    A sentence ends at ``.``, ``!`` or ``?`` followed by whitespace. The
-    language argument is accepted for interface parity; the rule is the same
-    for every language (a trained per-language model is not available).
+    A sentence ends at ``.``, ``!`` or ``?`` followed by whitespace, but not at
+    the full stop of an abbreviation of the language. ``lang`` is a column of
+    language codes; a missing or unknown one follows the English rules.
     """
-    marked = F.regexp_replace(_c(col), U + "([.!?])" + WS + "+", "$1" + SENT_MARK)
-    return F.split(marked, SENT_MARK)
+    text = _c(col)
+    if lang is None:
+        kept = _keep_abbreviations(text, DEFAULT_LANG_NAME)
+    else:
+        name, kept = lang_name(lang), _keep_abbreviations(text, DEFAULT_LANG_NAME)
+        for other in [n for n in ABBREVIATIONS if n != DEFAULT_LANG_NAME]:
+            kept = F.when(name == other, _keep_abbreviations(text, other)).otherwise(kept)
+    marked = F.regexp_replace(kept, U + "([.!?])" + WS + "+", "$1" + SENT_MARK)
+    return F.split(F.replace(marked, F.lit(ABBR_MARK), F.lit("")), SENT_MARK)
+
+
+def _keep_abbreviations(text: Column, name: str) -> Column:
+    words = "|".join(re.escape(w) for w in ABBREVIATIONS[name])
+    return F.regexp_replace(text, f"(?iu)(^|{WS})({words})\\.", "$1$2." + ABBR_MARK)
 
 
 def dedup_sentences(col, lang=None) -> Column:

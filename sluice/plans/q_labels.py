@@ -21,7 +21,7 @@ SELECT lang,
        CAST(count(*) FILTER (WHERE toxic = 1) AS DOUBLE)
          / nullif(count(*) FILTER (WHERE toxic = 0) + count(*) FILTER (WHERE toxic = 1), 0) AS pos_ratio,
        round(sum(CASE WHEN toxic = 0 THEN 0.9 ELSE toxic END), 6) AS sum_weight,
-       CAST(sum(length({S.clean_text('comment_text')})) AS BIGINT) AS clean_chars
+       CAST(sum(length({S.clean_text('comment_text', 'lang')})) AS BIGINT) AS clean_chars
 FROM {C} c GROUP BY lang
 """)
 def label_stats_by_lang(spark, sf_dir):
@@ -109,6 +109,11 @@ def loss_weight_ratio(spark, sf_dir):
     return out.select("id", F.round("weight", 9).alias("weight"))
 
 
+@register("loss_weight_off", sql=f"SELECT id, 1.0::DOUBLE AS weight FROM {SOFT2} s")
+def loss_weight_off(spark, sf_dir):
+    return loss_weight(T.soft_set2(spark, sf_dir), mode="off").select("id", "weight")
+
+
 @register("label_stats", sql=f"""
 SELECT split, CAST(count(*) FILTER (WHERE toxic = 0) AS BIGINT) AS n0,
        CAST(count(*) FILTER (WHERE toxic = 1) AS BIGINT) AS n1,

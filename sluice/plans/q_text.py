@@ -40,7 +40,7 @@ def strip_urls(spark, sf_dir):
 @register("split_sentences", sql=f"""
 SELECT doc_id, CAST(pos - 1 AS INTEGER) AS pos, sentence FROM (
   SELECT doc_id, unnest(l) AS sentence, unnest(generate_series(1, len(l))) AS pos
-  FROM (SELECT doc_id, {S.split_sentences('text')} AS l FROM documents) a) b
+  FROM (SELECT doc_id, {S.split_sentences('text', 'lang')} AS l FROM documents) a) b
 """)
 def split_sentences(spark, sf_dir):
     d = _docs(spark, sf_dir)

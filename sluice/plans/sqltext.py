@@ -9,6 +9,7 @@ oracle query uses the same definitions.
 from __future__ import annotations
 
 from sluice.functions.hashing import sql_u32, sql_uniform  # noqa: F401  (re-exported)
+from sluice.functions.text import ABBREVIATIONS, LANG_NAMES
 
 # Python's whitespace (str.isspace) written out for RE2, whose \s is ASCII.
 WS = (r"[\t\n\x{0b}\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
@@ -37,10 +38,6 @@ def soft_set2() -> str:
             f"WHEN {u} < 0.2 THEN round({u}, 2) ELSE 0.0 END AS toxic, lang, source FROM {SET2} s)")
 
 
-def soft_label(id_sql: str = "id", seed: int = 42) -> str:
-    return f"round({sql_uniform(id_sql, 'soft', seed)}, 2)"
-
-
 def rx(expr: str, pattern: str, repl: str = "") -> str:
     return f"regexp_replace({expr}, '{pattern}', '{repl}', 'g')"
 
@@ -80,27 +77,36 @@ def strip_urls(expr: str, squeeze: bool = True) -> str:
     return squeeze_ws(out) if squeeze else out
 
 
-def split_sentences(expr: str) -> str:
-    marked = f"regexp_replace({expr}, '([.!?])" + WS + r"+', '\1' || chr(1), 'g')"
-    return f"string_split({marked}, chr(1))"
+def _keep_abbreviations(expr: str, name: str) -> str:
+    words = "|".join(w.replace(".", "[.]") for w in ABBREVIATIONS[name])
+    return f"regexp_replace({expr}, '(?i)(^|{WS})({words})[.]', '\\1\\2.' || chr(2), 'g')"
+
+
+def split_sentences(expr: str, lang: str | None = None) -> str:
+    kept = _keep_abbreviations(expr, "english")
+    if lang:
+        cases = " ".join(f"WHEN '{code}' THEN {_keep_abbreviations(expr, name)}" for code, name in LANG_NAMES.items() if name != "english")
+        kept = f"CASE {lang} {cases} ELSE {kept} END"
+    marked = f"regexp_replace({kept}, '([.!?])" + WS + r"+', '\1' || chr(1), 'g')"
+    return f"string_split(replace({marked}, chr(2), ''), chr(1))"
 
 
-def _stripped_sentences(expr: str) -> str:
-    return f"list_transform({split_sentences(expr)}, lambda lam_s: {py_strip('lam_s')})"
+def _stripped_sentences(expr: str, lang: str | None = None) -> str:
+    return f"list_transform({split_sentences(expr, lang)}, lambda lam_s: {py_strip('lam_s')})"
 
 
-def dedup_sentences(expr: str) -> str:
-    lst = _stripped_sentences(expr)
+def dedup_sentences(expr: str, lang: str | None = None) -> str:
+    lst = _stripped_sentences(expr, lang)
     return (f"array_to_string(list_filter({lst}, lambda lam_x, lam_i: list_position({lst}, lam_x) = lam_i), ' ')")
 
 
-def clean_text(expr: str) -> str:
+def clean_text(expr: str, lang: str | None = None) -> str:
     t = strip_digits_quotes(f"coalesce(CAST({expr} AS VARCHAR), 'nan')")
     t = strip_hashtags(t, squeeze=False)
     t = strip_mentions(t, squeeze=False)
     t = strip_urls(t, squeeze=False)
     t = squeeze_ws(t)
-    t = dedup_sentences(t)
+    t = dedup_sentences(t, lang)
     return py_strip(t)
 
 

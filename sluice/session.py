@@ -1,12 +1,15 @@
 """Session construction and the shared scratch location.
 
 Library code never invents its own storage location on a cluster: the
-checkpoint / scratch folder is whatever ``spark.checkpoint.dir`` names. Only
-when the setting is absent (local runs, tests) is a private folder made.
+checkpoint / scratch folder is whatever ``spark.checkpoint.dir`` names, and a
+session on a cluster without that setting is refused. Only a local master
+without it (local runs, tests) gets a private folder. Scratch tables are
+removed when the driver process ends.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -42,7 +45,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a private one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
-    as is. In local runs and tests nothing is configured, so a fresh folder is
+    as is; without it the call fails, because a folder on the driver's disk is
+    one that executors cannot see. In local runs and tests a fresh folder is
     made and registered for this session only.
     """
     sc = spark.sparkContext
@@ -54,16 +58,39 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
+    if not is_local(sc.master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {sc.master} share")
     local = tempfile.mkdtemp(prefix="sluice-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process (``local``, ``local[n]``)."""
+    return master == "local" or master.startswith("local[")
+
+
+_scratch_roots: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path below the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "sluice-out", f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh, unique path below the shared checkpoint folder, removed when the driver ends."""
+    root = os.path.join(ensure_checkpoint_dir(spark), "sluice-out")
+    if root not in _scratch_roots:
+        _scratch_roots.add(root)
+        atexit.register(remove_scratch, spark, root)
+    return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def remove_scratch(spark: SparkSession, root: str) -> None:
+    """Delete a scratch folder in whatever store it is; a session that has already ended leaves it."""
+    _scratch_roots.discard(root)
+    sc = spark.sparkContext
+    if sc._jsc is None:
+        return
+    path = sc._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df):

@@ -5,7 +5,7 @@ Reading never infers a schema (an extra pass and unstable types): every
 column is read as text under the declared names, pandas' missing-value
 tokens are mapped to null, then the declared types are applied. Multi-line
 CSV cannot be split inside a file, so large inputs should be many files --
-or, better, landed once as Parquet (``land_parquet``) and read from there.
+or, better, landed once as Parquet (``sources/registry.py``) and read from there.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ PANDAS_NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN"
                     "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
                     "nan", "null")
 
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "mode": "FAILFAST"}
+#: Text keeps its leading and trailing white space; Spark's writer trims it unless told not to.
+KEEP_SPACE = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+CSV_OPTIONS = KEEP_SPACE | {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "mode": "FAILFAST"}
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType,
@@ -61,7 +63,7 @@ def write_partitioned(df: DataFrame, path: str, by: str, fmt: str = "parquet") -
     """One output folder per value of ``by`` (e.g. per scored model)."""
     w = df.write.mode("overwrite").partitionBy(by)
     if fmt == "csv":
-        w.options(header="true", quote='"', escape='"').csv(path)
+        w.options(header="true", quote='"', escape='"', **KEEP_SPACE).csv(path)
     else:
         w.parquet(path)
     return path
@@ -73,12 +75,6 @@ def append_log(df: DataFrame, path: str) -> str:
     return path
 
 
-def land_parquet(df: DataFrame, path: str) -> DataFrame:
-    """Write once as Parquet and continue from the columnar copy."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def part_files(df: DataFrame) -> DataFrame:
     """Which part file each row came from."""
     return df.withColumn("part_file", F.input_file_name())

@@ -21,30 +21,20 @@ SET1_SOURCES = [f"src{i}" for i in range(0, 10)]
 SET2_SOURCES = [f"src{i}" for i in range(10, 20)]
 
 
-# tables whose rows carry long text: row-level work on them is CPU-bound
-TEXT_TABLES = frozenset({"documents", "conversations", "pages", "benchmark"})
+#: Session setting: the number of partitions that ``table`` deals a scan's rows to.
+SCAN_PARTITIONS = "sluice.scan.partitions"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Give a scan at least one partition per core.
+    """A driver table as its files are split.
 
-    A Parquet file that holds a single row group is read by a single task,
-    and every row-level step before the first shuffle (regex cleaning,
-    tokenizing, featurizing) would then run on one core. When the scan has
-    fewer partitions than the session's default parallelism, rows are
-    redistributed round-robin (deterministic under task retries: Spark sorts
-    before a round-robin repartition). A large input already has more splits
-    than cores, and then nothing is added.
+    ``sluice.scan.partitions`` deals the rows round-robin to that many
+    partitions instead, whatever the size of the table; it is meant for files
+    of a single row group, which one task reads, and is not set by default.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    parts = spark.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,12 +63,6 @@ def valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comments(spark, sf_dir).filter(F.col("id") % 5 == 0)
 
 
-def soft_label(id_col="id", seed: int = 42):
-    """Deterministic soft label in [0, 1), two digits (driver fixture rule)."""
-    col = F.col(id_col) if isinstance(id_col, str) else id_col
-    return F.round(u32(col, "soft", seed) / F.lit(4294967296.0), 2)
-
-
 def soft_set2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """set2 with soft labels, shaped like annotator fractions.
 
