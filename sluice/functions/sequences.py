@@ -39,6 +39,16 @@ def add_markers(ids, cls: int = CLS_ID, sep: int = SEP_ID) -> Column:
     return F.concat(F.array(F.lit(cls)), _c(ids), F.array(F.lit(sep)))
 
 
+def cut_tokens(tokens, max_len: int, mode: str = "head_tail") -> Column:
+    """The tokens (markers excluded) that a truncation to ``max_len`` ids or fewer can keep."""
+    if mode not in ("head_tail", "inner", "right"):
+        raise ValueError(f"unknown truncation {mode!r}")
+    a, m = _c(tokens), max_len - 2
+    head, tail = (m, 0) if mode == "right" else (max_len // 2 - 1, max_len - max_len // 2 - 1) if mode == "head_tail" else (m // 2, m - m // 2)
+    cut = F.concat(F.slice(a, 1, head), F.slice(a, F.size(a) - tail + 1, tail)) if tail else F.slice(a, 1, head)
+    return F.when(F.size(a) > m, cut).otherwise(a)
+
+
 def truncate_head_tail(ids, max_len: int = MAX_LEN) -> Column:
     """Longer than L (markers included) -> first ``L//2`` + last ``L - L//2``."""
     a = _c(ids)

@@ -6,6 +6,8 @@ so an augmented training set is reproducible and independent of partitioning.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,17 +37,22 @@ def shuffle_sentences(text, key, seed: int = 42, lang=None) -> Column:
     return F.concat_ws(" ", F.transform(F.array_sort(keyed), lambda x: x["s"]))
 
 
+#: X11's steps in their order, (salt of the gate, function of the text).
+TRAIN_STEPS = (("mentions", X.strip_mentions), ("urls", X.strip_urls), ("numbers", X.strip_numbers),
+               ("hashtags", X.strip_hashtags), ("dedup", X.dedup_sentences))
+
+
 def train_transforms(df: DataFrame, text_col: str, key: str, out_col: str = "text_aug",
-                     seed: int = 42, p: float = TRANSFORM_P) -> DataFrame:
+                     seed: int = 42, p: float = TRANSFORM_P, steps: Sequence[tuple[str, Callable]] = TRAIN_STEPS) -> DataFrame:
     """X11: mentions -> urls -> numbers -> hashtags -> sentence dedup, each gated.
 
+    ``steps`` is the chain; any ``(salt, Column -> Column)`` can take part.
+
     Every step is its own projection so a step's input is computed once (a
     nested ``when(g, f(t)).otherwise(t)`` would copy the whole chain twice
     per step).
     """
     k = F.col(key)
-    steps = [("mentions", X.strip_mentions), ("urls", X.strip_urls), ("numbers", X.strip_numbers),
-             ("hashtags", X.strip_hashtags), ("dedup", X.dedup_sentences)]
     out = df.withColumn(out_col, X.as_text(text_col))
     for salt, fn in steps:
         out = out.withColumn(out_col, F.when(gate(k, f"tf_{salt}", p, seed), fn(F.col(out_col)))
@@ -71,8 +78,9 @@ def draw_slots(df: DataFrame, key: str, label_col: str, pool: DataFrame, seed: i
     """M8: ``(key, slot, cls, idx)`` -- draws with replacement from the pool.
 
     A non-toxic row draws 1-5 non-toxic texts; a toxic row 0-2 non-toxic and
-    1-3 toxic. ``idx = hash(key, slot) mod class size``; the class sizes are a
-    two-row aggregate joined by broadcast.
+    1-3 toxic. ``idx = hash(key, slot) mod class size``; the sizes of the two
+    classes are a two-row aggregate joined by broadcast. A draw from a class
+    that has no text fails the query.
     """
     k = F.col(key)
     toxic = F.col(label_col) != 0
@@ -89,10 +97,11 @@ def draw_slots(df: DataFrame, key: str, label_col: str, pool: DataFrame, seed: i
         F.transform(F.slice(F.sequence(F.lit(1), F.lit(5)), 1, n_tox),
                     lambda j: F.struct(F.lit(1).alias("cls"), (j + 10).alias("slot"))))
     e = df.select(key, F.explode(slots).alias("_d")).select(key, "_d.cls", "_d.slot")
-    sizes = pool.groupBy("cls").agg(F.count(F.lit(1)).alias("_n"))
-    e = e.join(F.broadcast(sizes), "cls")
-    return e.select(key, "slot", "cls",
-                    F.pmod(u32(k, "draw", seed, F.col("slot")), F.col("_n")).alias("idx"))
+    sizes = pool.filter(F.col("cls").isin(0, 1)).groupBy("cls").agg(F.count(F.lit(1)).alias("_n"))
+    e = e.join(F.broadcast(sizes), "cls", "left")
+    n = F.when(F.col("_n").isNull(), F.raise_error(F.concat(F.lit("the pool has no text of class "), F.col("cls").cast("string"))).cast("bigint")
+               ).otherwise(F.col("_n"))
+    return e.select(key, "slot", "cls", F.pmod(u32(k, "draw", seed, F.col("slot")), n).alias("idx"))
 
 
 def pool_join(draws: DataFrame, pool: DataFrame) -> DataFrame:
@@ -135,14 +144,11 @@ def augment_route(df: DataFrame, key: str, text_col: str, label_col: str, pool:
     long_ = F.col("_len") > ROUTE_LONG_FRACTION * max_len
     short = F.col("_len") < ROUTE_SHORT_TOKENS
     t = t.withColumn("route", F.when(long_, "shuffle").when(short, "synthetic").otherwise("keep"))
-    # the transformed text feeds two branches; write it once instead of
-    # running the regex chain twice
-    t = materialize(t)
-    # long and mid-length rows are one projection; only the short rows take
-    # the pool join, so the transformed text feeds exactly two branches
+    # long and mid-length rows are one projection; only the short rows take the
+    # pool join, which reads them several times: those few tokens are written once
+    short_rows = materialize(t.filter(F.col("route") == "synthetic"))
     direct = t.filter(F.col("route") != "synthetic").withColumn(
         "text_out", F.when(F.col("route") == "shuffle", shuffle_sentences(F.col("_x"), F.col(key), seed))
         .otherwise(F.col("_x")))
-    mixed = synthetic_mix(t.filter(F.col("route") == "synthetic"), key, "_x", label_col, pool,
-                          "text_out", seed)
+    mixed = synthetic_mix(short_rows, key, "_x", label_col, pool, "text_out", seed)
     return direct.unionByName(mixed).drop("_x", "_len")

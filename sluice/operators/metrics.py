@@ -2,46 +2,57 @@
 
 ROC AUC is computed exactly, without a global sort or a global window:
 
-* Scores are put in ``bins`` value bins (``floor(clamp(s, 0, 1) * bins)``,
-  after a sigmoid for logits -- AUC only needs a monotone bin). 65,536 bins
-  keep the per-bin table small (it is broadcast) while a cluster of scores
-  in a narrow range still spreads over many window tasks.
+* Distinct scores are range-partitioned by boundaries that Spark samples from
+  the scores themselves, so bins hold about equally many of them wherever the
+  scores lie (trained classifiers put most of them near 0).
 * For every distinct score the number of negatives strictly below it is
-  "negatives in lower bins" (a prefix sum over a table of at most ``bins``
-  rows per group) plus "negatives in the same bin with a lower score" (a
-  window *inside* one bin).
+  "negatives in lower bins" (a prefix sum over one row per bin and group) plus
+  "negatives in the same bin with a lower score" (a window *inside* one bin).
 * ``AUC = sum(pos * (neg_below + neg_equal / 2)) / (P * N)`` -- ties count half,
   as in the pairwise definition.
+
+A missing or NaN score, or a missing class, has no rank: the query fails.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.operators.ranking import join_groups
 from sluice.session import materialize
 
 # Focal loss alpha / gamma, label smoothing.
 FOCAL_ALPHA = 0.5
 FOCAL_GAMMA = 1.5
 SMOOTHING = 0.1
-DEFAULT_BINS = 1024      # running AUC: score bins per level
-AUC_BINS = 1 << 16       # one-shot AUC: per-bin table <= 65,536 rows
 
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def score_bin(score, bins: int = DEFAULT_BINS, logits: bool = False) -> Column:
-    """Monotone bin of a score in ``[0, bins)``."""
-    s = _c(score)
-    if logits:
-        s = F.lit(1.0) / (F.lit(1.0) + F.exp(-s))
-    clamped = F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0))
-    return F.least(F.floor(clamped * bins), F.lit(bins - 1)).cast("int")
+def checked_score(score, y=None) -> Column:
+    """The score as a double; fails on a missing or NaN score, or on a missing class."""
+    s = _c(score).cast("double")
+    bad = s.isNull() | F.isnan(s)
+    if y is not None:
+        bad = bad | _c(y).isNull()
+    return F.when(bad, F.raise_error(F.lit("a score or class is missing or not a number")).cast("double")).otherwise(s)
+
+
+def score_bins(df: DataFrame, score_col: str = "_s", bins: int | None = None) -> DataFrame:
+    """``df`` with ``_bin``: a range of scores, about equally many rows in each, in the order of the scores.
+
+    The table is written once: the bins' boundaries come from a sample, and
+    every step that follows must see the same ones.
+    """
+    n = bins or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(df.repartitionByRange(n, score_col).withColumn("_bin", F.spark_partition_id()))
 
 
 def minmax_scale(df: DataFrame, col: str, out_col: str | None = None) -> DataFrame:
@@ -56,28 +67,26 @@ def minmax_scale(df: DataFrame, col: str, out_col: str | None = None) -> DataFra
 
 
 def roc_auc(df: DataFrame, y_col: str = "y", score_col: str = "score",
-            group_cols: Sequence[str] = (), bins: int = AUC_BINS,
-            logits: bool = False) -> DataFrame:
-    """A5: exact ROC AUC per group (null when a class is missing)."""
+            group_cols: Sequence[str] = (), bins: int | None = None) -> DataFrame:
+    """A5: exact ROC AUC per group (null when a class is missing); a null group is a group."""
     g = list(group_cols)
-    per_score = (df.groupBy(*g, F.col(score_col).alias("_s"))
+    per_score = (df.groupBy(*g, checked_score(score_col, y_col).alias("_s"))
                  .agg(F.count_if(F.col(y_col) == 1).alias("_pos"),
                       F.count_if(F.col(y_col) == 0).alias("_neg")))
-    return roc_auc_counts(per_score, "_s", "_pos", "_neg", g, bins, logits)
+    return roc_auc_counts(per_score, "_s", "_pos", "_neg", g, bins)
 
 
 def roc_auc_counts(per_score: DataFrame, score_col: str, pos_col: str, neg_col: str,
-                   group_cols: Sequence[str] = (), bins: int = AUC_BINS,
-                   logits: bool = False) -> DataFrame:
+                   group_cols: Sequence[str] = (), bins: int | None = None) -> DataFrame:
     """A5 from per-score class counts ``(score, pos, neg)`` (one row per score)."""
     g = list(group_cols)
-    ps = per_score.select(*g, F.col(score_col).alias("_s"), F.col(pos_col).alias("_pos"),
-                          F.col(neg_col).alias("_neg")).withColumn("_bin", score_bin("_s", bins, logits))
+    ps = score_bins(per_score.select(*g, checked_score(score_col).alias("_s"), F.col(pos_col).alias("_pos"),
+                                     F.col(neg_col).alias("_neg")), "_s", bins)
     per_bin = ps.groupBy(*g, "_bin").agg(F.sum("_neg").alias("_bneg"))
     wb = Window.partitionBy(*g).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     per_bin = per_bin.withColumn("_neg_lower_bins", F.coalesce(F.sum("_bneg").over(wb), F.lit(0)))
     ws = Window.partitionBy(*g, "_bin").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    scored = (ps.join(F.broadcast(per_bin.select(*g, "_bin", "_neg_lower_bins")), on=[*g, "_bin"])
+    scored = (join_groups(ps, per_bin.select(*g, "_bin", "_neg_lower_bins"), [*g, "_bin"])
               .withColumn("_below", F.col("_neg_lower_bins")
                           + F.coalesce(F.sum("_neg").over(ws), F.lit(0))))
     agg = scored.groupBy(*g).agg(
@@ -139,19 +148,33 @@ def label_smoothing_loss(df: DataFrame, logits: str, target: str, group_cols: Se
     return df.groupBy(*group_cols).agg(F.avg(sm).alias("smoothed"), F.avg(plain).alias("plain"))
 
 
-def pool_mean_max_long(df: DataFrame, key: str, pos: str, vec: str) -> DataFrame:
+def pool_mean_max(df: DataFrame, key: str, vec: str) -> DataFrame:
+    """``mean || max`` pooled vector per key (``ARRAY<DOUBLE>``, 2 x dim).
+
+    Mean and maximum over a key's positions are one aggregate over vectors,
+    combined map-side; vectors are not taken apart. Null vectors are skipped.
+    """
+    v = df.filter(F.col(vec).isNotNull()).select(key, array_to_vector(F.col(vec).cast("array<double>")).alias("_v"))
+    s = v.groupBy(key).agg(Summarizer.metrics("mean", "max").summary(F.col("_v")).alias("_s"))
+    return s.select(key, F.concat(vector_to_array("_s.mean"), vector_to_array("_s.max")).alias("pooled"))
+
+
+def pool_mean_max_long(df: DataFrame, key: str, vec: str) -> DataFrame:
     """A9 (long form): per ``(key, dim)`` the mean and max over positions."""
-    e = df.select(key, pos, F.posexplode(vec).alias("dim", "v"))
-    return e.groupBy(key, "dim").agg(F.avg("v").alias("mean_v"), F.max("v").alias("max_v"))
+    p = pool_mean_max(df, key, vec).withColumn("_n", (F.size("pooled") / 2).cast("int"))
+    pairs = F.arrays_zip(F.slice("pooled", 1, F.col("_n")).alias("mean_v"), F.slice("pooled", F.col("_n") + 1, F.col("_n")).alias("max_v"))
+    return p.select(key, F.posexplode(pairs).alias("dim", "_p")).select(key, "dim", F.col("_p")["mean_v"].alias("mean_v"), F.col("_p")["max_v"].alias("max_v"))
 
 
-def pool_mean_max(df: DataFrame, key: str, pos: str, vec: str) -> DataFrame:
-    """``mean || max`` pooled vector per key (``ARRAY<DOUBLE>``, 2 x dim)."""
-    long = pool_mean_max_long(df, key, pos, vec)
-    packed = long.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("dim", "mean_v", "max_v"))).alias("_d"))
-    return packed.select(key, F.concat(F.transform("_d", lambda s: s["mean_v"]),
-                                       F.transform("_d", lambda s: s["max_v"].cast("double"))).alias("pooled"))
+def loss_by_name(name: str, df: DataFrame, x: str, y: str, w: str, group_cols: Sequence[str] = ()) -> DataFrame:
+    """The loss called ``bce``, ``weighted_bce`` or ``focal`` per group, as ``loss``."""
+    if name == "weighted_bce":
+        return weighted_bce(df, x, y, w, group_cols)
+    if name == "bce":
+        return weighted_bce(df.withColumn("_one", F.lit(1.0)), x, y, "_one", group_cols)
+    if name == "focal":
+        return focal_loss(df, x, y, group_cols)
+    raise ValueError(f"unknown loss {name!r}")
 
 
 def average_meter(df: DataFrame, val: str, n: str, group_cols: Sequence[str] = ()) -> DataFrame:
@@ -192,7 +215,7 @@ def running_sums(df: DataFrame, cols: Sequence[str], order_col: str, group_cols:
     blocks = blocks.select(*g, "_rblk", *[F.coalesce(F.sum(f"_bt_{c}").over(wb), F.lit(0)).alias(f"_off_{c}")
                                           for c in cols])
     wi = Window.partitionBy(*g, "_rblk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    out = d.join(blocks, [*g, "_rblk"])
+    out = join_groups(d, blocks, [*g, "_rblk"])
     for c in cols:
         out = out.withColumn(f"cum_{c}", F.col(f"_off_{c}") + F.sum(c).over(wi))
     return out.drop("_rblk", *[f"_off_{c}" for c in cols])
@@ -225,7 +248,7 @@ def best_so_far(df: DataFrame, epoch: str = "epoch", auc: str = "auc",
                       F.when(ok, -F.col("_b")["ne"]).otherwise(F.lit(1)).cast("int").alias("best_epoch"))
 
 
-def _credit_across(left: DataFrame, right: DataFrame, keys: Sequence[str], bins: int) -> DataFrame:
+def _credit_across(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Pair contributions between two sets of cells sharing ``keys``.
 
     ``left`` / ``right`` hold cells ``(keys..., _b, _s, _y, _c)`` (``right``
@@ -255,7 +278,7 @@ def _credit_across(left: DataFrame, right: DataFrame, keys: Sequence[str], bins:
         *k, "_b",
         F.coalesce(F.sum("_bn").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ln_lower"),
         F.coalesce(F.sum("_bp").over(wb.rowsBetween(1, Window.unboundedFollowing)), F.lit(0)).alias("_lp_higher"))
-    credited = right.join(per_score, [*k, "_b", "_s"]).join(per_bin, [*k, "_b"])
+    credited = join_groups(join_groups(right, per_score, [*k, "_b", "_s"]), per_bin, [*k, "_b"])
     value = F.when(F.col("_y") == 1,
                    F.col("_c") * (F.col("_ln_lower") + F.col("_ln_below") + F.col("_ln") / 2.0)) \
         .otherwise(F.col("_c") * (F.col("_lp_higher") + F.col("_lp_above") + F.col("_lp") / 2.0))
@@ -263,8 +286,8 @@ def _credit_across(left: DataFrame, right: DataFrame, keys: Sequence[str], bins:
 
 
 def running_auc(rows: DataFrame, y: str = "y", score: str = "score", step: str = "step",
-                group_cols: Sequence[str] = (), bins: int = DEFAULT_BINS,
-                seeds: bool = True, logits: bool = False) -> DataFrame:
+                group_cols: Sequence[str] = (), bins: int | None = None,
+                seeds: bool = True) -> DataFrame:
     """AUC over all rows up to and including each step (exact).
 
     With ``seeds`` the meter starts from the two points ``(y=0, .5)`` and
@@ -278,12 +301,13 @@ def running_auc(rows: DataFrame, y: str = "y", score: str = "score", step: str =
     its steps differ), so the cost is ``O(rows * log(steps))`` shuffled rows.
     No pair of rows and no steps-by-bins grid is ever built, and rows are
     first collapsed to ``(step, score, class)`` cells, so a score shared by
-    a third of all rows is one cell per step.
+    a third of all rows is one cell per step. Inside a block, cells are ranked
+    by ranges of scores whose boundaries are sampled from the cells.
     """
     g = list(group_cols)
     # steps shifted by one so the seed points sit at step 0, before every real step
     r = rows.select(*g, (F.col(step).cast("bigint") + 1).alias("_t"), F.col(y).cast("int").alias("_y"),
-                    F.col(score).cast("double").alias("_s"))
+                    checked_score(score, y).alias("_s"))
     if seeds:
         pts = F.array(*[F.struct(F.lit(0).cast("bigint").alias("_t"), F.lit(c).alias("_y"),
                                  F.lit(0.5).alias("_s")) for c in (0, 1)])
@@ -292,9 +316,8 @@ def running_auc(rows: DataFrame, y: str = "y", score: str = "score", step: str =
         else:
             seed_rows = rows.sparkSession.range(1).select(F.explode(pts).alias("_p")).select("_p.*")
         r = r.unionByName(seed_rows)
-    r = r.withColumn("_b", score_bin("_s", bins, logits))
-    # every level reads the cells: write them once
-    cells = materialize(r.groupBy(*g, "_t", "_b", "_s", "_y").agg(F.count(F.lit(1)).alias("_c")))
+    # every level reads the cells: written once, with their ranges of scores
+    cells = score_bins(r.groupBy(*g, "_t", "_s", "_y").agg(F.count(F.lit(1)).alias("_c")), "_s", bins).withColumnRenamed("_bin", "_b")
     top = cells.agg(F.max("_t")).first()[0] or 0   # one scalar: the number of levels
 
     # every cell once per level, tagged with its block and side; one credit
@@ -308,12 +331,12 @@ def running_auc(rows: DataFrame, y: str = "y", score: str = "score", step: str =
         F.expr("shiftright(_t, _lvl - 1) & 1") == 0)
     lv = lv.withColumn("_left", first_half)
     contrib = _credit_across(lv.filter(F.col("_left")), lv.filter(~F.col("_left")),
-                             [*g, "_lvl", "_blk"], bins)
+                             [*g, "_lvl", "_blk"])
     contrib = contrib.groupBy(*g, "_t").agg(F.sum("_d").alias("_d"))
 
     totals = cells.groupBy(*g, "_t").agg(F.sum(F.when(F.col("_y") == 1, F.col("_c")).otherwise(0)).alias("_np"),
                                          F.sum(F.when(F.col("_y") == 0, F.col("_c")).otherwise(0)).alias("_nn"))
-    per_step = totals.join(contrib, on=[*g, "_t"], how="left").fillna({"_d": 0.0})
+    per_step = join_groups(totals, contrib, [*g, "_t"], "left").fillna({"_d": 0.0})
     cum = running_sums(per_step, ["_d", "_np", "_nn"], "_t", g)
     out = cum.select(*g, (F.col("_t") - 1).alias(step),
                      F.try_divide(F.col("cum__d"), F.col("cum__np") * F.col("cum__nn")).alias("auc"))

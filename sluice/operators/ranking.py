@@ -9,8 +9,7 @@ third or half of all rows in a single sort. Instead:
 1. ``bin`` = the top ``bits`` bits of the 32-bit hash ``h``. Because ``h`` is
    uniform, every bin holds ``rows / 2^bits`` rows of its group.
 2. A histogram ``(g, bin) -> count`` is built with map-side partial
-   aggregation; it has at most ``groups * 2^bits`` rows regardless of data
-   size, so broadcasting it is safe.
+   aggregation; it has at most ``groups * 2^bits`` rows.
 3. An exclusive prefix sum over the histogram gives every bin its offset.
 4. Only the ordering *inside* a bin needs a window: ``PARTITION BY g, bin``
    spreads the work over ``groups * 2^bits`` evenly sized window groups.
@@ -18,11 +17,16 @@ third or half of all rows in a single sort. Instead:
 For "first N" only the single bin that straddles N is ranked at all; rows in
 lower bins are kept without any shuffle. Ties on ``h`` are broken by a
 caller-supplied unique column, so results are exact and deterministic.
+
+Rows meet the histogram on ``(g, bin)``, the same keys that the window needs, so
+the join adds no shuffle of its own and needs no broadcast. Group columns are
+compared null-safely: rows with a null group are a group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +38,13 @@ def _bin(h_col: str, bits: int) -> Column:
     return F.shiftright(F.col(h_col), 32 - bits)
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which nulls are equal; the columns of ``left``, then the others of ``right``."""
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(other, on, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def hash_histogram(df: DataFrame, h_col: str, group_cols: Sequence[str] = (),
                    bits: int = DEFAULT_BITS) -> DataFrame:
     """``(group..., _bin, _cnt, _before)`` with ``_before`` = rows in lower bins."""
@@ -48,13 +59,12 @@ def dense_index(df: DataFrame, h_col: str, tie_col: str, group_cols: Sequence[st
                 out_col: str = "idx", bits: int = DEFAULT_BITS) -> DataFrame:
     """0-based position of each row in ``(h, tie)`` order within its group.
 
-    The histogram (``groups * 2^bits`` rows at most) is broadcast; the only
-    shuffle of the full data is the per-``(group, bin)`` window.
+    The only shuffle of the full data is by ``(group, bin)``; join and window share it.
     """
     g = list(group_cols)
     hist = hash_histogram(df, h_col, g, bits).select(*g, "_bin", "_before")
     tagged = df.withColumn("_bin", _bin(h_col, bits))
-    joined = tagged.join(F.broadcast(hist), on=[*g, "_bin"], how="inner")
+    joined = join_groups(tagged, hist, [*g, "_bin"])
     w = Window.partitionBy(*g, "_bin").orderBy(F.col(h_col), F.col(tie_col))
     return (joined.withColumn(out_col, (F.col("_before") + F.row_number().over(w) - 1).cast("bigint"))
             .drop("_bin", "_before"))
@@ -63,7 +73,7 @@ def dense_index(df: DataFrame, h_col: str, tie_col: str, group_cols: Sequence[st
 def smallest_n(df: DataFrame, n: int | None, h_col: str, tie_col: str,
                group_cols: Sequence[str] = (), strict: bool = False,
                bits: int = DEFAULT_BITS, error: str = "sample larger than population",
-               n_col: str | None = None) -> DataFrame:
+               n_col: str | None = None, groups_bound: int | None = None) -> DataFrame:
     """Exactly the first ``n`` rows in ``(h, tie)`` order per group.
 
     ``strict=True`` fails the query (``raise_error``, evaluated inside the
@@ -71,7 +81,10 @@ def smallest_n(df: DataFrame, n: int | None, h_col: str, tie_col: str,
     ``DataFrame.sample(n=...)`` does; otherwise the whole group is returned,
     as ``head(n)`` does. Groups with no rows at all are simply absent.
     ``n_col`` names a column holding a data-dependent limit (constant per
-    group) instead of the literal ``n``.
+    group) instead of the literal ``n``. ``groups_bound`` states that there are
+    no more groups than that, as the number of epochs does: the cuts, one row
+    per group, are then broadcast. Otherwise rows meet their group's cut on
+    ``(group, bin)``, so that a group of very many rows is no hot key.
     """
     g = list(group_cols)
     if n_col is None and n < 1:
@@ -96,8 +109,11 @@ def smallest_n(df: DataFrame, n: int | None, h_col: str, tie_col: str,
                                F.raise_error(F.lit(error)).cast("bigint"))
             .otherwise(F.col("_cut_bin")))
     tagged = df.withColumn("_bin", _bin(h_col, bits))
-    if g:
-        joined = tagged.join(F.broadcast(per_group), on=g, how="inner")
+    if g and groups_bound:
+        joined = join_groups(tagged, F.broadcast(per_group), g)
+    elif g:
+        by_bin = join_groups(hist.select(*g, "_bin"), per_group, g)
+        joined = join_groups(tagged, by_bin, [*g, "_bin"])
     else:
         # one row: attach its values as scalar subqueries (merged into one job)
         joined = (tagged.withColumn("_cut_bin", per_group.select("_cut_bin").scalar())

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.labels import binarise
+from sluice.functions.scoring import linear_head
 from sluice.operators.labels import loss_weight
-from sluice.operators.metrics import roc_auc, weighted_bce
+from sluice.operators.metrics import loss_by_name, roc_auc
 
 
 def batch_score(df: DataFrame, key, vec_col: str, weights: Sequence[float], bias: float,
@@ -51,16 +53,6 @@ def flatten_scores(df: DataFrame, key: str, arr_col: str, out_col: str = "logit"
     return df.select(key, F.explode(arr_col).alias(out_col))
 
 
-def multi_view_score(views: Mapping[str, DataFrame], key: str, vec_col: str,
-                     weights: Sequence[float], bias: float) -> DataFrame:
-    """Q4: one scoring pass over all views (``view`` column), long output."""
-    u = None
-    for name, v in views.items():
-        part = v.select(key, vec_col, F.lit(name).alias("view"))
-        u = part if u is None else u.unionByName(part)
-    return batch_score(u, [key, "view"], vec_col, weights, bias).select(key, "view", "logit")
-
-
 def views_from_columns(df: DataFrame, key: str, view_cols: Mapping[str, object],
                        out_col: str = "features") -> DataFrame:
     """Long ``(key, view, out_col)`` from one scan that computes every view
@@ -74,8 +66,16 @@ def views_from_columns(df: DataFrame, key: str, view_cols: Mapping[str, object],
 
 def score_views(long_views: DataFrame, key: str, vec_col: str, weights: Sequence[float],
                 bias: float) -> DataFrame:
-    """Q4 on an already long ``(key, view, vec)`` table: one scoring pass."""
-    return batch_score(long_views, [key, "view"], vec_col, weights, bias).select(key, "view", "logit")
+    """Q4 on a long ``(key, view, vec)`` table: one scoring pass, as a built-in expression."""
+    return long_views.select(key, "view", linear_head(vec_col, weights, bias).alias("logit"))
+
+
+def score_models(long_views: DataFrame, key: str, vec_col: str,
+                 models: Mapping[str, tuple[Sequence[float], float]]) -> DataFrame:
+    """Every model on every view in one pass: long ``(model, key, view, logit)``."""
+    scored = F.array(*[F.struct(F.lit(name).alias("model"), linear_head(vec_col, w, b).alias("logit"))
+                       for name, (w, b) in models.items()])
+    return long_views.select(key, "view", F.explode(scored).alias("_m")).select("_m.model", key, "view", "_m.logit")
 
 
 def ensemble_join(long_scores: DataFrame, key: str, views: Sequence[str]) -> DataFrame:
@@ -88,16 +88,32 @@ def ensemble_join(long_scores: DataFrame, key: str, views: Sequence[str]) -> Dat
     return wide.filter(cond).select(key, *[F.col(v).alias(f"p_{v}") for v in views])
 
 
-def ensemble_mean(long_scores: DataFrame, key: str, out_col: str = "toxic") -> DataFrame:
-    """A4: mean of the views' raw logits per key (``groupBy`` with partial aggregation)."""
-    return long_scores.groupBy(key).agg(F.avg("logit").alias(out_col))
+def ensemble_mean(long_scores: DataFrame, key, out_col: str = "toxic") -> DataFrame:
+    """A4: mean of the views' raw logits per key(s) (``groupBy`` with partial aggregation)."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return long_scores.groupBy(*keys).agg(F.avg("logit").alias(out_col))
 
 
 def submission_join(template: DataFrame, scores: DataFrame, key: str = "id",
                     score_col: str = "toxic") -> DataFrame:
-    """Put scores onto the submission template by key; a template
+    """Put scores onto the submission template by key; a template
     row without a score fails the query (instead of a silent misalignment)."""
     t = template.drop(score_col) if score_col in template.columns else template
+    return _with_scores(t, scores, key, score_col).select(*t.columns, score_col)
+
+
+def assign_score(template: DataFrame, scores: DataFrame, key: str = "id", score_col: str = "toxic") -> DataFrame:
+    """Overwrite the template's own score column by key, its columns and their order kept.
+
+    A template without that column is refused, as is a row without a score;
+    scores for keys that the template lacks are left out.
+    """
+    if score_col not in template.columns:
+        raise ValueError(f"the template has no column {score_col!r}")
+    return _with_scores(template.drop(score_col), scores, key, score_col).select(*template.columns)
+
+
+def _with_scores(t: DataFrame, scores: DataFrame, key: str, score_col: str) -> DataFrame:
     j = t.join(scores.select(key, score_col), key, "left")
     checked = F.when(F.col(score_col).isNull(),
                      F.raise_error(F.concat(F.lit("no score for id "), F.col(key).cast("string")))
@@ -153,26 +169,26 @@ def fit_epochs(train_by_epoch: DataFrame, epochs: int, parallelism: int | None =
 
 
 def score_with(model, df: DataFrame, key: str = "id") -> DataFrame:
-    """Probability of the positive class and its logit, keyed."""
+    """Probability of the positive class and its logit, keyed.
+
+    The logit is the model's raw score: it stays finite where the probability
+    rounds to 0 or 1.
+    """
     from pyspark.ml.functions import vector_to_array
 
     d = df.withColumn("comment_text", F.coalesce("comment_text", F.lit("none")))
     out = model.transform(d)
-    p = vector_to_array("probability")[1]
-    return out.select(key, p.alias("prob"), F.log(p / (F.lit(1.0) - p)).alias("logit"))
-
-
-def evaluate_epochs(models: Mapping[int, object], valid: DataFrame, key: str = "id") -> DataFrame:
-    """Q6: per epoch validation loss (A6) and AUC (A5), then the best epoch."""
-    parts = []
-    for e, m in models.items():
-        s = score_with(m, valid, key).join(valid.select(key, "toxic"), key)
-        s = s.withColumn("epoch", F.lit(e)).withColumn("y", binarise("toxic").cast("double")) \
-             .withColumn("w", F.lit(1.0))
-        parts.append(s)
-    allv = parts[0]
-    for p in parts[1:]:
-        allv = allv.unionByName(p)
-    loss = weighted_bce(allv, "logit", "y", "w", ["epoch"])
-    auc = roc_auc(allv.withColumn("yi", F.col("y").cast("int")), "yi", "prob", ["epoch"])
-    return loss.join(auc, "epoch")
+    return out.select(key, vector_to_array("probability")[1].alias("prob"), vector_to_array("rawPrediction")[1].alias("logit"))
+
+
+def score_epochs(models: Mapping[int, object], valid: DataFrame, key: str = "id") -> DataFrame:
+    """Every epoch's model on the validation rows: ``(epoch, key, y, prob, logit)``."""
+    parts = [score_with(m, valid, key).join(valid.select(key, binarise("toxic").alias("y")), key).withColumn("epoch", F.lit(e))
+             for e, m in models.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def evaluate_epochs(scored: DataFrame, loss: str = "weighted_bce") -> DataFrame:
+    """Q6: per epoch validation loss (by name) and AUC (A5), with the counts of both classes."""
+    losses = loss_by_name(loss, scored.withColumn("w", F.lit(1.0)), "logit", "y", "w", ["epoch"])
+    return losses.join(roc_auc(scored, "y", "prob", ["epoch"]), "epoch")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sluice.functions import sequences as Q
 from sluice.functions.hashing import u32
-from sluice.operators.ranking import dense_index, smallest_n
+from sluice.functions.text import as_text
+from sluice.operators.ranking import dense_index, join_groups, smallest_n
 from sluice.session import materialize
 
 
@@ -49,17 +50,22 @@ def build_vocab(df: DataFrame, text_col: str, size: int) -> DataFrame:
     return materialize(vocab)
 
 
-def encode_tokens(df: DataFrame, key: str, text_col: str, vocab: DataFrame) -> DataFrame:
+def encode_tokens(df: DataFrame, key: str, text_col: str, vocab: DataFrame,
+                  cut: tuple[int, str] | None = None) -> DataFrame:
     """J4 + T2 (without markers): ``(key, tokens ARRAY<INT>)``, unknown -> 1.
 
-    Tokens are exploded with their position and looked up by a broadcast
-    hash join against the vocabulary (its size is the ``size`` parameter of
-    ``build_vocab``, a fixed bound), then packed back in position order.
+    A missing text is encoded as the text ``'nan'`` (P5). With ``cut = (L, mode)``
+    only tokens that a truncation to L or fewer ids keeps are looked up.
+    Tokens are exploded with their position, joined with the vocabulary
+    (AQE broadcasts it when it is small) and packed back in position order.
     Partial aggregation packs each row's tokens inside the task that
     exploded them, so the shuffle moves one packed row per key.
     """
-    t = df.select(key, F.posexplode_outer(Q.tokenize(text_col)).alias("pos", "token"))
-    v = F.broadcast(vocab.select("token", "token_id"))
+    tokens = Q.tokenize(as_text(text_col))
+    if cut:
+        df, tokens = df.select(key, tokens.alias("_tok")), Q.cut_tokens("_tok", *cut)
+    t = df.select(key, F.posexplode_outer(tokens).alias("pos", "token"))
+    v = vocab.select("token", "token_id")
     j = t.join(v, "token", "left").withColumn(
         "tid", F.when(F.col("pos").isNull(), F.lit(None)).otherwise(F.coalesce("token_id", F.lit(Q.UNK_ID))))
     packed = j.groupBy(key).agg(F.array_sort(F.collect_list(
@@ -70,7 +76,7 @@ def encode_tokens(df: DataFrame, key: str, text_col: str, vocab: DataFrame) -> D
 def encode(df: DataFrame, key: str, text_col: str, vocab: DataFrame, max_len: int = Q.MAX_LEN,
            mode: str = "head_tail") -> DataFrame:
     """T2 + T3/T4/T5 + T6 + T7 + T8: fixed-length ``ids``, ``mask``, ``token_type_ids``."""
-    toks = encode_tokens(df, key, text_col, vocab)
+    toks = encode_tokens(df, key, text_col, vocab, (max_len, mode))
     if mode == "head_tail":
         ids = Q.truncate_head_tail(Q.add_markers("tokens"), max_len)
     elif mode == "inner":
@@ -85,9 +91,9 @@ def encode(df: DataFrame, key: str, text_col: str, vocab: DataFrame, max_len: in
                       Q.token_type_ids(max_len).alias("token_type_ids"))
 
 
-def length_buckets(df: DataFrame, ids: str, ord_col: str, key: str, batch_size: int,
+def bucket_batches(df: DataFrame, pads, ord_col: str, key: str, batch_size: int,
                    drop_last: bool = False, width: int = Q.BUCKET_WIDTH) -> DataFrame:
-    """B1: length-matched batches, as a bucketing sampler emits them.
+    """B1: length-matched batches, as a bucketing sampler emits them: ``(key, bucket, batch_id, pos_in_batch)``.
 
     Rows arrive in ``ord`` order; a row goes to bucket ``pads // width``;
     whenever a bucket holds ``batch_size`` rows it is emitted as a batch.
@@ -96,25 +102,25 @@ def length_buckets(df: DataFrame, ids: str, ord_col: str, key: str, batch_size:
     exactly one batch, and there are ``ceil(n / bs)`` batches
     (``floor`` with ``drop_last``).
 
-    Positions inside a bucket come from ``dense_index`` (hash bins, no
-    per-bucket sort of all rows). A full batch is emitted when its last row
-    arrives, so full batches are numbered by the ``ord`` rank of those
-    completing rows (n / bs rows, again via ``dense_index``). Leftovers are
-    fewer than ``buckets * bs`` rows, so their numbering window is small.
+    Only key, order and bucket are ranked. Positions inside a bucket come from
+    ``dense_index`` (hash bins, no per-bucket sort of all rows). A full batch
+    is emitted when its last row arrives, so full batches are numbered by the
+    ``ord`` rank of those completing rows (n / bs rows, again via
+    ``dense_index``). Leftovers are fewer than ``buckets * bs`` rows, so their
+    numbering window is small.
     """
-    # the encoded input is read by five branches: materialize it once
-    b = materialize(df.withColumn("bucket", F.floor(Q.pad_count(ids) / width).cast("int")))
+    b = df.select(key, ord_col, F.floor(pads / width).cast("int").alias("bucket"))
     p = dense_index(b, ord_col, key, ["bucket"], out_col="_p")
-    sizes = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("_nb"))
-    # positions feed the full-batch, completing-row and leftover branches:
-    # write them once rather than repeating the per-(bucket, bin) sort
-    p = materialize(p.join(F.broadcast(sizes), "bucket").withColumn(
-        "_full", F.floor(F.col("_nb") / batch_size) * batch_size))
+    # positions feed the full-batch, completing-row and leftover branches: a
+    # narrow table, written once
+    p = materialize(p)
+    sizes = p.groupBy("bucket").agg(F.count(F.lit(1)).alias("_nb"))  # one row per bucket, max_len / width of them
+    p = p.join(F.broadcast(sizes), "bucket").withColumn("_full", F.floor(F.col("_nb") / batch_size) * batch_size)
     full = p.filter(F.col("_p") < F.col("_full")).withColumn("_k", F.floor(F.col("_p") / batch_size))
     completing = full.filter(F.col("_p") % batch_size == batch_size - 1).select("bucket", "_k", ord_col, key)
     seq = dense_index(completing, ord_col, key, out_col="batch_id").select("bucket", "_k", "batch_id")
-    full_out = full.join(seq, ["bucket", "_k"]).select(
-        *df.columns, "bucket", "batch_id", (F.col("_p") % batch_size).cast("int").alias("pos_in_batch"))
+    full_out = join_groups(full, seq, ["bucket", "_k"]).select(
+        key, "bucket", "batch_id", (F.col("_p") % batch_size).cast("int").alias("pos_in_batch"))
     n_full = completing.agg(F.count(F.lit(1))).scalar()
     left = p.filter(F.col("_p") >= F.col("_full"))
     wl = Window.orderBy("bucket", "_p")
@@ -122,12 +128,19 @@ def length_buckets(df: DataFrame, ids: str, ord_col: str, key: str, batch_size:
     if drop_last:
         n_left = p.filter(F.col("_p") >= F.col("_full")).agg(F.count(F.lit(1))).scalar()
         left = left.filter(F.col("_j") < F.floor(n_left / batch_size) * batch_size)
-    left_out = left.select(*df.columns, "bucket",
+    left_out = left.select(key, "bucket",
                            (F.col("_nf") + F.floor(F.col("_j") / batch_size)).cast("bigint").alias("batch_id"),
                            (F.col("_j") % batch_size).cast("int").alias("pos_in_batch"))
     return full_out.unionByName(left_out)
 
 
+def length_buckets(df: DataFrame, ids: str, ord_col: str, key: str, batch_size: int,
+                   drop_last: bool = False, width: int = Q.BUCKET_WIDTH) -> DataFrame:
+    """B1 with the rows' columns: ``bucket_batches`` joined back once; ``key`` is unique."""
+    batches = bucket_batches(df, Q.pad_count(ids), ord_col, key, batch_size, drop_last, width)
+    return join_groups(df, batches, [key])
+
+
 def trim_batch(df: DataFrame, batch_col: str, cols: list[str], ref_col: str) -> DataFrame:
     """Cut ``cols`` to the batch's longest non-zero length of ``ref_col`` if > 2.
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.operators.sampling import with_order
+from sluice.functions.hashing import u32
 
 
 def union_sources(tables: Mapping[str, DataFrame], source_col: str = "source") -> DataFrame:
@@ -28,7 +28,7 @@ def combine_train_valid(train: DataFrame, valid: DataFrame, views: Mapping[str,
     cols = ["id", "comment_text", "toxic"]
     u = union_sources({k: v.select(*cols) for k, v in parts.items()}, "part")
     u = u.withColumn("_key", F.concat_ws("|", F.col("id").cast("string"), F.col("part")))
-    return with_order(u, "_key", "combine", seed, "ord").drop("_key")
+    return u.withColumn("ord", u32(F.col("_key"), "combine", seed)).drop("_key")
 
 
 def dedup_text(df: DataFrame, text_col: str = "comment_text", order_col: str = "id") -> DataFrame:
