@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sluice.functions import sequences as Q
 from sluice.operators import augment as G
+from sluice.operators import sequences as SQ
 from sluice.plans import sqltext as S
 from sluice.plans.registry import register
 from sluice.sources import tables as T
@@ -129,6 +131,24 @@ UNION ALL SELECT id, route, x FROM routed WHERE route = 'keep'
 UNION ALL SELECT s.id, 'synthetic', s.text_out FROM syn s"""
 
 
+def _augment_encode_sql() -> str:
+    marked = S.with_markers("tokens")
+    return f"""WITH routed_text AS ({_route_sql()}),
+{S.vocab_cte(2000)},
+{S.encoded_cte('routed_text', 'id', 'text_out')}
+SELECT id, CASE WHEN len({marked}) > 196 THEN list_concat({marked}[1:195], [3]) ELSE {marked} END AS ids FROM enc"""
+
+
+@register("augment_encode", sql=_augment_encode_sql())
+def augment_encode(spark, sf_dir):
+    """X15 then T2 and T5: the routed text is tokenized again, as training examples are."""
+    c = T.comments(spark, sf_dir).select("id", "comment_text", "toxic")
+    routed = G.augment_route(c, "id", "comment_text", "toxic", _pool(spark, sf_dir))
+    vocab = SQ.build_vocab(T.table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 2000)
+    toks = SQ.encode_tokens(routed, "id", "text_out", vocab, (196, "right"))
+    return toks.select("id", Q.truncate_right(Q.add_markers("tokens"), 196).alias("ids"))
+
+
 @register("augment_route", sql=_route_sql())
 def augment_route(spark, sf_dir):
     c = T.comments(spark, sf_dir).select("id", "comment_text", "toxic")

@@ -4,17 +4,19 @@ and filters (F1-F3)."""
 from __future__ import annotations
 
 import time
+from functools import reduce
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
 from sluice.functions.labels import TOXIC_THRESHOLD
 from sluice.operators.labels import loss_weight
-from sluice.operators.metrics import roc_auc, weighted_bce
+from sluice.operators.metrics import loss_by_name, roc_auc
+from sluice.operators.sampling import training_labels
 from sluice.plans import sqltext as S
-from sluice.plans.q_scoring import VIEW_SQL
+from sluice.plans.q_scoring import MODEL_SQL, MODELS, VIEW_SQL, model_scores
 from sluice.plans.registry import register
-from sluice.session import scratch_path
+from sluice.session import materialize, scratch_path
 from sluice.sources import csv_io as C
 from sluice.sources import registry as REG
 from sluice.sources import tables as T
@@ -47,44 +49,92 @@ def csv_scan_keyed(spark, sf_dir):
     return C.assert_unique(df, "doc_id")
 
 
+# --- the catalogue: the driver's tables landed by path, as a user's tables would be --------
+
+_LABELLED = "id bigint, comment_text string, toxic double"
+_S2018 = {"train_2018_es": 3, "train_2018_other": 7}  # stand-ins: comments by the last digit of their id
+
+
+def _landed(spark, sf_dir) -> dict[str, tuple]:
+    """name -> (rows to land, schema, renames, role, format)."""
+    c = T.comments(spark, sf_dir)
+    s1, s2, v = T.set1(spark, sf_dir), T.soft_set2(spark, sf_dir), T.valid(spark, sf_dir)
+    test = T.test_table(spark, sf_dir)
+    keyed = "id bigint, comment_text string, toxic double, lang string"
+    merged = s1.select("id", "comment_text", "toxic").unionByName(training_labels(s2).select("id", "comment_text", "toxic"))
+    out = {"train_merged": (merged, _LABELLED, {}, "train", "parquet"),
+           "train_set1": (s1, _LABELLED, {}, "train", "csv"), "train_set2": (s2, _LABELLED, {}, "train", "csv")}
+    out |= {n: (c.filter(F.col("id") % 10 == d), _LABELLED, {}, "train", "csv") for n, d in _S2018.items()}
+    out |= {f"{n}_processed": (out[n][0], _LABELLED, {}, "train", "parquet") for n in _S2018}
+    out |= {
+        "validation": (v, keyed, {}, "valid", "csv"),
+        "valid_en1": (v.withColumnRenamed("comment_text", "comment_text_en"), "id bigint, comment_text_en string, toxic double",
+                      {"comment_text_en": "comment_text"}, "valid", "csv"),
+        "valid_en2": (v.select("id", F.lower("comment_text").alias("translated"), "toxic"), "id bigint, translated string, toxic double",
+                      {"translated": "comment_text"}, "valid", "csv"),
+        "valid_en3": (v, _LABELLED, {}, "valid", "parquet"),
+        "test": (test, "id bigint, content string, lang string", {"content": "comment_text"}, "test", "csv"),
+        "test_en1": (test.withColumnRenamed("content", "content_en"), "id bigint, content_en string", {"content_en": "comment_text"}, "test", "csv"),
+        "test_en2": (test.select("id", F.lower("content").alias("translated")), "id bigint, translated string", {"translated": "comment_text"}, "test", "parquet"),
+        "sample_submission": (test.select("id", F.lit(0.5).alias("toxic")), "id bigint, toxic double", {}, "template", "csv"),
+        "pool": (T.pool_source(spark, sf_dir), keyed, {}, "pool", "parquet")}
+    return out
+
+
+def landed_catalog(spark, sf_dir, names=None) -> REG.Catalog:
+    """Write the named tables (all by default) to the shared folder and register them by path."""
+    catalog = REG.Catalog()
+    for name, (rows, ddl, renames, role, fmt) in _landed(spark, sf_dir).items():
+        if names is None or name in names:
+            path, rows = scratch_path(spark, name), rows.select(*REG.schema_of(ddl).names)
+            if fmt == "csv":
+                C.write_csv(rows, path)
+            else:
+                rows.write.parquet(path)
+            catalog.register(name, path, ddl, renames, role, fmt)
+    return catalog
+
+
 def _registry_sql() -> str:
-    v = S.VALID
-    parts = [
-        f"SELECT 'train_set1' AS name, count(*) AS n_rows FROM {S.SET1} a",
-        f"SELECT 'train_set2', count(*) FROM {S.SET2} b",
-        f"SELECT 'validation', count(*) FROM {v} c",
-        f"SELECT 'valid_en1', count(*) FROM {v} d",
-        f"SELECT 'valid_en2', count(*) FROM {v} e",
-        f"SELECT 'valid_en3', count(*) FROM {v} f",
-        "SELECT 'test', count(*) FROM documents",
-        "SELECT 'test_en1', count(*) FROM documents",
-        "SELECT 'test_en2', count(*) FROM documents",
-        "SELECT 'pool', count(*) FROM conversations",
-    ]
-    return "\nUNION ALL ".join(parts)
+    v, s1, s2, c = S.VALID, S.SET1, S.SET2, S.COMMENTS
+    of = {"train_merged": f"(SELECT id FROM {s1} a UNION ALL SELECT id FROM {s2} b)", "train_set1": s1, "train_set2": s2, "validation": v,
+          "valid_en1": v, "valid_en2": v, "valid_en3": v, "pool": "conversations", "test": "documents", "test_en1": "documents",
+          "test_en2": "documents", "sample_submission": "documents"}
+    for n, d in _S2018.items():
+        of[n] = of[f"{n}_processed"] = f"(SELECT id FROM {c} q WHERE id % 10 = {d})"
+    return "\nUNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n_rows FROM {t} x" for n, t in of.items())
 
 
 @register("dataset_registry", sql=_registry_sql())
 def dataset_registry(spark, sf_dir):
-    parts = [REG.load(spark, sf_dir, n).agg(F.count(F.lit(1)).alias("n_rows"))
-             .select(F.lit(n).alias("name"), "n_rows") for n in REG.REGISTRY]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    catalog = landed_catalog(spark, sf_dir)
+    parts = [catalog.load(spark, n).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("name"), "n_rows") for n in catalog]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-@register("select_sources", sql=f"""
-SELECT source, count(*) AS n_rows, CAST(count(*) FILTER (WHERE toxic >= 0.95) AS BIGINT) AS n_pos FROM (
-  SELECT toxic, 'train_set1' AS source FROM {S.SET1} a
-  UNION ALL SELECT toxic, 'validation' FROM {S.VALID} b
-  UNION ALL SELECT toxic, 'train_set2' FROM {S.soft_set2()} c) u
-GROUP BY source
-""")
+def _selected(variant: str, parts: dict[str, str]) -> str:
+    rows = " UNION ALL ".join(f"SELECT comment_text, toxic, '{n}' AS source FROM {t} t" for n, t in parts.items())
+    return (f"SELECT '{variant}' AS variant, source, count(*) AS n_rows, round(sum(toxic), 6) AS sum_toxic, "
+            f"CAST(sum(length(comment_text)) AS BIGINT) AS n_chars FROM ({rows}) u GROUP BY source")
+
+
+_BIN2 = f"(SELECT comment_text, CAST(toxic >= 0.95 AS INTEGER) AS toxic FROM {S.soft_set2()} b)"
+_FLOOR2 = f"(SELECT comment_text, CASE WHEN toxic >= 0.95 THEN toxic ELSE 0.0 END AS toxic FROM {S.soft_set2()} b)"
+_2018 = {n: f"(SELECT * FROM {S.COMMENTS} q WHERE id % 10 = {d})" for n, d in _S2018.items()}
+
+
+@register("select_sources", sql="\nUNION ALL ".join([
+    _selected("default", {"train_set1": S.SET1, "train_set2": _BIN2}),
+    _selected("extra", {"train_set1": S.SET1, **_2018, "train_set2": _BIN2}),
+    _selected("float_labels", {"train_set1": S.SET1, "train_set2": _FLOOR2}),
+    _selected("merged", {"train_merged": f"(SELECT comment_text, toxic FROM {S.SET1} a UNION ALL SELECT * FROM {_BIN2} c)"})]))
 def select_sources(spark, sf_dir):
-    u = REG.select_sources(spark, sf_dir, merged=False, use_set2=True, extra=("validation",))
-    return u.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"),
-                                   F.count_if(F.col("toxic") >= TOXIC_THRESHOLD).alias("n_pos"))
+    catalog = landed_catalog(spark, sf_dir, {REG.MERGED, REG.SET1, REG.SET2, *REG.EXTRA})
+    variants = {"default": {}, "extra": {"extra": True}, "float_labels": {"float_labels": True}, "merged": {"merged": True}}
+    parts = [REG.select_sources(catalog, spark, **flags).withColumn("variant", F.lit(v)) for v, flags in variants.items()]
+    u = reduce(lambda a, b: a.unionByName(b), parts)
+    return u.groupBy("variant", "source").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("toxic"), 6).alias("sum_toxic"),
+                                              F.sum(F.length("comment_text")).cast("bigint").alias("n_chars"))
 
 
 def _submission(spark, sf_dir):
@@ -102,38 +152,55 @@ def submission_sink(spark, sf_dir):
     return C.read_csv(spark, path, schema)
 
 
-@register("part_submissions")
+@register("part_submissions", sql="SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_ids, 0::BIGINT AS n_empty_parts FROM documents")
 def part_submissions(spark, sf_dir):
-    # every writing task leaves its own uniquely named part file
+    # every writing task leaves its own uniquely named part file; together they hold every id once
     path = C.write_csv(_submission(spark, sf_dir), scratch_path(spark, "node-submissions"))
     schema = TY.StructType([TY.StructField("id", TY.LongType()), TY.StructField("toxic", TY.DoubleType())])
     rows = C.part_files(C.read_csv(spark, path, schema))
-    return rows.groupBy("part_file").agg(F.count(F.lit(1)).alias("n_rows"))
+    parts = rows.groupBy("part_file").agg(F.count("toxic").alias("n"))
+    return rows.agg(F.count("toxic").alias("n_rows"), F.countDistinct("id").alias("n_ids")).withColumn(
+        "n_empty_parts", parts.agg(F.count_if(F.col("n") == 0)).scalar())
 
 
-@register("per_model_sink", sql=f"WITH {VIEW_SQL} SELECT view AS model, id, round(logit, 9) AS toxic FROM views")
+@register("per_model_sink", sql=MODEL_SQL)
 def per_model_sink(spark, sf_dir):
-    from sluice.plans.q_scoring import multi_view_score
-    long_ = multi_view_score(spark, sf_dir).withColumnRenamed("view", "model").withColumnRenamed("logit", "toxic")
-    path = C.write_partitioned(long_, scratch_path(spark, "per-model"), "model")
-    return spark.read.parquet(path).select("model", "id", "toxic")
+    """Three models over two views, one CSV folder for each model, read back."""
+    rows = model_scores(spark, sf_dir).withColumn("toxic", F.round("toxic", 9))
+    path = C.write_partitioned(rows, scratch_path(spark, "per-model"), "model", "csv")
+    schema = TY.StructType([TY.StructField("id", TY.LongType()), TY.StructField("toxic", TY.DoubleType())])
+    parts = [C.read_csv(spark, f"{path}/model={m}", schema).withColumn("model", F.lit(m)) for m in MODELS]
+    return reduce(lambda a, b: a.unionByName(b), parts).select("model", "id", "toxic")
 
 
-@register("metric_log")
+def log_metrics(spark, path: str, rows, split: str, loss: str = "weighted_bce") -> None:
+    """Append a split's loss and AUC per epoch to the log at ``path``, and the seconds that they took."""
+    started = time.time()
+    losses = loss_by_name(loss, rows, "x", "y", "w", ["epoch"])
+    done = materialize(losses.join(roc_auc(rows, "y", "score", ["epoch"]).select("epoch", "auc"), "epoch"))
+    seconds = time.time() - started  # of this split's job, which has run by now
+    C.append_log(done.select("epoch", F.lit(split).alias("split"), "loss", F.col("auc").alias("score"), F.lit(seconds).alias("seconds")), path)
+
+
+def _log_sql(split: str, rest: int) -> str:
+    rows = f"(SELECT step // 25 + 1 AS epoch, y, score, (loss - 250.0) / 50.0 AS x FROM {S.METRIC_ROWS} m WHERE step % 2 = {rest})"
+    return f"""SELECT l.epoch, '{split}' AS split, l.loss, a.auc AS score FROM (
+  SELECT epoch, round(avg(greatest(x, 0) - x * y + ln(1 + exp(-abs(x)))), 9) AS loss FROM {rows} r GROUP BY epoch) l
+JOIN (SELECT epoch, round((sum(ar) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0)
+        / nullif(count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0), 0), 9) AS auc
+      FROM (SELECT epoch, y, rank() OVER (PARTITION BY epoch ORDER BY score)
+                   + (count(*) OVER (PARTITION BY epoch, score) - 1) / 2.0 AS ar FROM {rows} r) k GROUP BY epoch) a USING (epoch)"""
+
+
+@register("metric_log", sql=_log_sql("train", 0) + "\nUNION ALL " + _log_sql("valid", 1))
 def metric_log(spark, sf_dir):
+    """The log of two splits; the table also has the seconds, which no SQL can tell."""
     m = T.metric_rows(spark, sf_dir).withColumn("epoch", (F.col("step") / 25).cast("bigint") + 1)
     m = m.withColumn("x", (F.col("loss") - 250.0) / 50.0).withColumn("w", F.lit(1.0))
     path = scratch_path(spark, "metric-log")
-    started = time.time()
-    for split in ("train", "valid"):
-        part = m.filter((F.col("step") % 2 == 0) if split == "train" else (F.col("step") % 2 == 1))
-        loss = weighted_bce(part, "x", "y", "w", ["epoch"])
-        auc = roc_auc(part, "y", "score", ["epoch"])
-        row = loss.join(auc.select("epoch", "auc"), "epoch").select(
-            "epoch", F.lit(split).alias("split"), "loss", F.col("auc").alias("score"),
-            F.lit(round(time.time() - started, 3)).alias("seconds"))
-        C.append_log(row, path)
-    return spark.read.parquet(path)
+    for rest, split in enumerate(("train", "valid")):
+        log_metrics(spark, path, m.filter(F.col("step") % 2 == rest), split)
+    return spark.read.parquet(path).select("epoch", "split", F.round("loss", 9).alias("loss"), F.round("score", 9).alias("score"))
 
 
 # --- projections and null handling -------------------------------------------------
@@ -143,8 +210,8 @@ SELECT id, comment_text, toxic, 'valid_en1' AS view FROM {S.VALID} a
 UNION ALL SELECT id, lower(comment_text), toxic, 'valid_en2' FROM {S.VALID} b
 """)
 def rename_to_common(spark, sf_dir):
-    a = REG.load(spark, sf_dir, "valid_en1").withColumn("view", F.lit("valid_en1"))
-    b = REG.load(spark, sf_dir, "valid_en2").withColumn("view", F.lit("valid_en2"))
+    catalog = landed_catalog(spark, sf_dir, {"valid_en1", "valid_en2"})
+    a, b = (catalog.load(spark, n).withColumn("view", F.lit(n)) for n in catalog)
     return a.unionByName(b).select("id", "comment_text", "toxic", "view")
 
 

@@ -80,37 +80,39 @@ def focal_loss(spark, sf_dir):
     return out.select("step", F.round("loss", 9).alias("loss"))
 
 
-EMB_LOGITS = """(SELECT vec_id, vec_id // 16 AS batch, label % 2 AS target,
-                  CAST(embedding[1] AS DOUBLE) * 10 AS x0, CAST(embedding[2] AS DOUBLE) * 10 AS x1 FROM embeddings)"""
-
-
-@register("label_smoothing_loss", sql=f"""
-WITH l AS (SELECT batch, target, x0 - (greatest(x0, x1) + ln(exp(x0 - greatest(x0, x1)) + exp(x1 - greatest(x0, x1)))) AS lp0,
-                  x1 - (greatest(x0, x1) + ln(exp(x0 - greatest(x0, x1)) + exp(x1 - greatest(x0, x1)))) AS lp1
-           FROM {EMB_LOGITS} e)
-SELECT batch, round(avg(0.9 * -(CASE WHEN target = 0 THEN lp0 ELSE lp1 END) + 0.1 * -((lp0 + lp1) / 2)), 9) AS smoothed,
-       round(avg(-(CASE WHEN target = 0 THEN lp0 ELSE lp1 END)), 9) AS plain
-FROM l GROUP BY batch
+@register("label_smoothing_loss", sql="""
+WITH e AS (SELECT vec_id // 16 AS batch, label % len(embedding) AS target,
+                  list_transform(embedding, lambda v: CAST(v AS DOUBLE) * 10) AS x FROM embeddings),
+m AS (SELECT *, list_max(x) + ln(list_sum(list_transform(x, lambda v: exp(v - list_max(x))))) AS lse FROM e),
+l AS (SELECT batch, lse - x[target + 1] AS nll, lse - list_sum(x) / len(x) AS mean_neg FROM m)
+SELECT batch, round(avg(0.9 * nll + 0.1 * mean_neg), 9) AS smoothed, round(avg(nll), 9) AS plain FROM l GROUP BY batch
 """)
 def label_smoothing_loss(spark, sf_dir):
     e = T.table(spark, sf_dir, "embeddings")
-    x = e.select((F.col("vec_id") / 16).cast("bigint").alias("batch"), (F.col("label") % 2).alias("target"),
-                 F.array(F.col("embedding")[0].cast("double") * 10,
-                         F.col("embedding")[1].cast("double") * 10).alias("logits"))
+    x = e.select((F.col("vec_id") / 16).cast("bigint").alias("batch"), (F.col("label") % F.size("embedding")).alias("target"),
+                 F.transform("embedding", lambda v: v.cast("double") * 10).alias("logits"))
     out = A.label_smoothing_loss(x, "logits", "target", ["batch"])
     return out.select("batch", F.round("smoothed", 9).alias("smoothed"), F.round("plain", 9).alias("plain"))
 
 
-@register("pool_mean_max", sql="""
-SELECT label, CAST(dim - 1 AS INTEGER) AS dim, round(avg(CAST(v AS DOUBLE)), 6) AS mean_v, round(max(CAST(v AS DOUBLE)), 6) AS max_v
+POOL_SQL = """(SELECT label, CAST(dim - 1 AS INTEGER) AS dim, round(avg(CAST(v AS DOUBLE)), 6) AS mean_v, round(max(CAST(v AS DOUBLE)), 6) AS max_v
 FROM (SELECT label, unnest(embedding) AS v, unnest(generate_series(1, len(embedding))) AS dim FROM embeddings) e
-GROUP BY label, dim
-""")
+GROUP BY label, dim)"""
+
+
+@register("pool_mean_max", sql=f"SELECT * FROM {POOL_SQL} p")
 def pool_mean_max(spark, sf_dir):
     e = T.table(spark, sf_dir, "embeddings")
-    out = A.pool_mean_max_long(e, "label", "vec_id", "embedding")
-    return out.select("label", "dim", F.round("mean_v", 6).alias("mean_v"),
-                      F.round(F.col("max_v").cast("double"), 6).alias("max_v"))
+    out = A.pool_mean_max_long(e, "label", "embedding")
+    return out.select("label", "dim", F.round("mean_v", 6).alias("mean_v"), F.round("max_v", 6).alias("max_v"))
+
+
+@register("pool_mean_max_vector", sql=f"""
+SELECT label, list_concat(list(mean_v ORDER BY dim), list(max_v ORDER BY dim)) AS pooled FROM {POOL_SQL} p GROUP BY label
+""")
+def pool_mean_max_vector(spark, sf_dir):
+    out = A.pool_mean_max(T.table(spark, sf_dir, "embeddings"), "label", "embedding")
+    return out.select("label", F.transform("pooled", lambda v: F.round(v, 6)).alias("pooled"))
 
 
 @register("average_meter", sql=f"""

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sluice.functions.labels import TOXIC_THRESHOLD
+from sluice.functions.labels import target_pair
 from sluice.operators import sampling as M
+from sluice.operators.labels import loss_weight
 from sluice.operators.sets import combine_train_valid, dedup_text, union_sources
 from sluice.plans import sqltext as S
 from sluice.plans.registry import register
@@ -45,21 +46,48 @@ def shuffle_head(spark, sf_dir):
     return M.shuffle_head(d, 2000).select("id", "ord")
 
 
-def _compose(spark, sf_dir):
-    s1 = T.set1(spark, sf_dir)
-    s2 = T.soft_set2(spark, sf_dir)
-    pos = s2.filter(F.col("toxic") >= TOXIC_THRESHOLD)
-    neg = M.sample_exact_n(s2.filter(F.col("toxic") == 0), N_NEG, salt="negatives")
-    return union_sources({"set1": s1, "set2_pos": pos, "set2_neg": neg}, "part")
+# set2 as the training table has it: labels below the threshold are 0 from the load on
+S2_FLOOR = f"(SELECT id, CASE WHEN toxic >= 0.95 THEN toxic ELSE 0.0 END AS toxic FROM {SOFT2} w)"
 
 
 @register("compose_trainset", sql=f"""
 SELECT id, toxic, 'set1' AS part FROM {S.SET1} a
-UNION ALL SELECT id, toxic, 'set2_pos' FROM {SOFT2} b WHERE toxic >= 0.95
-UNION ALL SELECT id, toxic, 'set2_neg' FROM {_first_n_sql(f"(SELECT * FROM {SOFT2} q WHERE toxic = 0)", N_NEG, S.sql_u32('id', 'negatives'))} c
+UNION ALL SELECT id, toxic, 'set2_pos' FROM {S2_FLOOR} b WHERE toxic > 0
+UNION ALL SELECT id, toxic, 'set2_neg' FROM {_first_n_sql(f"(SELECT * FROM {S2_FLOOR} q WHERE toxic = 0)", N_NEG, S.sql_u32('id', 'negatives'))} c
 """)
-def compose_trainset(spark, sf_dir):
-    return _compose(spark, sf_dir).select("id", "toxic", "part")
+def compose_trainset(spark, sf_dir, n_negatives: int = N_NEG):
+    return M.compose_trainset(T.set1(spark, sf_dir), T.soft_set2(spark, sf_dir), n_negatives, "floor").select("id", "toxic", "part")
+
+
+_TRAIN_PLAN_PARTS = f"""
+  SELECT id, toxic, 'train' AS part FROM (
+    SELECT id, toxic FROM {S.SET1} a
+    UNION ALL SELECT id, 1.0 FROM {S2_FLOOR} b WHERE toxic > 0
+    UNION ALL SELECT id, toxic FROM {_first_n_sql(f"(SELECT * FROM {S2_FLOOR} q WHERE toxic = 0)", N_NEG, S.sql_u32('id', 'negatives'))} c) t
+  UNION ALL SELECT id, toxic, 'valid' FROM {S.VALID} d
+  UNION ALL SELECT id, toxic, 'en1' FROM {S.VALID} e
+  UNION ALL SELECT id, toxic, 'en2' FROM {S.VALID} f"""
+
+
+def _ratio(table: str) -> str:
+    return (f"(SELECT count(*) FILTER (WHERE toxic = 1) / CAST(count(*) FILTER (WHERE toxic = 1) + count(*) FILTER (WHERE toxic = 0) AS DOUBLE) "
+            f"FROM {table} r)")
+
+
+@register("train_plan", sql=f"""
+WITH u AS ({_TRAIN_PLAN_PARTS}),
+w AS (SELECT *, CASE WHEN toxic = 0 THEN {_ratio('u')} / {_ratio(S.VALID)} ELSE toxic END AS weight FROM u)
+SELECT id, part, {S.sql_u32("concat_ws('|', id, part)", 'combine')} AS ord, [toxic, round(weight, 9)] AS targets FROM w
+""")
+def train_plan(spark, sf_dir, n_negatives: int = N_NEG):
+    """The composed training table as one plan: M4, U2, A1 with L6 by ratio, target pairs."""
+    train = M.compose_trainset(T.set1(spark, sf_dir), T.soft_set2(spark, sf_dir), n_negatives, "binarise")
+    valid = T.valid(spark, sf_dir)
+    cols = ["id", "comment_text", "toxic"]
+    views = {"en1": valid.select(*cols), "en2": valid.withColumn("comment_text", F.lower("comment_text")).select(*cols)}
+    both = combine_train_valid(train, valid, views)
+    weighted = loss_weight(both, valid, mode="ratio").withColumn("weight", F.round("weight", 9))
+    return weighted.select("id", "part", "ord", target_pair("toxic", "weight").alias("targets"))
 
 
 @register("positives_plus_n", sql=f"""
@@ -77,12 +105,12 @@ def positives_plus_n(spark, sf_dir):
 SELECT epoch, id FROM (
   SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY
      {S.sql_u32('id', 'negatives', 42, 'epoch')}, id) AS _rn
-  FROM (SELECT * FROM {SOFT2} q WHERE toxic = 0) n, range(1, 4) e(epoch)) x
+  FROM (SELECT * FROM {S2_FLOOR} q WHERE toxic = 0) n, range(1, 4) e(epoch)) x
 WHERE _rn <= {N_NEG}
 """)
-def epoch_resample(spark, sf_dir):
-    neg = T.soft_set2(spark, sf_dir).filter(F.col("toxic") == 0)
-    return M.epoch_negatives(neg, N_NEG, epochs=3).select(F.col("epoch").cast("bigint"), "id")
+def epoch_resample(spark, sf_dir, n_negatives: int = N_NEG):
+    neg = M.training_labels(T.soft_set2(spark, sf_dir)).filter(F.col("toxic") == 0)
+    return M.epoch_negatives(neg, n_negatives, epochs=3).select(F.col("epoch").cast("bigint"), "id")
 
 
 @register("probability_gate", sql=f"""
@@ -147,7 +175,7 @@ WITH u AS (
   UNION ALL SELECT id, comment_text, toxic, 'en1' FROM {S.VALID} c
   UNION ALL SELECT id, lower(comment_text), toxic, 'en2' FROM {S.VALID} d
   UNION ALL SELECT id, comment_text, toxic, 'en3' FROM {S.VALID} e)
-SELECT id, part, toxic, length(comment_text) AS n_chars,
+SELECT id, part, toxic, md5(comment_text) AS text_md5,
        {S.sql_u32("concat_ws('|', id, part)", 'combine')} AS ord FROM u
 """)
 def combine_train_valid_q(spark, sf_dir):
@@ -157,7 +185,7 @@ def combine_train_valid_q(spark, sf_dir):
     en2 = va.select("id", F.lower("comment_text").alias("comment_text"), "toxic")
     en3 = va.select("id", "comment_text", "toxic")
     out = combine_train_valid(tr, va, {"en1": en1, "en2": en2, "en3": en3})
-    return out.select("id", "part", "toxic", F.length("comment_text").cast("bigint").alias("n_chars"), "ord")
+    return out.select("id", "part", "toxic", F.md5("comment_text").alias("text_md5"), "ord")
 
 
 @register("dedup_text", sql="""

@@ -8,7 +8,6 @@ from sluice.functions import scoring as SC
 from sluice.functions.text import clean_text
 from sluice.operators import sampling as M
 from sluice.operators import scoring as R
-from sluice.operators.sets import union_sources
 from sluice.plans import sqltext as S
 from sluice.plans.registry import register
 from sluice.sources import tables as T
@@ -130,58 +129,102 @@ def submission_join(spark, sf_dir):
     return out.select("id", "lang", F.round("toxic", 9).alias("toxic"))
 
 
-@register("assign_score", sql=SUBMISSION_SQL)
+@register("assign_score", sql=f"""
+WITH {VIEW_SQL}, s AS (SELECT id, avg(logit) AS toxic FROM views WHERE view <> 'clean' GROUP BY id)
+SELECT d.doc_id AS id, round(s.toxic, 9) AS toxic, d.lang FROM documents d JOIN s ON d.doc_id = s.id WHERE d.lang <> 'fr'
+""")
 def assign_score(spark, sf_dir):
-    # The template's own `toxic` column is replaced by the keyed scores
-    scores = R.ensemble_mean(_long_scores(spark, sf_dir), "id")
-    tmpl = _template(spark, sf_dir)
-    out = R.submission_join(tmpl, scores, "id", "toxic")
-    return out.select("id", "lang", F.round("toxic", 9).alias("toxic"))
+    # The template's own `toxic` column is replaced where it stands; it holds fewer rows than were scored
+    scores = R.ensemble_mean(_long_scores(spark, sf_dir).filter(F.col("view") != "clean"), "id")
+    template = _template(spark, sf_dir).select("id", "toxic", "lang").filter(F.col("lang") != "fr")
+    return R.assign_score(template, scores).withColumn("toxic", F.round("toxic", 9))
+
+
+# three models of the same features: the fixed head, a flatter one and one that only counts marks
+MODELS = {"base": (TW, TB), "flat": (tuple(x / 2 for x in TW), 0.25), "marks": ((0.0, 0.0, 30.0, 4.0), -1.0)}
+
+
+def _text_logit_of(t: str, weights, bias: float) -> str:
+    n = f"CAST(length({t}) AS DOUBLE)"
+    feats = (f"ln(1 + {n})", f"ln(1 + CAST(len({S.tokens(t)}) AS DOUBLE))", f"({n} - length(replace({t}, '!', ''))) / ({n} + 1)",
+             f"({n} - length(regexp_replace({t}, '\\p{{Lu}}', '', 'g'))) / ({n} + 1)")
+    return "(" + " + ".join(f"{w!r} * {f}" for w, f in zip(weights, feats)) + f" + {bias!r})"
+
+
+def model_scores(spark, sf_dir):
+    """Three models over two views, the views' mean per model and id: ``(model, id, toxic)``."""
+    views = {"orig": F.col("content"), "lower": F.lower("content")}
+    long_ = R.views_from_columns(T.test_table(spark, sf_dir), "id", views, "text")
+    feats = long_.select("id", "view", SC.text_features("text").alias("features"))
+    return R.ensemble_mean(R.score_models(feats, "id", "features", MODELS), ["model", "id"])
 
 
-# --- fitting (rows-only checks: iterative solvers have no SQL form) ---------------
+MODEL_SQL = "\nUNION ALL ".join(
+    f"SELECT '{name}' AS model, doc_id AS id, round(({_text_logit_of('text', w, b)} + {_text_logit_of('lower(text)', w, b)}) / 2, 9) AS toxic FROM documents"
+    for name, (w, b) in MODELS.items())
+
+
+# --- fitting -----------------------------------------------------------------------
+# The solvers' numbers have no SQL form; the queries return what a fit saw and scored, which
+# SQL can count. tests/test_fitting.py recomputes loss and AUC from the scored rows.
 
 EPOCHS = 3
 N_NEG = 100
 
 
-def _train_by_epoch(spark, sf_dir):
-    s1 = T.set1(spark, sf_dir)
-    s2 = T.soft_set2(spark, sf_dir)
-    pos = s2.filter(F.col("toxic") >= 0.95)
-    neg = M.epoch_negatives(s2.filter(F.col("toxic") == 0), N_NEG, EPOCHS)
-    fixed = union_sources({"set1": s1, "set2_pos": pos}, "part")
-    per_epoch = fixed.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))))
-    return per_epoch.unionByName(neg.withColumn("part", F.lit("set2_neg")).withColumn("epoch", F.col("epoch").cast("int")))
+def train_by_epoch(spark, sf_dir, n_negatives: int = N_NEG, epochs: int = EPOCHS, mode: str = "floor"):
+    """M4 for every epoch, without the validation rows."""
+    return M.epoch_trainsets(T.set1(spark, sf_dir), T.soft_set2(spark, sf_dir), n_negatives, epochs, mode,
+                             exclude=T.valid(spark, sf_dir))
+
 
+def scored_epochs(spark, sf_dir):
+    """(training rows by epoch, validation rows scored by each epoch's model)."""
+    tr = train_by_epoch(spark, sf_dir)
+    return tr, R.score_epochs(R.fit_epochs(tr, EPOCHS), T.valid(spark, sf_dir))
 
-@register("fit_classifier")
+
+_S2 = f"(SELECT id, CASE WHEN toxic >= 0.95 THEN toxic ELSE 0.0 END AS toxic FROM {S.soft_set2()} q WHERE id % 5 <> 0)"
+_NEGS = f"""(SELECT epoch, id, toxic FROM (
+  SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY {S.sql_u32('id', 'negatives', 42, 'epoch')}, id) AS rn
+  FROM {_S2} n, range(1, {EPOCHS + 1}) e(epoch) WHERE toxic = 0) x WHERE rn <= {N_NEG})"""
+TRAIN_SQL = f"""train AS (
+  SELECT epoch, id, toxic FROM (SELECT id, toxic FROM {S.SET1} a WHERE id % 5 <> 0
+                                UNION ALL SELECT id, toxic FROM {_S2} b WHERE toxic >= 0.95) f, range(1, {EPOCHS + 1}) e(epoch)
+  UNION ALL SELECT epoch, id, toxic FROM {_NEGS} c)"""
+
+
+@register("fit_classifier", sql=f"""
+WITH {TRAIN_SQL}
+SELECT CAST(epoch AS INTEGER) AS epoch, count(*) AS n_train, CAST(count(*) FILTER (WHERE toxic >= 0.95) AS BIGINT) AS n_train_pos,
+       round(sum(CASE WHEN toxic = 0 THEN 0.9 ELSE toxic END), 6) AS train_weight, (SELECT count(*) FROM {S.VALID} v) AS n_scored
+FROM train GROUP BY epoch
+""")
 def fit_classifier(spark, sf_dir):
-    tr = _train_by_epoch(spark, sf_dir)
-    valid = T.valid(spark, sf_dir)
-    models = R.fit_epochs(tr, EPOCHS)
-    return R.evaluate_epochs(models, valid).select("epoch", "loss", "auc")
+    tr, scored = scored_epochs(spark, sf_dir)
+    seen = R.prepare_training(tr).groupBy("epoch").agg(
+        F.count(F.lit(1)).alias("n_train"), F.count_if(F.col("label") == 1).alias("n_train_pos"), F.round(F.sum("weight"), 6).alias("train_weight"))
+    return seen.join(scored.groupBy("epoch").agg(F.count("prob").alias("n_scored")), "epoch")
 
 
-@register("evaluate_epochs")
+@register("evaluate_epochs", sql=f"""
+SELECT CAST(epoch AS INTEGER) AS epoch, CAST(count(*) FILTER (WHERE toxic >= 0.95) AS BIGINT) AS n_pos,
+       CAST(count(*) FILTER (WHERE toxic < 0.95) AS BIGINT) AS n_neg
+FROM {S.VALID} v, range(1, {EPOCHS + 1}) e(epoch) GROUP BY epoch
+""")
 def evaluate_epochs(spark, sf_dir):
-    from sluice.operators.metrics import best_epoch
+    """Every epoch's model on validation rows that no fit saw; loss and AUC are there, the query returns the counts."""
+    ev = R.evaluate_epochs(scored_epochs(spark, sf_dir)[1])
+    # an epoch without a finite loss or an AUC would be no row
+    return ev.filter(~F.isnan("loss") & F.col("loss").isNotNull() & F.col("auc").between(0, 1)).select("epoch", "n_pos", "n_neg")
 
-    tr = _train_by_epoch(spark, sf_dir)
-    valid = T.valid(spark, sf_dir)
-    ev = R.evaluate_epochs(R.fit_epochs(tr, EPOCHS), valid)
-    best = best_epoch(ev.select("epoch", "auc"))
-    return ev.withColumn("best_epoch", best.select("best_epoch").scalar()).withColumn(
-        "best_auc", best.select("best_auc").scalar())
 
-
-@register("tune_then_score")
-def tune_then_score(spark, sf_dir):
+def tune_rounds(spark, sf_dir):
     """Q7: two more fits with the validation rows added (round 2 trains longer,
     as continued training would), scoring the test table after each."""
     from concurrent.futures import ThreadPoolExecutor
 
-    tr = _train_by_epoch(spark, sf_dir).filter(F.col("epoch") == 1)
+    tr = train_by_epoch(spark, sf_dir, epochs=1)
     valid = T.valid(spark, sf_dir)
     test = T.test_table(spark, sf_dir).withColumnRenamed("content", "comment_text")
     cols = ["id", "comment_text", "toxic"]
@@ -196,4 +239,17 @@ def tune_then_score(spark, sf_dir):
     for rnd, model in models.items():
         s = R.score_with(model, test).select(F.lit(rnd).alias("round"), "id", F.col("prob").alias("toxic"))
         out = s if out is None else out.unionByName(s)
-    return out
+    return data, out
+
+
+@register("tune_then_score", sql=f"""
+WITH {TRAIN_SQL}
+SELECT CAST(r.round AS INTEGER) AS round, count(*) AS n_rows, count(DISTINCT doc_id) AS n_ids,
+       (SELECT count(*) FROM train WHERE epoch = 1) + (SELECT count(*) FROM {S.VALID} v) AS n_train
+FROM documents d, range(1, 3) r(round) GROUP BY r.round
+""")
+def tune_then_score(spark, sf_dir):
+    data, out = tune_rounds(spark, sf_dir)
+    n = data.agg(F.count(F.lit(1))).scalar()
+    return out.filter(F.col("toxic").between(0, 1)).groupBy("round").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("id").alias("n_ids")).withColumn("n_train", n)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sluice.functions import sequences as Q
+from sluice.functions.text import as_text
 from sluice.operators import sequences as SQ
 from sluice.operators.sampling import with_order
 from sluice.plans import sqltext as S
@@ -23,8 +24,8 @@ def _vocab(spark, sf_dir):
     return SQ.build_vocab(_docs(spark, sf_dir), "text", VOCAB_SIZE)
 
 
-def _tokens(spark, sf_dir):
-    return SQ.encode_tokens(_docs(spark, sf_dir), "doc_id", "text", _vocab(spark, sf_dir))
+def _tokens(spark, sf_dir, cut=None):
+    return SQ.encode_tokens(_docs(spark, sf_dir), "doc_id", "text", _vocab(spark, sf_dir), cut)
 
 
 WITH_ENC = f"WITH {S.vocab_cte(VOCAB_SIZE)},\n{S.encoded_cte('documents', 'doc_id', 'text')}\n"
@@ -42,7 +43,7 @@ FROM enc_t t LEFT JOIN vocab v ON t.token = v.token
 def vocab_join(spark, sf_dir):
     d = _docs(spark, sf_dir)
     t = d.select("doc_id", F.posexplode(Q.tokenize("text")).alias("pos", "token"))
-    v = F.broadcast(_vocab(spark, sf_dir).select("token", "token_id"))
+    v = _vocab(spark, sf_dir).select("token", "token_id")
     return t.join(v, "token", "left").select(
         "doc_id", "pos", "token", F.coalesce("token_id", F.lit(Q.UNK_ID)).cast("int").alias("token_id"))
 
@@ -57,7 +58,8 @@ SELECT doc_id, {S.head_tail(S.with_markers('tokens'), L)} AS ids_even,
        {S.head_tail(S.with_markers('tokens'), L - 1)} AS ids_odd FROM enc
 """)
 def truncate_head_tail(spark, sf_dir):
-    t = _tokens(spark, sf_dir).select("doc_id", Q.add_markers("tokens").alias("ids"))
+    # what L keeps holds what L - 1 keeps
+    t = _tokens(spark, sf_dir, (L, "head_tail")).select("doc_id", Q.add_markers("tokens").alias("ids"))
     return t.select("doc_id", Q.truncate_head_tail("ids", L).alias("ids_even"),
                     Q.truncate_head_tail("ids", L - 1).alias("ids_odd"))
 
@@ -73,7 +75,7 @@ def _inner_sql(L_: int) -> str:
 SELECT doc_id, {_inner_sql(L)} AS ids_even, {_inner_sql(L - 1)} AS ids_odd FROM enc
 """)
 def truncate_inner(spark, sf_dir):
-    t = _tokens(spark, sf_dir)
+    t = _tokens(spark, sf_dir, (L, "inner"))
     return t.select("doc_id", Q.truncate_inner("tokens", L).alias("ids_even"),
                     Q.truncate_inner("tokens", L - 1).alias("ids_odd"))
 
@@ -83,7 +85,7 @@ SELECT doc_id, CASE WHEN len(list_concat([2], tokens, [3])) > 196
   THEN list_concat(list_concat([2], tokens, [3])[1:195], [3]) ELSE list_concat([2], tokens, [3]) END AS ids FROM enc
 """)
 def truncate_right(spark, sf_dir):
-    t = _tokens(spark, sf_dir)
+    t = _tokens(spark, sf_dir, (196, "right"))
     return t.select("doc_id", Q.truncate_right(Q.add_markers("tokens"), 196).alias("ids"))
 
 
@@ -92,7 +94,7 @@ PADDED = S.pad_to(S.head_tail(S.with_markers("tokens"), L), L)
 
 @register("pad_right", sql=WITH_ENC + f"SELECT doc_id, {PADDED} AS ids FROM enc")
 def pad_right(spark, sf_dir):
-    t = _tokens(spark, sf_dir)
+    t = _tokens(spark, sf_dir, (L, "head_tail"))
     return t.select("doc_id", Q.pad_right(Q.truncate_head_tail(Q.add_markers("tokens"), L), L).alias("ids"))
 
 
@@ -113,8 +115,7 @@ def attention_mask(spark, sf_dir):
 
 @register("token_type_ids", sql=f"SELECT doc_id, list_transform(range({L}), lambda x: 0) AS token_type_ids FROM documents")
 def token_type_ids(spark, sf_dir):
-    p = _padded(spark, sf_dir)
-    return p.select("doc_id", "token_type_ids")
+    return _docs(spark, sf_dir).select("doc_id", Q.token_type_ids(L).alias("token_type_ids"))
 
 
 @register("token_length", sql=WITH_ENC + f"""
@@ -154,7 +155,11 @@ def _batches(spark, sf_dir, drop_last=False):
 
 @register("length_buckets", sql=ENC_C + "SELECT id, bucket, batch_id, pos_in_batch FROM batches")
 def length_buckets(spark, sf_dir):
-    return _batches(spark, sf_dir).select("id", "bucket", "batch_id", "pos_in_batch")
+    # pads follow from the number of tokens alone: no vocabulary, no ids, only narrow columns are ranked
+    c = T.comments(spark, sf_dir).select("id", Q.token_count(as_text("comment_text")).alias("n"))
+    c = with_order(c, "id", "shuffle", 42, "ord")
+    pads = F.greatest(F.lit(L) - F.col("n") - 2, F.lit(0))
+    return SQ.bucket_batches(c, pads, "ord", "id", BS)
 
 
 @register("trim_batch", sql=ENC_C + """

@@ -7,31 +7,40 @@ from pyspark.sql import functions as F
 from sluice.plans import sqltext as S
 from sluice.plans.q_scoring import _text_logit_sql
 from sluice.plans.registry import register
+from sluice.session import scratch_path
 from sluice.sources import tables as T
 from sluice.streaming import streams as ST
 
 
+def _stream(spark, sf_dir, name):
+    return ST.file_stream(spark, sf_dir, T.table(spark, sf_dir, name).schema, glob=f"{name}.parquet")
+
+
 @register("stream_clean_score", sql=f"""
-SELECT doc_id AS id, {S.clean_text('text')} AS clean, round({_text_logit_sql(S.clean_text('text'))}, 9) AS logit
+SELECT doc_id AS id, {S.clean_text('text', 'lang')} AS clean, round({_text_logit_sql(S.clean_text('text', 'lang'))}, 9) AS logit
 FROM documents
 """)
 def stream_clean_score(spark, sf_dir):
-    schema = T.table(spark, sf_dir, "documents").schema
-    out = ST.stream_clean_score(spark, sf_dir, schema, glob="documents.parquet")
-    return out.select("id", "clean", F.round("logit", 9).alias("logit"))
-
-
-@register("stream_meters", sql="""
-WITH r AS (SELECT CAST(event_type = 'error' AS INTEGER) AS y, value / 500.0 AS score FROM events
-           UNION ALL SELECT 0, 0.5 UNION ALL SELECT 1, 0.5),
-rk AS (SELECT y, (rank() OVER (ORDER BY score) + rank() OVER (ORDER BY score)
-                  + count(*) OVER (PARTITION BY score) - 1) / 2.0 AS ar FROM r)
-SELECT (SELECT round(avg(value), 9) FROM events) AS avg_loss, (SELECT count(*) FROM events) AS n_rows,
-       round((sum(ar) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0)
-             / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0)), 9) AS auc
-FROM rk
+    src = _stream(spark, sf_dir, "documents")
+    sink = scratch_path(spark, "st1")
+    out = ST.stream_clean_score(src, f"{sink}/rows", f"{sink}/checkpoint", "doc_id", "text", "lang")
+    return out.select(F.col("doc_id").alias("id"), "clean", F.round("logit", 9).alias("logit"))
+
+
+@register("stream_meters", sql=f"""
+WITH e AS (SELECT CASE WHEN event_id % 5 = 0 THEN 'valid' ELSE 'train' END AS split, CAST(event_type = 'error' AS INTEGER) AS y,
+                  floor(least(greatest(value / 500.0, 0), 1) * {ST.METER_BINS}) / {ST.METER_BINS}.0 AS score, value FROM events),
+r AS (SELECT split, y, score FROM e
+      UNION ALL SELECT DISTINCT split, 0, 0.5 FROM e UNION ALL SELECT DISTINCT split, 1, 0.5 FROM e),
+rk AS (SELECT split, y, rank() OVER (PARTITION BY split ORDER BY score) + (count(*) OVER (PARTITION BY split, score) - 1) / 2.0 AS ar FROM r),
+a AS (SELECT split, round((sum(ar) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0)
+             / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0)), 9) AS auc FROM rk GROUP BY split)
+SELECT split, round(avg(value), 9) AS avg_loss, count(*) AS n_rows, any_value(auc) AS auc FROM e JOIN a USING (split) GROUP BY split
 """)
 def stream_meters(spark, sf_dir):
-    schema = T.table(spark, sf_dir, "events").schema
-    out = ST.stream_meters(spark, sf_dir, schema, glob="events.parquet")
-    return out.select(F.round("avg_loss", 9).alias("avg_loss"), "n_rows", F.round("auc", 9).alias("auc"))
+    src = _stream(spark, sf_dir, "events")
+    state = scratch_path(spark, "st2")
+    ST.update_meters(src, f"{state}/snapshots", f"{state}/checkpoint", F.col("event_type") == "error", F.col("value") / 500.0,
+                     F.col("value"), F.when(F.col("event_id") % 5 == 0, "valid").otherwise("train"))
+    out = ST.read_meters(ST.last_snapshot(spark, f"{state}/snapshots"))
+    return out.select("split", F.round("avg_loss", 9).alias("avg_loss"), "n_rows", F.round("auc", 9).alias("auc"))

@@ -1,89 +1,109 @@
 """Named catalogue of input tables (S4) and source selection.
 
-Every entry names a loader ``(spark, sf_dir) -> DataFrame`` and the rename
-map that brings it to the common schema ``(id, comment_text, toxic[, lang])``.
+An entry is data, not code: where a table lies, its schema, how its columns are
+renamed to the common ``(id, comment_text, toxic[, lang])`` and what it is for. A
+user registers their own tables by path.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluice.functions.text import clean_text
-from sluice.sources import tables as T
+from sluice.operators.sampling import training_labels
+from sluice.sources.csv_io import read_csv
 
-Loader = Callable[[SparkSession, str], DataFrame]
+ROLES = ("train", "valid", "test", "template", "pool")
+
+
+def schema_of(ddl: str) -> T.StructType:
+    """The schema written as DDL, such as ``id bigint, comment_text string``."""
+    return T.StructType.fromDDL(ddl)
 
 
 @dataclass(frozen=True)
 class Entry:
+    """A table at ``path`` as ``csv`` or ``parquet``; ``cleaned_path`` holds its pre-cleaned copy, if there is one."""
+
     name: str
-    loader: Loader
-    renames: dict = field(default_factory=dict)
+    path: str
+    schema: T.StructType
+    renames: Mapping[str, str] = field(default_factory=dict)
     role: str = "train"
+    fmt: str = "csv"
+    cleaned_path: str | None = None
+
+
+class Catalog:
+    def __init__(self) -> None:
+        self._entries: dict[str, Entry] = {}
+
+    def register(self, name: str, path: str, schema: T.StructType | str, renames: Mapping[str, str] | None = None,
+                 role: str = "train", fmt: str = "csv", cleaned_path: str | None = None) -> Entry:
+        """Add a table; a name can be taken once, and renames must name columns of the schema."""
+        s = schema_of(schema) if isinstance(schema, str) else schema
+        if name in self._entries:
+            raise ValueError(f"table {name!r} is already registered")
+        if role not in ROLES or fmt not in ("csv", "parquet"):
+            raise ValueError(f"unknown role {role!r} or format {fmt!r}")
+        if missing := set(renames or {}) - set(s.names):
+            raise ValueError(f"renamed columns that the schema of {name!r} lacks: {sorted(missing)}")
+        self._entries[name] = e = Entry(name, path, s, dict(renames or {}), role, fmt, cleaned_path)
+        return e
+
+    def __getitem__(self, name: str) -> Entry:
+        return self._entries[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._entries)
+
+    def load(self, spark: SparkSession, name: str, columns: list[str] | None = None, common: bool = True,
+             cleaned: bool = False) -> DataFrame:
+        """A registered table, read with its schema and renamed to the common columns.
+
+        ``columns`` prunes by the file's names. ``cleaned`` reads the pre-cleaned
+        copy where one is registered, else cleans ``comment_text`` on the way (X10).
+        """
+        e = self[name]
+        path = e.cleaned_path if cleaned and e.cleaned_path else e.path
+        if e.fmt == "csv":
+            df = read_csv(spark, path, e.schema, columns)
+        else:
+            df = spark.read.schema(e.schema).parquet(path).select(*(columns or e.schema.names))
+        if common and e.renames:
+            df = df.withColumnsRenamed({k: v for k, v in e.renames.items() if k in df.columns})
+        if cleaned and not e.cleaned_path:
+            if "comment_text" not in df.columns:
+                raise ValueError("the cleaned variant needs the common column names")
+            df = df.withColumn("comment_text", clean_text(F.col("comment_text")))
+        return df
+
+
+#: Names under which ``select_sources`` finds the training tables.
+MERGED, SET1, SET2 = "train_merged", "train_set1", "train_set2"
+EXTRA = ("train_2018_es", "train_2018_other")
+
+
+def select_sources(catalog: Catalog, spark: SparkSession, merged: bool = False, extra: bool = False,
+                   float_labels: bool = False, threshold: float = 0.95, cleaned: bool = False) -> DataFrame:
+    """Flags choose which tables enter training: ``(id, comment_text, toxic, source)``.
+
+    ``merged`` takes the single pre-merged table alone. Otherwise set1, with
+    ``extra`` also the 2018 sets, and set2, whose soft labels are floored
+    (``float_labels``, L2) or binarised (L1). Missing texts become ``'none'`` (P3).
+    """
+    names = [MERGED] if merged else [SET1, *(EXTRA if extra else ()), SET2]
 
+    def part(name: str) -> DataFrame:
+        df = catalog.load(spark, name, cleaned=cleaned).select("id", "comment_text", "toxic")
+        if name == SET2:
+            df = training_labels(df, "floor" if float_labels else "binarise", threshold)
+        return df.fillna({"comment_text": "none"}).withColumn("source", F.lit(name))
 
-def _en1(spark, sf_dir):
-    return T.translated_views(spark, sf_dir)[0].filter(F.col("id") % 5 == 0)
-
-
-def _en2(spark, sf_dir):
-    return T.translated_views(spark, sf_dir)[1].filter(F.col("id") % 5 == 0)
-
-
-def _test_en(spark, sf_dir):
-    return T.test_table(spark, sf_dir).select("id", F.col("content").alias("content_en"))
-
-
-def _test_tr(spark, sf_dir):
-    return T.test_table(spark, sf_dir).select("id", F.lower("content").alias("translated"))
-
-
-REGISTRY: dict[str, Entry] = {e.name: e for e in [
-    Entry("train_set1", T.set1),
-    Entry("train_set2", T.soft_set2),
-    Entry("validation", T.valid, role="valid"),
-    Entry("valid_en1", _en1, {"comment_text_en": "comment_text"}, role="valid"),
-    Entry("valid_en2", _en2, {"translated": "comment_text"}, role="valid"),
-    Entry("valid_en3", T.valid, role="valid"),
-    Entry("test", T.test_table, {"content": "comment_text"}, role="test"),
-    Entry("test_en1", _test_en, {"content_en": "comment_text"}, role="test"),
-    Entry("test_en2", _test_tr, {"translated": "comment_text"}, role="test"),
-    Entry("pool", T.pool_source, role="pool"),
-]}
-
-
-def load(spark: SparkSession, sf_dir: str, name: str, common: bool = True,
-         cleaned: bool = False) -> DataFrame:
-    """Load a registered table, renamed to the common column names.
-
-    ``cleaned=True`` gives the pre-cleaned variant of the table: the same
-    rows with ``comment_text`` passed through ``clean_text`` (X10), as one
-    projection on top of the scan rather than a second copy of the data.
-    """
-    e = REGISTRY[name]
-    df = e.loader(spark, sf_dir)
-    if common and e.renames:
-        df = df.withColumnsRenamed(e.renames)
-    if cleaned:
-        if "comment_text" not in df.columns:
-            raise ValueError("the cleaned variant needs the common column names")
-        df = df.withColumn("comment_text", clean_text(F.col("comment_text")))
-    return df
-
-
-def select_sources(spark: SparkSession, sf_dir: str, merged: bool = False,
-                   use_set2: bool = True, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Flags choose which tables enter training, unioned with a ``source`` column.
-
-    ``merged`` uses the single pre-merged table (set1); otherwise set1, the
-    ``extra`` registered tables and (if ``use_set2``) set2 are combined.
-    """
-    names = ["train_set1"] if merged else ["train_set1", *extra] + (["train_set2"] if use_set2 else [])
-    parts = [load(spark, sf_dir, n).select("id", "comment_text", "toxic").withColumn("source", F.lit(n))
-             for n in names]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return reduce(lambda a, b: a.unionByName(b), [part(n) for n in names])

@@ -3,21 +3,24 @@
 Both read a file source (new Parquet files as they arrive), reuse the same
 column expressions as the batch operators, and run with
 ``trigger(availableNow=True)``: every file present is processed, in as many
-micro-batches as ``maxFilesPerTrigger`` allows, and the query stops. The
-checkpoint lives under the shared ``spark.checkpoint.dir`` so a restarted
-driver resumes where it stopped.
+micro-batches as ``maxFilesPerTrigger`` allows, and the query stops. Sink and
+checkpoint are the caller's paths, on shared storage: a query started again
+with the same ones goes on where the last one stopped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.functions.scoring import TEXT_HEAD_BIAS, TEXT_HEAD_WEIGHTS, linear_head, text_features
 from sluice.functions.text import clean_text
-from sluice.operators.metrics import roc_auc_counts
-from sluice.session import scratch_path
+from sluice.operators.metrics import checked_score, roc_auc_counts
+
+METER_BINS = 1 << 16
 
 
 def file_stream(spark: SparkSession, directory: str, schema: T.StructType, glob: str | None = None,
@@ -28,53 +31,88 @@ def file_stream(spark: SparkSession, directory: str, schema: T.StructType, glob:
     return r.parquet(directory)
 
 
-def stream_clean_score(spark: SparkSession, directory: str, schema: T.StructType,
-                       glob: str | None = None, files_per_trigger: int = 1) -> DataFrame:
-    """ST1: clean and score arriving documents; returns the sink read as a table."""
-    src = file_stream(spark, directory, schema, glob, files_per_trigger)
-    out = src.select(F.col("doc_id").alias("id"), clean_text(F.col("text")).alias("clean"))
-    out = out.withColumn("logit", linear_head(text_features("clean"), TEXT_HEAD_WEIGHTS, TEXT_HEAD_BIAS))
-    sink = scratch_path(spark, "st1-sink")
-    q = (out.writeStream.format("parquet").option("checkpointLocation", sink + "-ckpt")
+def stream_clean_score(src: DataFrame, sink: str, checkpoint: str, key: str = "id", text_col: str = "comment_text",
+                       lang_col: str | None = None, weights: Sequence[float] = TEXT_HEAD_WEIGHTS,
+                       bias: float = TEXT_HEAD_BIAS) -> DataFrame:
+    """ST1: clean and score arriving texts into the Parquet table ``sink``; returns it.
+
+    Rows ``(key, clean, logit)``. The file sink's log makes each input file
+    count once, also over restarts.
+    """
+    out = src.select(key, clean_text(F.col(text_col), lang_col).alias("clean"))
+    out = out.withColumn("logit", linear_head(text_features("clean"), weights, bias))
+    q = (out.writeStream.format("parquet").option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start(sink))
     q.awaitTermination()
-    return spark.read.schema("id bigint, clean string, logit double").parquet(sink)
+    return src.sparkSession.read.schema(out.schema).parquet(sink)
+
 
+def binned(score: Column, bins: int) -> Column:
+    """The lower edge of a score's bin; scores are clamped to [0, 1]."""
+    s = F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))
+    return F.floor(s * bins) / F.lit(float(bins))
 
-def stream_meters(spark: SparkSession, directory: str, schema: T.StructType,
-                  glob: str | None = None, files_per_trigger: int = 1, seeds: bool = True,
-                  score_digits: int | None = None) -> DataFrame:
-    """ST2: running loss mean and AUC state, updated per micro-batch.
 
-    State = class counts per distinct score plus the loss sum / count. Each
-    micro-batch's complete state replaces the previous snapshot in the
-    sink (``foreachBatch``); the final snapshot gives the meters. The seed
-    points (0, .5) and (1, .5) are added when the AUC is read out.
-    The state has one row per distinct score; for an unbounded stream pass
-    ``score_digits`` to round scores first, which bounds the state at
-    ``10^digits + 1`` rows per meter (the AUC is then that of the rounded scores).
+def update_meters(src: DataFrame, snapshots: str, checkpoint: str, y: Column, score: Column, loss: Column,
+                  split: Column, bins: int = METER_BINS) -> None:
+    """ST2's state: class counts, loss sum and rows per (split, score bin), ``bins`` + 1 rows per split at most.
+
+    Every micro-batch writes the complete state to a folder of its own,
+    ``snapshots/batch=<id>``, and then drops the one before the last: a driver
+    that dies while writing leaves the last whole snapshot, and the batch is
+    written again after a restart.
     """
-    src = file_stream(spark, directory, schema, glob, files_per_trigger)
-    rows = src.select((F.col("event_type") == "error").cast("int").alias("y"),
-                      (F.col("value") / 500.0).alias("score"), F.col("value").alias("loss"))
-    if score_digits is not None:
-        rows = rows.withColumn("score", F.round("score", score_digits))
-    state = rows.groupBy("score").agg(F.count_if(F.col("y") == 1).alias("pos"),
-                                      F.count_if(F.col("y") == 0).alias("neg"),
-                                      F.sum("loss").alias("loss_sum"), F.count(F.lit(1)).alias("n"))
-    snap = scratch_path(spark, "st2-state")
+    rows = src.select(split.alias("split"), y.cast("int").alias("y"), binned(checked_score(score, y), bins).alias("score"), loss.alias("loss"))
+    state = rows.groupBy("split", "score").agg(
+        F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"),
+        F.sum("loss").alias("loss_sum"), F.count(F.lit(1)).alias("n"))
 
     def write_snapshot(batch_df: DataFrame, batch_id: int) -> None:
-        batch_df.write.mode("overwrite").parquet(snap)
+        batch_df.write.mode("overwrite").parquet(f"{snapshots}/batch={batch_id}")
+        _remove(batch_df.sparkSession, f"{snapshots}/batch={batch_id - 2}")
 
     q = (state.writeStream.outputMode("complete").foreachBatch(write_snapshot)
-         .option("checkpointLocation", snap + "-ckpt").trigger(availableNow=True).start())
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    final = spark.read.parquet(snap)
-    counts = final.select("score", "pos", "neg")
+
+
+def _fs(spark: SparkSession, path: str):
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()), p
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+STATE = "split string, score double, pos bigint, neg bigint, loss_sum double, n bigint"
+
+
+def last_snapshot(spark: SparkSession, snapshots: str) -> DataFrame:
+    """The last whole snapshot of the meters' state; no rows before the first batch."""
+    fs, p = _fs(spark, snapshots)
+    done = []
+    if fs.exists(p):
+        for s in fs.listStatus(p):
+            name = s.getPath().getName()
+            if name.startswith("batch=") and fs.exists(s.getPath().suffix("/_SUCCESS")):
+                done.append(int(name.removeprefix("batch=")))
+    return spark.read.schema(STATE).parquet(f"{snapshots}/batch={max(done)}") if done else spark.createDataFrame([], STATE)
+
+
+def read_meters(state: DataFrame, seeds: bool = True) -> DataFrame:
+    """Loss mean, rows and AUC per split: ``(split, avg_loss, n_rows, auc)``.
+
+    ``seeds`` adds the points (0, .5) and (1, .5) that the meter starts from. The
+    AUC is that of the binned scores.
+    """
+    counts = state.select("split", "score", "pos", "neg")
     if seeds:
-        seed = spark.createDataFrame([(0.5, 1, 1)], "score double, pos bigint, neg bigint")
-        counts = counts.unionByName(seed).groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    auc = roc_auc_counts(counts, "score", "pos", "neg").select("auc").scalar()
-    loss = final.agg((F.sum("loss_sum") / F.sum("n")).alias("avg_loss"), F.sum("n").cast("bigint").alias("n_rows"))
-    return loss.withColumn("auc", auc)
+        one = F.lit(1).cast("bigint")
+        seed = state.select("split").distinct().select("split", F.lit(0.5).alias("score"), one.alias("pos"), one.alias("neg"))
+        counts = counts.unionByName(seed).groupBy("split", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    auc = roc_auc_counts(counts, "score", "pos", "neg", ["split"]).select(F.col("split").alias("_split"), "auc")
+    loss = state.groupBy("split").agg((F.sum("loss_sum") / F.sum("n")).alias("avg_loss"), F.sum("n").cast("bigint").alias("n_rows"))
+    return loss.join(auc, F.col("split").eqNullSafe(F.col("_split"))).drop("_split")
