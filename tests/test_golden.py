@@ -196,3 +196,20 @@ def test_ensemble_mean(spark):
 
 def test_one_hot(spark):
     assert spark.range(1).select(L.one_hot(F.lit(1), 2)).first()[0] == [0.0, 1.0]
+
+
+@pytest.mark.parametrize("lang,text,out", [
+    ("en", "Mr. X met Dr. Y. They left!  Then? ok", ["Mr. X met Dr. Y.", "They left!", "Then?", "ok"]),
+    (None, "Mr. X. Go.", ["Mr. X.", "Go."]), ("de", "Mr. X. Go.", ["Mr. X.", "Go."]),
+    ("fr", "M. X est Mr. Y. Fin.", ["M. X est Mr.", "Y.", "Fin."]), ("es", "La Sra. X y Ud. van. Fin.", ["La Sra. X y Ud. van.", "Fin."]),
+    ("ru", "Живёт в Г. Москва. Да.", ["Живёт в Г. Москва.", "Да."]), ("tr", "Örn. bu. Evet.", ["Örn. bu.", "Evet."]),
+    ("en", "Hammr. X e.g. this\nis. It", ["Hammr.", "X e.g. this\nis.", "It"]), ("en", "", [""]),
+])
+def test_split_sentences_by_language(spark, lang, text, out):
+    df = spark.createDataFrame([(text, lang)], "t string, lang string")
+    assert df.select(X.split_sentences("t", "lang")).first()[0] == out
+
+
+def test_pool_mean_max_vector(spark):
+    df = spark.createDataFrame([(1, [1.0, -5.0]), (1, [3.0, -1.0]), (2, [0.0, 2.0]), (2, None)], "k int, v array<float>")
+    assert {r.k: r.pooled for r in A.pool_mean_max(df, "k", "v").collect()} == {1: [2.0, -3.0, 3.0, -1.0], 2: [0.0, 2.0, 0.0, 2.0]}

@@ -5,8 +5,13 @@ import re
 
 import pytest
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 import __spark_entry__ as E
 from conftest import SF01
+from sluice.operators import metrics as A
+from sluice.operators import sequences as SQ
 
 
 def plan_of(spark, key):
@@ -31,8 +36,8 @@ def test_sampling_sorts_only_the_cut_bin(spark):
     # every row_number window is partitioned (by epoch and hash bin)
     for w in re.findall(r"Window \[row_number\(\).*?\], \[([^\]]*)\]", p):
         assert "epoch" in w and "_bin" in w
-    # the per-epoch cut (at most `epochs` rows) is broadcast and joined on (bin, epoch)
-    assert re.search(r"BroadcastHashJoin \[_bin#\d+L?, epoch#\d+\], \[_cut_bin", p)
+    # the per-epoch cut (at most `epochs` rows, a parameter) is broadcast; rows do not shuffle by epoch
+    assert re.search(r"BroadcastHashJoin \[[^\n]*epoch#\d+", p)
 
 
 def test_dedup_collapses_duplicates_before_the_shuffle(spark):
@@ -41,11 +46,38 @@ def test_dedup_collapses_duplicates_before_the_shuffle(spark):
     assert not windows_without_partition(p)
 
 
-def test_auc_has_no_window_over_all_rows(spark):
-    p = plan_of(spark, "roc_auc")
+def test_auc_has_no_window_over_all_rows_and_no_forced_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan_of(spark, "roc_auc")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     for w in re.findall(r"Window \[.*?\], \[([^\]]*)\], \[", p):
         assert "epoch" in w
-    assert "Exchange SinglePartition" not in p
+    assert "Exchange SinglePartition" not in p and "Broadcast" not in p and "SortMergeJoin" in p
+
+
+def test_auc_ranges_follow_the_scores(spark):
+    # 99 % of the scores lie below 1e-5: no window partition holds more than a few percent of them
+    n = 40_000
+    rows = spark.range(n).select((F.col("id") % 7 == 0).cast("int").alias("y"), F.when(F.col("id") % 100 == 0, F.col("id") / n)
+                                 .otherwise(F.col("id") / n * 1e-5).alias("_s"))
+    sizes = [r["count"] for r in A.score_bins(rows.select("_s").distinct(), "_s", 64).groupBy("_bin").count().collect()]
+    assert max(sizes) < 0.04 * n
+    plain = rows.withColumn("score", F.rank().over(Window.orderBy("_s")).cast("double"))
+    assert abs(A.roc_auc(rows, "y", "_s", bins=64).first().auc - A.roc_auc(plain, "y", "score", bins=3).first().auc) < 1e-12
+
+
+def test_encoding_looks_up_only_what_it_keeps(spark):
+    df = spark.createDataFrame([(1, "a " * 5000)], "id long, t string")
+    vocab = spark.createDataFrame([("a", 4)], "token string, token_id int")
+    p = SQ.encode(df, "id", "t", vocab, 192)._jdf.queryExecution().executedPlan().toString()
+    assert "slice(" in p[p.rindex("Generate posexplode"):].split("\n")[0] + p[p.index("Generate posexplode"):].split("\n")[0]
+
+
+def test_length_buckets_ranks_narrow_rows(spark):
+    p = plan_of(spark, "length_buckets")
+    assert "array<int>" not in p and "token_type_ids" not in p and "mask" not in p
 
 
 def test_flagship_filter_reaches_the_scan(spark):

@@ -1,8 +1,5 @@
 """Properties: idempotence, exact sizes, partition independence, streaming = batch."""
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from conftest import SF01
@@ -11,7 +8,6 @@ from sluice.operators import metrics as A
 from sluice.operators import sampling as M
 from sluice.operators.sequences import build_vocab, encode, length_buckets
 from sluice.sources import tables as T
-from sluice.streaming import streams as ST
 
 
 def test_clean_text_idempotent(spark):
@@ -59,24 +55,6 @@ def test_auc_symmetry(spark):
     assert abs(a + b - 1) < 1e-9
 
 
-def test_streaming_equals_batch(spark):
-    docs = T.table(spark, SF01, "documents")
-    folder = tempfile.mkdtemp(prefix="sluice-stream-in-")
-    for i in range(3):
-        docs.filter(F.col("doc_id") % 3 == i).coalesce(1).write.parquet(os.path.join(folder, f"part{i}"))
-    src = os.path.join(folder, "all")
-    os.makedirs(src)
-    for i in range(3):
-        sub = os.path.join(folder, f"part{i}")
-        for f in os.listdir(sub):
-            if f.endswith(".parquet"):
-                os.link(os.path.join(sub, f), os.path.join(src, f"p{i}-{f}"))
-    streamed = ST.stream_clean_score(spark, src, docs.schema, files_per_trigger=1)
-    batch = docs.select(F.col("doc_id").alias("id"), X.clean_text("text").alias("clean"))
-    assert streamed.count() == batch.count()
-    assert streamed.select("id", "clean").exceptAll(batch).count() == 0
-
-
 def test_running_auc_hot_score_matches_pairwise(spark):
     # a third of the rows share one score: same result as the pairwise definition
     rows = []

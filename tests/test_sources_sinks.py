@@ -4,16 +4,13 @@ import os
 import tempfile
 
 import pytest
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from conftest import SF01
-from sluice.operators import metrics as A
 from sluice.operators import sampling as M
 from sluice.operators.scoring import submission_join
 from sluice.sources import csv_io as C
 from sluice.sources import tables as TB
-from sluice.streaming import streams as ST
 
 SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("comment_text", T.StringType()),
                        T.StructField("toxic", T.DoubleType())])
@@ -59,33 +56,78 @@ def test_shards_independent_of_partitioning(spark):
     assert a == b
 
 
-def test_stream_meters_equal_batch_meters(spark):
-    ev = TB.table(spark, SF01, "events")
-    folder = tempfile.mkdtemp(prefix="sluice-events-")
-    for i in range(4):
-        ev.filter(F.col("event_id") % 4 == i).coalesce(1).write.parquet(os.path.join(folder, f"b{i}"))
-    src = os.path.join(folder, "all")
-    os.makedirs(src)
-    for i in range(4):
-        sub = os.path.join(folder, f"b{i}")
-        for f in os.listdir(sub):
-            if f.endswith(".parquet"):
-                os.link(os.path.join(sub, f), os.path.join(src, f"b{i}-{f}"))
-    streamed = ST.stream_meters(spark, src, ev.schema, files_per_trigger=1).first()
-    rows = TB.metric_rows(spark, SF01).select("y", "score")
-    seeds = spark.createDataFrame([(0, 0.5), (1, 0.5)], "y int, score double")
-    auc = A.roc_auc(rows.unionByName(seeds)).first().auc
-    mean = ev.agg(F.avg("value")).first()[0]
-    assert streamed.n_rows == ev.count()
-    assert abs(streamed.auc - auc) < 1e-12 and abs(streamed.avg_loss - mean) < 1e-9
-
-
-def test_registry_cleaned_variant(spark):
+def test_csv_keeps_white_space_at_the_ends_of_a_text(spark, tmp_path):
+    texts = ["  lead", "trail  ", "tab\t", "\n nl", "in\r\nside", " "]
+    df = spark.createDataFrame([(i, t, 0.0) for i, t in enumerate(texts)], SCHEMA)
+    C.write_csv(df, f"{tmp_path}/t")
+    assert {r.id: r.comment_text for r in C.read_csv(spark, f"{tmp_path}/t", SCHEMA).collect()} == dict(enumerate(texts))
+    C.write_partitioned(df, f"{tmp_path}/p", "toxic", "csv")
+    part = T.StructType(SCHEMA.fields[:2])
+    assert {r.id: r.comment_text for r in C.read_csv(spark, f"{tmp_path}/p/toxic=0.0", part).collect()} == dict(enumerate(texts))
+
+
+def test_catalog_reads_by_path_schema_and_renames(spark, tmp_path):
     from sluice.functions.text import clean_text
     from sluice.sources import registry as REG
 
-    raw = REG.load(spark, SF01, "test_en2")
-    clean = REG.load(spark, SF01, "test_en2", cleaned=True)
-    assert raw.columns == clean.columns and "comment_text" in raw.columns
-    expect = raw.select("id", clean_text("comment_text").alias("comment_text"))
-    assert clean.select("id", "comment_text").exceptAll(expect).count() == 0
+    raw = spark.createDataFrame([(1, 'a 1 "b"\n@c d', 0.3), (2, None, 0.97), (3, "NA", 1.0)], "id long, content_en string, toxic double")
+    C.write_csv(raw, f"{tmp_path}/csv")
+    raw.write.parquet(f"{tmp_path}/parquet")
+    cat = REG.Catalog()
+    ddl, renames = "id bigint, content_en string, toxic double", {"content_en": "comment_text"}
+    cat.register("t_csv", f"{tmp_path}/csv", ddl, renames, "test", "csv", cleaned_path=f"{tmp_path}/parquet")
+    cat.register("t_parquet", f"{tmp_path}/parquet", ddl, renames, fmt="parquet")
+    a = {r.id: r.comment_text for r in cat.load(spark, "t_csv").collect()}
+    assert a == {1: 'a 1 "b"\n@c d', 2: None, 3: None}
+    assert cat.load(spark, "t_parquet", columns=["id"]).columns == ["id"]
+    clean = cat.load(spark, "t_parquet", cleaned=True)
+    assert clean.exceptAll(raw.select("id", clean_text("content_en").alias("comment_text"), "toxic")).count() == 0
+    for bad in [("t_csv", "x", ddl, {}), ("new", "x", ddl, {"nope": "comment_text"}), ("new", "x", ddl, {}, "judge")]:
+        with pytest.raises(ValueError):
+            cat.register(*bad)
+
+
+def test_source_flags(spark, tmp_path):
+    from sluice.sources import registry as REG
+
+    cat = REG.Catalog()
+    for n in (REG.MERGED, REG.SET1, REG.SET2, *REG.EXTRA):
+        rows = [(1, "a", 0.3), (2, None, 0.96), (3, "c", 1.0)]
+        spark.createDataFrame(rows, "id long, comment_text string, toxic double").write.parquet(f"{tmp_path}/{n}")
+        cat.register(n, f"{tmp_path}/{n}", "id bigint, comment_text string, toxic double", fmt="parquet")
+
+    def run(**flags):
+        out = {}
+        for r in REG.select_sources(cat, spark, **flags).collect():
+            out.setdefault(r.source, []).append((r.id, r.comment_text, r.toxic))
+        return {k: sorted(v) for k, v in out.items()}
+
+    raw = [(1, "a", 0.3), (2, "none", 0.96), (3, "c", 1.0)]
+    assert run() == {REG.SET1: raw, REG.SET2: [(1, "a", 0.0), (2, "none", 1.0), (3, "c", 1.0)]}
+    assert run(float_labels=True)[REG.SET2] == [(1, "a", 0.0), (2, "none", 0.96), (3, "c", 1.0)]
+    assert set(run(extra=True)) == {REG.SET1, REG.SET2, *REG.EXTRA}
+    assert run(merged=True, extra=True) == {REG.MERGED: raw}
+
+
+def test_scratch_needs_a_shared_folder_off_local_masters(spark):
+    from types import SimpleNamespace
+
+    from sluice import session
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=conf))
+    assert [session.is_local(m) for m in ("local", "local[4]", "local[*]", "local-cluster[2,1,1024]", "yarn")] == [True] * 3 + [False] * 2
+
+
+def test_scratch_is_removed(spark):
+    from sluice import session
+
+    path = session.scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    root = os.path.dirname(path)
+    local = root.removeprefix("file:")
+    assert os.path.exists(local)
+    session.remove_scratch(spark, root)
+    assert not os.path.exists(local)
