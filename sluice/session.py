@@ -13,6 +13,8 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -66,6 +68,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers of a session, as ``--py-files`` does.
+
+    Functions that run in tasks are imported there by name, so a worker must
+    find the package even where the driver was started in another folder.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_sluice_shipped", False):
+        return
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="sluice-package-")) / "sluice.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc._sluice_shipped = True
+
+
 def is_local(master: str) -> bool:
     """Whether driver and executors are one process (``local``, ``local[n]``)."""
     return master == "local" or master.startswith("local[")
