@@ -15,7 +15,8 @@ model, as is usual; all counts are over all training rows.
    the model decides (vocabulary words, and the ``hot`` most frequent bigrams) is
    summed where it is read; so a frequent word or pair is never sent. Other words
    and bigrams go to their bucket as postings, each distinct one once for a block
-   of documents, and meet the table there. Sums per document come back.
+   of documents, and meet the table there. What a bucket adds to a block's
+   documents comes back as one row, and the block adds it up.
 
 P(w | h) is d(c) c / c(h) for a bigram seen c times, else alpha(h) P(w). d(c) is
 Katz's discount for c up to 5, from the counts of counts. alpha(h) is what h's
@@ -286,9 +287,9 @@ class KatzModel:
 
 
 def fit(docs: DataFrame, text_col: str = "text", vocabulary: int = 1 << 16, hot: int = 1 << 18, buckets: int | None = None) -> KatzModel:
-    """Model of the rows of ``docs``. ``buckets`` are the parts of its tables, four for each shuffle partition unless given."""
+    """Model of the rows of ``docs``. ``buckets`` are the parts of its tables, two for each shuffle partition unless given."""
     spark = docs.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(text_col).cast("binary").alias("text"))
 
     def table(name: str, fn) -> DataFrame:
@@ -311,18 +312,20 @@ def fit(docs: DataFrame, text_col: str = "text", vocabulary: int = 1 << 16, hot:
 
 # scoring
 
-POSTINGS = "bucket int, kind int, keys binary, sizes binary, docs binary, ids binary"
+WORDS, PAIRS, WHOLE = 0, 1, 2  # kinds of postings; the last are rows of documents, packed
+POSTINGS = "block long, bucket int, kind int, keys binary, sizes binary, docs binary"
+ROW_FIELDS = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
 
 
 class Block:
     """Documents of a task, and their tokens that the broadcast part of the model does not decide."""
 
-    def __init__(self, vocab: Vocabulary, backoff: Backoff, hot: tuple[np.ndarray, np.ndarray], buckets: int, first: int):
-        self.vocab, self.backoff, self.hot, self.buckets, self.first = vocab, backoff, hot, buckets, first
-        self.words, self.pairs, self.at, self.rows, self.size = [], [], [], [], 0
+    def __init__(self, vocab: Vocabulary, backoff: Backoff, hot: tuple[np.ndarray, np.ndarray], buckets: int, number: int):
+        self.vocab, self.backoff, self.hot, self.buckets, self.number = vocab, backoff, hot, buckets, number
+        self.words, self.pairs, self.left, self.rows, self.size = [], [], [], [], 0
 
-    def add(self, h: np.ndarray) -> tuple[int, int, float, float]:
-        """Tokens, known tokens, base and score of a text as far as decided here."""
+    def add(self, doc_id: int | None, h: np.ndarray) -> None:
+        """A text: its row has tokens, known tokens, base and score as far as decided here."""
         v = self.vocab
         numbers = v.numbers(h)
         keys = v.bigrams(numbers)
@@ -331,17 +334,18 @@ class Block:
         known = self.hot[0][k] == keys if len(self.hot[0]) else np.zeros(len(keys), bool)
         self.words.append(h[~inside])
         self.pairs.append(keys[~known])
-        self.rows.append((int((~inside).sum()), int((~known).sum())))
+        self.left.append((int((~inside).sum()), int((~known).sum())))
         self.size += len(h)
-        c = v.counts[numbers[inside]] if v.size else np.zeros(0)
+        base = v.base(v.counts[numbers[inside]]).sum() if v.size else 0.0
         score = self.backoff.log_p(keys[known], self.hot[1][k[known]]).sum() if known.any() else 0.0
-        return len(h), int(inside.sum()), float(v.base(c).sum()), float(score)
+        self.rows.append((doc_id, len(h), int(inside.sum()), float(base), float(score)))
 
-    def postings(self) -> Iterator[pa.RecordBatch]:
+    def postings(self) -> pa.RecordBatch:
+        """Rows by bucket: distinct keys, how many documents each has, and these; and one row of the documents' rows."""
         rows = []
-        for kind, parts in enumerate((self.words, self.pairs)):
+        for kind, parts in ((WORDS, self.words), (PAIRS, self.pairs)):
             keys = np.concatenate(parts)
-            doc = np.repeat(np.arange(len(parts), dtype=np.uint32), [r[kind] for r in self.rows])
+            doc = np.repeat(np.arange(len(parts), dtype=np.uint32), [n[kind] for n in self.left])
             order = np.argsort(keys, kind="stable")
             keys, doc = keys[order], doc[order]
             own = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
@@ -350,82 +354,83 @@ class Block:
                 # the documents of the bucket's keys, one key after the other
                 n = size[at]
                 where = np.repeat(own[at] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                planes = doc[where].view(np.uint8).reshape(-1, 4).T
-                rows.append((b, kind, pack_sorted(keys[own][at]), pack(n.astype(np.uint32).view(np.uint8).reshape(-1, 4).T), pack(planes)))
-        ids = np.array([self.first], np.int64).tobytes()
-        cols = [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
-                *[pa.array([r[i] for r in rows], pa.binary()) for i in (2, 3, 4)], pa.array([ids] * len(rows), pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in POSTINGS.split(", ")])
+                rows.append((b, kind, pack_sorted(keys[own][at]), _planes(n), _planes(doc[where])))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        own_rows = pa.RecordBatch.from_arrays([pa.array([r[i] for r in self.rows], k) for i, k in enumerate(kinds)], ROW_FIELDS)
+        rows.append((self.number % self.buckets, WHOLE, _ipc(own_rows), None, None))
+        return pa.RecordBatch.from_arrays([pa.array([self.number] * len(rows), pa.int64()), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(
+            (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))]], [f.split()[0] for f in POSTINGS.split(", ")])
 
 
-def _from_planes(b, width: int, kind) -> np.ndarray:
-    return np.ascontiguousarray(unpack(b, np.uint8).reshape(width, -1).T).view(kind)[:, 0]
+def _planes(a: np.ndarray) -> bytes:
+    return pack(a.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
 
 
-ROWS = {"row": pa.int64(), "doc_id": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64()}
-WORDS, PAIRS, WHOLE = 0, 1, 2  # kinds of postings; the last are rows of documents, packed
+def _from_planes(b) -> np.ndarray:
+    return np.ascontiguousarray(unpack(b, np.uint8).reshape(4, -1).T).view(np.uint32)[:, 0].astype(np.int64)
 
 
-def packed_rows(rows: pa.RecordBatch, bucket: int) -> pa.RecordBatch:
+def _ipc(rows: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, rows.schema) as out:
         out.write_batch(rows)
-    body = [pa.array([x], pa.binary()) for x in (sink.getvalue().to_pybytes(), None, None, None)]
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([WHOLE], pa.int32()), *body], [f.split()[0] for f in POSTINGS.split(", ")])
+    return sink.getvalue().to_pybytes()
 
 
 def read_texts(batches: Iterator[pa.RecordBatch], vocab, backoff, hot, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Postings of what the tables must decide, and the rows of documents with what is decided here.
-
-    A document's row number is its place in the input: task and position.
-    """
-    hashes, n = WordHashes(), 0
-    task = TaskContext.get().partitionId() << 36
-    new = lambda: Block(vocab.value, backoff.value, hot.value, buckets, task + n)
-    block = new()
+    """Postings of what the tables must decide, block by block; blocks are numbered by task and place."""
+    hashes, n = WordHashes(), TaskContext.get().partitionId() << 28
+    block = Block(vocab.value, backoff.value, hot.value, buckets, n)
     for batch in batches:
-        rows, first = [], n
-        for t in batch.column(1).to_pylist():
-            rows.append(block.add(hashes.of(t)))
-            n += 1
+        for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            block.add(doc_id, hashes.of(t))
             if block.size >= BLOCK_TOKENS:
-                yield from block.postings()
-                block = new()
-        cols = [pa.array(task + np.arange(first, n)), batch.column(0), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(list(ROWS.values())[2:])]]
-        yield packed_rows(pa.RecordBatch.from_arrays(cols, list(ROWS)), ((task >> 36) + first) % buckets)
+                yield block.postings()
+                n += 1
+                block = Block(vocab.value, backoff.value, hot.value, buckets, n)
     if block.rows:
-        yield from block.postings()
+        yield block.postings()
 
 
-def decide(row: dict, table: tuple[np.ndarray, np.ndarray], vocab: Vocabulary, backoff: Backoff) -> pa.RecordBatch:
-    """Partial sums of one block's postings of a bucket."""
-    words = row["kind"] == WORDS
-    keys, sizes = unpack_sorted(row["keys"]), _from_planes(row["sizes"], 4, np.uint32).astype(np.int64)
-    doc = _from_planes(row["docs"], 4, np.uint32).astype(np.int64)
+def decide(row: dict, table: tuple[np.ndarray, np.ndarray], vocab: Vocabulary, backoff: Backoff) -> tuple[bytes, bytes, bytes]:
+    """What one block's postings of a bucket add: documents, known tokens, sums."""
+    keys, sizes, doc = unpack_sorted(row["keys"]), _from_planes(row["sizes"]), _from_planes(row["docs"])
     c = np.zeros(len(keys), np.int64)
     if len(table[0]):
         at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
         c = np.where(table[0][at] == keys, table[1][at], 0)
-    value = vocab.base(c) if words else backoff.log_p(keys, c)
+    value = vocab.base(c) if row["kind"] == WORDS else backoff.log_p(keys, c)
     own, inverse = np.unique(doc, return_inverse=True)
-    total = np.bincount(inverse, np.repeat(value, sizes), len(own))
     known = np.bincount(inverse, np.repeat((c > 0).astype(float), sizes), len(own)).astype(np.int64)
-    zero, none = np.zeros(len(own)), pa.nulls(len(own), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(own + int(np.frombuffer(row["ids"], np.int64)[0])), none, none, pa.array(known if words else np.zeros(len(own), np.int64)),
-                                       pa.array(total if words else zero), pa.array(zero if words else total)], list(ROWS))
+    return _planes(own), _planes(known), np.bincount(inverse, np.repeat(value, sizes), len(own)).tobytes()
+
+
+DECIDED = "block long, kind int, docs binary, known binary, sums binary"
 
 
 def decide_group(postings: pa.Table, tables: pa.Table, vocab, backoff) -> pa.Table:
-    """What one bucket's postings add to each document, from that bucket of both tables."""
+    """What one bucket's postings add to the documents of each block, from that bucket of both tables."""
     got = {k: (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for k in (WORDS, PAIRS)}
     for r in tables.to_pylist():
         got[r["kind"]] = unpack_sorted(r["keys"]), unpack(r["counts"], np.int64)
-    parts = []
-    for r in postings.to_pylist():
-        parts += pa.ipc.open_stream(r["keys"]).read_all().to_batches() if r["kind"] == WHOLE else [decide(r, got[r["kind"]], vocab.value, backoff.value)]
-    rows = pa.Table.from_batches(parts, pa.schema(ROWS)).group_by("row").aggregate(
-        [("doc_id", "max"), ("n_tokens", "max"), ("n_known", "sum"), ("base", "sum"), ("score", "sum")])
-    return rows.rename_columns(list(ROWS))
+    out = [(r["block"], r["kind"], *((r["keys"], None, None) if r["kind"] == WHOLE else decide(r, got[r["kind"]], vocab.value, backoff.value)))
+           for r in postings.to_pylist()]
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [f.split()[0] for f in DECIDED.split(", ")])
+
+
+def add_up(block: pa.Table) -> pa.Table:
+    """The documents' rows of one block with all that buckets add to them."""
+    parts = block.to_pylist()
+    rows = pa.ipc.open_stream(next(r["docs"] for r in parts if r["kind"] == WHOLE)).read_all()
+    sums = {n: rows.column(n).to_numpy().copy() for n in ROW_FIELDS[2:]}
+    for r in parts:
+        if r["kind"] != WHOLE:
+            doc, value = _from_planes(r["docs"]), np.frombuffer(r["sums"])
+            sums["base_score" if r["kind"] == WORDS else "score"][doc] += value
+            if r["kind"] == WORDS:
+                sums["n_known"][doc] += _from_planes(r["known"])
+    return pa.table([rows.column("doc_id"), rows.column("n_tokens"), *[pa.array(x) for x in sums.values()]], ROW_FIELDS)
 
 
 def score(docs: DataFrame, model: KatzModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -444,10 +449,9 @@ def score(docs: DataFrame, model: KatzModel, id_col: str = "doc_id", text_col: s
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     postings = base.mapInArrow(lambda it: read_texts(it, vocab, backoff, hot, buckets), POSTINGS)
     tables = model.words.withColumn("kind", F.lit(WORDS)).unionByName(model.bigrams.withColumn("kind", F.lit(PAIRS)))
-    partial = postings.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(
-        lambda a, b: decide_group(a, b, vocab, backoff), "row long, doc_id long, n_tokens long, n_known long, base double, score double")
-    return partial.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
-                                      F.sum("base").alias("base_score"), F.sum("score").alias("score")).drop("row")
+    decided = postings.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(
+        lambda a, b: decide_group(a, b, vocab, backoff), DECIDED)
+    return decided.groupBy("block").applyInArrow(add_up, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
