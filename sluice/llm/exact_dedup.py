@@ -35,10 +35,14 @@ def _slot(n: Column, prefix: Column, bits: int) -> Column:
 
 
 def surviving_keys(features: DataFrame) -> DataFrame:
-    """(n, prefix) of ``features`` that two rows or more share."""
+    """(n, prefix) of ``features`` that two rows or more share.
+
+    Only prefixes of shared lengths are grouped. Both groupings count map-side
+    before they shuffle, so a length that very many rows have is no hot task.
+    """
     lengths = features.groupBy("n").agg(F.count("*").alias("rows")).filter("rows > 1").select("n")
-    return (features.join(lengths, "n", "left_semi").groupBy("n", "prefix")
-            .agg(F.count("*").alias("rows")).filter("rows > 1").select("n", "prefix"))
+    keys = features.groupBy("n", "prefix").agg(F.count("*").alias("rows"))
+    return keys.join(lengths, "n", "left_semi").filter("rows > 1").select("n", "prefix")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
