@@ -176,9 +176,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     filt = docs.sparkSession.sparkContext.broadcast(seen_twice(base.select("body"), bits, min_chars))
     suspects = stored(base.select("doc_id", "body").mapInArrow(
         lambda it: suspects_of(it, filt.value, min_chars), "doc_id long, key binary"), "op3-suspects")
-    repeated = (suspects.groupBy("key")
-                .agg(F.countDistinct(F.struct("doc_id")).alias("n"), F.max("doc_id").alias("keeper"))
-                .filter(F.col("n") >= min_docs).select("key", "keeper"))
+    # a table of its own: both sides of the join below are then shuffles of their own, and AQE can split a hot line
+    repeated = stored(suspects.groupBy("key")
+                      .agg(F.countDistinct(F.struct("doc_id")).alias("n"), F.max("doc_id").alias("keeper"))
+                      .filter(F.col("n") >= min_docs).select("key", "keeper"), "op3-repeated")
     drops = (suspects.join(repeated, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
              .groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_set("key").alias("drops")))
     joined = base.join(drops, F.col("doc_id").eqNullSafe(F.col("drop_id")), "left")
