@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.session import scratch_path
+from sluice.session import remove_scratch, scratch_path
 
 #: The ASCII white space that the contracts name: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
@@ -23,7 +24,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing still to be computed reads."""
+    for t in tables:
+        remove_scratch(t.sparkSession, t._stored_path)
 
 
 def text_or_empty(col: str) -> Column:
@@ -42,3 +51,28 @@ WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <=
 def byte_words(text: bytes | None) -> list[bytes]:
     """The words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of a UTF-8 text with A-Z lower-cased."""
     return (text or b"").translate(WORD_BYTES).split()
+
+
+_RANDOM = np.random.default_rng(17).integers(0, 1 << 63, 256 + 64, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE, _PLACE = _RANDOM[:256], _RANDOM[256:]
+
+
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (``byte_words``) of all texts, one after the other, and each text's number of words.
+
+    A word's hash is a sum over its bytes, so that numpy makes all of them at once.
+    """
+    sizes = np.array([len(t or b"") + 1 for t in texts], np.int64)
+    data = np.frombuffer(b" ".join([t or b"" for t in texts]).translate(WORD_BYTES) + b" ", np.uint8)
+    inside = data != 32
+    first = np.flatnonzero(inside & np.r_[True, ~inside[:-1]])
+    if not len(first):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    letters = np.flatnonzero(inside)
+    at = np.searchsorted(letters, first)
+    n = np.diff(np.append(at, len(letters)))
+    place = (letters - np.repeat(first, n)) & 63
+    h = np.add.reduceat(_BYTE[data[letters]] * _PLACE[place], at)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    ends = np.searchsorted(first, np.cumsum(sizes))
+    return h ^ (h >> np.uint64(29)), np.diff(ends, prepend=0)

@@ -7,6 +7,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from sluice.llm import decontaminate as D
+from sluice.llm.common import byte_words, word_hashes
 
 SF = "/root/testdata/sf0.01"
 WORDS = [f"w{i}" for i in range(400)]
@@ -64,11 +65,21 @@ def test_svd_of_passages(spark):
     assert np.allclose(sigma, want[1][:5], rtol=1e-3) and np.allclose(np.abs((v[:12] * want[2][:5].T).sum(0)), 1, atol=1e-2)
 
 
+def test_word_hashes_tell_words_apart():
+    texts = [b"The cat's 12", None, b"", b" ?! ", "É cat the-THE".encode(), b"x" * 300, b"word " * 5, b"ab ba"]
+    h, sizes = word_hashes(texts)
+    words = [w for t in texts for w in byte_words(t)]
+    assert sizes.tolist() == [len(byte_words(t)) for t in texts] and len(h) == len(words)
+    assert len(set(h.tolist())) == len(set(words)) == len(set(zip(words, h.tolist(), strict=True)))
+    many = [b"%d" % i for i in range(200_000)]
+    assert len(set(word_hashes([b" ".join(many)])[0].tolist())) == len(many)
+
+
 def brute(texts, items):
     """Alignment of every item with every stretch of every text, without the search."""
     out = set()
     for d, t in texts:
-        words = D.byte_words((t or "").encode())
+        words = D.words_of((t or "").encode())
         sets = [(a, words[a:a + 160]) for a in range(0, max(1, len(words)), 40)]
         for it in items:
             for _, part in sets:

@@ -5,7 +5,7 @@ from test_line_dedup import brute as brute_lines
 from test_order_minhash import brute_groups
 
 from sluice.llm import bpe
-from sluice.llm.decontaminate import byte_words, items_of
+from sluice.llm.decontaminate import items_of, words_of
 
 LANGS = {"en": "the and of with this that house mat were they on is", "fr": "le la les des une dans avec sur est chat maison enfants"}
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, score string"
@@ -30,7 +30,7 @@ def test_against_brute_force(spark, tmp_path):
     group = brute_groups(rows)
     rows = [(i, t) for i, t in rows if group[i] == i]
     parts = items_of(items)
-    rows = [(i, t) for i, t in rows if not any(p.verified(byte_words(t.encode())[a:a + 100], 0.7, 0.5) for p in parts for a in range(0, 400, 10))]
+    rows = [(i, t) for i, t in rows if not any(p.verified(words_of(t.encode())[a:a + 100], 0.7, 0.5) for p in parts for a in range(0, 400, 10))]
     tok = bpe.load_tokenizer(bpe.word_bpe_source())
     want = {i: " ".join(map(str, tok.encode(t, add_special_tokens=False).ids)) for i, t in rows}
     assert {r.doc_id: r.id_text for r in P.run(spark, str(tmp_path)).collect()} == want
