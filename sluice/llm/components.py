@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import stored
+from sluice.llm.common import discard, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,11 +33,14 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``(node, component)`` of every node of the edges ``(u, v)``; a component is named by its least node."""
+    """``(node, component)`` of every node of the edges ``(u, v)``, stored; a component is named by its least node."""
     now = stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     while (state := _state(now)) != before:
-        before = state
-        now = stored(_small_star(_large_star(now)), "edges")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        before, last = state, now
+        now = stored(_small_star(_large_star(last)), "edges")
+        discard(last)
+    out = stored(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    discard(now)
+    return out

@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import byte_words, read_table, stored
+from sluice.llm.common import byte_words, discard, read_table, stored
 from sluice.llm.components import components
 
 KEY = "op5_order_minhash"
@@ -163,8 +164,8 @@ def ordered(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.filter(fits & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
-def near_links(classes: DataFrame, least: float, small: int, rounds: int) -> DataFrame:
-    """Verified links (u, v) between classes; ``classes`` has (node, n, bands, words), one row per node."""
+def near_links(classes: DataFrame, least: float, small: int, rounds: int) -> list[DataFrame]:
+    """Verified links (u, v) between classes, as stored tables; ``classes`` has (node, n, bands, words), one row per node."""
     exploded = classes.select("node", "n", F.explode("bands").alias("band"))
     sizes = exploded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     shared = stored(exploded.join(sizes, "band").select("band", "node", "n", "size"), "op5-shared")
@@ -180,12 +181,11 @@ def near_links(classes: DataFrame, least: float, small: int, rounds: int) -> Dat
                                                 F.col("pivot.node").alias("b"), F.col("pivot.n").alias("b_n"))
 
     first = many.groupBy("band").agg(F.max("rank").alias("pivot"))
-    pairs = ordered(pairs.drop("band").unionByName(with_pivot(many, first)), least)
+    done = [stored(ordered(pairs.drop("band").unionByName(with_pivot(many, first)), least), "op5-pairs")]
     texts = classes.select("node", "words")
-    links = stored(verified(pairs, texts, least), "op5-links")
-    done = pairs
+    links = [stored(verified(done[0], texts, least), "op5-links")]
     for r in range(rounds if many.limit(1).count() else 0):
-        component = components(links)
+        component = components(_union(links))
         placed = many.join(component, "node", "left").select(
             "band", "node", "n", "rank", F.coalesce("component", "node").alias("component"))
         mixed = placed.groupBy("band").agg(F.max(F.struct("rank", "component")).alias("main"), F.min("component").alias("x"), F.max("component").alias("y"))
@@ -195,12 +195,17 @@ def near_links(classes: DataFrame, least: float, small: int, rounds: int) -> Dat
         outside = placed.join(mixed, "band").filter("component <> main")
         pivots = outside.groupBy("band").agg(F.max(F.struct(key.alias("key"), "node", "n", "component")).alias("pivot"))
         rows = placed.join(pivots, "band").filter("component <> pivot.component").drop("pivot")
-        more = stored(ordered(with_pivot(rows, pivots), least).join(done, ["u", "v"], "left_anti"), "op5-pairs")
-        done = done.unionByName(more)
-        links = links.unionByName(stored(verified(more, texts, least), "op5-links"))
+        done.append(stored(ordered(with_pivot(rows, pivots), least).join(_union(done), ["u", "v"], "left_anti"), "op5-pairs"))
+        links.append(stored(verified(done[-1], texts, least), "op5-links"))
+        discard(component)
+    discard(shared, many, *done)
     return links
 
 
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), tables)
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, small: int = 8,
                rounds: int = 2) -> DataFrame:
     """Groups of near copies: ``(doc_id, class_id, class_size, exact_id, kept)``, a row per input row.
@@ -219,17 +224,18 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     rows = stored(base.mapInArrow(sketch_batches, "doc_id long, node binary, n long, bands array<long>, words binary"), "op5-rows")
-    exact = stored(rows.groupBy("node").agg(F.min("doc_id").alias("exact_id"), F.count("*").alias("size")), "op5-exact")
-    # one row per class; the words are read for one of its rows, not for all
-    first = rows.select("node", "n", "bands", "words", "doc_id").join(
-        exact.select(F.col("node").alias("x"), "exact_id"), (F.col("node") == F.col("x")) & F.col("doc_id").eqNullSafe(F.col("exact_id")))
-    classes = stored(first.dropDuplicates(["node"]).select("node", "n", "bands", "words"), "op5-classes")
-    component = components(near_links(classes, similarity, small, rounds))
-    placed = exact.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # equal words have equal bands: any row's stand for the class, and copies collapse map-side
+    classes = stored(rows.groupBy("node").agg(
+        F.min("doc_id").alias("exact_id"), F.count("*").alias("size"), *[F.any_value(c).alias(c) for c in ("n", "bands", "words")]), "op5-classes")
+    links = near_links(classes, similarity, small, rounds)
+    component = components(_union(links))
+    placed = classes.select("node", "exact_id", "size").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = placed.groupBy("component").agg(F.min("exact_id").alias("class_id"), F.sum("size").alias("class_size"))
     label = placed.join(named, "component").select("node", "exact_id", "class_id", "class_size")
-    return rows.select("doc_id", "node").join(label, "node").select(
-        "doc_id", "class_id", "class_size", "exact_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    out = stored(rows.select("doc_id", "node").join(label, "node").select(
+        "doc_id", "class_id", "class_size", "exact_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")), "op5-result")
+    discard(rows, classes, component, *links)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
