@@ -144,9 +144,10 @@ def augment_route(df: DataFrame, key: str, text_col: str, label_col: str, pool:
     long_ = F.col("_len") > ROUTE_LONG_FRACTION * max_len
     short = F.col("_len") < ROUTE_SHORT_TOKENS
     t = t.withColumn("route", F.when(long_, "shuffle").when(short, "synthetic").otherwise("keep"))
-    # long and mid-length rows are one projection; only the short rows take the
-    # pool join, which reads them several times: those few tokens are written once
-    short_rows = materialize(t.filter(F.col("route") == "synthetic"))
+    # the transformed text feeds two branches; written once, because running the
+    # regex chain again for each costs several times as much as the write
+    t = materialize(t)
+    short_rows = t.filter(F.col("route") == "synthetic")
     direct = t.filter(F.col("route") != "synthetic").withColumn(
         "text_out", F.when(F.col("route") == "shuffle", shuffle_sentences(F.col("_x"), F.col(key), seed))
         .otherwise(F.col("_x")))
