@@ -1,19 +1,24 @@
 """Katz backoff language model: partitioned tables, evaluated per token.
 
-The model is a bigram model over a vocabulary of the ``vocabulary`` most frequent
-words and one symbol for all other words. The vocabulary is a parameter of the
-model, as is usual; all counts are over all training rows.
+The model is a bigram model over all words of the training rows. Each has its own
+probability and its own history; the words never seen in training are one symbol.
 
 1. Words: one scan counts every distinct word of the training rows (tasks send
    sorted arrays of 64-bit word hashes, one for each bucket). The merged table of
    counts, by bucket, stays in the shared folder.
-2. Bigrams: a second scan counts the training bigrams in the same way. From their
-   merged table, by bucket, come the Good-Turing discounts (counts of counts) and
-   for each history its discounted mass and the mass of its seen words. Histories
-   are vocabulary words, so the backoff weights are an array of bounded size.
+2. Bigrams: a second scan counts the training bigrams in the same way. The most
+   frequent words are known to all tasks by number. A bigram of two such words has
+   a key of their numbers, any other one a hash of its words, which it carries
+   along. Bigrams after a frequent word are spread by their key, those after any
+   other word by that word: all that follows it is then in the bucket of the word
+   itself. A bigram that ends in another word asks that word's bucket for its count.
+   From the merged table come the Good-Turing discounts (counts of counts) and for
+   each history its discounted mass and the mass of its seen words. Only those of
+   the frequent words reach the driver, an array of bounded size; each bucket makes
+   its own words' from its part of the table.
 3. Scoring: a third scan cuts all texts into tokens. What the broadcast part of
-   the model decides (vocabulary words, and the ``hot`` most frequent bigrams) is
-   summed where it is read; so a frequent word or pair is never sent. Other words
+   the model decides (frequent words, and the ``hot`` most frequent bigrams of them)
+   is summed where it is read; so a frequent word or pair is never sent. Other words
    and bigrams go to their bucket as postings, each distinct one once for a block
    of documents, and meet the table there. What a bucket adds to a block's
    documents comes back as one row, and the block adds it up.
@@ -21,9 +26,14 @@ model, as is usual; all counts are over all training rows.
 P(w | h) is d(c) c / c(h) for a bigram seen c times, else alpha(h) P(w). d(c) is
 Katz's discount for c up to 5, from the counts of counts. alpha(h) is what h's
 discounted counts leave, over the lower-order mass of words not seen after h, so
-each history's probabilities sum to 1. P(w) is (c(w) + g) / (N + g) with g > 0 for
-the symbol of other words only: g is the number of words seen once (1 at least),
-the Good-Turing mass of unseen words.
+each history's probabilities sum to 1. P(w) is c(w) / (N + g), and g / (N + g) for
+the symbol of unseen words: g is the number of words seen once (1 at least), their
+Good-Turing mass. A text's score is summed as log P(w) + log alpha(w) over its words
+(each is a history once), and for each bigram seen in training what its own
+probability differs from that; so a word and a bigram are looked up apart.
+
+``fit(vocabulary=n)`` gives the closed model instead, of the ``n`` most frequent
+words and one symbol for all others, seen or not.
 """
 
 from __future__ import annotations
@@ -38,7 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import crc_mod, read_table, stored
+from sluice.llm.common import crc_mod, discard, read_table, stored
 
 KEY = "op2_katz_lm"
 
@@ -107,7 +117,13 @@ def by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]
     """(bucket, positions in ascending order) of each bucket that has keys."""
     if not len(keys):
         return
-    b = spread(keys, buckets)
+    yield from by_place(spread(keys, buckets))
+
+
+def by_place(b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, positions in ascending order) of keys whose buckets are ``b``."""
+    if not len(b):
+        return
     order = np.argsort(b, kind="stable")
     edges = np.flatnonzero(np.diff(b[order], prepend=-1))
     for a, z in zip(edges, np.append(edges[1:], len(order)), strict=True):
@@ -204,19 +220,24 @@ def discounts(counts_of_counts: dict[int, int]) -> np.ndarray:
     return d
 
 
+def weights(history: np.ndarray, discounted: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Histories' scale of discounted counts, and alpha; from count, sum of discounted counts, lower-order mass of seen words."""
+    rest = np.maximum(1 - seen, 0)
+    full = rest < 1e-12  # every word was seen after it: nothing is left to back off to
+    kept = discounted / np.maximum(history, 1)
+    # a history none of whose counts are discounted keeps one part in c + 1 for unseen words
+    scale = np.where(full, 1 / np.maximum(kept, 1e-300), np.where(kept > 1 - 1e-12, history / (history + 1), 1.0))
+    scale = np.where(history > 0, scale / np.maximum(history, 1), 0.0)
+    return scale, np.where(history > 0, np.where(full, 0.0, (1 - scale * discounted) / np.where(full, 1, rest)), 1.0)
+
+
 class Backoff:
     """Probabilities of bigrams; arrays over the histories."""
 
     def __init__(self, vocab: Vocabulary, d: np.ndarray, history: np.ndarray, discounted: np.ndarray, seen: np.ndarray):
         """By history: its count, the sum of its discounted counts, the lower-order mass of its seen words."""
         self.d, self.p = d, vocab.p
-        rest = np.maximum(1 - seen, 0)
-        full = rest < 1e-12  # every word was seen after it: nothing is left to back off to
-        kept = discounted / np.maximum(history, 1)
-        # a history none of whose counts are discounted keeps one part in c + 1 for unseen words
-        scale = np.where(full, 1 / np.maximum(kept, 1e-300), np.where(kept > 1 - 1e-12, history / (history + 1), 1.0))
-        self.scale = np.where(history > 0, scale / np.maximum(history, 1), 0.0)
-        self.alpha = np.where(history > 0, np.where(full, 0.0, (1 - self.scale * discounted) / np.where(full, 1, rest)), 1.0)
+        self.scale, self.alpha = weights(history, discounted, seen)
 
     def log_p(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """log10 P(w | h), by backoff to the words' own probability where the bigram was not seen."""
@@ -242,11 +263,13 @@ def history_sums(batches: Iterator[pa.RecordBatch], vocab, d: np.ndarray) -> Ite
                                      ["history", "n", "discounted", "seen"])
 
 
-def exploded(batches: Iterator[pa.RecordBatch], largest: int) -> Iterator[pa.RecordBatch]:
-    """(key, n) of the ``largest`` counts of each bucket."""
+def exploded(batches: Iterator[pa.RecordBatch], largest: int, below: int | None) -> Iterator[pa.RecordBatch]:
+    """(key, n) of the ``largest`` counts of each bucket; of keys less than ``below`` if given."""
     for batch in batches:
         for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             keys, n = unpack_sorted(k), unpack(c, np.int64)
+            if below is not None:
+                keys, n = keys[:np.searchsorted(keys, np.uint64(below))], n[:np.searchsorted(keys, np.uint64(below))]
             at = np.argpartition(-n, largest)[:largest] if len(n) > largest else slice(None)
             yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(n[at])], ["key", "n"])
 
@@ -268,17 +291,215 @@ def histogram(table: DataFrame) -> dict[int, tuple[int, int]]:
     return {r.c: (r.n, r.t) for r in rows.collect()}
 
 
-def most_frequent(table: DataFrame, largest: int) -> tuple[np.ndarray, np.ndarray]:
+def most_frequent(table: DataFrame, largest: int, below: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """At most ``largest`` keys and counts of a table, by count, ties by key; the keys ascend."""
     if not largest:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    rows = table.select("keys", "counts").mapInArrow(lambda it: exploded(it, largest), "key long, n long")
+    rows = table.select("keys", "counts").mapInArrow(lambda it: exploded(it, largest, below), "key long, n long")
     top = rows.orderBy(F.desc("n"), "key").limit(largest).toArrow()
     keys, n = top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(keys)
     return keys[order], n[order]
 
 
+# the model of all words
+
+COLD = np.uint64(1 << 63)  # keys of bigrams with a word that is not frequent
+PAIR_COUNTS = "bucket int, keys binary, counts binary, h binary, w binary"
+ASKED = "bucket int, origin int, keys binary"
+
+
+class Words(Vocabulary):
+    """All words: the frequent ones by number as in Vocabulary, any other by its hash."""
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.mass = self.total + max(1, args[-1])
+        self.unseen = max(1, args[-1]) / self.mass
+        self.p = np.append(self.counts / self.mass, self.unseen)
+
+    def ids(self, h: np.ndarray) -> np.ndarray:
+        n = self.numbers(h)
+        return np.where(n < self.size, n.astype(np.uint64), h)
+
+    def cold(self, ids: np.ndarray) -> np.ndarray:
+        return ids > np.uint64(self.start)
+
+    def pairs(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and histories of the bigrams that end at each token."""
+        h = np.r_[np.uint64(self.start), ids[:-1]]
+        mixed = h * np.uint64(0xC2B2AE3D27D4EB4F) + ids
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) | COLD
+        return np.where(self.cold(h) | self.cold(ids), mixed, h << np.uint64(32) | ids), h
+
+    def place(self, keys: np.ndarray, h: np.ndarray, buckets: int) -> np.ndarray:
+        return spread(np.where(self.cold(h), h, keys), buckets)
+
+    def log_p(self, counts: np.ndarray) -> np.ndarray:
+        return np.log10(np.where(counts > 0, counts / self.mass, self.unseen))
+
+
+def pack_ids(a: np.ndarray) -> bytes:
+    return pack(a.astype(np.uint64).view(np.uint8).reshape(-1, 8).T)
+
+
+def unpack_ids(b) -> np.ndarray:
+    return np.ascontiguousarray(unpack(b, np.uint8).reshape(8, -1).T).view(np.uint64)[:, 0]
+
+
+def pair_row(bucket: int, keys: np.ndarray, n: np.ndarray, h: np.ndarray, w: np.ndarray) -> tuple:
+    """Bigrams by ascending key; those of frequent words, which come first, have both words in their key."""
+    a = np.searchsorted(keys, COLD)
+    return bucket, pack_sorted(keys), pack(n), pack_ids(h[a:]), pack_ids(w[a:])
+
+
+def pair_arrays(row: dict) -> tuple[np.ndarray, ...]:
+    """keys, counts, histories and words of a row."""
+    keys, n = unpack_sorted(row["keys"]), unpack(row["counts"], np.int64)
+    hot = keys[:np.searchsorted(keys, COLD)]
+    return keys, n, np.r_[hot >> np.uint64(32), unpack_ids(row["h"])], np.r_[hot & np.uint64(0xFFFFFFFF), unpack_ids(row["w"])]
+
+
+def arrow_rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)], [f for f, _ in fields])
+
+
+def count_pairs(batches: Iterator[pa.RecordBatch], words, buckets: int) -> Iterator[pa.RecordBatch]:
+    hashes, v = WordHashes(), words.value
+    parts, size = [], 0
+
+    def flush() -> pa.RecordBatch:
+        keys, h, w = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        u, at, n = np.unique(keys, return_index=True, return_counts=True)
+        h, w = h[at], w[at]
+        return arrow_rows([pair_row(b, u[x], n[x], h[x], w[x]) for b, x in by_place(v.place(u, h, buckets))], PAIR_COUNTS)
+
+    for batch in batches:
+        for t in batch.column(0).to_pylist():
+            ids = v.ids(hashes.of(t))
+            keys, h = v.pairs(ids)
+            parts.append((keys, h, ids))
+            size += len(ids)
+            if size >= BLOCK_TOKENS:
+                yield flush()
+                parts, size = [], 0
+    if size:
+        yield flush()
+
+
+def merge_pairs(table: pa.Table) -> pa.Table:
+    parts = [pair_arrays(r) for r in table.to_pylist()]
+    keys, n, h, w = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    u, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    n = np.bincount(inverse, n, len(u)).astype(np.int64)
+    return pa.Table.from_batches([arrow_rows([pair_row(table.column("bucket")[0].as_py(), u, n, h[at], w[at])], PAIR_COUNTS)])
+
+
+def ask_words(batches: Iterator[pa.RecordBatch], words, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The words, not frequent, that each bucket's bigrams end in, by the words' buckets."""
+    v = words.value
+    for batch in batches:
+        for r in batch.to_pylist():
+            w = np.unique(unpack_ids(r["w"]))
+            w = w[v.cold(w)]
+            yield arrow_rows([(b, r["bucket"], pack_sorted(w[at])) for b, at in by_bucket(w, buckets)], ASKED)
+
+
+def looked_up(keys: np.ndarray, table: tuple[np.ndarray, np.ndarray], default: float = 0) -> np.ndarray:
+    """The table's values (its keys ascend) of ``keys``."""
+    if not len(table[0]):
+        return np.full(len(keys), default, table[1].dtype)
+    at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
+    return np.where(table[0][at] == keys, table[1][at], table[1].dtype.type(default))
+
+
+def answer_words(asked: pa.Table, words: pa.Table) -> pa.Table:
+    """The counts of the words that bigrams' buckets asked for, by these buckets."""
+    if not asked.num_rows:
+        return pa.Table.from_batches([arrow_rows([], COUNTS)])
+    (table,) = words.to_pylist()
+    own = unpack_sorted(table["keys"]), unpack(table["counts"], np.int64)
+    return pa.Table.from_batches([arrow_rows([(r["origin"], r["keys"], pack(looked_up(unpack_sorted(r["keys"]), own))) for r in asked.to_pylist()], COUNTS)])
+
+
+def with_counts(pairs: pa.Table, answers: pa.Table, words) -> pa.Table:
+    """Bigrams with the counts of the words they end in, instead of the words."""
+    v, rows = words.value, []
+    got = [(unpack_sorted(r["keys"]), unpack(r["counts"], np.int64)) for r in answers.to_pylist()]
+    keys, n = (np.concatenate([g[i] for g in got] or [np.zeros(0, k)]) for i, k in enumerate((np.uint64, np.int64)))
+    order = np.argsort(keys)
+    for r in pairs.to_pylist():
+        w = unpack_ids(r["w"])
+        cold = v.cold(w)
+        c = np.zeros(len(w), np.int64)
+        c[cold] = looked_up(w[cold], (keys[order], n[order]))
+        c[~cold] = v.counts[w[~cold].astype(np.int64)]
+        rows.append((r["bucket"], r["keys"], r["counts"], r["h"], pack_ids(c)))
+    return pa.Table.from_batches([arrow_rows(rows, PAIR_COUNTS)])
+
+
+def pair_masses(row: dict, v: Words) -> tuple[np.ndarray, ...]:
+    """keys, counts, histories of a row, and P(w) of the words that its bigrams end in; from ``with_counts``."""
+    keys, n, h, w = pair_arrays(row)
+    a = np.searchsorted(keys, COLD)
+    return keys, n, h, np.r_[v.p[w[:a].astype(np.int64)], w[a:] / v.mass]
+
+
+def frequent_sums(batches: Iterator[pa.RecordBatch], words, d: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The sums of the frequent histories."""
+    v = words.value
+    sums = np.zeros((3, v.size + 2))
+    for batch in batches:
+        for r in batch.to_pylist():
+            _, n, h, p = pair_masses(r, v)
+            own = ~v.cold(h)
+            n, h, p = n[own], h[own].astype(np.int64), p[own]
+            for i, x in enumerate((n, d[np.minimum(n, MAX_DISCOUNTED + 1)] * n, p)):
+                sums[i] += np.bincount(h, x, v.size + 2)
+    at = np.flatnonzero(sums[0])
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0, at].astype(np.int64)), pa.array(sums[1, at]), pa.array(sums[2, at])],
+                                     ["history", "n", "discounted", "seen"])
+
+
+class OpenBackoff(Backoff):
+    """Scales and alphas of the frequent histories; those of the others are made in their buckets."""
+
+    def __init__(self, v: Words, d: np.ndarray, history: np.ndarray, discounted: np.ndarray, seen: np.ndarray):
+        super().__init__(v, d, history, discounted, seen)
+        self.log_alpha = logs(self.alpha)
+        #: what a frequent word adds to a score: as a word, and as a history
+        self.token = np.log10(self.p[:-1]) + self.log_alpha[:v.size]
+
+    def gain(self, n: np.ndarray, scale: np.ndarray, log_alpha: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """How log P(w | h) of bigrams seen ``n`` times differs from log alpha(h) + log P(w)."""
+        return np.log10(self.d[np.minimum(n, MAX_DISCOUNTED + 1)] * n * scale) - log_alpha - np.log10(p)
+
+    def frequent_gain(self, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+        h, w = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        return self.gain(n, self.scale[h], self.log_alpha[h], self.p[w])
+
+    def bucket(self, row: dict, v: Words) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Of a bucket's bigrams: keys and gains, and its own histories with their log alphas."""
+        keys, n, h, p = pair_masses(row, v)
+        cold = v.cold(h)
+        own, inverse = np.unique(h[cold], return_inverse=True)
+        c = n[cold]
+        scale, alpha = weights(*(np.bincount(inverse, x, len(own)) for x in (c, self.d[np.minimum(c, MAX_DISCOUNTED + 1)] * c, p[cold])))
+        scales, log_alphas = np.empty(len(h)), np.empty(len(h))
+        scales[cold], log_alphas[cold] = scale[inverse], logs(alpha)[inverse]
+        known = h[~cold].astype(np.int64)
+        scales[~cold], log_alphas[~cold] = self.scale[known], self.log_alpha[known]
+        return (keys, self.gain(n, scales, log_alphas, p)), (own, logs(alpha))
+
+
+def logs(alpha: np.ndarray) -> np.ndarray:
+    """log10 of alphas; 0 for a history that backs off to nothing, all of whose bigrams are seen."""
+    return np.log10(np.where(alpha > 0, alpha, 1.0))
+
+
 class KatzModel:
     """Tables of counts in the shared folder, and the bounded part that tasks get."""
 
@@ -286,28 +507,54 @@ class KatzModel:
         self.words, self.bigrams, self.vocab, self.backoff, self.hot, self.buckets = words, bigrams, vocab, backoff, hot, buckets
 
 
-def fit(docs: DataFrame, text_col: str = "text", vocabulary: int = 1 << 16, hot: int = 1 << 18, buckets: int | None = None) -> KatzModel:
-    """Model of the rows of ``docs``. ``buckets`` are the parts of its tables, two for each shuffle partition unless given."""
+FREQUENT = 1 << 16
+
+
+def fit(docs: DataFrame, text_col: str = "text", vocabulary: int | None = None, hot: int = 1 << 18, buckets: int | None = None,
+        frequent: int = FREQUENT) -> KatzModel:
+    """Model of the rows of ``docs``, of all their words or of ``vocabulary`` words and one symbol for the others.
+
+    ``buckets`` are the parts of its tables, two for each shuffle partition unless
+    given. ``frequent`` words and ``hot`` bigrams are known to all tasks; they bound
+    memory, the model does not depend on them.
+    """
     spark = docs.sparkSession
     buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(text_col).cast("binary").alias("text"))
 
-    def table(name: str, fn) -> DataFrame:
-        return stored(texts.mapInArrow(fn, COUNTS).groupBy("bucket").applyInArrow(merge_counts, COUNTS), name)
+    def table(name: str, fn, merge=merge_counts, schema: str = COUNTS) -> DataFrame:
+        return stored(texts.mapInArrow(fn, schema).groupBy("bucket").applyInArrow(merge, schema), name)
 
     words = table("op2-words", lambda it: count_words(it, buckets))
     of = histogram(words)
     total, distinct = sum(t for _, t in of.values()), sum(n for n, _ in of.values())
-    vocab = Vocabulary(*most_frequent(words, vocabulary), total, distinct, of.get(1, (0, 0))[0])
+    open_model = vocabulary is None
+    top = most_frequent(words, frequent if open_model else vocabulary)
+    vocab = (Words if open_model else Vocabulary)(*top, total, distinct, of.get(1, (0, 0))[0])
     vocab_b = spark.sparkContext.broadcast(vocab)
-    bigrams = table("op2-bigrams", lambda it: count_bigrams(it, vocab_b, buckets))
+    if open_model:
+        counted = table("op2-pairs", lambda it: count_pairs(it, vocab_b, buckets), merge_pairs, PAIR_COUNTS)
+        asked = counted.select("bucket", "w").mapInArrow(lambda it: ask_words(it, vocab_b, buckets), ASKED)
+        answers = asked.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(answer_words, COUNTS)
+        bigrams = stored(counted.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(
+            lambda a, b: with_counts(a, b, vocab_b), PAIR_COUNTS), "op2-bigrams")
+        discard(counted)
+    else:
+        bigrams = table("op2-bigrams", lambda it: count_bigrams(it, vocab_b, buckets))
     d = discounts({c: n for c, (n, _) in histogram(bigrams).items()})
     sums = np.zeros((3, vocab.size + 2))
-    rows = bigrams.select("keys", "counts").mapInArrow(lambda it: history_sums(it, vocab_b, d), HISTORIES)
+    if open_model:
+        rows = bigrams.mapInArrow(lambda it: frequent_sums(it, vocab_b, d), HISTORIES)
+    else:
+        rows = bigrams.select("keys", "counts").mapInArrow(lambda it: history_sums(it, vocab_b, d), HISTORIES)
     got = rows.groupBy("history").agg(F.sum("n").alias("n"), F.sum("discounted").alias("discounted"), F.sum("seen").alias("seen")).toArrow()
     for i, name in enumerate(("n", "discounted", "seen")):
         sums[i, got.column("history").to_numpy()] = got.column(name).to_numpy()
-    return KatzModel(words, bigrams, vocab, Backoff(vocab, d, *sums), most_frequent(bigrams, hot), buckets)
+    if not open_model:
+        return KatzModel(words, bigrams, vocab, Backoff(vocab, d, *sums), most_frequent(bigrams, hot), buckets)
+    backoff = OpenBackoff(vocab, d, *sums)
+    keys, n = most_frequent(bigrams, hot, below=int(COLD))
+    return KatzModel(words, bigrams, vocab, backoff, (keys, backoff.frequent_gain(keys, n)), buckets)
 
 
 # scoring
@@ -322,22 +569,27 @@ class Block:
 
     def __init__(self, vocab: Vocabulary, backoff: Backoff, hot: tuple[np.ndarray, np.ndarray], buckets: int, number: int):
         self.vocab, self.backoff, self.hot, self.buckets, self.number = vocab, backoff, hot, buckets, number
-        self.words, self.pairs, self.left, self.rows, self.size = [], [], [], [], 0
+        self.words, self.pairs, self.places, self.left, self.rows, self.size = [], [], [], [], [], 0
+        self.open = isinstance(vocab, Words)
 
     def add(self, doc_id: int | None, h: np.ndarray) -> None:
         """A text: its row has tokens, known tokens, base and score as far as decided here."""
         v = self.vocab
         numbers = v.numbers(h)
-        keys = v.bigrams(numbers)
         inside = numbers < v.size
+        keys, before = v.pairs(np.where(inside, numbers.astype(np.uint64), h)) if self.open else (v.bigrams(numbers), None)
         k = np.minimum(np.searchsorted(self.hot[0], keys), len(self.hot[0]) - 1) if len(self.hot[0]) else np.zeros(len(keys), int)
         known = self.hot[0][k] == keys if len(self.hot[0]) else np.zeros(len(keys), bool)
         self.words.append(h[~inside])
         self.pairs.append(keys[~known])
+        self.places.append(v.place(keys[~known], before[~known], self.buckets) if self.open else spread(keys[~known], self.buckets))
         self.left.append((int((~inside).sum()), int((~known).sum())))
         self.size += len(h)
         base = v.base(v.counts[numbers[inside]]).sum() if v.size else 0.0
-        score = self.backoff.log_p(keys[known], self.hot[1][k[known]]).sum() if known.any() else 0.0
+        if self.open:
+            score = self.backoff.log_alpha[v.start] + self.backoff.token[numbers[inside]].sum() + self.hot[1][k[known]].sum()
+        else:
+            score = self.backoff.log_p(keys[known], self.hot[1][k[known]]).sum() if known.any() else 0.0
         self.rows.append((doc_id, len(h), int(inside.sum()), float(base), float(score)))
 
     def postings(self) -> pa.RecordBatch:
@@ -345,12 +597,13 @@ class Block:
         rows = []
         for kind, parts in ((WORDS, self.words), (PAIRS, self.pairs)):
             keys = np.concatenate(parts)
+            place = spread(keys, self.buckets) if kind == WORDS else np.concatenate(self.places)
             doc = np.repeat(np.arange(len(parts), dtype=np.uint32), [n[kind] for n in self.left])
             order = np.argsort(keys, kind="stable")
             keys, doc = keys[order], doc[order]
             own = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
             size = np.diff(np.append(own, len(keys)))
-            for b, at in by_bucket(keys[own], self.buckets):
+            for b, at in by_place(place[order][own]):
                 # the documents of the bucket's keys, one key after the other
                 n = size[at]
                 where = np.repeat(own[at] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
@@ -392,17 +645,21 @@ def read_texts(batches: Iterator[pa.RecordBatch], vocab, backoff, hot, buckets:
         yield block.postings()
 
 
-def decide(row: dict, table: tuple[np.ndarray, np.ndarray], vocab: Vocabulary, backoff: Backoff) -> tuple[bytes, bytes, bytes]:
-    """What one block's postings of a bucket add: documents, known tokens, sums."""
+def decide(row: dict, table: tuple[np.ndarray, np.ndarray], vocab: Vocabulary, backoff: Backoff,
+           alphas: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[bytes, bytes, bytes]:
+    """What one block's postings of a bucket add: documents, known tokens, sums; words of the open model add to both scores.
+
+    The open model's table of bigrams has gains, and ``alphas`` are its bucket's histories.
+    """
     keys, sizes, doc = unpack_sorted(row["keys"]), _from_planes(row["sizes"]), _from_planes(row["docs"])
-    c = np.zeros(len(keys), np.int64)
-    if len(table[0]):
-        at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
-        c = np.where(table[0][at] == keys, table[1][at], 0)
-    value = vocab.base(c) if row["kind"] == WORDS else backoff.log_p(keys, c)
+    c = looked_up(keys, table)
+    if row["kind"] == WORDS:
+        values = [vocab.base(c)] + ([vocab.log_p(c) + looked_up(keys, alphas)] if alphas else [])
+    else:
+        values = [c if alphas else backoff.log_p(keys, c)]
     own, inverse = np.unique(doc, return_inverse=True)
     known = np.bincount(inverse, np.repeat((c > 0).astype(float), sizes), len(own)).astype(np.int64)
-    return _planes(own), _planes(known), np.bincount(inverse, np.repeat(value, sizes), len(own)).tobytes()
+    return _planes(own), _planes(known), b"".join(np.bincount(inverse, np.repeat(x, sizes), len(own)).tobytes() for x in values)
 
 
 DECIDED = "block long, kind int, docs binary, known binary, sums binary"
@@ -411,9 +668,15 @@ DECIDED = "block long, kind int, docs binary, known binary, sums binary"
 def decide_group(postings: pa.Table, tables: pa.Table, vocab, backoff) -> pa.Table:
     """What one bucket's postings add to the documents of each block, from that bucket of both tables."""
     got = {k: (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for k in (WORDS, PAIRS)}
+    alphas = None
+    if isinstance(vocab.value, Words):
+        got[PAIRS] = alphas = np.zeros(0, np.uint64), np.zeros(0)
     for r in tables.to_pylist():
-        got[r["kind"]] = unpack_sorted(r["keys"]), unpack(r["counts"], np.int64)
-    out = [(r["block"], r["kind"], *((r["keys"], None, None) if r["kind"] == WHOLE else decide(r, got[r["kind"]], vocab.value, backoff.value)))
+        if r["kind"] == PAIRS and alphas:
+            got[PAIRS], alphas = backoff.value.bucket(r, vocab.value)
+        else:
+            got[r["kind"]] = unpack_sorted(r["keys"]), unpack(r["counts"], np.int64)
+    out = [(r["block"], r["kind"], *((r["keys"], None, None) if r["kind"] == WHOLE else decide(r, got[r["kind"]], vocab.value, backoff.value, alphas)))
            for r in postings.to_pylist()]
     kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
     return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [f.split()[0] for f in DECIDED.split(", ")])
@@ -426,8 +689,11 @@ def add_up(block: pa.Table) -> pa.Table:
     sums = {n: rows.column(n).to_numpy().copy() for n in ROW_FIELDS[2:]}
     for r in parts:
         if r["kind"] != WHOLE:
-            doc, value = _from_planes(r["docs"]), np.frombuffer(r["sums"])
-            sums["base_score" if r["kind"] == WORDS else "score"][doc] += value
+            doc = _from_planes(r["docs"])
+            value = np.frombuffer(r["sums"]).reshape(-1, len(doc))
+            sums["base_score" if r["kind"] == WORDS else "score"][doc] += value[0]
+            if len(value) > 1:
+                sums["score"][doc] += value[1]
             if r["kind"] == WORDS:
                 sums["n_known"][doc] += _from_planes(r["known"])
     return pa.table([rows.column("doc_id"), rows.column("n_tokens"), *[pa.array(x) for x in sums.values()]], ROW_FIELDS)
@@ -448,7 +714,7 @@ def score(docs: DataFrame, model: KatzModel, id_col: str = "doc_id", text_col: s
     buckets = model.buckets
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     postings = base.mapInArrow(lambda it: read_texts(it, vocab, backoff, hot, buckets), POSTINGS)
-    tables = model.words.withColumn("kind", F.lit(WORDS)).unionByName(model.bigrams.withColumn("kind", F.lit(PAIRS)))
+    tables = model.words.withColumn("kind", F.lit(WORDS)).unionByName(model.bigrams.withColumn("kind", F.lit(PAIRS)), allowMissingColumns=True)
     decided = postings.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(
         lambda a, b: decide_group(a, b, vocab, backoff), DECIDED)
     return decided.groupBy("block").applyInArrow(add_up, "doc_id long, n_tokens long, n_known long, base_score double, score double")

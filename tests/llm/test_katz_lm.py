@@ -129,3 +129,32 @@ def test_whole_table(spark):
         assert (g.base_score, g.score) == (pytest.approx(base, rel=1e-9), pytest.approx(score, rel=1e-9))
     out = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
+
+
+def test_every_word_has_its_own_probability(spark):
+    # few words are known to all tasks, the others have their own P(w) and histories all the same
+    learn = [*texts(60, 5), None, "", "A a\tA"]
+    pairs = [*enumerate(texts(30, 6)), (100, None), (101, "never w1 never"), (102, "w1 " * 50000), (103, "A a")]
+    brute, old = Brute(learn, 1 << 30), K.BLOCK_TOKENS
+    assert len(brute.c1) > 300
+    want = {i: brute.row(t) for i, t in pairs}
+    try:
+        for frequent, hot, buckets, K.BLOCK_TOKENS in ((40, 30, 7, old), (0, 10, 2, 500), (3, 0, None, 500), (1 << 16, 1 << 18, 5, 500)):
+            model = K.fit(docs(spark, list(enumerate(learn))).repartition(3), frequent=frequent, hot=hot, buckets=buckets)
+            got = {r.doc_id: (r.n_tokens, r.n_known, r.base_score, r.score) for r in K.score(docs(spark, pairs).repartition(2), model).collect()}
+            assert got.keys() == want.keys()
+            for i, w in want.items():
+                assert got[i][:2] == w[:2] and got[i][2:] == pytest.approx(w[2:], rel=1e-9)
+    finally:
+        K.BLOCK_TOKENS = old
+    for h in ["w1", "w2", "\n", "start", max(brute.c1)]:
+        assert sum(brute.p(h, w) for w in [*brute.c1, None]) == pytest.approx(1)
+
+
+def test_no_word_is_cut_from_the_default_model(spark):
+    learn = [" ".join(f"t{i}" for i in range(70_000)), "t0 t1 t2"]
+    model = K.fit(docs(spark, list(enumerate(learn))))
+    brute = Brute(learn, 1 << 30)
+    (r,) = K.score(docs(spark, [(1, "t3 t69999 t5 t68000 t68001 unheard")]), model).collect()
+    assert r.score == pytest.approx(brute.row("t3 t69999 t5 t68000 t68001 unheard")[3], rel=1e-9)
+    assert K.score(docs(spark, [(1, "a")]), K.fit(docs(spark, []))).collect()[0].score == 0
