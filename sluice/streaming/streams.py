@@ -54,18 +54,41 @@ def binned(score: Column, bins: int) -> Column:
 
 
 def update_meters(src: DataFrame, snapshots: str, checkpoint: str, y: Column, score: Column, loss: Column,
-                  split: Column, bins: int = METER_BINS) -> None:
-    """ST2's state: class counts, loss sum and rows per (split, score bin), ``bins`` + 1 rows per split at most.
-
-    Every micro-batch writes the complete state to a folder of its own,
-    ``snapshots/batch=<id>``, and then drops the one before the last: a driver
+                  split: Column, bins: int | None = None) -> None:
+    """ST2's state: class counts, loss sum and rows per (split, score), of the exact scores unless ``bins`` is given.
+
+    The exact state is a table in ``snapshots``, and the stream itself keeps none:
+    micro-batch ``id`` writes the counts of its rows, together with those of the
+    batches before that it covers, to ``counts=<id>``. It covers as many as a
+    Fenwick tree's node does, so that a row is written again once for each doubling
+    of the batches, and few folders make the state. Folders that another covers are
+    dropped in the next batch, when that one's is committed: a batch that is written
+    again after a restart finds all it covers.
+
+    With ``bins``, scores are clamped to [0, 1] and cut into bins: ``bins`` + 1 rows
+    per split at most. Every micro-batch writes the complete state to a folder of its
+    own, ``snapshots/batch=<id>``, and then drops the one before the last: a driver
     that dies while writing leaves the last whole snapshot, and the batch is
     written again after a restart.
     """
-    rows = src.select(split.alias("split"), y.cast("int").alias("y"), binned(checked_score(score, y), bins).alias("score"), loss.alias("loss"))
-    state = rows.groupBy("split", "score").agg(
-        F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"),
-        F.sum("loss").alias("loss_sum"), F.count(F.lit(1)).alias("n"))
+    s = checked_score(score, y)
+    rows = src.select(split.alias("split"), y.cast("int").alias("y"), (s if bins is None else binned(s, bins)).alias("score"), loss.cast("double").alias("loss"))
+    if bins is None:
+        def add_counts(batch_df: DataFrame, batch_id: int) -> None:
+            spark, new = batch_df.sparkSession, _counted(batch_df)
+            for i in _folders(spark, snapshots, "counts="):
+                if i < batch_id and i not in _current(batch_id - 1):
+                    _remove(spark, f"{snapshots}/counts={i}")
+            covered = [i for i in _current(batch_id - 1) if i not in _current(batch_id)]
+            if covered:
+                new = _merged(new.unionByName(_read_counts(spark, snapshots, covered)))
+            new.write.mode("overwrite").parquet(f"{snapshots}/counts={batch_id}")
+
+        q = (rows.writeStream.foreachBatch(add_counts)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        q.awaitTermination()
+        return
+    state = _counted(rows)
 
     def write_snapshot(batch_df: DataFrame, batch_id: int) -> None:
         batch_df.write.mode("overwrite").parquet(f"{snapshots}/batch={batch_id}")
@@ -76,6 +99,36 @@ def update_meters(src: DataFrame, snapshots: str, checkpoint: str, y: Column, sc
     q.awaitTermination()
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("split", "score").agg(
+        F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"),
+        F.sum("loss").alias("loss_sum"), F.count(F.lit(1)).alias("n"))
+
+
+def _merged(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("split", "score").agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "loss_sum", "n")])
+
+
+def _current(batch_id: int) -> list[int]:
+    """The batches whose folders together hold all batches up to ``batch_id``."""
+    out, i = [], batch_id + 1
+    while i > 0:
+        out.append(i - 1)
+        i &= i - 1
+    return out
+
+
+def _read_counts(spark: SparkSession, snapshots: str, batches: list[int]) -> DataFrame:
+    return spark.read.schema(STATE).parquet(*[f"{snapshots}/counts={i}" for i in batches])
+
+
+def _folders(spark: SparkSession, snapshots: str, prefix: str) -> list[int]:
+    """The numbers of the whole folders of that name."""
+    fs, p = _fs(spark, snapshots)
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return [int(n.removeprefix(prefix)) for n in names if n.startswith(prefix) and fs.exists(_fs(spark, f"{snapshots}/{n}/_SUCCESS")[1])]
+
+
 def _fs(spark: SparkSession, path: str):
     sc = spark.sparkContext
     p = sc._jvm.org.apache.hadoop.fs.Path(path)
@@ -91,14 +144,11 @@ STATE = "split string, score double, pos bigint, neg bigint, loss_sum double, n
 
 
 def last_snapshot(spark: SparkSession, snapshots: str) -> DataFrame:
-    """The last whole snapshot of the meters' state; no rows before the first batch."""
-    fs, p = _fs(spark, snapshots)
-    done = []
-    if fs.exists(p):
-        for s in fs.listStatus(p):
-            name = s.getPath().getName()
-            if name.startswith("batch=") and fs.exists(s.getPath().suffix("/_SUCCESS")):
-                done.append(int(name.removeprefix("batch=")))
+    """The meters' state as of the last whole micro-batch, a row per split and score; no rows before the first batch."""
+    exact = _folders(spark, snapshots, "counts=")
+    if exact:
+        return _merged(_read_counts(spark, snapshots, _current(max(exact))))
+    done = _folders(spark, snapshots, "batch=")
     return spark.read.schema(STATE).parquet(f"{snapshots}/batch={max(done)}") if done else spark.createDataFrame([], STATE)
 
 
@@ -106,7 +156,7 @@ def read_meters(state: DataFrame, seeds: bool = True) -> DataFrame:
     """Loss mean, rows and AUC per split: ``(split, avg_loss, n_rows, auc)``.
 
     ``seeds`` adds the points (0, .5) and (1, .5) that the meter starts from. The
-    AUC is that of the binned scores.
+    AUC is that of the state's scores, exact unless they are binned.
     """
     counts = state.select("split", "score", "pos", "neg")
     if seeds:

@@ -59,3 +59,25 @@ def test_meters_resume_and_equal_batch(spark, tmp_path):
     assert set(got) == {"even", None}
     for k, r in got.items():
         assert (r.n_rows, r.avg_loss, r.auc) == (want[k][0], pytest.approx(want[k][1]), pytest.approx(auc[k]))
+
+
+def test_meters_are_exact_for_any_scores(spark, tmp_path):
+    # scores far below one bin's width, and logits outside [0, 1]; seven batches over a restart
+    rows = spark.range(2100).select(
+        (F.col("id") % 7).alias("part"), (F.xxhash64("id") % 3 == 0).cast("int").alias("y"), F.col("id").cast("double").alias("loss"),
+        F.when(F.col("id") % 2 == 0, "tiny").alias("split"), (F.abs(F.xxhash64("id", F.lit(1)) % 997) + 300 * (F.xxhash64("id") % 3 == 0).cast("int")).alias("k"))
+    rows = rows.withColumn("score", F.when(F.col("split") == "tiny", F.col("k") * 1e-9).otherwise(F.col("k") - 500.0)).drop("k")
+    folder = tmp_path / "in"
+    want = {r.split: r.auc for r in A.roc_auc(rows, "y", "score", ["split"]).collect()}
+    for i in range(7):
+        add_file(rows.filter(F.col("part") == i), folder, tmp_path, f"f{i}")
+        if i in (0, 4, 6):
+            src = ST.file_stream(spark, str(folder), rows.schema)
+            ST.update_meters(src, f"{tmp_path}/snap", f"{tmp_path}/ckpt", F.col("y"), F.col("score"), F.col("loss"), F.col("split"))
+    state = ST.last_snapshot(spark, f"{tmp_path}/snap")
+    assert state.count() == rows.select("split", "score").distinct().count()
+    got = {r.split: r for r in ST.read_meters(state, seeds=False).collect()}
+    assert set(got) == {"tiny", None} and all(0.55 < a < 0.95 for a in want.values())
+    for k, r in got.items():
+        assert (r.n_rows, r.avg_loss, r.auc) == (1050, pytest.approx(1049 if k else 1050), pytest.approx(want[k], abs=1e-12))
+    assert len(list((tmp_path / "snap").iterdir())) <= 4
