@@ -14,7 +14,11 @@ that share a band are candidates.
    compared with a pivot, the class with the most company in all its buckets (a
    text that others were copied from shares more bands than its copies do among
    each other). Buckets whose classes are still apart afterwards get further
-   rounds, with pivots from outside the first pivot's component.
+   rounds, with pivots from outside the first pivot's component. What is then still
+   apart goes through an exact prefix filter: two similar texts share one of the
+   first shingles of each, in any order of all shingles. They are ordered by counts
+   in a sketch of fixed size, the rarest first, so that the shingles of a passage
+   which many texts share come last and bring nobody together.
 3. A candidate is verified by aligning the two sequences of labelled shingles:
    the longest common subsequence within the band of shifts that the threshold
    allows must be ``similarity`` of all their shingles.
@@ -164,6 +168,63 @@ def ordered(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.filter(fits & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
+COUNTERS = 1 << 18
+
+
+def counter_of(s: np.ndarray) -> np.ndarray:
+    return (_mix(s ^ np.uint64(0xD6E8FEB86659FD93)) & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(counter, n): how many shingles of the texts (words) fall to each counter."""
+    n = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        for w in batch.column(0).to_pylist():
+            n += np.bincount(counter_of(shingles(np.frombuffer(w, np.uint16))), minlength=COUNTERS)
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["counter", "n"])
+
+
+def prefix_batches(batches: Iterator[pa.RecordBatch], counts, least: float) -> Iterator[pa.RecordBatch]:
+    """(shingle, node, component, n, place, short) of each text's first shingles; ``short``: it is among those that a text no longer than its partner needs."""
+    for batch in batches:
+        for node, component, w in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            s = shingles(np.frombuffer(w, np.uint16))
+            n = len(s)
+            if not n:
+                continue
+            s = s[np.lexsort((s, counts.value[counter_of(s)]))]
+            # at least this many shingles are common, of the longer and of the shorter text
+            long, short = (n - int(np.ceil(n * x - 1e-9)) + 1 for x in (least, 2 * least / (1 + least)))
+            place = np.arange(min(long, n))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(s[:len(place)].view(np.int64)), pa.array([node] * len(place), pa.binary()), pa.array([component] * len(place), pa.binary()),
+                 pa.array(np.full(len(place), n)), pa.array(place), pa.array(place < short)], ["shingle", "node", "component", "n", "place", "short"])
+
+
+def prefix_pairs(nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """All pairs (u, v) of ``nodes`` (node, component) in different components that can be similar."""
+    spark = nodes.sparkSession
+    unresolved = nodes.join(texts, "node").select("node", "component", "words")
+    counts = np.zeros(COUNTERS, np.int64)
+    got = unresolved.select("words").mapInArrow(count_shingles, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    counts[got.column("counter").to_numpy()] = got.column("n").to_numpy()
+    counts_b = spark.sparkContext.broadcast(counts)
+    prefixes = stored(unresolved.mapInArrow(lambda it: prefix_batches(it, counts_b, least),
+                                        "shingle long, node binary, component binary, n long, place long, short boolean"), "op5-prefixes")
+    mixed = prefixes.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("shingle")
+    rows = prefixes.join(mixed, "shingle")
+    a, b = (rows.select("shingle", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "component", "n", "place", "short")]) for x in "ab")
+    need = (F.col("a_n") + F.col("b_n")) * (least / (1 + least)) - 1e-6
+    # the first shingle that both have: all that is common comes from there on
+    left = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
+    on = ((a["shingle"] == b["shingle"]) & F.col("a_short") & (F.col("a_component") != F.col("b_component")) & (F.col("a_n") <= F.col("b_n"))
+          & (F.col("a_n") >= F.col("b_n") * (least - 1e-9)) & (left >= need))
+    out = stored(a.join(b, on).select(F.least("a_node", "b_node").alias("u"), F.greatest("a_node", "b_node").alias("v")).distinct(), "op5-pairs")
+    discard(prefixes)
+    return out
+
+
 def near_links(classes: DataFrame, least: float, small: int, rounds: int) -> list[DataFrame]:
     """Verified links (u, v) between classes, as stored tables; ``classes`` has (node, n, bands, words), one row per node."""
     exploded = classes.select("node", "n", F.explode("bands").alias("band"))
@@ -198,6 +259,16 @@ def near_links(classes: DataFrame, least: float, small: int, rounds: int) -> lis
         done.append(stored(ordered(with_pivot(rows, pivots), least).join(_union(done), ["u", "v"], "left_anti"), "op5-pairs"))
         links.append(stored(verified(done[-1], texts, least), "op5-links"))
         discard(component)
+    if many.limit(1).count():
+        component = components(_union(links))
+        placed = many.select("band", "node").join(component, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+        mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("band")
+        apart = stored(placed.join(mixed, "band").select("node", "component").distinct(), "op5-apart")
+        if apart.limit(1).count():
+            pairs = prefix_pairs(apart, texts, least)
+            links.append(stored(verified(pairs.join(_union(done), ["u", "v"], "left_anti"), texts, least), "op5-links"))
+            discard(pairs)
+        discard(component, apart)
     discard(shared, many, *done)
     return links
 

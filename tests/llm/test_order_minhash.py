@@ -115,3 +115,26 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in [*range(100, 160), 200]}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_many_small_groups_that_share_most_of_their_text(spark):
+    # all share a passage of 85 % of their words; two near copies of each, whose bands are nearly all the passage's
+    passage = words(340, 20)
+    pairs = []
+    for g in range(40):
+        own = words(60, 500 + g)
+        pairs += [(10 * g + k, passage + " " + (own if k == 0 else edited(own, 0.2, 900 + g))) for k in range(2)]
+    want = brute_groups(pairs)
+    assert 20 <= len(set(want.values())) <= 60
+    assert groups(spark, pairs, rounds=0) == want
+
+
+def test_prefix_filter_is_exact(spark):
+    rng = random.Random(4)
+    passage = words(100, 30)
+    pairs = [(10 * g + k, edited(passage + " " + words(rng.randrange(5, 30), 600 + g), rng.choice((0, 0.005, 0.02, 0.05)), 7 * g + k)) for g in range(25) for k in range(3)]
+    nodes = spark.createDataFrame([(b"%d" % i, b"%d" % i, np.array([HASHES[w] for w in byte_words(t.encode())], np.uint16).tobytes()) for i, t in pairs],
+                                  "node binary, component binary, words binary")
+    got = {(bytes(r.u), bytes(r.v)) for r in M.prefix_pairs(nodes.select("node", "component"), nodes.select("node", "words"), 0.8).collect()}
+    want = {tuple(sorted((b"%d" % i, b"%d" % j))) for k, (i, a) in enumerate(pairs) for j, b in pairs[:k] if M.similarity_of(seq(a), seq(b), 0.8) > 0}
+    assert want and want <= got
