@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from conftest import SF01
+from paths import SF01
 from sluice.operators.scoring import evaluate_epochs
 from sluice.plans import q_scoring as P
 from sluice.sources import tables as T

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF01
+from paths import SF01
 from oracle_harness import compare, duck
 from sluice.plans.registry import ORACLES, QUERIES, load_all
 

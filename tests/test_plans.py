@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from conftest import SF01
+from paths import SF01
 from sluice.operators import metrics as A
 from sluice.operators import sequences as SQ
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from paths import SF01
 from sluice.functions import text as X
 from sluice.operators import metrics as A
 from sluice.operators import sampling as M

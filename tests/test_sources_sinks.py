@@ -6,7 +6,7 @@ import tempfile
 import pytest
 from pyspark.sql import types as T
 
-from conftest import SF01
+from paths import SF01
 from sluice.operators import sampling as M
 from sluice.operators.scoring import submission_join
 from sluice.sources import csv_io as C

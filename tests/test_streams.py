@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from paths import SF01
 from sluice.functions.text import clean_text
 from sluice.operators import metrics as A
 from sluice.sources import tables as T
