@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +80,30 @@ def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     ends = np.searchsorted(first, np.cumsum(sizes))
     return h ^ (h >> np.uint64(29)), np.diff(ends, prepend=0)
+
+
+def row_slices(batch: pa.RecordBatch, col: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows whose texts in column ``col`` have at most ``most`` bytes together, or a single row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+#: At most this many keys are too frequent for a shuffle join.
+HOT_KEYS = 10_000
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, keys: Sequence[str], count: str, total: int, at_least: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed``, one row per key that counts its rows in column ``count``.
+
+    A key with more than one in ``HOT_KEYS`` of all ``total`` rows would be much work
+    for one task. There are fewer than ``HOT_KEYS`` such keys, whatever the input, so
+    they are broadcast and their rows stay where they are; the other rows shuffle.
+    """
+    most = max(at_least, total // HOT_KEYS)
+    hot = F.broadcast(keyed.filter(F.col(count) > most).drop(count))
+    rest = rows.join(hot.select(*keys), list(keys), "left_anti").join(keyed.filter(F.col(count) <= most).drop(count), list(keys))
+    return rows.join(hot, list(keys)).unionByName(rest)
