@@ -6,8 +6,8 @@ two groups needs only how many terms have count c in one and d in the other.
 1. One scan counts terms by (lang, source), in the tasks first. Terms in enough documents of a
    language are kept, dealt to blocks of about ``block`` terms by a hash, and
    numbered in a block in the order of their bytes.
-2. The bitmaps: for each group, block and count the set of its term numbers, as
-   64-bit words, only those that hold something (``bit_or``, map-side first).
+2. The bitmaps of a block: for each group and count the set of its term numbers, as
+   64-bit words, only those that hold something.
 3. Per block, and per pair of stripes of sources where a language has many, the
    words of all groups meet: AND and popcount give each pair's joint cells, and the
    complement of a group's union gives its terms of count 0. A cell's terms all have the
@@ -20,8 +20,9 @@ All numbers are integers; shares are billionths, by long division.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -34,37 +35,72 @@ from sluice.llm.common import read_table, row_slices, stored
 KEY = "op12_source_divergence"
 
 SCALE = 1_000_000_000
-SLICE_BYTES = 4_000_000
-#: Distinct terms a task holds before it gives them out.
-HELD_TERMS = 200_000
+SLICE_BYTES = 2_000_000
+#: Distinct terms, and counts by group and term, that a task holds before it gives them out.
+HELD_TERMS, HELD_ROWS = 400_000, 2_000_000
+OUT_ROWS = 50_000
 CELLS = 1 << 21
 
 #: Byte table: A-Z to lower case, every other ASCII byte that is no letter to a space.
 TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, term, n, docs) of a task's rows; the empty term stands for the group itself."""
-    held: dict[tuple, tuple[Counter, Counter]] = {}
+class Held:
+    """What a task has counted so far: per (lang, source) and term its occurrences and its documents."""
+
+    def __init__(self):
+        self.groups: dict[tuple, int] = {}
+        self.terms: dict[bytes, int] = defaultdict(count().__next__)  # numbered as they come
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, groups: list[tuple], texts: list[bytes]) -> None:
+        rows = [t.translate(TERM_BYTES).split() for t in texts]
+        own = [self.groups.setdefault(g, len(self.groups)) for g in groups]
+        n = np.array([len(r) for r in rows], np.int64)
+        term = np.fromiter(map(self.terms.__getitem__, chain.from_iterable(rows)), np.int64, int(n.sum()))
+        # once per document, then once per group
+        key, times = np.unique(np.repeat(np.arange(len(rows)), n) << 32 | term, return_counts=True)
+        key = np.array(own, np.int64)[key >> 32] << 32 | key & 0xFFFFFFFF
+        self.parts.append(_summed(key, times, np.ones_like(times)))
+        self.size += len(self.parts[-1][0])
+
+    def given(self) -> Iterator[pa.RecordBatch]:
+        """(lang, source, term, n, docs); the empty term stands for the group itself."""
+        langs, sources = (pa.array([g[i] for g in self.groups] or [""], pa.string()) for i in (0, 1))
+        yield pa.RecordBatch.from_pydict({
+            "lang": langs, "source": sources, "term": pa.array([b""] * len(langs), pa.binary()),
+            "n": pa.array([0] * len(langs), pa.int64()), "docs": pa.array([0] * len(langs), pa.int64())}).slice(0, len(self.groups))
+        if self.parts:
+            key, n, docs = _summed(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))
+            terms, group = pa.array(list(self.terms), pa.binary()), pa.array(key >> 32)
+            for i in range(0, len(key), OUT_ROWS):
+                at = slice(i, i + OUT_ROWS)
+                part = group[i:i + OUT_ROWS]
+                yield pa.RecordBatch.from_pydict({
+                    "lang": langs.take(part), "source": sources.take(part), "term": terms.take(pa.array(key[at] & 0xFFFFFFFF)),
+                    "n": pa.array(n[at]), "docs": pa.array(docs[at])})
+
+
+def _summed(key: np.ndarray, n: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if not len(key):
+        return key, n, docs
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[first], np.add.reduceat(n[order], first), np.add.reduceat(docs[order], first)
 
-    def given() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, docs) in held.items():
-            terms = list(n)
-            yield pa.RecordBatch.from_pydict({
-                "lang": pa.array([lang] * len(terms), pa.string()), "source": pa.array([source] * len(terms), pa.string()),
-                "term": pa.array(terms, pa.binary()), "n": pa.array(n.values(), pa.int64()), "docs": pa.array([docs[t] for t in terms], pa.int64())})
-        held.clear()
 
+def counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, term, n, docs) of a task's rows, summed over as many rows as memory allows."""
+    held = Held()
     for batch in batches:
         for part in row_slices(batch, 2, SLICE_BYTES):
-            for lang, source, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                n, docs = held.setdefault((lang, source), (Counter({b"": 0}), Counter({b"": 0})))
-                own = Counter(text.translate(TERM_BYTES).split())
-                n.update(own)
-                docs.update(own.keys())
-            if sum(len(n) for n, _ in held.values()) >= HELD_TERMS:
-                yield from given()
-    yield from given()
+            held.add(list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)), part.column(2).to_pylist())
+            if len(held.terms) >= HELD_TERMS or held.size >= HELD_ROWS:
+                yield from held.given()
+                held = Held()
+    yield from held.given()
 
 
 def shares(count: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -84,20 +120,30 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """The bitmaps of one block's groups (sources, and the whole language last): one row per set word, complement included."""
+    """The bitmaps of one block's groups (sources and the whole language): for each (group, count) the set of its term numbers."""
 
-    def __init__(self, rows: pa.Table, vocab: int):
+    def __init__(self, rows: pa.Table):
         heads = rows.filter(pc.is_null(rows.column("cnt")))
-        self.size = heads.column("terms")[0].as_py()
+        vocab, self.size = heads.column("vocab")[0].as_py(), heads.column("terms")[0].as_py()
         self.names = [tuple(x) for x in zip(heads.column("whole").to_pylist(), heads.column("source").to_pylist(), strict=True)]
         self.stripe = np.array(heads.column("stripe").to_pylist(), np.int64)
         number = {k: i for i, k in enumerate(self.names)}
         total = np.array(heads.column("total").to_pylist(), np.int64) + vocab
         body = rows.filter(pc.is_valid(rows.column("cnt")))
         group = np.array([number[k] for k in zip(body.column("whole").to_pylist(), body.column("source").to_pylist(), strict=True)], np.int64)
-        word, bits = body.column("word").to_numpy().astype(np.int64), body.column("bits").to_numpy().view(np.uint64)
-        count = body.column("cnt").to_numpy()
+        term, count = body.column("term_id").to_numpy().astype(np.int64), body.column("cnt").to_numpy()
+        named = body.filter(body.column("whole"))
+        self.terms = dict(zip(named.column("term_id").to_pylist(), named.column("term").to_pylist(), strict=True))
         n_words = (self.size + 63) // 64
+        # rows of one (word, group, count) become one 64-bit word of that set
+        order = np.lexsort((count, group, term >> 6))
+        group, term, count = group[order], term[order], count[order]
+        word = term >> 6
+        first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (group[1:] != group[:-1]) | (count[1:] != count[:-1])][:len(word)])
+        bits = np.uint64(1) << (term & 63).astype(np.uint64)
+        bits = np.bitwise_or.reduceat(bits, first) if len(first) else bits
+        group, word, count = group[first], word[first], count[first]
+        # the complement of all sets of a group: its terms of count 0
         union = np.zeros((len(self.names), n_words), np.uint64)
         np.bitwise_or.at(union, (group, word), bits)
         valid = np.full(n_words, ~np.uint64(0))
@@ -105,13 +151,11 @@ class Block:
             valid[-1] = (np.uint64(1) << np.uint64(self.size % 64)) - np.uint64(1)
         zero = valid & ~union
         zg, zw = np.nonzero(zero)
-        self.group, self.word = np.concatenate([group, zg]), np.concatenate([word, zw])
-        self.bits = np.concatenate([bits, zero[zg, zw]])
-        self.count = np.concatenate([count, np.zeros(len(zg), np.int64)])
-        self.p = shares(self.count + 1, total[self.group]) if len(self.group) else self.count
-        order = np.argsort(self.word, kind="stable")
-        for k in ("group", "word", "bits", "count", "p"):
-            setattr(self, k, getattr(self, k)[order])
+        group, word, count = np.concatenate([group, zg]), np.concatenate([word, zw]), np.concatenate([count, np.zeros(len(zg), np.int64)])
+        order = np.argsort(word, kind="stable")
+        self.group, self.word, self.count = group[order], word[order], count[order]
+        self.bits = np.concatenate([bits, zero[zg, zw]])[order]
+        self.p = shares(self.count + 1, total[self.group])
         self.bounds = np.searchsorted(self.word, np.arange(n_words + 1))
 
     def cells(self, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -160,30 +204,26 @@ class Block:
                 yield g, term[a:min(b, a + top)], f[a:min(b, a + top)]
 
 
-OUT = "lang string, source string, other string, block int, term_id int, value long"
+OUT = "lang string, source string, part string, item string, value long"
 
 
 def compare_block(rows: pa.Table, top: int) -> pa.Table:
     """The pair values of a block's lane, and of a diagonal lane also the candidate terms."""
-    block = Block(rows, rows.column("vocab")[0].as_py())
+    block = Block(rows)
     lane = rows.column("lane_a")[0].as_py(), rows.column("lane_b")[0].as_py()
     values = block.pair_values(lane)
     mine = [{i for i, (w, _) in enumerate(block.names) if not w and block.stripe[i] == s} for s in lane]
     pairs = sorted({(a, b) for a in mine[0] for b in mine[1] if a != b} | {(b, a) for a in mine[0] for b in mine[1] if a != b})
-    source = [block.names[a][1] for a, _ in pairs]
-    other = [block.names[b][1] for _, b in pairs]
-    value = [int(values[a, b]) for a, b in pairs]
-    term: list[int | None] = [None] * len(pairs)
+    source, item = [block.names[a][1] for a, _ in pairs], [block.names[b][1] for _, b in pairs]
+    part, value = ["pair"] * len(pairs), [int(values[a, b]) for a, b in pairs]
     if lane[0] == lane[1]:
         for g, terms, f in block.top_terms(top, lane[0]):
             source += [block.names[g][1]] * len(terms)
-            other += [None] * len(terms)
-            term += terms.tolist()
+            item += [block.terms[t] for t in terms.tolist()]
+            part += ["term"] * len(terms)
             value += f.tolist()
-    n = len(source)
-    return pa.table({"lang": pa.array([rows.column("lang")[0].as_py()] * n, pa.string()), "source": pa.array(source, pa.string()),
-                     "other": pa.array(other, pa.string()), "block": pa.array([rows.column("block")[0].as_py()] * n, pa.int32()),
-                     "term_id": pa.array(term, pa.int32()), "value": pa.array(value, pa.int64())})
+    return pa.table({"lang": pa.array([rows.column("lang")[0].as_py()] * len(part), pa.string()), "source": pa.array(source, pa.string()),
+                     "part": pa.array(part, pa.string()), "item": pa.array(item, pa.string()), "value": pa.array(value, pa.int64())})
 
 
 def source_divergence(docs: DataFrame, group_col: str = "source", lang_col: str = "lang", text_col: str = "text", min_docs: int = 3,
@@ -207,47 +247,44 @@ def source_divergence(docs: DataFrame, group_col: str = "source", lang_col: str
                        F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
     counts = stored(rows.mapInArrow(counts_of, "lang string, source string, term binary, n long, docs long")
                     .groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "op12-counts")
-    is_group = F.length("term") == 0
-    groups = counts.filter(is_group).select("lang", "source")
-    kept = (counts.filter(~is_group).groupBy("lang", "term").agg(F.sum("n").alias("whole_n"), F.sum("docs").alias("docs"))
-            .filter(F.col("docs") >= min_docs).drop("docs"))
-    kept = stored(kept, "op12-kept")
+    groups = counts.filter(F.length("term") == 0).select("lang", "source")
+    # a term has one row per source of its language
+    of_term = Window.partitionBy("lang", "term")
+    own = stored(counts.filter(F.length("term") > 0)
+                 .select("lang", "source", "term", F.col("n").alias("cnt"), F.sum("docs").over(of_term).alias("docs"), F.sum("n").over(of_term).alias("whole_n"),
+                         F.min("source").over(of_term).alias("one"))
+                 .filter(F.col("docs") >= min_docs).select("lang", "source", "term", "cnt", "whole_n", (F.col("source") == F.col("one")).alias("first")), "op12-own")
     langs = (groups.groupBy("lang").agg(F.count(F.lit(1)).alias("sources"))
-             .join(kept.groupBy("lang").agg(F.count(F.lit(1)).alias("vocab"), F.sum("whole_n").alias("whole_total")), "lang", "left")
+             .join(own.groupBy("lang").agg(F.count_if("first").alias("vocab"), F.sum("cnt").alias("whole_total")), "lang", "left")
              .na.fill(0, ["vocab", "whole_total"])
              .withColumn("blocks", F.greatest(F.ceil(F.col("vocab") / block), F.lit(1)).cast("int"))
              .withColumn("stripes", F.ceil(F.col("sources") / stripe).cast("int")))
     langs = stored(langs, "op12-langs")
-    numbered = stored(kept.join(langs.select("lang", "blocks"), "lang")
-                      .select("lang", "term", "whole_n", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block"))
-                      .withColumn("term_id", F.row_number().over(Window.partitionBy("lang", "block").orderBy("term")) - 1), "op12-terms")
-    own = stored(counts.filter(~is_group).join(numbered, ["lang", "term"]).select("lang", "source", "block", "term_id", F.col("n").alias("cnt")), "op12-own")
-    every = own.withColumn("whole", F.lit(False)).unionByName(
-        numbered.select("lang", F.lit("").alias("source"), "block", "term_id", F.col("whole_n").alias("cnt"), F.lit(True).alias("whole")))
-    word = F.floor(F.col("term_id") / 64).cast("int")
-    bitmaps = every.groupBy("lang", "block", "whole", "source", "cnt", word.alias("word")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("term_id") % 64)).alias("bits"))
-    # a row without a count for every group and block: its total and the block's size
+    numbered = stored(own.join(langs.select("lang", "blocks"), "lang")
+                      .withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int"))
+                      .withColumn("term_id", F.dense_rank().over(Window.partitionBy("lang", "block").orderBy("term")) - 1).drop("blocks"), "op12-numbered")
+    # each group's row, and of a term's first row also one for the whole language, which has the term's name
+    both = F.array(F.struct(F.lit(False).alias("whole"), "source", "cnt", F.lit(None).cast("string").alias("term")),
+                   F.struct(F.lit(True).alias("whole"), F.lit("").alias("source"), F.col("whole_n").alias("cnt"), F.col("term").cast("string").alias("term")))
+    body = numbered.select("lang", "block", "term_id", F.explode(F.slice(both, 1, F.when(F.col("first"), 2).otherwise(1))).alias("x")).select("lang", "block", "term_id", "x.*")
+    # a row without a count for every group and block: its total, and the block's size
     totals = (groups.join(own.groupBy("lang", "source").agg(F.sum("cnt").alias("total")), ["lang", "source"], "left").na.fill(0, ["total"])
               .withColumn("whole", F.lit(False))
               .unionByName(langs.select("lang", F.lit("").alias("source"), F.col("whole_total").alias("total"), F.lit(True).alias("whole"))))
-    sizes = numbered.groupBy("lang", "block").agg(F.count(F.lit(1)).alias("terms"))
+    sizes = numbered.groupBy("lang", "block").agg(F.count_if("first").alias("terms"))
     heads = (totals.join(langs, "lang").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .join(sizes, ["lang", "block"], "left").na.fill(0, ["terms"])
              .select("lang", "block", "whole", "source", "total", "terms", "vocab"))
-    entries = heads.unionByName(bitmaps, allowMissingColumns=True).join(langs.select("lang", "stripes"), "lang")
+    entries = heads.unionByName(body, allowMissingColumns=True).join(langs.select("lang", "stripes"), "lang")
     stripe_of = F.pmod(F.xxhash64("source"), F.col("stripes")).cast("int")
     entries = (entries.withColumn("stripe", F.when(~F.col("whole"), stripe_of).otherwise(-1))
                .withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("stripes") - 1)))
                .withColumn("lane_a", F.when(F.col("whole"), F.col("lane")).otherwise(F.least("stripe", "lane")))
                .withColumn("lane_b", F.when(F.col("whole"), F.col("lane")).otherwise(F.greatest("stripe", "lane"))))
     found = stored(entries.groupBy("lang", "block", "lane_a", "lane_b").applyInArrow(lambda t: compare_block(t, top), OUT), "op12-found")
-    pairs = found.filter(F.col("other").isNotNull()).groupBy("lang", "source", "other").agg(F.sum("value").alias("value"))
-    pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), F.col("other").alias("item"), "value")
     order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
-    terms = (found.filter(F.col("other").isNull()).join(numbered, ["lang", "block", "term_id"])
-             .select("lang", "source", F.lit("term").alias("part"), F.col("term").cast("string").alias("item"), "value")
-             .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top))
+    pairs = found.filter("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
+    terms = found.filter("part = 'term'").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     return pairs.withColumn("rank", F.row_number().over(order)).unionByName(terms)
 
 
