@@ -21,7 +21,9 @@ bounded number of broadcast rows when it goes back.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -60,10 +62,8 @@ class Words:
         rows = [(t or b"").split() for t in texts]
         self.sizes = np.array([len(r) for r in rows], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        number = dict.fromkeys(w for r in rows for w in r)
-        for i, w in enumerate(number):
-            number[w] = i
-        at = np.fromiter((number[w] for r in rows for w in r), np.int32, int(self.sizes.sum()))
+        number: dict[bytes, int] = defaultdict(count().__next__)  # in the order they come
+        at = np.fromiter(map(number.__getitem__, chain.from_iterable(rows)), np.int32, int(self.sizes.sum()))
         digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for w in number]), "<u8").reshape(-1, 2)
         self.lanes = digests[at, 0], digests[at, 1]
 
