@@ -22,7 +22,7 @@ from sluice.operators.metrics import (average_meter, best_epoch, best_so_far, fo
 from sluice.operators.ranking import dense_index, smallest_n
 from sluice.operators.sampling import (epoch_negatives, fixed_batches, sample_exact_n, shard_rows,
                                        shuffle_head, shuffle_rows, with_order)
-from sluice.operators.scoring import (batch_score, ensemble_mean, fit_epochs, score_models, score_views,
+from sluice.operators.scoring import (batch_score, ensemble_mean, fit_epochs, score_models,
                                       score_views, submission_join)
 from sluice.operators.sequences import build_vocab, encode, length_buckets, trim_batch
 from sluice.operators.sets import combine_train_valid, dedup_text, union_sources

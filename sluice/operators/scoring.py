@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from functools import reduce
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions.labels import binarise
 from sluice.functions.scoring import linear_head
+from sluice.operators import solver
 from sluice.operators.labels import loss_weight
 from sluice.operators.metrics import loss_by_name, roc_auc
+from sluice.session import materialize
 
 
 def batch_score(df: DataFrame, key, vec_col: str, weights: Sequence[float], bias: float,
@@ -121,23 +122,7 @@ def _with_scores(t: DataFrame, scores: DataFrame, key: str, score_col: str) -> D
     return j.withColumn(score_col, checked)
 
 
-# --- model fitting with pyspark.ml (Q5-Q7) -------------------------------------
-
-def text_pipeline(max_iter: int = 20, reg: float = 0.01, num_features: int = 1 << 18):
-    """Tokenize -> hashed term frequencies -> IDF -> weighted logistic regression."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
-
-    return Pipeline(stages=[
-        RegexTokenizer(inputCol="comment_text", outputCol="_words", pattern=r"[\p{L}\p{N}_]+", gaps=False,
-                       toLowercase=True),
-        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=num_features),
-        IDF(inputCol="_tf", outputCol="features"),
-        LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
-                           maxIter=max_iter, regParam=reg),
-    ])
-
+# --- model fitting (Q5-Q7) ------------------------------------------------------
 
 def prepare_training(df: DataFrame, weight_mode: str = "constant") -> DataFrame:
     """L1 labels + L6 weights + P3 text fill, as the classifier expects."""
@@ -146,46 +131,34 @@ def prepare_training(df: DataFrame, weight_mode: str = "constant") -> DataFrame:
     return d.withColumn("label", binarise("toxic").cast("double"))
 
 
-def fit_epochs(train_by_epoch: DataFrame, epochs: int, parallelism: int | None = None):
-    """Q5: one fitted model per epoch draw (each fit is a distributed job).
-
-    The draw for all epochs is one plan; it is checkpointed once (to the
-    shared ``spark.checkpoint.dir``) so the IDF pass and every solver
-    iteration read the materialised rows instead of re-running sampling.
-    The epoch fits are independent, so they are submitted from driver
-    threads at the same time (as ``CrossValidator(parallelism=...)`` does)
-    and their small solver jobs share the cluster instead of queueing.
-    """
-    from concurrent.futures import ThreadPoolExecutor
-
-    pipe = text_pipeline()
-    prepared = prepare_training(train_by_epoch).checkpoint(eager=True)
-
-    def fit_one(e):
-        return e, pipe.fit(prepared.filter(F.col("epoch") == e))
+def epoch_rows(train_by_epoch: DataFrame, texts: DataFrame, dim: int) -> DataFrame:
+    """The solver's rows of all epochs' draws, stored: each text of ``texts`` (id, comment_text) is hashed once."""
+    draws = prepare_training(train_by_epoch).select(F.col("epoch").alias("model"), "id", F.col("label").alias("y"), F.col("weight").alias("w"))
+    filled = texts.select("id", F.coalesce("comment_text", F.lit("none")).alias("comment_text"))
+    return materialize(solver.training_rows(draws, filled, "id", "comment_text", dim))
 
-    with ThreadPoolExecutor(max_workers=parallelism or epochs) as pool:
-        return dict(pool.map(fit_one, range(1, epochs + 1)))
 
+def fit_epochs(train_by_epoch: DataFrame, texts: DataFrame, epochs: int, steps: int = 12, dim: int = 1 << 16,
+               loss: str | solver.Loss = "weighted_bce", lr: float = 0.3) -> solver.State:
+    """Q5: one model per epoch draw, fitted to ``loss`` (the loss called so, or a ``Loss`` of one's own); all models learn in the same jobs."""
+    rows = epoch_rows(train_by_epoch, texts, dim)
+    return solver.fit(rows, solver.State.new(range(1, epochs + 1), dim), steps, loss, lr)
 
-def score_with(model, df: DataFrame, key: str = "id") -> DataFrame:
-    """Probability of the positive class and its logit, keyed.
 
-    The logit is the model's raw score: it stays finite where the probability
-    rounds to 0 or 1.
-    """
-    from pyspark.ml.functions import vector_to_array
-
-    d = df.withColumn("comment_text", F.coalesce("comment_text", F.lit("none")))
-    out = model.transform(d)
-    return out.select(key, vector_to_array("probability")[1].alias("prob"), vector_to_array("rawPrediction")[1].alias("logit"))
+def score_epochs(state: solver.State, valid: DataFrame) -> DataFrame:
+    """Every epoch's model on the validation rows: ``(epoch, id, y, prob, logit)``."""
+    rows = valid.withColumn("y", binarise("toxic"))
+    return solver.score(rows, state, ["id", "y"], "comment_text").select(F.col("model").alias("epoch"), "id", "y", "prob", "logit")
 
 
-def score_epochs(models: Mapping[int, object], valid: DataFrame, key: str = "id") -> DataFrame:
-    """Every epoch's model on the validation rows: ``(epoch, key, y, prob, logit)``."""
-    parts = [score_with(m, valid, key).join(valid.select(key, binarise("toxic").alias("y")), key).withColumn("epoch", F.lit(e))
-             for e, m in models.items()]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+def tune(rows: DataFrame, state: solver.State, rounds: int, steps: int, spark: SparkSession, path: str,
+         loss: str | solver.Loss = "weighted_bce", lr: float = 0.3) -> Iterator[tuple[int, solver.State]]:
+    """Q7: goes on from ``state`` on other rows, round r with ``lr / r``; each round starts from what the one before saved below ``path``."""
+    solver.save_state(spark, state, f"{path}/round=0")
+    for r in range(1, rounds + 1):
+        now = solver.fit(rows, solver.load_state(spark, f"{path}/round={r - 1}"), steps, loss, lr / r)
+        solver.save_state(spark, now, f"{path}/round={r}")
+        yield r, now
 
 
 def evaluate_epochs(scored: DataFrame, loss: str = "weighted_bce") -> DataFrame:

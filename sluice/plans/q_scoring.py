@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from sluice.functions import scoring as SC
 from sluice.functions.text import clean_text
 from sluice.operators import sampling as M
 from sluice.operators import scoring as R
+from sluice.operators import solver as SV
+from sluice.plans import solver_sql as FS
 from sluice.plans import sqltext as S
 from sluice.plans.registry import register
+from sluice.session import scratch_path
 from sluice.sources import tables as T
 
 W0 = SC.head_weights(64, 7, 3)
@@ -165,11 +170,15 @@ MODEL_SQL = "\nUNION ALL ".join(
 
 
 # --- fitting -----------------------------------------------------------------------
-# The solvers' numbers have no SQL form; the queries return what a fit saw and scored, which
-# SQL can count. tests/test_fitting.py recomputes loss and AUC from the scored rows.
+# The SQL repeats every step of the solver, see solver_sql.
 
 EPOCHS = 3
 N_NEG = 100
+DIM = 1 << 16
+STEPS = 12
+LR = 0.3
+TUNE_ROUNDS, TUNE_STEPS = 2, 4
+DIGITS = 5
 
 
 def train_by_epoch(spark, sf_dir, n_negatives: int = N_NEG, epochs: int = EPOCHS, mode: str = "floor"):
@@ -178,10 +187,25 @@ def train_by_epoch(spark, sf_dir, n_negatives: int = N_NEG, epochs: int = EPOCHS
                              exclude=T.valid(spark, sf_dir))
 
 
-def scored_epochs(spark, sf_dir):
-    """(training rows by epoch, validation rows scored by each epoch's model)."""
+def _texts(spark, sf_dir):
+    return T.comments(spark, sf_dir).select("id", "comment_text")
+
+
+def scored_epochs(spark, sf_dir, loss="weighted_bce"):
+    """(training rows by epoch, the fitted state, validation rows scored by each epoch's model)."""
     tr = train_by_epoch(spark, sf_dir)
-    return tr, R.score_epochs(R.fit_epochs(tr, EPOCHS), T.valid(spark, sf_dir))
+    state = R.fit_epochs(tr, _texts(spark, sf_dir), EPOCHS, STEPS, DIM, loss, LR)
+    return tr, state, R.score_epochs(state, T.valid(spark, sf_dir))
+
+
+def _losses_of(spark, state, name: str = "weighted_bce"):
+    """Each model's loss before every step and its weights' sums after the last: ``(criterion, epoch, measure, step, value)``."""
+    rows = []
+    for i, m in enumerate(state.models):
+        rows += [(name, m, "loss", k + 1, losses[i]) for k, losses in enumerate(state.losses)]
+        rows += [(name, m, "weight_sum", state.step, float(state.w[i].sum())), (name, m, "weight_norm", state.step, float((state.w[i] ** 2).sum()))]
+    df = spark.createDataFrame(rows, "criterion string, epoch int, measure string, step int, value double")
+    return df.withColumn("value", F.round("value", DIGITS))
 
 
 _S2 = f"(SELECT id, CASE WHEN toxic >= 0.95 THEN toxic ELSE 0.0 END AS toxic FROM {S.soft_set2()} q WHERE id % 5 <> 0)"
@@ -192,64 +216,76 @@ TRAIN_SQL = f"""train AS (
   SELECT epoch, id, toxic FROM (SELECT id, toxic FROM {S.SET1} a WHERE id % 5 <> 0
                                 UNION ALL SELECT id, toxic FROM {_S2} b WHERE toxic >= 0.95) f, range(1, {EPOCHS + 1}) e(epoch)
   UNION ALL SELECT epoch, id, toxic FROM {_NEGS} c)"""
+_MEMBERS = """SELECT CAST(epoch AS INTEGER) AS model, id, CASE WHEN toxic >= 0.95 THEN 1.0 ELSE 0.0 END AS y,
+                     CASE WHEN toxic = 0 THEN 0.9 ELSE toxic END AS w FROM """
+_FEATURES = FS.features(S.COMMENTS, "id", "comment_text", DIM)
 
 
 @register("fit_classifier", sql=f"""
-WITH {TRAIN_SQL}
-SELECT CAST(epoch AS INTEGER) AS epoch, count(*) AS n_train, CAST(count(*) FILTER (WHERE toxic >= 0.95) AS BIGINT) AS n_train_pos,
-       round(sum(CASE WHEN toxic = 0 THEN 0.9 ELSE toxic END), 6) AS train_weight, (SELECT count(*) FROM {S.VALID} v) AS n_scored
-FROM train GROUP BY epoch
+WITH RECURSIVE {TRAIN_SQL},
+{_FEATURES},
+{FS.fit([(_MEMBERS + 'train', STEPS, LR)], 'weighted_bce')}
+{FS.history(STEPS, DIGITS)}
 """)
 def fit_classifier(spark, sf_dir):
-    tr, scored = scored_epochs(spark, sf_dir)
-    seen = R.prepare_training(tr).groupBy("epoch").agg(
-        F.count(F.lit(1)).alias("n_train"), F.count_if(F.col("label") == 1).alias("n_train_pos"), F.round(F.sum("weight"), 6).alias("train_weight"))
-    return seen.join(scored.groupBy("epoch").agg(F.count("prob").alias("n_scored")), "epoch")
+    """Q5: a model per epoch draw; its loss before each step and its weights after the last."""
+    return _losses_of(spark, scored_epochs(spark, sf_dir)[1])
+
+
+CRITERIA = ("weighted_bce", "focal", "label_smoothing")
+
+
+@register("fit_criterion", sql="\nUNION ALL\n".join(f"""(
+WITH RECURSIVE {TRAIN_SQL},
+{_FEATURES},
+{FS.fit([(_MEMBERS + 'train WHERE epoch = 1', STEPS, LR)], loss)}
+{FS.history(STEPS, DIGITS, loss)})""" for loss in CRITERIA))
+def fit_criterion(spark, sf_dir):
+    """Q5 with A6, A7 and A8 as the criterion: the same rows and steps, another loss."""
+    rows = R.epoch_rows(train_by_epoch(spark, sf_dir, epochs=1), _texts(spark, sf_dir), DIM)
+    out = [_losses_of(spark, SV.fit(rows, SV.State.new([1], DIM), STEPS, loss, LR), loss) for loss in CRITERIA]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+_VALID = f"(SELECT id, 1 AS epoch, toxic FROM {S.VALID} q)"
 
 
 @register("evaluate_epochs", sql=f"""
-SELECT CAST(epoch AS INTEGER) AS epoch, CAST(count(*) FILTER (WHERE toxic >= 0.95) AS BIGINT) AS n_pos,
-       CAST(count(*) FILTER (WHERE toxic < 0.95) AS BIGINT) AS n_neg
-FROM {S.VALID} v, range(1, {EPOCHS + 1}) e(epoch) GROUP BY epoch
+WITH RECURSIVE {TRAIN_SQL},
+{_FEATURES},
+{FS.fit([(_MEMBERS + 'train', STEPS, LR)], 'weighted_bce')},
+valid AS (SELECT id, CASE WHEN toxic >= 0.95 THEN 1 ELSE 0 END AS y FROM {S.VALID} q),
+scored AS MATERIALIZED (SELECT s.model, s.id, v.y, round(s.x, 9) AS x FROM ({FS.logits(f'step = {STEPS}', 'valid')}) s JOIN valid v ON s.id = v.id)
+SELECT a.model AS epoch, count(*) FILTER (WHERE a.y = 1)::BIGINT AS n_pos, count(*) FILTER (WHERE a.y = 0)::BIGINT AS n_neg,
+       round(avg(greatest(a.x, 0) - a.x * a.y + ln(1 + exp(-abs(a.x)))), {DIGITS}) AS loss,
+       round((SELECT avg(CASE WHEN p.x > n.x THEN 1.0 WHEN p.x = n.x THEN 0.5 ELSE 0.0 END) FROM scored p JOIN scored n
+              ON p.model = n.model WHERE p.model = a.model AND p.y = 1 AND n.y = 0), {DIGITS}) AS auc
+FROM scored a GROUP BY a.model
 """)
 def evaluate_epochs(spark, sf_dir):
-    """Every epoch's model on validation rows that no fit saw; loss and AUC are there, the query returns the counts."""
-    ev = R.evaluate_epochs(scored_epochs(spark, sf_dir)[1])
-    # an epoch without a finite loss or an AUC would be no row
-    return ev.filter(~F.isnan("loss") & F.col("loss").isNotNull() & F.col("auc").between(0, 1)).select("epoch", "n_pos", "n_neg")
+    """Q6: every epoch's model on validation rows that no fit saw: loss and AUC."""
+    scored = scored_epochs(spark, sf_dir)[2].withColumn("logit", F.round("logit", 9)).withColumn("prob", F.col("logit"))
+    ev = R.evaluate_epochs(scored)
+    return ev.select("epoch", "n_pos", "n_neg", F.round("loss", DIGITS).alias("loss"), F.round("auc", DIGITS).alias("auc"))
 
 
 def tune_rounds(spark, sf_dir):
-    """Q7: two more fits with the validation rows added (round 2 trains longer,
-    as continued training would), scoring the test table after each."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    tr = train_by_epoch(spark, sf_dir, epochs=1)
-    valid = T.valid(spark, sf_dir)
-    test = T.test_table(spark, sf_dir).withColumnRenamed("content", "comment_text")
-    cols = ["id", "comment_text", "toxic"]
-    data = R.prepare_training(tr.select(*cols).unionByName(valid.select(*cols))).checkpoint(eager=True)
-
-    def fit_round(rnd):
-        return rnd, R.text_pipeline(max_iter=10 * rnd).fit(data)
-
-    with ThreadPoolExecutor(max_workers=2) as pool:
-        models = dict(pool.map(fit_round, (1, 2)))
-    out = None
-    for rnd, model in models.items():
-        s = R.score_with(model, test).select(F.lit(rnd).alias("round"), "id", F.col("prob").alias("toxic"))
-        out = s if out is None else out.unionByName(s)
-    return data, out
+    """Q7: the first epoch's model goes on with the validation rows, round 2 from what round 1 saved and with half its
+    step size; every document is scored after each round."""
+    state = R.fit_epochs(train_by_epoch(spark, sf_dir, epochs=1), _texts(spark, sf_dir), 1, STEPS, DIM, "weighted_bce", LR)
+    rows = R.epoch_rows(T.valid(spark, sf_dir).withColumn("epoch", F.lit(1)), _texts(spark, sf_dir), DIM)
+    test = T.test_table(spark, sf_dir)
+    rounds = R.tune(rows, state, TUNE_ROUNDS, TUNE_STEPS, spark, scratch_path(spark, "tuned"), "weighted_bce", LR)
+    return reduce(lambda a, b: a.unionByName(b), [
+        SV.score(test, now, ["id"], "content").select(F.lit(r).alias("round"), "id", F.col("prob").alias("toxic")) for r, now in rounds])
 
 
 @register("tune_then_score", sql=f"""
-WITH {TRAIN_SQL}
-SELECT CAST(r.round AS INTEGER) AS round, count(*) AS n_rows, count(DISTINCT doc_id) AS n_ids,
-       (SELECT count(*) FROM train WHERE epoch = 1) + (SELECT count(*) FROM {S.VALID} v) AS n_train
-FROM documents d, range(1, 3) r(round) GROUP BY r.round
+WITH RECURSIVE {TRAIN_SQL},
+{FS.features('documents', 'doc_id', 'text', DIM)},
+{FS.fit([(_MEMBERS + 'train WHERE epoch = 1', STEPS, LR), *[(_MEMBERS + _VALID + ' v', TUNE_STEPS, LR / r) for r in range(1, TUNE_ROUNDS + 1)]], 'weighted_bce')}
+SELECT ((step - {STEPS}) // {TUNE_STEPS})::INTEGER AS round, id, round(1 / (1 + exp(-x)), {DIGITS}) AS toxic
+FROM ({FS.logits(f"step IN ({', '.join(str(STEPS + r * TUNE_STEPS) for r in range(1, TUNE_ROUNDS + 1))})")}) s
 """)
 def tune_then_score(spark, sf_dir):
-    data, out = tune_rounds(spark, sf_dir)
-    n = data.agg(F.count(F.lit(1))).scalar()
-    return out.filter(F.col("toxic").between(0, 1)).groupBy("round").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("id").alias("n_ids")).withColumn("n_train", n)
+    return tune_rounds(spark, sf_dir).select("round", "id", F.round("toxic", DIGITS).alias("toxic"))

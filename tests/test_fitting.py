@@ -12,7 +12,7 @@ from sluice.sources import tables as T
 
 @pytest.fixture(scope="module")
 def fitted(spark):
-    tr, scored = P.scored_epochs(spark, SF01)
+    tr, _, scored = P.scored_epochs(spark, SF01)
     return tr, scored.cache()
 
 
@@ -37,3 +37,16 @@ def test_loss_and_auc_recomputed(spark, fitted):
 def test_loss_is_chosen_by_name(fitted):
     a, b = ({r.epoch: r.loss for r in evaluate_epochs(fitted[1], loss).collect()} for loss in ("bce", "focal"))
     assert set(a) == set(b) and a != b
+
+
+def test_rounds_go_on_from_what_was_saved(spark, tmp_path):
+    from sluice.operators import scoring as R
+    from sluice.operators import solver as S
+
+    texts = P._texts(spark, SF01)
+    state = R.fit_epochs(P.train_by_epoch(spark, SF01, epochs=1), texts, 1, 2, 1 << 12)
+    rows = R.epoch_rows(T.valid(spark, SF01).selectExpr("*", "1 AS epoch"), texts, 1 << 12)
+    done = dict(R.tune(rows, state, 2, 2, spark, str(tmp_path)))
+    assert [done[r].step for r in (1, 2)] == [4, 6]
+    by_hand = S.fit(rows, S.fit(rows, state, 2, lr=0.3), 2, lr=0.15)
+    assert abs(by_hand.w - done[2].w).max() < 1e-9 and abs(S.load_state(spark, str(tmp_path / "round=1")).w - done[1].w).max() < 1e-15
