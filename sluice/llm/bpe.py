@@ -20,20 +20,25 @@ from __future__ import annotations
 import os
 import re
 import tempfile
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import read_table, text_or_empty
+from sluice.llm.common import read_table, row_slices, text_or_empty
 
 KEY = "op9_bpe"
 
-SLICE_CHARS = 2_000_000
-CACHE_WORDS = 150_000
+SLICE_BYTES = 2_000_000
+#: Bytes that a task's words may take (with what a Python object costs) before it forgets them.
+CACHE_BYTES, OBJECT_BYTES = 64_000_000, 350
+#: Distinct words a counting task holds before it gives them out.
+HELD_WORDS = 300_000
 #: White space to str.split() but not to the tokenizer.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -42,19 +47,6 @@ def words_of(text: str) -> list[str]:
     return text.split() if ODD_SPACE.search(text) is None else [w for w in re.split("[ \t\n\x0b\x0c\r]+", text) if w]
 
 
-def slices(texts: Sequence[str]) -> Iterator[tuple[int, list[list[str]]]]:
-    """(first row, words of each row) of consecutive rows with about SLICE_CHARS characters together."""
-    first, part, size = 0, [], 0
-    for i, t in enumerate(texts):
-        part.append(words_of(t))
-        size += len(t)
-        if size >= SLICE_CHARS:
-            yield first, part
-            first, part, size = i + 1, [], 0
-    if part:
-        yield first, part
-
-
 def load_tokenizer(source: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -162,20 +154,28 @@ class Lexicon:
         return cls(arrays)
 
 
-def count_words(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Words and their counts, of words met ``least`` times in a slice of rows."""
+def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All words of a task and their counts, summed over as many rows as memory allows."""
+    n: Counter = Counter()
+
+    def given() -> Iterator[pa.RecordBatch]:
+        words, counts = pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())
+        for i in range(0, len(words), 50_000):
+            yield pa.RecordBatch.from_arrays([words[i:i + 50_000], counts[i:i + 50_000]], ["word", "n"])
+        n.clear()
+
     for batch in batches:
-        for _, rows in slices(batch.column(0).to_pylist()):
-            n = Counter()
-            for words in rows:
-                n.update(words)
-            often = [(w, c) for w, c in n.items() if c >= least]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in often], pa.string()), pa.array([c for _, c in often], pa.int64())], ["word", "n"])
+        for part in row_slices(batch, 0, SLICE_BYTES):
+            for text in part.column(0).to_pylist():
+                n.update(words_of(text))
+            if len(n) >= HELD_WORDS:
+                yield from given()
+    yield from given()
 
 
-def fit_lexicon(docs: DataFrame, source: str, text_col: str = "text", lexicon_size: int = 65536, least: int = 3) -> Lexicon:
+def fit_lexicon(docs: DataFrame, source: str, text_col: str = "text", lexicon_size: int = 65536) -> Lexicon:
     """Lexicon of the most frequent words of ``docs``; at most ``lexicon_size`` rows reach the driver."""
-    counted = docs.select(text_or_empty(text_col)).mapInArrow(lambda it: count_words(it, least), "word string, n long")
+    counted = docs.select(text_or_empty(text_col)).mapInArrow(count_words, "word string, n long")
     top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(lexicon_size).collect()
     words = sorted(r.word.encode() for r in top)
     encoded = load_tokenizer(source).encode_batch([w.decode() for w in words], add_special_tokens=False)
@@ -183,54 +183,59 @@ def fit_lexicon(docs: DataFrame, source: str, text_col: str = "text", lexicon_si
 
 
 class Encoder:
-    """Words to (ids as text, number of ids, tokens as text)."""
+    """Words to (ids as text, number of ids, tokens as text); words are numbered as they come."""
 
     def __init__(self, source: str, dumped: bytes):
-        self.tok, self.lexicon, self.cache = load_tokenizer(source), Lexicon.mapped(dumped), {}
+        self.tok, self.lexicon = load_tokenizer(source), Lexicon.mapped(dumped)
         self.token = {i: t for t, i in self.tok.get_vocab(with_added_tokens=True).items()}
-
-    def learn(self, rows: list[list[str]]) -> None:
-        need = set().union(*rows)
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {}
-        new = [w for w in need if w not in self.cache]
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = defaultdict(count().__next__)
+        self.id_text: list[str] = []
+        self.decoded: list[str] = []
+        self.n: list[int] = []
+        self.held = 0
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The number of each word; words that are new are looked up in the lexicon, or merged."""
+        if self.held > CACHE_BYTES:
+            self.forget()
+        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        new = list(islice(self.number, len(self.n), None))
         places = self.lexicon.places([w.encode() for w in new]).tolist()
-        unseen = [w for w, p in zip(new, places, strict=True) if p < 0]
+        merged = iter(self.tok.encode_batch([w for w, p in zip(new, places, strict=True) if p < 0], add_special_tokens=False))
         for w, p in zip(new, places, strict=True):
-            if p >= 0:
-                self.keep(w, self.lexicon.tokens(p))
-        for w, e in zip(unseen, self.tok.encode_batch(unseen, add_special_tokens=False), strict=True):
-            self.keep(w, e.ids)
-
-    def keep(self, word: str, ids: list[int]) -> None:
-        self.cache[word] = (" ".join(map(str, ids)), len(ids), self.decoded(ids))
-
-    def decoded(self, ids: list[int]) -> str:
-        """A tokenizer without a decoder joins the tokens by spaces; special tokens stay."""
-        return " ".join([self.token[i] for i in ids])
-
-
-_encoders: dict[int, Encoder] = {}
-
-
-def encode_batches(batches: Iterator[pa.RecordBatch], source, dumped, key: int) -> Iterator[pa.RecordBatch]:
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(source.value, dumped.value)
-    enc = _encoders[key]
+            ids = self.lexicon.tokens(p) if p >= 0 else next(merged).ids
+            self.id_text.append(" ".join(map(str, ids)))
+            # a tokenizer without a decoder joins the tokens by spaces; special tokens stay
+            self.decoded.append(" ".join([self.token[i] for i in ids]))
+            self.n.append(len(ids))
+            self.held += len(w) + len(self.id_text[-1]) + len(self.decoded[-1]) + OBJECT_BYTES
+        return at
+
+    def rows(self, texts: list[str]) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """Each text's ids as text, its number of ids and its decoded text."""
+        words = [words_of(t) for t in texts]
+        at = self.numbers(list(chain.from_iterable(words)))
+        row = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        used, at = np.unique(at, return_inverse=True)
+        n = np.array([self.n[i] for i in used], np.int64)
+        some = n[at] > 0  # some characters make no token
+        row, at = row[some], at[some]
+        sizes = np.bincount(row, n[at], len(words)).astype(np.int64)
+        ends = pa.array(np.searchsorted(row, np.arange(len(words) + 1)), pa.int32())
+        joined = [pc.binary_join(pa.ListArray.from_arrays(ends, pa.array([known[i] for i in used], pa.string()).take(pa.array(at))), " ")
+                  for known in (self.id_text, self.decoded)]
+        return joined[0], pa.array(sizes), joined[1]
+
+
+def encode_batches(batches: Iterator[pa.RecordBatch], source, dumped) -> Iterator[pa.RecordBatch]:
+    enc = Encoder(source.value, dumped.value)
     for batch in batches:
-        ids_col = batch.column(0)
-        for first, rows in slices(batch.column(1).to_pylist()):
-            enc.learn(rows)
-            texts, sizes, back = [], [], []
-            for words in rows:
-                got = [x for w in words if (x := enc.cache[w])[1]]
-                texts.append(" ".join([x[0] for x in got]))
-                sizes.append(sum([x[1] for x in got]))
-                back.append(" ".join([x[2] for x in got]))
-            yield pa.RecordBatch.from_arrays(
-                [ids_col.slice(first, len(rows)), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array(back, pa.string())],
-                ["doc_id", "id_text", "n_tokens", "decoded"])
+        for part in row_slices(batch, 1, SLICE_BYTES):
+            ids, n, decoded = enc.rows(part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0), ids, n, decoded], ["doc_id", "id_text", "n_tokens", "decoded"])
 
 
 def bpe(docs: DataFrame, source: str, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,9 +252,8 @@ def bpe(docs: DataFrame, source: str, lexicon: Lexicon, id_col: str = "doc_id",
     """
     sc = docs.sparkSession.sparkContext
     src, dumped = sc.broadcast(source), sc.broadcast(lexicon.dump())
-    key = hash((source, dumped.value))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(
-        lambda it: encode_batches(it, src, dumped, key), "doc_id long, id_text string, n_tokens long, decoded string")
+        lambda it: encode_batches(it, src, dumped), "doc_id long, id_text string, n_tokens long, decoded string")
 
 
 def ids_of(id_text):
