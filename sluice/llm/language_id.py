@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import crc_mod, read_table, text_or_empty
+from sluice.llm.common import crc_mod, read_table, row_slices, text_or_empty
 
 KEY = "op8_language_id"
 
@@ -203,52 +203,47 @@ class Labeller:
         for i, a in enumerate(at):
             yield paths.get(i, np.zeros(0, np.int16)), self.letters[a], scores[i]
 
-    def decide(self, labels: np.ndarray, letters: np.ndarray, scores: np.ndarray) -> tuple[str, float, list[tuple[int, int, str]]]:
-        """Language of most letters, its share times its certainty, and the labelled spans of words."""
+    def decide(self, labels: np.ndarray, letters: np.ndarray, scores: np.ndarray) -> tuple[str, float, float, list[tuple[int, int, str]]]:
+        """Language of most letters, its share times its certainty, the certainty of all spans, and the spans of words."""
         if not letters.sum():
-            return "und", 0.0, []
+            return "und", 0.0, 0.0, []
         share = np.bincount(labels, letters, len(self.model.langs))
         best = int(share.argmax())
-        total = scores[labels == best].sum(0, dtype=np.float64)
-        sure = 1.0 / np.exp(np.clip(total - total[best], -700, 50)).sum()
+        sure = {}
+        for lang in np.flatnonzero(share).tolist():
+            total = scores[labels == lang].sum(0, dtype=np.float64)
+            sure[lang] = 1.0 / np.exp(np.clip(total - total[lang], -700, 50)).sum()
+        certainty = sum(share[lang] * p for lang, p in sure.items()) / share.sum()
         edges = np.flatnonzero(np.r_[True, labels[1:] != labels[:-1]])
         spans = [(int(a), int(b), self.model.langs[labels[a]]) for a, b in zip(edges, np.append(edges[1:], len(labels)), strict=True)]
-        return self.model.langs[best], float(share[best] / share.sum() * sure), spans
+        return self.model.langs[best], float(share[best] / share.sum() * sure[best]), float(certainty), spans
 
 
 def label_batches(batches: Iterator[pa.RecordBatch], model, switch: float, with_spans: bool, with_text: bool) -> Iterator[pa.RecordBatch]:
     lab = None if model.value is None else Labeller(model.value, switch)
-    most = SLICE_CHARS * 8 if lab is None else max(SLICE_CHARS, min(SLICE_CHARS * 8, VITERBI_CELLS * 5 // len(lab.model.langs)))
+    most = SLICE_CHARS if lab is None else max(SLICE_CHARS // 4, min(SLICE_CHARS * 2, VITERBI_CELLS * 5 // len(lab.model.langs)))
     for batch in batches:
-        texts = batch.column(0).to_pylist()
-        out, part, size = [], [], 0
-
-        def work(part: list) -> list:
-            return [("und", 0.0, []) for _ in part] if lab is None else [lab.decide(*x) for x in lab.spans(part)]
-
-        for t in texts:
-            part.append(words_of(t))
-            size += len(t)
-            if size >= most:
-                out += work(part)
-                part, size = [], 0
-        out += work(part) if part else []
-        cols = {"lang_pred": pa.array([x[0] for x in out], pa.string()), "score": pa.array([x[1] for x in out], pa.float64())}
-        if with_spans:
-            kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("lang", pa.string())]))
-            cols["spans"] = pa.array([[{"first": a, "last": b, "lang": x} for a, b, x in s] for _, _, s in out], kind)
-        yield pa.RecordBatch.from_pydict(cols | {n: batch.column(n) for n in batch.schema.names[not with_text:]})
+        for part in row_slices(batch, 0, most):
+            texts = [words_of(t) for t in part.column(0).to_pylist()]
+            out = [("und", 0.0, 0.0, []) for _ in texts] if lab is None else [lab.decide(*x) for x in lab.spans(texts)]
+            cols = {"lang_pred": pa.array([x[0] for x in out], pa.string()), "score": pa.array([x[1] for x in out], pa.float64()),
+                    "certainty": pa.array([x[2] for x in out], pa.float64())}
+            if with_spans:
+                kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("lang", pa.string())]))
+                cols["spans"] = pa.array([[{"first": a, "last": b, "lang": x} for a, b, x in s] for _, _, _, s in out], kind)
+            yield pa.RecordBatch.from_pydict(cols | {n: part.column(n) for n in part.schema.names[not with_text:]})
 
 
 def language_id(docs: DataFrame, model: Model | None, text_col: str = "text", switch: float = 12.0,
                 spans: bool = False, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
-    """``(lang_pred, score[, spans][, text], rest)``, a row per row of ``docs``; ``rest`` has its columns named in ``keep``.
+    """``(lang_pred, score, certainty[, spans][, text], rest)``, a row per row of ``docs``; ``rest`` has its columns named in ``keep``.
 
     ``score`` is the share of the text's letters in spans of ``lang_pred``, times the
-    probability of that language given those spans' words. ``spans`` are half-open
+    probability of that language given those spans' words. ``certainty`` is that probability for the spans of
+    each language, averaged over all letters: high too for a text of several languages. ``spans`` are half-open
     ranges of word numbers with their language.
 
-    Defined cases: ``und`` with score 0 if the text is null or has no letter, or if
+    Defined cases: ``und`` with score and certainty 0 if the text is null or has no letter, or if
     nothing was learned. Of equal shares the first language by name wins. Null ids
     and repeated rows are kept; long texts are labelled whole; other columns are
     ignored, an empty table gives no rows. Words in a script that no language
@@ -258,7 +253,7 @@ def language_id(docs: DataFrame, model: Model | None, text_col: str = "text", sw
     base = docs.select(text_or_empty(text_col).alias("text"), F.struct(*[F.col(c) for c in keep]).alias("rest"))
     more = ", spans array<struct<first:bigint,last:bigint,lang:string>>" * spans + ", text string" * with_text
     return base.mapInArrow(lambda it: label_batches(it, model_b, switch, spans, with_text),
-                           f"lang_pred string, score double{more}, rest {base.schema['rest'].dataType.simpleString()}")
+                           f"lang_pred string, score double, certainty double{more}, rest {base.schema['rest'].dataType.simpleString()}")
 
 
 def fit_documents(docs: DataFrame) -> Model | None:

@@ -29,13 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import read_table, stored
+from sluice.llm.common import read_table, row_slices, stored
 
 KEY = "op3_line_dedup"
 
 SPACE = b" \t\n\x0b\x0c\r"
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BLOCK_WORDS = 8192
+SLICE_BYTES = 4_000_000
 LANES = 64
 
 
@@ -96,10 +97,11 @@ def filters_of(batches: Iterator[pa.RecordBatch], bits: int, min_chars: int) ->
     """The blocks of one task's two filters."""
     once, twice = np.zeros(1 << (bits - 6), np.uint64), np.zeros(1 << (bits - 6), np.uint64)
     for batch in batches:
-        h = [x for t in batch.column(0).to_pylist() for x in {xxhash.xxh3_64_intdigest(k) for _, k in long_keys(t, min_chars)}]
-        u, n = np.unique(np.array(h, np.uint64), return_counts=True)
-        _put(twice, u[(n > 1) | _hold(once, u)])
-        _put(once, u)
+        for part in row_slices(batch, 0, SLICE_BYTES):
+            h = [x for t in part.column(0).to_pylist() for x in {xxhash.xxh3_64_intdigest(k) for _, k in long_keys(t, min_chars)}]
+            u, n = np.unique(np.array(h, np.uint64), return_counts=True)
+            _put(twice, u[(n > 1) | _hold(once, u)])
+            _put(once, u)
     yield from _blocks(once, twice)
 
 
@@ -126,7 +128,7 @@ def seen_twice(lines_of: DataFrame, bits: int, min_chars: int) -> np.ndarray:
 
 def suspects_of(batches: Iterator[pa.RecordBatch], filt: np.ndarray, min_chars: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, digest) of a document's distinct lines that the filter holds."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in row_slices(whole, 1, SLICE_BYTES)):
         ids, keys = [], []
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             own = {k for _, k in long_keys(t, min_chars)}
@@ -139,7 +141,7 @@ def suspects_of(batches: Iterator[pa.RecordBatch], filt: np.ndarray, min_chars:
 
 
 def without_lines(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in row_slices(whole, 1, SLICE_BYTES)):
         texts, n_lines, n_dropped = [], [], []
         for t, drops in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             t = t or b""

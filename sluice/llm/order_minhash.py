@@ -41,13 +41,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import byte_words, discard, read_table, stored
+from sluice.llm.common import byte_words, discard, read_table, row_slices, stored
 from sluice.llm.components import components
 
 KEY = "op5_order_minhash"
 
 WIDTH, PICK, ROWS, BANDS = 5, 2, 2, 20
 CACHE_WORDS = 300_000
+SLICE_BYTES = 4_000_000
 _SEEDS = np.random.default_rng(5).integers(1, 1 << 63, (2, BANDS * ROWS), np.int64).astype(np.uint64) | np.uint64(1)
 _POWERS = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -135,7 +136,7 @@ def similarity_of(a: np.ndarray, b: np.ndarray, least: float) -> float:
 
 def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    for batch in batches:
+    for batch in (part for whole in batches for part in row_slices(whole, 1, SLICE_BYTES)):
         rows = []
         for t in batch.column(1).to_pylist():
             words = byte_words(t)

@@ -55,3 +55,19 @@ def test_nothing_learned(spark):
 def test_held_out_accuracy(spark):
     got = L.query(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").filter("held_out").collect()
     assert np.mean([r.lang_pred == r.lang for r in got]) > 0.97
+
+
+def test_certain_in_four_languages(spark):
+    """A text evenly of four languages has a low share of each, and is certain all the same; the pipeline keeps it."""
+    import random
+
+    import corpus_pipeline as P
+
+    words = {"en": "the house with garden and little window", "fr": "maison jardin avec petite fenêtre dans le", "de": "haus garten mit kleinem fenster und das", "es": "casa jardín con pequeña ventana y la"}
+    rng = random.Random(3)
+    say = lambda g, n: " ".join(rng.choices(words[g].split(), k=n))
+    rows = [(i, say(g, 80), g, "s", 0) for i, g in enumerate(sorted(words) * 20)]
+    rows += [(1000, " ".join(say(g, 60) for g in words), None, "s", 0), (1001, "... 12 34", None, "s", 0), (1002, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in P.identify_language(spark, docs, "").collect()}
+    assert 1000 in kept and not {1001, 1002} & kept
