@@ -21,7 +21,8 @@ from sluice.llm.language_id import fit_documents, language_id
 from sluice.llm.line_dedup import line_dedup
 from sluice.llm.order_minhash import near_dedup
 
-#: A document whose language is less certain than this is rejected, and one without a letter.
+#: A document whose spans' languages are less certain than this is rejected, and one without a letter. A text
+#: of several languages, each of them certain, stays.
 LEAST_CERTAIN = 0.3
 
 
@@ -45,7 +46,7 @@ def _with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language."""
     out = language_id(docs, fit_documents(docs), keep=_others(docs), with_text=True)
-    return _columns(out.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_CERTAIN)), docs)
+    return _columns(out.filter((F.col("lang_pred") != "und") & (F.col("certainty") >= LEAST_CERTAIN)), docs)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
