@@ -1,7 +1,7 @@
 """Katz backoff language model: partitioned tables, evaluated per token.
 
 The model is a bigram model over all words of the training rows. Each has its own
-probability and its own history; the words never seen in training are one symbol.
+probability and its own history; the words never seen in training share theirs equally.
 
 1. Words: one scan counts every distinct word of the training rows (tasks send
    sorted arrays of 64-bit word hashes, one for each bucket). The merged table of
@@ -26,9 +26,10 @@ probability and its own history; the words never seen in training are one symbol
 P(w | h) is d(c) c / c(h) for a bigram seen c times, else alpha(h) P(w). d(c) is
 Katz's discount for c up to 5, from the counts of counts. alpha(h) is what h's
 discounted counts leave, over the lower-order mass of words not seen after h, so
-each history's probabilities sum to 1. P(w) is c(w) / (N + g), and g / (N + g) for
-the symbol of unseen words: g is the number of words seen once (1 at least), their
-Good-Turing mass. A text's score is summed as log P(w) + log alpha(w) over its words
+each history's probabilities sum to 1. P(w) is c(w) / (N + g); g is the number of
+words seen once (1 at least), and g / (N + g) the Good-Turing mass of all unseen words. They are
+taken to be as many as Chao estimates from the words seen once and twice, n1^2 / (2 n2)
+(n1 (n1 - 1) / 2 without the latter, 1 at least), and each has an equal part. A text's score is summed as log P(w) + log alpha(w) over its words
 (each is a history once), and for each bigram seen in training what its own
 probability differs from that; so a word and a bigram are looked up apart.
 
@@ -312,10 +313,12 @@ ASKED = "bucket int, origin int, keys binary"
 class Words(Vocabulary):
     """All words: the frequent ones by number as in Vocabulary, any other by its hash."""
 
-    def __init__(self, *args):
-        super().__init__(*args)
-        self.mass = self.total + max(1, args[-1])
-        self.unseen = max(1, args[-1]) / self.mass
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, singles: int, doubles: int):
+        super().__init__(hashes, counts, total, distinct, singles)
+        self.mass = self.total + max(1, singles)
+        # Chao's estimate of how many words there are besides those seen, which share the unseen mass
+        self.unseen_words = max(1.0, singles**2 / (2 * doubles) if doubles else singles * (singles - 1) / 2)
+        self.unseen = max(1, singles) / self.mass / self.unseen_words
         self.p = np.append(self.counts / self.mass, self.unseen)
 
     def ids(self, h: np.ndarray) -> np.ndarray:
@@ -530,7 +533,8 @@ def fit(docs: DataFrame, text_col: str = "text", vocabulary: int | None = None,
     total, distinct = sum(t for _, t in of.values()), sum(n for n, _ in of.values())
     open_model = vocabulary is None
     top = most_frequent(words, frequent if open_model else vocabulary)
-    vocab = (Words if open_model else Vocabulary)(*top, total, distinct, of.get(1, (0, 0))[0])
+    once, twice = (of.get(c, (0, 0))[0] for c in (1, 2))
+    vocab = Words(*top, total, distinct, once, twice) if open_model else Vocabulary(*top, total, distinct, once)
     vocab_b = spark.sparkContext.broadcast(vocab)
     if open_model:
         counted = table("op2-pairs", lambda it: count_pairs(it, vocab_b, buckets), merge_pairs, PAIR_COUNTS)
@@ -705,7 +709,7 @@ def score(docs: DataFrame, model: KatzModel, id_col: str = "doc_id", text_col: s
     Defined cases: a null text counts as empty and has one token, the end. Null ids
     and repeated rows are scored each. Words are told apart by 64-bit hashes. Long
     texts are scored whole. With nothing to learn from, every word is unknown: the
-    model gives each token probability 1 as the symbol of other words. Other
+    model gives each token probability 1, as the only unseen word. Other
     columns are ignored, an empty table gives no rows. ``docs`` must give its rows
     in the same order when a task is run again, as a scan of files does.
     """

@@ -20,13 +20,16 @@ def tokens(text):
 class Brute:
     """The same model by dictionaries, evaluated recursively token by token."""
 
-    def __init__(self, texts, size):
+    def __init__(self, texts, size, closed=False):
         seqs = [tokens(t) for t in texts]
         self.c1 = Counter(w for s in seqs for w in s)
         self.n, self.v = sum(self.c1.values()), len(self.c1)
         h = {w: K.xxhash.xxh3_64_intdigest(w.encode()) for w in self.c1}
         self.vocab = set(sorted(self.c1, key=lambda w: (-self.c1[w], np.uint64(h[w]).view(np.int64)))[:size])
-        self.g = max(1, sum(c == 1 for c in self.c1.values()))
+        n1, n2 = (sum(c == k for c in self.c1.values()) for k in (1, 2))
+        self.g = max(1, n1)
+        # the closed model's symbol stands for all other words, else each unseen word has an equal part
+        self.unseen = 1 if closed else max(1, n1 * n1 / (2 * n2) if n2 else n1 * (n1 - 1) / 2)
         self.cv = Counter({w: c for w, c in self.c1.items() if w in self.vocab})
         self.cv[None] = self.n - sum(self.cv.values())
         self.c2 = Counter(b for s in seqs for b in self.pairs(s))
@@ -46,7 +49,7 @@ class Brute:
         return list(zip(["start", *ids], ids))
 
     def p1(self, w):
-        return (self.cv[w] + self.g * (w is None)) / (self.n + self.g)
+        return (self.cv[w] + self.g * (w is None)) / (self.n + self.g) / (self.unseen if w is None else 1)
 
     def p(self, h, w):
         seen = self.after.get(h)
@@ -73,7 +76,7 @@ def texts(n, seed, size=300):
 
 def same(spark, learn, pairs, vocabulary, hot, **kw):
     model = K.fit(docs(spark, list(enumerate(learn))).repartition(3), vocabulary=vocabulary, hot=hot, **kw)
-    brute = Brute(learn, vocabulary)
+    brute = Brute(learn, vocabulary, closed=True)
     got = sorted(([r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.n_known, r.base_score, r.score] for r in K.score(docs(spark, pairs).repartition(2), model).collect()))
     want = sorted([i if i is not None else -1, *brute.row(t)] for i, t in pairs)
     assert len(got) == len(want)
@@ -148,7 +151,19 @@ def test_every_word_has_its_own_probability(spark):
     finally:
         K.BLOCK_TOKENS = old
     for h in ["w1", "w2", "\n", "start", max(brute.c1)]:
-        assert sum(brute.p(h, w) for w in [*brute.c1, None]) == pytest.approx(1)
+        assert sum(brute.p(h, w) for w in brute.c1) + brute.unseen * brute.p(h, None) == pytest.approx(1)
+
+
+def test_invented_words_score_below_known_ones(spark):
+    docs_ = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = K.fit(docs_)
+    rng = random.Random(7)
+    real = next(t for (t,) in docs_.filter("length(text) > 2000").orderBy("doc_id").select("text").collect()).split()[:100]
+    mixed = real[:]
+    rng.shuffle(mixed)
+    invented = ["zq" + "".join(rng.choices("bcdfghjkxyz", k=9)) for _ in range(100)]
+    got = {r.doc_id: r.score / r.n_tokens for r in K.score(docs(spark, [(1, " ".join(real)), (2, " ".join(mixed)), (3, " ".join(invented))]), model).collect()}
+    assert got[1] > got[2] > got[3]
 
 
 def test_no_word_is_cut_from_the_default_model(spark):
