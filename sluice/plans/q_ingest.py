@@ -14,9 +14,10 @@ from sluice.operators.labels import loss_weight
 from sluice.operators.metrics import loss_by_name, roc_auc
 from sluice.operators.sampling import training_labels
 from sluice.plans import sqltext as S
-from sluice.plans.q_scoring import MODEL_SQL, MODELS, VIEW_SQL, model_scores
+from sluice.plans.q_scoring import MODEL_SQL, MODELS, VIEW_SQL, file_scores, model_scores
 from sluice.plans.registry import register
 from sluice.session import materialize, scratch_path
+from sluice.sources import commits as CM
 from sluice.sources import csv_io as C
 from sluice.sources import registry as REG
 from sluice.sources import tables as T
@@ -163,6 +164,23 @@ def part_submissions(spark, sf_dir):
         "n_empty_parts", parts.agg(F.count_if(F.col("n") == 0)).scalar())
 
 
+@register("resumable_parts", sql=f"""
+WITH {VIEW_SQL}, s AS (SELECT id, avg(logit) AS toxic FROM views WHERE view = 'orig' GROUP BY id)
+SELECT id, round(toxic, 9) AS toxic FROM s
+""")
+def resumable_parts(spark, sf_dir):
+    """A run that stops after its first files, and a second one that scores only the others."""
+    path = scratch_path(spark, "resumable")
+    T.test_table(spark, sf_dir).repartition(6, "id").write.parquet(f"{path}/input")
+    files = spark.read.parquet(f"{path}/input")
+    some = files.sparkSession.read.parquet(*files.inputFiles()[:2])
+    first = CM.score_files(some, file_scores, f"{path}/out", wave=1)
+    second = CM.score_files(files, file_scores, f"{path}/out", wave=3)
+    if first + second != len(files.inputFiles()):
+        raise ValueError("a file was scored twice")
+    return CM.scored_rows(spark, f"{path}/out", "id long, toxic double").withColumn("toxic", F.round("toxic", 9))
+
+
 @register("per_model_sink", sql=MODEL_SQL)
 def per_model_sink(spark, sf_dir):
     """Three models over two views, one CSV folder for each model, read back."""
@@ -173,13 +191,17 @@ def per_model_sink(spark, sf_dir):
     return reduce(lambda a, b: a.unionByName(b), parts).select("model", "id", "toxic")
 
 
-def log_metrics(spark, path: str, rows, split: str, loss: str = "weighted_bce") -> None:
-    """Append a split's loss and AUC per epoch to the log at ``path``, and the seconds that they took."""
+LOG_KEYS = ["run", "epoch", "split"]
+
+
+def log_metrics(spark, path: str, rows, run: str, split: str, loss: str = "weighted_bce") -> None:
+    """Put a split's loss and AUC per epoch into the log at ``path``, and the seconds that they took; a repeated call leaves one row each."""
     started = time.time()
     losses = loss_by_name(loss, rows, "x", "y", "w", ["epoch"])
     done = materialize(losses.join(roc_auc(rows, "y", "score", ["epoch"]).select("epoch", "auc"), "epoch"))
     seconds = time.time() - started  # of this split's job, which has run by now
-    C.append_log(done.select("epoch", F.lit(split).alias("split"), "loss", F.col("auc").alias("score"), F.lit(seconds).alias("seconds")), path)
+    CM.append_log(done.select(F.lit(run).alias("run"), "epoch", F.lit(split).alias("split"), "loss", F.col("auc").alias("score"),
+                              F.lit(seconds).alias("seconds")), path, LOG_KEYS)
 
 
 def _log_sql(split: str, rest: int) -> str:
@@ -198,9 +220,11 @@ def metric_log(spark, sf_dir):
     m = T.metric_rows(spark, sf_dir).withColumn("epoch", (F.col("step") / 25).cast("bigint") + 1)
     m = m.withColumn("x", (F.col("loss") - 250.0) / 50.0).withColumn("w", F.lit(1.0))
     path = scratch_path(spark, "metric-log")
-    for rest, split in enumerate(("train", "valid")):
-        log_metrics(spark, path, m.filter(F.col("step") % 2 == rest), split)
-    return spark.read.parquet(path).select("epoch", "split", F.round("loss", 9).alias("loss"), F.round("score", 9).alias("score"))
+    # the first split is logged twice, as by a run that was taken up again
+    for rest, split in ((0, "train"), (1, "valid"), (0, "train")):
+        log_metrics(spark, path, m.filter(F.col("step") % 2 == rest), "r1", split)
+    log = CM.read_log(spark, path, "run string, epoch long, split string, loss double, score double, seconds double")
+    return log.select("epoch", "split", F.round("loss", 9).alias("loss"), F.round("score", 9).alias("score"))
 
 
 # --- projections and null handling -------------------------------------------------

@@ -156,6 +156,11 @@ def _text_logit_of(t: str, weights, bias: float) -> str:
     return "(" + " + ".join(f"{w!r} * {f}" for w, f in zip(weights, feats)) + f" + {bias!r})"
 
 
+def file_scores(rows):
+    """Q3 on the test rows of some files: ``(id, toxic)``."""
+    return R.batch_score(rows.select("id", SC.text_features("content").alias("features")), "id", "features", TW, TB, "toxic")
+
+
 def model_scores(spark, sf_dir):
     """Three models over two views, the views' mean per model and id: ``(model, id, toxic)``."""
     views = {"orig": F.col("content"), "lower": F.lower("content")}

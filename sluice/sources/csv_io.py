@@ -69,12 +69,6 @@ def write_partitioned(df: DataFrame, path: str, by: str, fmt: str = "parquet") -
     return path
 
 
-def append_log(df: DataFrame, path: str) -> str:
-    """Append rows to a Parquet log table."""
-    df.write.mode("append").parquet(path)
-    return path
-
-
 def part_files(df: DataFrame) -> DataFrame:
     """Which part file each row came from."""
     return df.withColumn("part_file", F.input_file_name())
