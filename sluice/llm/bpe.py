@@ -36,9 +36,9 @@ KEY = "op9_bpe"
 
 SLICE_BYTES = 2_000_000
 #: Bytes that a task's words may take (with what a Python object costs) before it forgets them.
-CACHE_BYTES, OBJECT_BYTES = 64_000_000, 350
+CACHE_BYTES, OBJECT_BYTES = 160_000_000, 350
 #: Distinct words a counting task holds before it gives them out.
-HELD_WORDS = 300_000
+HELD_WORDS = 600_000
 #: White space to str.split() but not to the tokenizer.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
