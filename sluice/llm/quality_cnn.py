@@ -7,10 +7,10 @@ response is a sum of table rows. Each filter's response is max-pooled over a
 chunk; a hidden layer follows, and its mean and maximum over all chunks give
 one logit.
 
-Training takes a bounded sample of the labelled rows (``max_rows``, in the order
-of a hash of the id, and ``max_chunks`` evenly spaced chunks of each) to the
-driver, where the network is fitted. Scoring is one scan without a shuffle and
-reads every whole text, a piece at a time.
+Training takes a bounded sample of the labelled rows to the driver, where the
+network is fitted: whole texts in the order of a hash of the id, at most
+``max_rows`` of them, and none after the one that fills ``max_bytes``. Scoring is
+one scan without a shuffle and reads every whole text, a piece at a time.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice.llm.common import crc_mod, read_table, text_or_empty
@@ -34,13 +34,12 @@ def n_chunks(size: int) -> int:
     return max(1, -(-(size - WIDTH + 1) // STEP))
 
 
-def chunk_bytes(text: bytes, which: np.ndarray | None = None) -> np.ndarray:
-    """Chunks x CHUNK bytes, padded by zeros; ``which`` selects chunks by number."""
+def chunk_bytes(text: bytes) -> np.ndarray:
+    """Chunks x CHUNK bytes, padded by zeros."""
     n = n_chunks(len(text))
     padded = np.zeros((n - 1) * STEP + CHUNK, np.uint8)
     padded[:len(text)] = np.frombuffer(text, np.uint8)
-    view = np.lib.stride_tricks.as_strided(padded, (n, CHUNK), (STEP, 1), writeable=False)
-    return view if which is None else view[which]
+    return np.lib.stride_tricks.as_strided(padded, (n, CHUNK), (STEP, 1), writeable=False)
 
 
 class Network:
@@ -127,28 +126,25 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def sample_chunks(batches: Iterator[pa.RecordBatch], max_chunks: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for t in batch.column(0).to_pylist():
-            n = n_chunks(len(t))
-            which = np.unique(np.linspace(0, n - 1, min(n, max_chunks)).astype(int))
-            out.append(np.ascontiguousarray(chunk_bytes(t, which)).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1)], ["chunks", "y"])
-
-
 def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 2000,
-        max_chunks: int = 48, epochs: int = 12) -> Network:
-    """Network fitted to at most ``max_rows`` rows with a label; without any, every score is 0.5."""
+        max_bytes: int = 1 << 27, epochs: int = 12) -> Network:
+    """Network fitted to whole texts of at most ``max_rows`` rows with a label; without any, every score is 0.5.
+
+    Rows are taken in the order of a hash of their id until the texts taken hold
+    ``max_bytes`` or more, so that the driver holds no more than that and one text.
+    """
     seen = rows.filter(F.col(label_col).isNotNull()).select(
         text_or_empty(text_col).cast("binary").alias("text"), (F.col(label_col) == 1).cast("double").alias("y"),
         F.xxhash64(F.col(id_col), F.lit("op7")).alias("h"), F.col(id_col).alias("i"))
-    top = seen.orderBy("h", "i").limit(max_rows).select("text", "y").mapInArrow(lambda it: sample_chunks(it, max_chunks), "chunks binary, y double").collect()
+    # at most max_rows rows are left for the running size
+    before = F.sum(F.octet_length("text")).over(Window.orderBy("h", "i").rowsBetween(Window.unboundedPreceding, -1))
+    top = seen.orderBy("h", "i").limit(max_rows).withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < max_bytes)
+    sample = top.select("text", "y").collect()
     net = Network()
-    if not top:
+    if not sample:
         net.p["w2"][:] = 0
         return net
-    return net.fit([np.frombuffer(r.chunks, np.uint8).reshape(-1, CHUNK) for r in top], np.array([r.y for r in top], np.float32), epochs)
+    return net.fit([chunk_bytes(bytes(r.text)) for r in sample], np.array([r.y for r in sample], np.float32), epochs)
 
 
 def score_batches(batches: Iterator[pa.RecordBatch], net) -> Iterator[pa.RecordBatch]:
