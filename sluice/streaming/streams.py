@@ -20,8 +20,6 @@ from sluice.functions.scoring import TEXT_HEAD_BIAS, TEXT_HEAD_WEIGHTS, linear_h
 from sluice.functions.text import clean_text
 from sluice.operators.metrics import checked_score, roc_auc_counts
 
-METER_BINS = 1 << 16
-
 
 def file_stream(spark: SparkSession, directory: str, schema: T.StructType, glob: str | None = None,
                 files_per_trigger: int = 1) -> DataFrame:
