@@ -32,4 +32,4 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from sluice.plans import (  # noqa: F401
         q_ingest, q_labels, q_sampling, q_text, q_metrics, q_sequences, q_augment,
-        q_scoring, q_sentences, q_streaming)
+        q_scoring, q_sentences, q_streaming, q_bucketed)
