@@ -226,8 +226,8 @@ def prefix_pairs(nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return out
 
 
-def near_links(classes: DataFrame, least: float, small: int, rounds: int) -> list[DataFrame]:
-    """Verified links (u, v) between classes, as stored tables; ``classes`` has (node, n, bands, words), one row per node."""
+def linked(classes: DataFrame, least: float, small: int, rounds: int) -> DataFrame:
+    """``(node, component)``, stored, of the classes that have verified links; ``classes`` has (node, n, bands, words), one row per node."""
     exploded = classes.select("node", "n", F.explode("bands").alias("band"))
     sizes = exploded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     shared = stored(exploded.join(sizes, "band").select("band", "node", "n", "size"), "op5-shared")
@@ -245,9 +245,9 @@ def near_links(classes: DataFrame, least: float, small: int, rounds: int) -> lis
     first = many.groupBy("band").agg(F.max("rank").alias("pivot"))
     done = [stored(ordered(pairs.drop("band").unionByName(with_pivot(many, first)), least), "op5-pairs")]
     texts = classes.select("node", "words")
-    links = [stored(verified(done[0], texts, least), "op5-links")]
-    for r in range(rounds if many.limit(1).count() else 0):
-        component = components(_union(links))
+    component = _grown(verified(done[0], texts, least))
+    large = many.limit(1).count() > 0
+    for r in range(rounds if large else 0):
         placed = many.join(component, "node", "left").select(
             "band", "node", "n", "rank", F.coalesce("component", "node").alias("component"))
         mixed = placed.groupBy("band").agg(F.max(F.struct("rank", "component")).alias("main"), F.min("component").alias("x"), F.max("component").alias("y"))
@@ -258,20 +258,26 @@ def near_links(classes: DataFrame, least: float, small: int, rounds: int) -> lis
         pivots = outside.groupBy("band").agg(F.max(F.struct(key.alias("key"), "node", "n", "component")).alias("pivot"))
         rows = placed.join(pivots, "band").filter("component <> pivot.component").drop("pivot")
         done.append(stored(ordered(with_pivot(rows, pivots), least).join(_union(done), ["u", "v"], "left_anti"), "op5-pairs"))
-        links.append(stored(verified(done[-1], texts, least), "op5-links"))
-        discard(component)
-    if many.limit(1).count():
-        component = components(_union(links))
+        component = _grown(verified(done[-1], texts, least), component)
+    if large:
         placed = many.select("band", "node").join(component, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
         mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("band")
         apart = stored(placed.join(mixed, "band").select("node", "component").distinct(), "op5-apart")
         if apart.limit(1).count():
             pairs = prefix_pairs(apart, texts, least)
-            links.append(stored(verified(pairs.join(_union(done), ["u", "v"], "left_anti"), texts, least), "op5-links"))
+            component = _grown(verified(pairs.join(_union(done), ["u", "v"], "left_anti"), texts, least), component)
             discard(pairs)
-        discard(component, apart)
+        discard(apart)
     discard(shared, many, *done)
-    return links
+    return component
+
+
+def _grown(links: DataFrame, component: DataFrame | None = None) -> DataFrame:
+    """Components with further links; the table before is deleted."""
+    links = stored(links, "op5-links")
+    out = components(links, component)
+    discard(links, *([] if component is None else [component]))
+    return out
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -299,14 +305,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # equal words have equal bands: any row's stand for the class, and copies collapse map-side
     classes = stored(rows.groupBy("node").agg(
         F.min("doc_id").alias("exact_id"), F.count("*").alias("size"), *[F.any_value(c).alias(c) for c in ("n", "bands", "words")]), "op5-classes")
-    links = near_links(classes, similarity, small, rounds)
-    component = components(_union(links))
+    component = linked(classes, similarity, small, rounds)
     placed = classes.select("node", "exact_id", "size").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = placed.groupBy("component").agg(F.min("exact_id").alias("class_id"), F.sum("size").alias("class_size"))
     label = placed.join(named, "component").select("node", "exact_id", "class_id", "class_size")
     out = stored(rows.select("doc_id", "node").join(label, "node").select(
         "doc_id", "class_id", "class_size", "exact_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")), "op5-result")
-    discard(rows, classes, component, *links)
+    discard(rows, classes, component)
     return out
 
 

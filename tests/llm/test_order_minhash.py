@@ -117,6 +117,21 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_with_later_links(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)] + [(0, i) for i in range(1, 40)]
+    whole = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    known = None
+    for a in range(0, len(edges), 100):
+        known = components(spark.createDataFrame(edges[a:a + 100], "u long, v long"), known)
+    rows = known.collect()
+    got = {r.node: r.component for r in rows}
+    assert len(got) == len(rows) and got == {n: whole.get(n, n) for n in got}
+    assert set(got) >= {x for e in edges if e[0] != e[1] for x in e}
+    known = components(spark.createDataFrame([], "u long, v long"), known)
+    assert {r.node: r.component for r in known.collect()} == got
+
+
 def test_many_small_groups_that_share_most_of_their_text(spark):
     # all share a passage of 85 % of their words; two near copies of each, whose bands are nearly all the passage's
     passage = words(340, 20)
