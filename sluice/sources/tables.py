@@ -23,6 +23,8 @@ SET2_SOURCES = [f"src{i}" for i in range(10, 20)]
 
 #: Session setting: the number of partitions that ``table`` deals a scan's rows to.
 SCAN_PARTITIONS = "sluice.scan.partitions"
+#: Session setting: the tables that this holds for, joined by commas; all if unset.
+SCAN_TABLES = "sluice.scan.tables"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ``sluice.scan.partitions`` deals the rows round-robin to that many
     partitions instead, whatever the size of the table; it is meant for files
     of a single row group, which one task reads, and is not set by default.
+    ``sluice.scan.tables`` names the tables that it holds for: dealing the rows
+    of a narrow table costs more than reading them in one task.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     parts = spark.conf.get(SCAN_PARTITIONS, None)
-    return df.repartition(int(parts)) if parts else df
+    named = spark.conf.get(SCAN_TABLES, None)
+    return df.repartition(int(parts)) if parts and (named is None or name in named.split(",")) else df
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
