@@ -1,12 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval and alignment.
 
-1. One scan counts in how many passages of the whole corpus each hashed term
-   occurs.
-2. Randomised SVD of TF-IDF passages, fitted on all passages of a bounded sample
-   of documents and items (``fit_rows`` of each, in the order of a hash): every
-   power iteration is a Spark job in which tasks multiply their passages with the
-   broadcast basis and the products are summed by blocks of terms. The basis has
-   ``TERMS`` x ``rank`` numbers, whatever the input.
+1. One scan keeps the hashed terms of all passages of the whole corpus and of all
+   items; from them it is counted in how many passages each term occurs.
+2. Randomised SVD of the TF-IDF passages, all of them, in two Spark jobs: tasks add
+   up their passages with random signs, then multiply them with the broadcast basis,
+   and the results are summed by blocks of terms. They have ``TERMS`` x at most
+   2 x (``rank`` + 16) numbers, whatever the input.
 3. A second scan projects every window of every document, at the window lengths
    the items need, and compares it with all items: cosine at least ``cosine``.
 4. Candidates are verified on the words around the window: the longest common
@@ -37,13 +36,19 @@ PASSAGE = 64  # words of a passage for the statistics, and the longest part of a
 SIZES = (16, 32, 64)  # words of a window
 BLOCK_TERMS = 1024
 BATCH_BYTES = 100_000
-FIT_TASKS = 4
+DENSE = 32  # passages multiplied at a time
+WORD_BITS = 1 << 11  # of an item's words, by a hash
+CANDIDATES = 2048  # windows and items looked at together
 
 
 def terms_of(words: np.ndarray) -> np.ndarray:
     return (words % np.uint64(TERMS)).astype(np.int64)
 
 
+def word_bits(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(40)).astype(np.int64) % WORD_BITS
+
+
 def words_of(text: bytes | None) -> list[int]:
     """A text's words, as their hashes."""
     return word_hashes([text])[0].tolist()
@@ -59,80 +64,120 @@ def word_batches(texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, n
             first, size = i + 1, 0
 
 
-def count_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, passages that hold it); the term TERMS counts all passages."""
-    n = np.zeros(TERMS + 1, np.int64)
+_TERM = np.random.default_rng(11).integers(0, 1 << 63, TERMS, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def term_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct terms of each passage and how often it holds them."""
     for batch in batches:
         for _, words, sizes in word_batches(batch.column(0).to_pylist()):
             passages = -(-sizes // PASSAGE)
             own = np.repeat(np.cumsum(passages) - passages, sizes) + (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)) // PASSAGE
-            n[:TERMS] += np.bincount(np.unique(own * TERMS + terms_of(words)) % TERMS, minlength=TERMS)
-            n[TERMS] += passages.sum()
+            held, tf = np.unique(own * TERMS + terms_of(words), return_counts=True)
+            ends = np.r_[0, np.cumsum(np.bincount(held // TERMS, minlength=passages.sum()))].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, (held % TERMS).astype(np.int16)), pa.ListArray.from_arrays(ends, tf.astype(np.int8))],
+                                             ["terms", "counts"])
+
+
+def count_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, passages that hold it); the term TERMS counts all passages."""
+    n = np.zeros(TERMS + 1, np.int64)
+    for batch in batches:
+        n[:TERMS] += np.bincount(np.asarray(batch.column(0).flatten()), minlength=TERMS)
+        n[TERMS] += batch.num_rows
     at = np.flatnonzero(n)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at])], ["term", "n"])
 
 
-def inverse_frequency(texts: DataFrame) -> np.ndarray:
+def inverse_frequency(passages: DataFrame) -> np.ndarray:
     out = np.zeros(TERMS + 1)
-    for r in texts.mapInArrow(count_passages, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for r in passages.select("terms").mapInArrow(count_passages, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[r.term] = r.n
     return np.log((1 + out[TERMS]) / (1 + out[:TERMS])).astype(np.float32) + np.float32(0.1)
 
 
-def tfidf_passages(batches: Iterator[pa.RecordBatch], idf) -> Iterator[pa.RecordBatch]:
-    """Unit vectors of passages, as terms and weights."""
-    for batch in batches:
-        rows: list[tuple[np.ndarray, np.ndarray]] = []
-        for text in batch.column(0).to_pylist():
-            t = terms_of(word_hashes([text])[0])
-            for a in range(0, len(t), PASSAGE):
-                own, tf = np.unique(t[a:a + PASSAGE], return_counts=True)
-                w = tf * idf.value[own]
-                rows.append((own.astype(np.int32), (w / np.linalg.norm(w)).astype(np.float32)))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32()))],
-                                         ["terms", "weights"])
-
-
-def multiply(batches: Iterator[pa.RecordBatch], basis) -> Iterator[pa.RecordBatch]:
-    """Blocks of rows of A' A M, for the passages A of a task and the basis M."""
-    out = np.zeros(basis.value.shape, np.float32)
-    for batch in batches:
-        if batch.num_rows:
-            sizes = np.diff(np.asarray(batch.column(0).offsets))
-            full = np.flatnonzero(sizes)
-            t, w = np.asarray(batch.column(0).flatten()), np.asarray(batch.column(1).flatten())[:, None]
-            if len(full):
-                am = np.add.reduceat(basis.value[t] * w, np.cumsum(np.r_[0, sizes[full][:-1]]), axis=0)
-                np.add.at(out, t, np.repeat(am, sizes[full], axis=0) * w)
+def passage_rows(batch: pa.RecordBatch, idf) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers of terms, terms, weights, hashes) of passages: their numbers or, with ``idf``, their counts times these at unit length."""
+    sizes = batch.column(0).value_lengths().to_numpy(zero_copy_only=False)
+    sizes = sizes[sizes > 0]
+    t, w = np.asarray(batch.column(0).flatten()).astype(np.int64), np.asarray(batch.column(1).flatten()).astype(np.float32)
+    if not len(sizes):
+        return sizes, t, w, t
+    starts = np.cumsum(sizes) - sizes
+    h = np.add.reduceat(_TERM[t] * w.view(np.uint32), starts)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    if idf is not None:
+        w *= idf.value[t]
+        w /= np.repeat(np.sqrt(np.add.reduceat(w * w, starts)), sizes)
+    return sizes, t, w, h ^ (h >> np.uint64(29))
+
+
+def blocks_of(out: np.ndarray) -> Iterator[pa.RecordBatch]:
     for b in range(0, TERMS, BLOCK_TERMS):
         if (part := out[b:b + BLOCK_TERMS]).any():
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "part"])
 
 
+def add_signed(batches: Iterator[pa.RecordBatch], n: int, idf) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows of A' S, for the passages A of a task and S, which adds each of them, by its hash with either sign, to one of ``n`` sums."""
+    out = np.zeros(TERMS * n, np.float32)
+    for batch in batches:
+        sizes, t, w, h = passage_rows(batch, idf)
+        sign = np.where(h & np.uint64(1), np.float32(-1), np.float32(1))
+        np.add.at(out, t * n + np.repeat(((h >> np.uint64(8)) % np.uint64(n)).astype(np.int64), sizes), w * np.repeat(sign, sizes))
+    yield from blocks_of(out.reshape(TERMS, n))
+
+
+def multiply(batches: Iterator[pa.RecordBatch], basis, idf) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows of A' A M, for the passages A of a task and the basis M; a few passages at a time are a dense matrix over their terms."""
+    m = basis.value
+    out, place = np.zeros(m.shape, np.float32), np.zeros(TERMS, np.int64)
+    for batch in batches:
+        sizes, t, w, _ = passage_rows(batch, idf)
+        ends = np.r_[0, np.cumsum(sizes)]
+        for a in range(0, len(sizes), DENSE):
+            own, some = sizes[a:a + DENSE], slice(ends[a], ends[min(a + DENSE, len(sizes))])
+            place[t[some]] = 1
+            held = np.flatnonzero(place)
+            place[held] = np.arange(len(held))
+            rows = np.zeros((len(own), len(held)), np.float32)
+            rows[np.repeat(np.arange(len(own)), own), place[t[some]]] = w[some]
+            out[held] += rows.T @ (rows @ m[held])
+            place[held] = 0
+    yield from blocks_of(out)
+
+
 def add_blocks(table: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(p, np.float32) for p in table.column("part").to_pylist())
     return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "part": pa.array([total.tobytes()], pa.binary())})
 
 
-def product(passages: DataFrame, basis: np.ndarray) -> np.ndarray:
-    b = passages.sparkSession.sparkContext.broadcast(basis.astype(np.float32))
-    out = np.zeros(basis.shape)
+def summed(passages: DataFrame, parts, width: int) -> np.ndarray:
+    """Terms x width: the sum of what ``parts`` gives for the passages of each task."""
+    out = np.zeros((TERMS, width))
     schema = "block int, part binary"
-    for r in passages.mapInArrow(lambda it: multiply(it, b), schema).groupBy("block").applyInArrow(add_blocks, schema).collect():
-        out[r.block:r.block + BLOCK_TERMS] = np.frombuffer(bytes(r.part), np.float32).reshape(-1, basis.shape[1])
+    for r in passages.mapInArrow(parts, schema).groupBy("block").applyInArrow(add_blocks, schema).collect():
+        out[r.block:r.block + BLOCK_TERMS] = np.frombuffer(bytes(r.part), np.float32).reshape(-1, width)
     return out
 
 
-def randomised_svd(passages: DataFrame, rank: int, extra: int = 16, iterations: int = 2, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """The leading right singular vectors and singular values of the passages."""
-    q = np.random.default_rng(seed).normal(size=(TERMS, rank + extra))
-    for _ in range(iterations):
-        q = np.linalg.qr(product(passages, q))[0]
-    small = q.T @ product(passages, q)
+def randomised_svd(passages: DataFrame, rank: int, extra: int = 16, idf=None) -> tuple[np.ndarray, np.ndarray]:
+    """The leading right singular vectors and singular values of the passages, from two reads of all of them.
+
+    The first adds them up with random signs to twice as many sums as there are
+    columns in the basis, which are the sums' leading directions. The second multiplies the
+    basis with A' A, which gives A' A on the product's range (Nystrom).
+    """
+    n = 2 * (rank + extra)
+    q = np.linalg.svd(summed(passages, lambda it: add_signed(it, n, idf), n), full_matrices=False)[0][:, :rank + extra]
+    b = passages.sparkSession.sparkContext.broadcast(q.astype(np.float32))
+    wide = summed(passages, lambda it: multiply(it, b, idf), rank + extra)
+    small = q.T @ wide
     values, vectors = np.linalg.eigh((small + small.T) / 2)
-    best = np.argsort(-values)[:rank]
-    best = best[values[best] > 1e-6]
-    return q @ vectors[:, best], np.sqrt(values[best])
+    held = values > max(1e-6 * values[-1], 1e-12)
+    v, sigma, _ = np.linalg.svd(wide @ (vectors[:, held] / np.sqrt(values[held])), full_matrices=False)
+    best = np.flatnonzero(sigma[:rank] ** 2 > 1e-6)
+    return v[:, best], sigma[best]
 
 
 # search and verification
@@ -201,7 +246,11 @@ class Searcher:
             own = [i for i, x in enumerate(items) if x.size == size]
             if own:
                 v = np.array([vectors[terms_of(np.array(items[i].words, np.uint64))].sum(0) for i in own])
-                self.by_size[size] = ([items[i] for i in own], [items[i].need(lcs) for i in own], _unit(v).T.copy())
+                n = np.array([items[i].n for i in own])
+                held = _bit_sets(word_bits(np.array([w for i in own for w in items[i].words], np.uint64)), np.repeat(np.arange(len(own)), n), len(own))
+                # shared bits that are enough: words that share a bit, or repeat, are as many as the item has more words than bits
+                needs = np.array([items[i].need(lcs) for i in own]) - n + np.bitwise_count(held).sum(1, dtype=np.int64)
+                self.by_size[size] = ([items[i] for i in own], needs, _unit(v).T.copy(), held)
 
     def search(self, words: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, float, float, float, int, int]]:
         """(text, item id, cosine, covered, answer covered, first word, word behind the last), the best place of each part in each text.
@@ -218,25 +267,28 @@ class Searcher:
         t = np.full(room.sum(), TERMS)
         t[np.arange(len(words)) + np.repeat(starts - begins, sizes)] = terms_of(words)
         unit, rank = SIZES[0] // 2, self.vectors.shape[1]
-        sums = np.take(self.vectors, t, axis=0, mode="clip").reshape(-1, unit, rank).sum(1)
+        t = t.reshape(-1, unit)
+        sums = self.vectors[t[:, 0]]
+        for i in range(1, unit):
+            sums += self.vectors[t[:, i]]
+        bits = word_bits(words)
         best: dict[tuple[int, int], tuple] = {}  # by text and item part
         for size in SIZES:
             if size in self.by_size:
-                own, needs, m = self.by_size[size]
+                own, needs, m, held = self.by_size[size]
                 windows = sums.copy()
                 windows[:-1] += sums[1:]
                 cos = _unit(windows) @ m
                 at, which = np.nonzero(cos >= self.cosine)
-                of, last = np.searchsorted(starts, at * unit, "right") - 1, -1
-                for k, j, d in zip(at.tolist(), which.tolist(), of.tolist(), strict=True):
+                of = np.searchsorted(starts, at * unit, "right") - 1
+                a = at * unit - starts[of]
+                lo, hi = np.maximum(0, a - unit - 4), np.minimum(sizes[of], a + size + unit + 4)
+                full = np.flatnonzero(_shared_bits(held, which, at, bits, begins[of] + lo, begins[of] + hi) >= needs[which])
+                last = -1
+                for k, j, d, lo, hi in zip(*(x[full].tolist() for x in (at, which, of, lo, hi)), strict=True):
                     if k != last:  # one window's candidates follow each other
-                        a, last = k * unit - int(starts[d]), k
-                        lo, hi = max(0, a - unit - 4), min(int(sizes[d]), a + size + unit + 4)
-                        near = words[begins[d] + lo:begins[d] + max(lo, hi)].tolist()
-                        distinct = frozenset(near)
+                        near, last = words[begins[d] + lo:begins[d] + max(lo, hi)].tolist(), k
                     item = own[j]
-                    if len(item.distinct & distinct) + item.repeats < needs[j]:
-                        continue
                     got = item.verified(near, self.lcs, self.answer)
                     if got and ((d, id(item)) not in best or got[0] > best[d, id(item)][2]):
                         best[d, id(item)] = (item.id, float(cos[k, j]), *got, lo, hi)
@@ -246,6 +298,25 @@ class Searcher:
             yield d, *found
 
 
+def _bit_sets(bits: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    out = np.zeros((rows, WORD_BITS), bool)
+    out[row, bits] = True
+    return np.packbits(out, axis=1).view(np.uint64)
+
+
+def _shared_bits(held: np.ndarray, item: np.ndarray, window: np.ndarray, bits: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many bits of its words each item shares with the words from ``begin`` to ``end``, the same places for the same window."""
+    out = np.zeros(len(item), np.int64)
+    for i in range(0, len(item), CANDIDATES):
+        some = slice(i, i + CANDIDATES)
+        new = np.r_[True, window[some][1:] != window[some][:-1]]
+        a, n = begin[some][new], np.maximum(end[some][new] - begin[some][new], 0)
+        row = np.repeat(np.arange(len(n)), n)
+        near = _bit_sets(bits[np.arange(n.sum()) + np.repeat(a - np.cumsum(n) + n, n)], row, len(n))
+        out[some] = np.bitwise_count(near[np.cumsum(new) - 1] & held[item[some]]).sum(1)
+    return out
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
@@ -264,23 +335,18 @@ def search_batches(batches: Iterator[pa.RecordBatch], searcher) -> Iterator[pa.R
 FOUND = "doc_id long, item_id long, cosine double, covered double, answer_covered double, first_word long, last_word long"
 
 
-def latent_vectors(docs: DataFrame, bench: DataFrame, rank: int, fit_rows: int) -> np.ndarray:
-    """Terms x rank: idf-weighted singular vectors, each direction scaled to unit variance."""
-    sc = docs.sparkSession.sparkContext
-    idf = inverse_frequency(docs.select("text"))
-    idf_b = sc.broadcast(idf)
-    order = F.xxhash64("doc_id", F.lit("op4"))
-    sample = docs.select("doc_id").distinct().orderBy(order, "doc_id").limit(fit_rows).select(F.col("doc_id").alias("pick"))
-    texts = docs.join(F.broadcast(sample), F.col("doc_id").eqNullSafe(F.col("pick")), "left_semi").select("text").unionByName(
-        bench.orderBy(F.xxhash64("item_id"), "item_id").limit(fit_rows).select("text"))
-    passages = stored(texts.mapInArrow(lambda it: tfidf_passages(it, idf_b), "terms array<int>, weights array<float>"), "op4-passages")
-    v, sigma = randomised_svd(passages.coalesce(FIT_TASKS), rank)  # a bounded sample: few tasks, few products to add up
+def latent_vectors(docs: DataFrame, bench: DataFrame, rank: int) -> np.ndarray:
+    """Terms x rank: idf-weighted singular vectors of all passages, each direction scaled to unit variance."""
+    texts = docs.select("text").unionByName(bench.select("text"))
+    passages = stored(texts.mapInArrow(term_passages, "terms array<smallint>, counts array<tinyint>"), "op4-passages")
+    idf = inverse_frequency(passages)
+    v, sigma = randomised_svd(passages, rank, idf=docs.sparkSession.sparkContext.broadcast(idf))
     discard(passages)
     return (idf[:, None] * v / sigma).astype(np.float32)
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                  item_text: str = "text", rank: int = 64, fit_rows: int = 2000, cosine: float = 0.4, lcs: float = 0.7,
+                  item_text: str = "text", rank: int = 64, cosine: float = 0.4, lcs: float = 0.7,
                   answer: float = 0.5, block_items: int = 20_000) -> DataFrame:
     """The benchmark items found in documents.
 
@@ -299,7 +365,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     spark = docs.sparkSession
     blocks = -(-items.count() // block_items)
     found = spark.createDataFrame([], FOUND)
-    vectors = latent_vectors(base, items.withColumn("text", F.col("text").cast("binary")), rank, fit_rows) if blocks else None
+    vectors = latent_vectors(base, items.withColumn("text", F.col("text").cast("binary")), rank) if blocks else None
     for b in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         searcher = spark.sparkContext.broadcast(Searcher(items_of([(r.item_id, r.text) for r in part.collect()]), vectors, cosine, lcs, answer))

@@ -94,3 +94,16 @@ def test_recall_against_brute_force(spark):
     got = {(r.doc_id, r.item_id) for r in D.decontaminate(table, bench).collect()}
     want = brute([(r.doc_id, r.text) for r in table.collect()], D.items_of([(r.item_id, r.text) for r in bench.collect()]))
     assert len(want) > 5 and got <= want and len(got & want) >= 0.97 * len(want)
+
+
+def test_the_basis_is_fitted_on_all_passages(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices(WORDS[:12], k=10)) for _ in range(2600)]
+    vectors = D.latent_vectors(docs(spark, list(enumerate(texts))).selectExpr("doc_id", "cast(text as binary) AS text"),
+                               spark.createDataFrame([], "item_id long, text binary"), 8)
+    a = np.zeros((len(texts), D.TERMS), np.float32)
+    for i, t in enumerate(texts):
+        np.add.at(a[i], D.terms_of(np.array(D.words_of(t.encode()), np.uint64)), 1)
+    idf = np.log((1 + len(a)) / (1 + (a > 0).sum(0))) + 0.1
+    x = (a * idf / np.linalg.norm(a * idf, axis=1, keepdims=True)) @ (vectors / idf[:, None])
+    assert np.allclose(x.T @ x, np.eye(8), atol=0.01)  # each direction has unit variance over the whole corpus
