@@ -11,6 +11,10 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from sluice.operators.ranking import join_groups
+from sluice.session import materialize
 
 
 class Store:
@@ -38,13 +42,23 @@ class Store:
 def append_log(df: DataFrame, path: str, keys: Sequence[str]) -> str:
     """Put rows into the log at ``path``, one per ``keys`` (e.g. run, epoch, split).
 
-    A key's folder is replaced as a whole when the job commits, so an append that
-    is repeated, by a retry or a second run, leaves one row per key; other keys stay.
-    A key that is twice in ``df`` is refused.
+    Keys that are text (run, split) name folders; the others (epoch), of which there may be
+    many, are told apart by the rows, so files do not grow in number with them. A folder
+    is replaced as a whole when the job commits: by the given rows and, of its old ones,
+    those with other keys. So an append that is repeated, by a retry or a second run, leaves
+    one row per key; other keys stay. Appends to one folder follow each other; those to
+    different folders may run side by side. A key that is twice in ``df`` is refused.
     """
     if df.groupBy(*keys).count().filter("count > 1").limit(1).count():
         raise ValueError(f"a key {tuple(keys)} is there twice")
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    spark = df.sparkSession
+    folders = [k for k in keys if isinstance(df.schema[k].dataType, StringType)] or list(keys)
+    if set(folders) != set(keys) and Store(spark, path).names(path):
+        log = read_log(spark, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema))
+        log = join_groups(log, df.select(*folders).distinct(), folders, "left_semi")
+        df = materialize(df.unionByName(join_groups(log, df.select(*keys), keys, "left_anti")))
+    # a file in each folder
+    df.repartition(*folders).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(path)
     return path
 
 

@@ -51,3 +51,14 @@ def test_a_repeated_append_leaves_one_row(spark, tmp_path):
     assert got == [("a", 1, "train", 0.5), ("a", 2, "train", 0.3), ("a", 2, "valid", 0.9), ("b", 1, "train", 0.7)]
     with pytest.raises(ValueError):
         C.append_log(one.unionByName(one), path, ["run", "epoch", "split"])
+
+
+def test_the_log_has_a_file_for_each_run_and_split_not_for_each_epoch(spark, tmp_path):
+    path, schema = str(tmp_path / "log"), "run string, epoch long, split string, loss double"
+    for split, first in (("train", 0), ("valid", 0), ("train", 0), ("train", 150)):
+        rows = spark.createDataFrame([("a", e, split, float(e + first)) for e in range(first, first + 200)] + [("a", None, split, 0.5 + first)], schema)
+        C.append_log(rows, path, ["run", "epoch", "split"])
+    got = {(r.split, r.epoch): r.loss for r in C.read_log(spark, path, schema).collect()}
+    want = {(s, e): float(e) for s, n in (("train", 150), ("valid", 200)) for e in range(n)} | {("train", e): float(e + 150) for e in range(150, 350)}
+    assert got == want | {("train", None): 150.5, ("valid", None): 0.5}
+    assert C.read_log(spark, path, schema).count() == len(got) and len(spark.read.schema(schema).parquet(path).inputFiles()) == 2
