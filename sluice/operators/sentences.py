@@ -35,18 +35,26 @@ OPENING, CLOSING = r"[\p{Ps}\p{Pi}\p{Pf}\"'¿¡]", r"[\p{Pe}\p{Pi}\p{Pf}\"']"
 
 
 def corpus_tokens(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """``(lang, type, stop, after)``: a row per token. ``type`` is the lower-cased word, null without a letter; ``after``
-    is the mark (``.``, ``!``, ``?``) that the token before ends with, else ''. ``stop``: the token ends with a full stop."""
-    token = F.regexp_replace(F.col("x.t"), U + f"^{OPENING}+|{CLOSING}+$", "")
-    before = F.regexp_replace(F.col("x.p"), U + f"{CLOSING}+$", "")
+    """``(lang, type, stop, after, before, k)``: equal tokens with their number. ``type`` is the lower-cased word, null without a letter;
+    ``after`` is the mark (``.``, ``!``, ``?``) that the token before ends with, else ''; ``stop``: the token ends with a full stop;
+    ``before``: the lower-cased word before, if that ends with one.
+
+    Tokens are counted as they stand before any is taken apart, so the patterns run once for each different pair of a token
+    and a marked one before it. The counts are stored: both scores read them.
+    """
+    token = F.regexp_replace(F.col("t"), U + f"^{OPENING}+|{CLOSING}+$", "")
+    before = F.regexp_replace(F.col("p"), U + f"{CLOSING}+$", "")
     words = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), U + WS + "+"), lambda t: t != "")
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), words.alias("_w"))
     pairs = F.zip_with("_w", F.concat(F.array(F.lit("")), F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0)))), lambda t, p: F.struct(t.alias("t"), p.alias("p")))
     x = rows.select("lang", F.explode(pairs).alias("x"))
+    marked = F.col("x.p").contains(".") | F.col("x.p").contains("!") | F.col("x.p").contains("?")
+    x = x.select("lang", "x.t", F.when(marked, F.col("x.p")).otherwise("").alias("p")).groupBy("lang", "t", "p").agg(F.count(F.lit(1)).alias("k"))
     kind = F.lower(F.regexp_replace(token, r"[.!?,;:]+$", ""))
-    return x.select("lang", F.when(kind.rlike(r"\p{L}"), kind).alias("type"), token.rlike(r"[^.]\.$").alias("stop"),
-                    F.regexp_extract(before, r"([.!?])$", 1).alias("after"),
-                    F.when(before.rlike(r"[^.]\.$"), F.lower(F.regexp_replace(F.regexp_replace(before, U + f"^{OPENING}+", ""), r"\.$", ""))).alias("before"))
+    found = x.select("lang", F.when(kind.rlike(r"\p{L}"), kind).alias("type"), token.rlike(r"[^.]\.$").alias("stop"),
+                     F.regexp_extract(before, r"([.!?])$", 1).alias("after"),
+                     F.when(before.rlike(r"[^.]\.$"), F.lower(F.regexp_replace(F.regexp_replace(before, U + f"^{OPENING}+", ""), r"\.$", ""))).alias("before"), "k")
+    return materialize(found.groupBy("lang", "type", "stop", "after", "before").agg(F.sum("k").alias("k")))
 
 
 def _log(x: Column) -> Column:
@@ -55,7 +63,8 @@ def _log(x: Column) -> Column:
 
 def abbreviation_scores(tokens: DataFrame) -> DataFrame:
     """``(lang, type, with_stop, without_stop, score)`` of every word that carries a full stop somewhere."""
-    counts = tokens.groupBy("lang", "type").agg(F.count_if("stop").alias("with_stop"), F.count_if(~F.col("stop")).alias("without_stop"))
+    counts = tokens.groupBy("lang", "type").agg(F.sum(F.when(F.col("stop"), F.col("k")).otherwise(0)).alias("with_stop"),
+                                                F.sum(F.when(~F.col("stop"), F.col("k")).otherwise(0)).alias("without_stop"))
     counts = materialize(counts)
     total = counts.groupBy("lang").agg(F.sum("with_stop").alias("stops"), F.sum(F.col("with_stop") + F.col("without_stop")).alias("n"))
     c = counts.filter(F.col("type").isNotNull() & (F.col("with_stop") > 0)).join(total, "lang")
@@ -70,7 +79,7 @@ def abbreviation_scores(tokens: DataFrame) -> DataFrame:
 def starter_scores(tokens: DataFrame, abbreviations: DataFrame) -> DataFrame:
     """``(lang, type, starts, n, score)`` of every word that stands behind a sentence end."""
     known = abbreviations.select("lang", F.col("type").alias("before"), F.lit(True).alias("short"))
-    t = tokens.groupBy("lang", "type", "before", "after").agg(F.count(F.lit(1)).alias("k")).join(known, ["lang", "before"], "left")
+    t = tokens.groupBy("lang", "type", "before", "after").agg(F.sum("k").alias("k")).join(known, ["lang", "before"], "left")
     starts = F.sum(F.when((F.col("after") != "") & F.col("short").isNull(), F.col("k")).otherwise(0))
     c = materialize(t.groupBy("lang", "type").agg(starts.alias("starts"), F.sum("k").alias("n")))
     total = c.groupBy("lang").agg(F.sum("starts").alias("ends"), F.sum("n").alias("all"))
@@ -127,11 +136,15 @@ def split_learned(col, lang, model: SentenceModel) -> Column:
     code = F.coalesce(code, F.lit("und"))
 
     def ends(pieces: Column, piece: Column, i: Column) -> Column:
-        word = F.lower(F.regexp_replace(F.regexp_extract(piece, U + f"({NON_WS}*[^.{WS[1:-1]}])\\.{CLOSING}*{WS}+$", 1), U + f"^{OPENING}+", ""))
+        # the word begins behind white space, so no search starts inside a word
+        word = F.lower(F.regexp_replace(F.regexp_extract(piece, U + f"(?<!{NON_WS})({NON_WS}*[^.{WS[1:-1]}])\\.{CLOSING}*{WS}+$", 1), U + f"^{OPENING}+", ""))
         following = F.regexp_extract(F.try_element_at(pieces, (i + 2).cast("int")), U + f"^{OPENING}*({NON_WS}+)", 1)
-        first = F.lower(F.regexp_replace(following, U + f"[.!?,;:]*{CLOSING}*[.!?,;:]*$", ""))
-        short = (word != "") & _among(word, code, model.abbreviations)
-        begins = following.rlike(r"^\p{Lu}") & _among(first, code, model.starters)
+
+        def first(w: Column) -> Column:
+            return F.lower(F.regexp_replace(w, U + f"[.!?,;:]*{CLOSING}*[.!?,;:]*$", ""))
+
+        short = _let(word, lambda w: (w != "") & _among(w, code, model.abbreviations))
+        begins = _let(following, lambda w: w.rlike(r"^\p{Lu}") & _let(first(w), lambda f: _among(f, code, model.starters)))
         return (i == F.size(pieces) - 1) | ~short | F.coalesce(begins, F.lit(False))
 
     def joined(pieces: Column, last: Column) -> Column:

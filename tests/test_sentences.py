@@ -90,3 +90,9 @@ def test_too_many_words_are_refused(spark, monkeypatch):
     monkeypatch.setattr(X, "MOST_WORDS", 1)
     with pytest.raises(ValueError):
         X.fit_sentences(table(spark, corpus(1, 60)), "text", "lang")
+
+
+def test_tokens_are_counted_before_they_are_taken_apart(spark):
+    one = X.corpus_tokens(table(spark, [(i, "He came. Then he went. Then", "en", []) for i in range(400)]), "text", "lang").collect()
+    assert {(r.type, r.stop, r.after, r.before): r.k for r in one} == {
+        ("he", False, "", None): 800, ("came", True, "", None): 400, ("then", False, ".", "came"): 400, ("went", True, "", None): 400, ("then", False, ".", "went"): 400}
