@@ -34,6 +34,8 @@ from sluice.functions.sequences import tokenize
 from sluice.operators.metrics import FOCAL_ALPHA, FOCAL_GAMMA, SMOOTHING
 
 BLOCK = 4096
+#: Token places that a task looks at together; one text may have more.
+PLACES = 1 << 18
 #: Fixed values of Adam's moments.
 BETA1, BETA2, EPS = 0.9, 0.999, 1e-8
 
@@ -124,6 +126,17 @@ def _lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return col.flatten(), col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows whose lists in the first column have at most PLACES values together, or a single row."""
+    for batch in batches:
+        ends = np.cumsum(batch.column(0).value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PLACES, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def logits_of(places: pa.Array, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(logits [rows, models], flat places, row of each place, scale of each row): a text's tokens count 1 / sqrt(their number)."""
     flat, n = _lists(places)
@@ -138,7 +151,7 @@ def gradient_batches(batches: Iterator[pa.RecordBatch], models: list[int], w: np
     """(model, block, sums): blocks of a task's summed gradients; block -1 has the sum of the losses and the number of rows."""
     grad, total = np.zeros_like(w), np.zeros((len(models), 2))
     number = {m: i for i, m in enumerate(models)}
-    for batch in batches:
+    for batch in _slices(batches):
         x, flat, row, scale = logits_of(batch.column(0), w)
         entries, n = _lists(batch.column(1))
         of = np.repeat(np.arange(len(n)), n)
@@ -229,7 +242,7 @@ def score(texts: DataFrame, state: State, keep: Sequence[str], text_col: str) ->
     sent, models = texts.sparkSession.sparkContext.broadcast(state.w), state.models
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             x = logits_of(batch.column(0), sent.value)[0]
             for i, m in enumerate(models):
                 yield pa.RecordBatch.from_pydict({"model": pa.array([m] * len(x), pa.int32())} | {c: batch.column(c) for c in keep}

@@ -1,6 +1,9 @@
 """The gradient solver against numpy, its state, and its losses against the evaluation operators."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +129,23 @@ def test_scores(spark, data):
     places = {r.id: r.p for r in texts.select("id", S.token_places(F.coalesce("t", F.lit("none")), 1 << 10).alias("p")).collect()}
     for i, r in got.items():
         assert r.model == 4 and r.logit == pytest.approx(sum(places[i]) / np.sqrt(max(1, len(places[i]))) + (1 << 10))
+
+
+def test_a_batch_of_many_places_is_looked_at_in_slices():
+    rng, n = np.random.default_rng(6), 4000
+    sizes = rng.integers(0, 900, n)
+    places = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(rng.integers(0, DIM, sizes.sum()).astype(np.int32)))
+    y = rng.integers(0, 2, n).astype(float)
+    entries = pa.StructArray.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(y), pa.array(np.ones(n))], ["model", "y", "w"])
+    batch = pa.RecordBatch.from_arrays([places, pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), entries)], ["places", "members"])
+    w = rng.normal(size=(1, DIM + 1))
+    tracemalloc.start()
+    out = list(S.gradient_batches(iter([batch]), [1], w, S.LOSSES["bce"]))[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    x, flat, row, scale = S.logits_of(places, w)
+    value, slope = S.LOSSES["bce"].rows(x[:, 0], y, 1.0)
+    sums = dict(zip(out.column("block").to_pylist(), out.column("sums").to_pylist(), strict=True))
+    assert sums[-1] == pytest.approx([value.sum(), n])
+    assert sums[0] == pytest.approx([*np.bincount(flat, weights=(slope * scale)[row], minlength=DIM), slope.sum()])
+    assert peak < 25e6 < sizes.sum() * 8 * 2
