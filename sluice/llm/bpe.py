@@ -8,8 +8,9 @@
    it has no influence on any result, and its size is a parameter.
 2. Encode: every task memory-maps the broadcast automaton. The distinct words of
    a slice of documents walk it together, byte by byte, as numpy arrays; words
-   that it does not hold are merged exactly by the tokenizer's own merges. A
-   bounded cache keeps what a task has met.
+   that it does not hold are merged exactly by the tokenizer's own merges, many
+   at a time. A bounded cache keeps where each word's ids are in one array; a
+   slice's ids are gathered from it, and made text by token, not by word.
 
 Encoding word by word is exact for this kind of tokenizer: its split pattern
 never crosses white space, and a special token holds none.
@@ -30,13 +31,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import read_table, row_slices, text_or_empty
+from sluice.llm.common import giving_back, read_table, row_slices, text_or_empty
 
 KEY = "op9_bpe"
 
 SLICE_BYTES = 2_000_000
 #: Bytes that a task's words may take (with what a Python object costs) before it forgets them.
-CACHE_BYTES, OBJECT_BYTES = 160_000_000, 350
+CACHE_BYTES, OBJECT_BYTES = 60_000_000, 180
+#: Words that the tokenizer gets in one text.
+MERGED_WORDS = 200
 #: Distinct words a counting task holds before it gives them out.
 HELD_WORDS = 600_000
 #: White space to str.split() but not to the tokenizer.
@@ -175,7 +178,7 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit_lexicon(docs: DataFrame, source: str, text_col: str = "text", lexicon_size: int = 65536) -> Lexicon:
     """Lexicon of the most frequent words of ``docs``; at most ``lexicon_size`` rows reach the driver."""
-    counted = docs.select(text_or_empty(text_col)).mapInArrow(count_words, "word string, n long")
+    counted = docs.select(text_or_empty(text_col)).mapInArrow(giving_back(count_words), "word string, n long")
     top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(lexicon_size).collect()
     words = sorted(r.word.encode() for r in top)
     encoded = load_tokenizer(source).encode_batch([w.decode() for w in words], add_special_tokens=False)
@@ -183,51 +186,62 @@ def fit_lexicon(docs: DataFrame, source: str, text_col: str = "text", lexicon_si
 
 
 class Encoder:
-    """Words to (ids as text, number of ids, tokens as text); words are numbered as they come."""
+    """Texts to token ids; words are numbered as they come, and a word's ids are a part of one array."""
 
     def __init__(self, source: str, dumped: bytes):
         self.tok, self.lexicon = load_tokenizer(source), Lexicon.mapped(dumped)
-        self.token = {i: t for t, i in self.tok.get_vocab(with_added_tokens=True).items()}
+        token = {i: t for t, i in self.tok.get_vocab(with_added_tokens=True).items()}
+        size = max(token, default=-1) + 1
+        self.id_text = pa.array([str(i) for i in range(size)], pa.string())
+        self.decoded = pa.array([token.get(i) for i in range(size)], pa.string())
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[str, int] = defaultdict(count().__next__)
-        self.id_text: list[str] = []
-        self.decoded: list[str] = []
-        self.n: list[int] = []
+        self.first, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.asarray(self.lexicon.ids)
         self.held = 0
 
+    def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and each word's number of ids."""
+        parts = [words[i:i + MERGED_WORDS] for i in range(0, len(words), MERGED_WORDS)]
+        ids, n = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for part, e in zip(parts, self.tok.encode_batch([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            starts = np.cumsum([0, *[len(w) + 1 for w in part[:-1]]])
+            own = np.searchsorted(starts, np.fromiter((a for a, _ in e.offsets), np.int64, len(e)), "right") - 1
+            ids.append(np.array(e.ids, np.int32))
+            n.append(np.bincount(own, minlength=len(part)))
+        return np.concatenate(ids), np.concatenate(n)
+
     def numbers(self, words: list[str]) -> np.ndarray:
         """The number of each word; words that are new are looked up in the lexicon, or merged."""
         if self.held > CACHE_BYTES:
             self.forget()
         at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         new = list(islice(self.number, len(self.n), None))
-        places = self.lexicon.places([w.encode() for w in new]).tolist()
-        merged = iter(self.tok.encode_batch([w for w, p in zip(new, places, strict=True) if p < 0], add_special_tokens=False))
-        for w, p in zip(new, places, strict=True):
-            ids = self.lexicon.tokens(p) if p >= 0 else next(merged).ids
-            self.id_text.append(" ".join(map(str, ids)))
-            # a tokenizer without a decoder joins the tokens by spaces; special tokens stay
-            self.decoded.append(" ".join([self.token[i] for i in ids]))
-            self.n.append(len(ids))
-            self.held += len(w) + len(self.id_text[-1]) + len(self.decoded[-1]) + OBJECT_BYTES
+        places = self.lexicon.places([w.encode() for w in new])
+        known = places >= 0
+        ids, sizes = self.merged([w for w, k in zip(new, known.tolist(), strict=True) if not k])
+        first, n = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        first[known] = self.lexicon.starts[places[known]]
+        n[known] = self.lexicon.starts[places[known] + 1] - first[known]
+        first[~known] = len(self.ids) + np.cumsum(sizes) - sizes
+        n[~known] = sizes
+        self.first, self.n, self.ids = np.append(self.first, first), np.append(self.n, n), np.append(self.ids, ids)
+        self.held += sum(map(len, new)) + ids.nbytes + OBJECT_BYTES * len(new)
         return at
 
     def rows(self, texts: list[str]) -> tuple[pa.Array, pa.Array, pa.Array]:
         """Each text's ids as text, its number of ids and its decoded text."""
         words = [words_of(t) for t in texts]
         at = self.numbers(list(chain.from_iterable(words)))
-        row = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        used, at = np.unique(at, return_inverse=True)
-        n = np.array([self.n[i] for i in used], np.int64)
-        some = n[at] > 0  # some characters make no token
-        row, at = row[some], at[some]
-        sizes = np.bincount(row, n[at], len(words)).astype(np.int64)
-        ends = pa.array(np.searchsorted(row, np.arange(len(words) + 1)), pa.int32())
-        joined = [pc.binary_join(pa.ListArray.from_arrays(ends, pa.array([known[i] for i in used], pa.string()).take(pa.array(at))), " ")
-                  for known in (self.id_text, self.decoded)]
-        return joined[0], pa.array(sizes), joined[1]
+        n = self.n[at]
+        ends = np.append(0, np.cumsum(n))
+        ids = pa.array(self.ids[np.repeat(self.first[at] - ends[:-1], n) + np.arange(ends[-1])])
+        ends = ends[np.cumsum([0, *map(len, words)])]
+        # a tokenizer without a decoder joins the tokens by spaces; special tokens stay
+        joined = [pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), known.take(ids)), " ") for known in (self.id_text, self.decoded)]
+        return joined[0], pa.array(np.diff(ends)), joined[1]
 
 
 def encode_batches(batches: Iterator[pa.RecordBatch], source, dumped) -> Iterator[pa.RecordBatch]:
@@ -253,7 +267,7 @@ def bpe(docs: DataFrame, source: str, lexicon: Lexicon, id_col: str = "doc_id",
     sc = docs.sparkSession.sparkContext
     src, dumped = sc.broadcast(source), sc.broadcast(lexicon.dump())
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(
-        lambda it: encode_batches(it, src, dumped), "doc_id long, id_text string, n_tokens long, decoded string")
+        giving_back(lambda it: encode_batches(it, src, dumped)), "doc_id long, id_text string, n_tokens long, decoded string")
 
 
 def ids_of(id_text):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import ctypes
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +93,26 @@ def row_slices(batch: pa.RecordBatch, col: int, most: int) -> Iterator[pa.Record
         start = stop
 
 
+def give_back() -> None:
+    """Return to the system what this process has freed, which its allocators keep."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
+def giving_back(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``fn`` for ``mapInArrow``, with the memory given back at its end.
+
+    Spark uses a Python worker for many tasks, so that what one of them needed would stay
+    beside the next one's, up to the sum of an executor's largest tasks of any kind.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+    return run
+
+
 #: At most this many keys are too frequent for a shuffle join.
 HOT_KEYS = 10_000
 

@@ -56,3 +56,28 @@ def test_lexicon_is_a_minimal_perfect_hash(words, others):
 def test_equal_suffixes_share_states():
     lex = B.Lexicon.compile([b"taps", b"tops"], [[1], [2]])
     assert len(lex.final) == 5
+
+
+def test_new_words_are_merged_many_at_a_time():
+    letters = "aA's.é́İſK가가​\xa0\x85\x1c日👍"
+    words = list(dict.fromkeys([a + b + c for a in letters for b in letters for c in letters] + ["<|endoftext|>", "a<|startoftext|>b", "<|endoftext", "word"]))
+    enc = B.Encoder(SOURCE, B.Lexicon.compile([b"word"], [[7, 8]]).dump())
+    tok, texts = enc.tok, []
+
+    class Counting:
+        def encode_batch(self, batch, **kw):
+            texts.extend(batch)
+            return tok.encode_batch(batch, **kw)
+
+    enc.tok = Counting()
+    got = [ids.split() for ids in enc.rows(words)[0].to_pylist()]
+    assert 0 < len(texts) <= len(words) / 100
+    assert got == [["7", "8"] if w == "word" else [str(i) for i in e.ids] for w, e in zip(words, tok.encode_batch(words, add_special_tokens=False), strict=True)]
+
+
+def test_forgotten_words_come_out_alike():
+    enc = B.Encoder(SOURCE, B.Lexicon.compile([b"cat"], [[7]]).dump())
+    texts = ["the cat", "", "naïve cat cat x1", "naïve"]
+    first = [x.to_pylist() for x in enc.rows(texts)]
+    enc.held = B.CACHE_BYTES + 1
+    assert [x.to_pylist() for x in enc.rows(texts)] == first and first[1] == [enc.n[enc.number["the"]] + 1, 0, first[1][2], first[1][3]]
