@@ -39,8 +39,9 @@ words and one symbol for all others, seen or not.
 
 from __future__ import annotations
 
-import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -49,48 +50,72 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import crc_mod, discard, read_table, stored
+from sluice.llm.common import crc_mod, discard, giving_back, read_table, row_slices, stored
 
 KEY = "op2_katz_lm"
 
-SPACE = b" \t\n\x0b\x0c\r"
-LOWER = bytes(32 if b in SPACE else b + 32 if 65 <= b <= 90 else b for b in range(256))
-END = xxhash.xxh3_64_intdigest(b"\n")  # no word holds white space
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+END = b"\n"  # no word holds white space
 BLOCK_TOKENS = 2_000_000
+SLICE_BYTES = 1_000_000
 CACHE_WORDS = 200_000
 MAX_DISCOUNTED = 5
 
 
 def tokens(text: bytes | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, without the end token."""
-    t = (text or b"").translate(LOWER)
-    return [w for w in t.split(b" ") if w]
+    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, the end token last."""
+    w = (text or b"").translate(LOWER).split()
+    w.append(END)
+    return w
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept for the words met last."""
+class WordHashes:
+    """64-bit hashes of words, and what ``ids_of`` makes of them; kept for the words met last, which are numbered as they come."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+    def __init__(self, ids_of=lambda h: h):
+        self.ids_of = ids_of
+        self.forget()
 
-    def of(self, text: bytes | None) -> np.ndarray:
-        """Hashes of a text's tokens, the end token last."""
-        w = tokens(text)
-        out = np.empty(len(w) + 1, np.uint64)
-        out[:-1] = np.fromiter(map(self.__getitem__, w), np.uint64, len(w))
-        out[-1] = END
-        return out
+    def forget(self) -> None:
+        self.number: dict[bytes, int] = defaultdict(count().__next__)
+        self.hashes = np.zeros(0, np.uint64)
+        self.ids = self.ids_of(self.hashes)
+
+    def of(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes and ids of all texts' tokens, and each text's number of tokens."""
+        if len(self.number) > CACHE_WORDS:
+            self.forget()
+        words = [tokens(t) for t in texts]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, sizes.sum())
+        new = list(islice(self.number, len(self.hashes), None))
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
+        self.hashes, self.ids = np.append(self.hashes, h), np.append(self.ids, self.ids_of(h))
+        return self.hashes[at], self.ids[at], sizes
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], col: int) -> Iterator[pa.RecordBatch]:
+    return (part for batch in batches for part in row_slices(batch, col, SLICE_BYTES))
+
+
+def before(ids: np.ndarray, sizes: np.ndarray, start: int) -> np.ndarray:
+    """What stands before each token; ``start`` before the first of a text."""
+    out = np.empty_like(ids)
+    out[1:] = ids[:-1]
+    out[np.cumsum(sizes) - sizes] = start
+    return out
+
+
+ZSTD = pa.Codec("zstd", 1)
 
 
 def pack(a: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(a).tobytes(), 1)
+    """The bytes of an array, compressed, after their number."""
+    return a.nbytes.to_bytes(8, "little") + ZSTD.compress(np.ascontiguousarray(a).tobytes(), asbytes=True)
 
 
 def unpack(b, kind) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(b), kind)
+    return np.frombuffer(ZSTD.decompress(memoryview(b)[8:], int.from_bytes(b[:8], "little")), kind)
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
@@ -110,8 +135,14 @@ def spread(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    u, inverse = np.unique(keys, return_inverse=True)
-    return u, np.bincount(inverse, n, len(u)).astype(np.int64)
+    order = np.argsort(keys)
+    first = firsts(keys[order])
+    return keys[order[first]], np.add.reduceat(n[order], first) if len(first) else n
+
+
+def firsts(keys: np.ndarray) -> np.ndarray:
+    """The first position of each of the ascending keys."""
+    return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
 
 
 def by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -125,7 +156,7 @@ def by_place(b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, positions in ascending order) of keys whose buckets are ``b``."""
     if not len(b):
         return
-    order = np.argsort(b, kind="stable")
+    order = np.argsort(b.astype(np.uint16) if b.max() < 1 << 16 else b, kind="stable")
     edges = np.flatnonzero(np.diff(b[order], prepend=-1))
     for a, z in zip(edges, np.append(edges[1:], len(order)), strict=True):
         yield int(b[order[a]]), order[a:z]
@@ -169,9 +200,8 @@ class Counter:
 
 def count_words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     hashes, counter = WordHashes(), Counter(buckets)
-    for batch in batches:
-        for t in batch.column(0).to_pylist():
-            yield from counter.add(hashes.of(t))
+    for part in text_slices(batches, 0):
+        yield from counter.add(hashes.of(part.column(0).to_pylist())[0])
     yield from counter.flush()
 
 
@@ -192,19 +222,20 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.hashes, h), self.size - 1)
         return np.where(self.hashes[at] == h, at, self.other)
 
-    def bigrams(self, numbers: np.ndarray) -> np.ndarray:
-        """Keys of the bigrams that end at each token."""
-        return np.r_[self.start, numbers[:-1]].astype(np.uint64) << np.uint64(32) | numbers.astype(np.uint64)
+    def bigrams(self, numbers: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Keys of the bigrams that end at each token of texts of ``sizes`` tokens."""
+        return before(numbers, sizes, self.start).astype(np.uint64) << np.uint64(32) | numbers.astype(np.uint64)
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
 
 
 def count_bigrams(batches: Iterator[pa.RecordBatch], vocab, buckets: int) -> Iterator[pa.RecordBatch]:
-    hashes, counter, v = WordHashes(), Counter(buckets), vocab.value
-    for batch in batches:
-        for t in batch.column(0).to_pylist():
-            yield from counter.add(v.bigrams(v.numbers(hashes.of(t))))
+    v = vocab.value
+    hashes, counter = WordHashes(v.numbers), Counter(buckets)
+    for part in text_slices(batches, 0):
+        _, numbers, sizes = hashes.of(part.column(0).to_pylist())
+        yield from counter.add(v.bigrams(numbers, sizes))
     yield from counter.flush()
 
 
@@ -328,9 +359,9 @@ class Words(Vocabulary):
     def cold(self, ids: np.ndarray) -> np.ndarray:
         return ids > np.uint64(self.start)
 
-    def pairs(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and histories of the bigrams that end at each token."""
-        h = np.r_[np.uint64(self.start), ids[:-1]]
+    def pairs(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and histories of the bigrams that end at each token of texts of ``sizes`` tokens."""
+        h = before(ids, sizes, self.start)
         mixed = h * np.uint64(0xC2B2AE3D27D4EB4F) + ids
         mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
         mixed = (mixed ^ (mixed >> np.uint64(29))) | COLD
@@ -371,24 +402,29 @@ def arrow_rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def count_pairs(batches: Iterator[pa.RecordBatch], words, buckets: int) -> Iterator[pa.RecordBatch]:
-    hashes, v = WordHashes(), words.value
+    v = words.value
+    hashes = WordHashes(v.ids)
     parts, size = [], 0
 
     def flush() -> pa.RecordBatch:
         keys, h, w = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        u, at, n = np.unique(keys, return_index=True, return_counts=True)
-        h, w = h[at], w[at]
+        cold = np.flatnonzero(keys >= COLD)
+        cold = cold[np.argsort(keys[cold])]
+        own = cold[firsts(keys[cold])]
+        hot, n = np.unique(keys[keys < COLD], return_counts=True)
+        # bigrams of frequent words have both in their key, and sort before the others
+        u, n = np.append(hot, keys[own]), np.append(n, np.diff(np.append(firsts(keys[cold]), len(cold))))
+        h, w = np.append(hot >> np.uint64(32), h[own]), np.append(hot & np.uint64(0xFFFFFFFF), w[own])
         return arrow_rows([pair_row(b, u[x], n[x], h[x], w[x]) for b, x in by_place(v.place(u, h, buckets))], PAIR_COUNTS)
 
-    for batch in batches:
-        for t in batch.column(0).to_pylist():
-            ids = v.ids(hashes.of(t))
-            keys, h = v.pairs(ids)
-            parts.append((keys, h, ids))
-            size += len(ids)
-            if size >= BLOCK_TOKENS:
-                yield flush()
-                parts, size = [], 0
+    for part in text_slices(batches, 0):
+        _, ids, sizes = hashes.of(part.column(0).to_pylist())
+        keys, h = v.pairs(ids, sizes)
+        parts.append((keys, h, ids))
+        size += len(ids)
+        if size >= BLOCK_TOKENS:
+            yield flush()
+            parts, size = [], 0
     if size:
         yield flush()
 
@@ -396,9 +432,10 @@ def count_pairs(batches: Iterator[pa.RecordBatch], words, buckets: int) -> Itera
 def merge_pairs(table: pa.Table) -> pa.Table:
     parts = [pair_arrays(r) for r in table.to_pylist()]
     keys, n, h, w = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    u, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    n = np.bincount(inverse, n, len(u)).astype(np.int64)
-    return pa.Table.from_batches([arrow_rows([pair_row(table.column("bucket")[0].as_py(), u, n, h[at], w[at])], PAIR_COUNTS)])
+    order = np.argsort(keys)
+    first = firsts(keys[order])
+    own = order[first]
+    return pa.Table.from_batches([arrow_rows([pair_row(table.column("bucket")[0].as_py(), keys[own], np.add.reduceat(n[order], first), h[own], w[own])], PAIR_COUNTS)])
 
 
 def ask_words(batches: Iterator[pa.RecordBatch], words, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -526,7 +563,7 @@ def fit(docs: DataFrame, text_col: str = "text", vocabulary: int | None = None,
     texts = docs.select(F.col(text_col).cast("binary").alias("text"))
 
     def table(name: str, fn, merge=merge_counts, schema: str = COUNTS) -> DataFrame:
-        return stored(texts.mapInArrow(fn, schema).groupBy("bucket").applyInArrow(merge, schema), name)
+        return stored(texts.mapInArrow(giving_back(fn), schema).groupBy("bucket").applyInArrow(merge, schema), name)
 
     words = table("op2-words", lambda it: count_words(it, buckets))
     of = histogram(words)
@@ -568,53 +605,88 @@ POSTINGS = "block long, bucket int, kind int, keys binary, sizes binary, docs bi
 ROW_FIELDS = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
 
 
+def row_sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(rows, values, n).astype(np.float64)  # of nothing, numpy counts in integers
+
+
+class Slots:
+    """Places of distinct keys by a table of hash slots: a slot has the first of its keys, and each of these the next."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.bits = keys, max(1, (4 * len(keys)).bit_length())
+        slot = self.slot(keys)
+        order = np.argsort(slot, kind="stable")
+        first = firsts(slot[order])
+        self.first, self.next = np.full(1 << self.bits, -1, np.int32), np.full(len(keys), -1, np.int32)
+        self.next[order[:-1]] = order[1:]
+        self.next[order[np.append(first[1:], len(order))[:len(first)] - 1]] = -1
+        self.first[slot[order[first]]] = order[first]
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        h = (keys ^ (keys >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 for those that the table does not hold."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = self.first[self.slot(keys)]
+        left = np.flatnonzero((at >= 0) & (self.keys[at] != keys))
+        while len(left):
+            at[left] = self.next[at[left]]
+            left = left[(at[left] >= 0) & (self.keys[at[left]] != keys[left])]
+        return at
+
+
 class Block:
     """Documents of a task, and their tokens that the broadcast part of the model does not decide."""
 
-    def __init__(self, vocab: Vocabulary, backoff: Backoff, hot: tuple[np.ndarray, np.ndarray], buckets: int, number: int):
-        self.vocab, self.backoff, self.hot, self.buckets, self.number = vocab, backoff, hot, buckets, number
-        self.words, self.pairs, self.places, self.left, self.rows, self.size = [], [], [], [], [], 0
+    def __init__(self, vocab: Vocabulary, backoff: Backoff, slots: Slots, hot: np.ndarray, buckets: int, number: int):
+        """``hot`` has the counts of the bigrams in ``slots``, or the open model's gains."""
+        self.vocab, self.backoff, self.slots, self.hot, self.buckets, self.number = vocab, backoff, slots, hot, buckets, number
+        self.left, self.rows, self.size, self.docs = [], [], 0, 0
         self.open = isinstance(vocab, Words)
+        self.base = vocab.base(vocab.counts)
 
-    def add(self, doc_id: int | None, h: np.ndarray) -> None:
-        """A text: its row has tokens, known tokens, base and score as far as decided here."""
-        v = self.vocab
-        numbers = v.numbers(h)
+    def add(self, doc_ids: pa.Array, h: np.ndarray, numbers: np.ndarray, sizes: np.ndarray) -> None:
+        """Texts: their rows have tokens, known tokens, base and score as far as decided here."""
+        v, n = self.vocab, len(sizes)
+        row = np.repeat(np.arange(n, dtype=np.uint32), sizes)
         inside = numbers < v.size
-        keys, before = v.pairs(np.where(inside, numbers.astype(np.uint64), h)) if self.open else (v.bigrams(numbers), None)
-        k = np.minimum(np.searchsorted(self.hot[0], keys), len(self.hot[0]) - 1) if len(self.hot[0]) else np.zeros(len(keys), int)
-        known = self.hot[0][k] == keys if len(self.hot[0]) else np.zeros(len(keys), bool)
-        self.words.append(h[~inside])
-        self.pairs.append(keys[~known])
-        self.places.append(v.place(keys[~known], before[~known], self.buckets) if self.open else spread(keys[~known], self.buckets))
-        self.left.append((int((~inside).sum()), int((~known).sum())))
-        self.size += len(h)
-        base = v.base(v.counts[numbers[inside]]).sum() if v.size else 0.0
         if self.open:
-            score = self.backoff.log_alpha[v.start] + self.backoff.token[numbers[inside]].sum() + self.hot[1][k[known]].sum()
+            keys, history = v.pairs(np.where(inside, numbers.astype(np.uint64), h), sizes)
         else:
-            score = self.backoff.log_p(keys[known], self.hot[1][k[known]]).sum() if known.any() else 0.0
-        self.rows.append((doc_id, len(h), int(inside.sum()), float(base), float(score)))
+            keys = v.bigrams(numbers, sizes)
+        at = self.slots.places(keys)
+        known = at >= 0
+        places = v.place(keys[~known], history[~known], self.buckets) if self.open else spread(keys[~known], self.buckets)
+        doc = row + np.uint32(self.docs)
+        self.left.append((h[~inside], doc[~inside], keys[~known], doc[~known], places))
+        base = row_sums(row[inside], self.base[numbers[inside]], n)
+        if self.open:
+            score = self.backoff.log_alpha[v.start] + row_sums(row[inside], self.backoff.token[numbers[inside]], n) + row_sums(row[known], self.hot[at[known]], n)
+        else:
+            score = row_sums(row[known], self.backoff.log_p(keys[known], self.hot[at[known]]), n)
+        columns = pa.array(sizes), pa.array(np.bincount(row[inside], minlength=n)), pa.array(base), pa.array(score)
+        self.rows.append(pa.RecordBatch.from_arrays([doc_ids, *columns], ROW_FIELDS))
+        self.size += len(h)
+        self.docs += n
 
     def postings(self) -> pa.RecordBatch:
         """Rows by bucket: distinct keys, how many documents each has, and these; and one row of the documents' rows."""
         rows = []
-        for kind, parts in ((WORDS, self.words), (PAIRS, self.pairs)):
-            keys = np.concatenate(parts)
-            place = spread(keys, self.buckets) if kind == WORDS else np.concatenate(self.places)
-            doc = np.repeat(np.arange(len(parts), dtype=np.uint32), [n[kind] for n in self.left])
-            order = np.argsort(keys, kind="stable")
+        words, word_docs, pairs, pair_docs, places = (np.concatenate([x[i] for x in self.left]) for i in range(5))
+        for kind, keys, doc, place in ((WORDS, words, word_docs, spread(words, self.buckets)), (PAIRS, pairs, pair_docs, places)):
+            order = np.argsort(keys)
             keys, doc = keys[order], doc[order]
-            own = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+            own = firsts(keys)
             size = np.diff(np.append(own, len(keys)))
             for b, at in by_place(place[order][own]):
                 # the documents of the bucket's keys, one key after the other
                 n = size[at]
                 where = np.repeat(own[at] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
                 rows.append((b, kind, pack_sorted(keys[own][at]), _planes(n), _planes(doc[where])))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        own_rows = pa.RecordBatch.from_arrays([pa.array([r[i] for r in self.rows], k) for i, k in enumerate(kinds)], ROW_FIELDS)
-        rows.append((self.number % self.buckets, WHOLE, _ipc(own_rows), None, None))
+        rows.append((self.number % self.buckets, WHOLE, _ipc(self.rows), None, None))
         return pa.RecordBatch.from_arrays([pa.array([self.number] * len(rows), pa.int64()), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(
             (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))]], [f.split()[0] for f in POSTINGS.split(", ")])
 
@@ -627,25 +699,27 @@ def _from_planes(b) -> np.ndarray:
     return np.ascontiguousarray(unpack(b, np.uint8).reshape(4, -1).T).view(np.uint32)[:, 0].astype(np.int64)
 
 
-def _ipc(rows: pa.RecordBatch) -> bytes:
+def _ipc(rows: list[pa.RecordBatch]) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema) as out:
-        out.write_batch(rows)
+    with pa.ipc.new_stream(sink, rows[0].schema) as out:
+        for part in rows:
+            out.write_batch(part)
     return sink.getvalue().to_pybytes()
 
 
 def read_texts(batches: Iterator[pa.RecordBatch], vocab, backoff, hot, buckets: int) -> Iterator[pa.RecordBatch]:
     """Postings of what the tables must decide, block by block; blocks are numbered by task and place."""
-    hashes, n = WordHashes(), TaskContext.get().partitionId() << 28
-    block = Block(vocab.value, backoff.value, hot.value, buckets, n)
-    for batch in batches:
-        for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            block.add(doc_id, hashes.of(t))
-            if block.size >= BLOCK_TOKENS:
-                yield block.postings()
-                n += 1
-                block = Block(vocab.value, backoff.value, hot.value, buckets, n)
-    if block.rows:
+    v, n = vocab.value, TaskContext.get().partitionId() << 28
+    hashes, (keys, values) = WordHashes(v.numbers), hot.value
+    slots = Slots(keys)
+    block = Block(v, backoff.value, slots, values, buckets, n)
+    for part in text_slices(batches, 1):
+        block.add(part.column(0), *hashes.of(part.column(1).to_pylist()))
+        if block.size >= BLOCK_TOKENS:
+            yield block.postings()
+            n += 1
+            block = Block(v, backoff.value, slots, values, buckets, n)
+    if block.docs:
         yield block.postings()
 
 
@@ -717,7 +791,7 @@ def score(docs: DataFrame, model: KatzModel, id_col: str = "doc_id", text_col: s
     vocab, backoff, hot = sc.broadcast(model.vocab), sc.broadcast(model.backoff), sc.broadcast(model.hot)
     buckets = model.buckets
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    postings = base.mapInArrow(lambda it: read_texts(it, vocab, backoff, hot, buckets), POSTINGS)
+    postings = base.mapInArrow(giving_back(lambda it: read_texts(it, vocab, backoff, hot, buckets)), POSTINGS)
     tables = model.words.withColumn("kind", F.lit(WORDS)).unionByName(model.bigrams.withColumn("kind", F.lit(PAIRS)), allowMissingColumns=True)
     decided = postings.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(
         lambda a, b: decide_group(a, b, vocab, backoff), DECIDED)

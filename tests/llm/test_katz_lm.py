@@ -173,3 +173,43 @@ def test_no_word_is_cut_from_the_default_model(spark):
     (r,) = K.score(docs(spark, [(1, "t3 t69999 t5 t68000 t68001 unheard")]), model).collect()
     assert r.score == pytest.approx(brute.row("t3 t69999 t5 t68000 t68001 unheard")[3], rel=1e-9)
     assert K.score(docs(spark, [(1, "a")]), K.fit(docs(spark, []))).collect()[0].score == 0
+
+
+def test_words_are_looked_up_once_and_texts_read_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    rows = [t if t is None else t.encode() for t in [*texts(40, 8), None, "", "A a\tA"]]
+    asked, calls = [], []
+    of = K.WordHashes.of
+
+    def ids_of(h):
+        asked.extend(h.tolist())
+        return h
+
+    def counted(self, part):
+        calls.append(len(part))
+        return of(self, part)
+
+    hashes, ids, sizes = K.WordHashes(ids_of).of(rows)
+    want = [[K.xxhash.xxh3_64_intdigest(w.encode()) for w in tokens(t and t.decode())] for t in rows]
+    assert hashes.tolist() == ids.tolist() == sum(want, []) and sizes.tolist() == [len(w) for w in want]
+    assert len(asked) == len(set(asked)) == len(set(sum(want, [])))
+    monkeypatch.setattr(K.WordHashes, "of", counted)
+    batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["text"])
+    (out,) = K.count_words(iter([batch]), 1)
+    table = dict(zip(K.unpack_sorted(out.column("keys")[0].as_py()).tolist(), K.unpack(out.column("counts")[0].as_py(), np.int64).tolist(), strict=True))
+    assert calls == [len(rows)] and table == Counter(sum(want, []))
+
+
+def test_slots_find_every_key_and_no_other():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 5000):
+        keys = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        slots = K.Slots(keys)
+        others = np.setdiff1d(rng.integers(0, 1 << 62, 3000).astype(np.uint64), keys)
+        assert slots.places(keys).tolist() == list(range(len(keys))) and (slots.places(others) == -1).all()
+    crowded = K.Slots(keys)
+    crowded.slot = lambda k: np.zeros(len(k), np.int64)
+    crowded.first[:], crowded.next[:] = -1, -1
+    crowded.first[0], crowded.next[:-1] = 0, np.arange(1, len(keys))
+    assert crowded.places(keys[:50]).tolist() == list(range(50)) and (crowded.places(others[:5]) == -1).all()
