@@ -21,13 +21,14 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import discard, read_table, stored, word_hashes
+from sluice.llm.common import discard, giving_back, read_table, stored, word_hashes
 
 KEY = "op4_decontaminate"
 
@@ -91,7 +92,7 @@ def count_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def inverse_frequency(passages: DataFrame) -> np.ndarray:
     out = np.zeros(TERMS + 1)
-    for r in passages.select("terms").mapInArrow(count_passages, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for r in passages.select("terms").mapInArrow(giving_back(count_passages), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[r.term] = r.n
     return np.log((1 + out[TERMS]) / (1 + out[:TERMS])).astype(np.float32) + np.float32(0.1)
 
@@ -156,7 +157,7 @@ def summed(passages: DataFrame, parts, width: int) -> np.ndarray:
     """Terms x width: the sum of what ``parts`` gives for the passages of each task."""
     out = np.zeros((TERMS, width))
     schema = "block int, part binary"
-    for r in passages.mapInArrow(parts, schema).groupBy("block").applyInArrow(add_blocks, schema).collect():
+    for r in passages.mapInArrow(giving_back(parts), schema).groupBy("block").applyInArrow(add_blocks, schema).collect():
         out[r.block:r.block + BLOCK_TERMS] = np.frombuffer(bytes(r.part), np.float32).reshape(-1, width)
     return out
 
@@ -338,7 +339,7 @@ FOUND = "doc_id long, item_id long, cosine double, covered double, answer_covere
 def latent_vectors(docs: DataFrame, bench: DataFrame, rank: int) -> np.ndarray:
     """Terms x rank: idf-weighted singular vectors of all passages, each direction scaled to unit variance."""
     texts = docs.select("text").unionByName(bench.select("text"))
-    passages = stored(texts.mapInArrow(term_passages, "terms array<smallint>, counts array<tinyint>"), "op4-passages")
+    passages = stored(texts.mapInArrow(giving_back(term_passages), "terms array<smallint>, counts array<tinyint>"), "op4-passages")
     idf = inverse_frequency(passages)
     v, sigma = randomised_svd(passages, rank, idf=docs.sparkSession.sparkContext.broadcast(idf))
     discard(passages)
@@ -364,12 +365,14 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     items = bench.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text"))
     spark = docs.sparkSession
     blocks = -(-items.count() // block_items)
-    found = spark.createDataFrame([], FOUND)
+    parts = []
     vectors = latent_vectors(base, items.withColumn("text", F.col("text").cast("binary")), rank) if blocks else None
     for b in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         searcher = spark.sparkContext.broadcast(Searcher(items_of([(r.item_id, r.text) for r in part.collect()]), vectors, cosine, lcs, answer))
-        found = found.unionByName(base.mapInArrow(lambda it, s=searcher: search_batches(it, s), FOUND))
+        parts.append(base.mapInArrow(giving_back(lambda it, s=searcher: search_batches(it, s)), FOUND))
+    # an empty table made in Python has tasks of its own, which start further Python processes in the executors
+    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], FOUND)
     best = F.max(F.struct("covered", "cosine", "answer_covered", "first_word", "last_word")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", "best.cosine", "best.covered", "best.answer_covered", "best.first_word", "best.last_word")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import crc_mod, read_table, row_slices, text_or_empty
+from sluice.llm.common import crc_mod, giving_back, read_table, row_slices, text_or_empty
 
 KEY = "op8_language_id"
 
@@ -127,7 +127,7 @@ class Model:
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Model of the rows with a language; None if there is none."""
     counted = rows.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), text_or_empty(text_col).alias("text")).mapInArrow(
-        count_features, "lang string, bucket int, n long")
+        giving_back(count_features), "lang string, bucket int, n long")
     summed = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(summed["lang"].unique())
     if not langs:
@@ -221,7 +221,7 @@ class Labeller:
 
 def label_batches(batches: Iterator[pa.RecordBatch], model, switch: float, with_spans: bool, with_text: bool) -> Iterator[pa.RecordBatch]:
     lab = None if model.value is None else Labeller(model.value, switch)
-    most = SLICE_CHARS if lab is None else max(SLICE_CHARS // 4, min(SLICE_CHARS * 2, VITERBI_CELLS * 5 // len(lab.model.langs)))
+    most = SLICE_CHARS if lab is None else max(SLICE_CHARS // 4, min(SLICE_CHARS, VITERBI_CELLS * 5 // len(lab.model.langs)))
     for batch in batches:
         for part in row_slices(batch, 0, most):
             texts = [words_of(t) for t in part.column(0).to_pylist()]
@@ -252,7 +252,7 @@ def language_id(docs: DataFrame, model: Model | None, text_col: str = "text", sw
     model_b = docs.sparkSession.sparkContext.broadcast(model)
     base = docs.select(text_or_empty(text_col).alias("text"), F.struct(*[F.col(c) for c in keep]).alias("rest"))
     more = ", spans array<struct<first:bigint,last:bigint,lang:string>>" * spans + ", text string" * with_text
-    return base.mapInArrow(lambda it: label_batches(it, model_b, switch, spans, with_text),
+    return base.mapInArrow(giving_back(lambda it: label_batches(it, model_b, switch, spans, with_text)),
                            f"lang_pred string, score double, certainty double{more}, rest {base.schema['rest'].dataType.simpleString()}")
 
 

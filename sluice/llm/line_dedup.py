@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import read_table, row_slices, stored
+from sluice.llm.common import giving_back, read_table, row_slices, stored
 
 KEY = "op3_line_dedup"
 
@@ -117,7 +117,7 @@ def merge_blocks(table: pa.Table) -> pa.Table:
 def seen_twice(lines_of: DataFrame, bits: int, min_chars: int) -> np.ndarray:
     """The second filter over all documents: ``2**bits`` bits, whatever the input."""
     schema = "block int, once binary, twice binary"
-    made = lines_of.mapInArrow(lambda it: filters_of(it, bits, min_chars), schema)
+    made = lines_of.mapInArrow(giving_back(lambda it: filters_of(it, bits, min_chars)), schema)
     lanes = made.withColumn("lane", F.spark_partition_id() % LANES).groupBy("block", "lane").applyInArrow(
         lambda t: merge_blocks(t.select(["block", "once", "twice"])), schema)
     filt = np.zeros(1 << (bits - 6), np.uint64)
@@ -177,7 +177,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        *([F.struct(*[F.col(c) for c in carry]).alias("rest")] if carry else []))
     filt = docs.sparkSession.sparkContext.broadcast(seen_twice(base.select("body"), bits, min_chars))
     suspects = stored(base.select("doc_id", "body").mapInArrow(
-        lambda it: suspects_of(it, filt.value, min_chars), "doc_id long, key binary"), "op3-suspects")
+        giving_back(lambda it: suspects_of(it, filt.value, min_chars)), "doc_id long, key binary"), "op3-suspects")
     # a table of its own: both sides of the join below are then shuffles of their own, and AQE can split a hot line
     repeated = stored(suspects.groupBy("key")
                       .agg(F.countDistinct(F.struct("doc_id")).alias("n"), F.max("doc_id").alias("keeper"))
@@ -187,7 +187,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = base.join(drops, F.col("doc_id").eqNullSafe(F.col("drop_id")), "left")
     rest = [f"rest {base.schema['rest'].dataType.simpleString()}"] if carry else []
     out = joined.select("doc_id", "body", "drops", *(["rest"] if carry else [])).mapInArrow(
-        lambda it: without_lines(it, min_chars), ", ".join(["doc_id long, kept binary, n_lines long, n_dropped long", *rest]))
+        giving_back(lambda it: without_lines(it, min_chars)), ", ".join(["doc_id long, kept binary, n_lines long, n_dropped long", *rest]))
     return out.select("doc_id", F.col("kept").cast("string").alias("text"), "n_lines", "n_dropped", *(["rest"] if carry else []))
 
 

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import byte_words, discard, read_table, row_slices, stored
+from sluice.llm.common import byte_words, discard, giving_back, read_table, row_slices, stored
 from sluice.llm.components import components
 
 KEY = "op5_order_minhash"
@@ -160,7 +160,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The similar ones of ``pairs`` (u, v); ``texts`` has (node, words)."""
     a, b = (texts.select(F.col("node").alias(x), F.col("words").alias(f"{x}_words")) for x in "uv")
     return pairs.join(a, "u").join(b, "v").select("u", "v", "u_words", "v_words").mapInArrow(
-        lambda it: verify_batches(it, least), "u binary, v binary")
+        giving_back(lambda it: verify_batches(it, least)), "u binary, v binary")
 
 
 def ordered(pairs: DataFrame, least: float) -> DataFrame:
@@ -208,10 +208,10 @@ def prefix_pairs(nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     spark = nodes.sparkSession
     unresolved = nodes.join(texts, "node").select("node", "component", "words")
     counts = np.zeros(COUNTERS, np.int64)
-    got = unresolved.select("words").mapInArrow(count_shingles, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    got = unresolved.select("words").mapInArrow(giving_back(count_shingles), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     counts[got.column("counter").to_numpy()] = got.column("n").to_numpy()
     counts_b = spark.sparkContext.broadcast(counts)
-    prefixes = stored(unresolved.mapInArrow(lambda it: prefix_batches(it, counts_b, least),
+    prefixes = stored(unresolved.mapInArrow(giving_back(lambda it: prefix_batches(it, counts_b, least)),
                                         "shingle long, node binary, component binary, n long, place long, short boolean"), "op5-prefixes")
     mixed = prefixes.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("shingle")
     rows = prefixes.join(mixed, "shingle")
@@ -301,7 +301,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole at any length. Other columns are ignored, an empty table gives no rows.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    rows = stored(base.mapInArrow(sketch_batches, "doc_id long, node binary, n long, bands array<long>, words binary"), "op5-rows")
+    rows = stored(base.mapInArrow(giving_back(sketch_batches), "doc_id long, node binary, n long, bands array<long>, words binary"), "op5-rows")
     # equal words have equal bands: any row's stand for the class, and copies collapse map-side
     classes = stored(rows.groupBy("node").agg(
         F.min("doc_id").alias("exact_id"), F.count("*").alias("size"), *[F.any_value(c).alias(c) for c in ("n", "bands", "words")]), "op5-classes")
